@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from . import near_dup
+from . import lang_id, near_dup, packing, quality
 
 QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op9_language_id": lang_id.op9_language_id,
     "op10_near_duplicates": near_dup.op10_near_duplicates,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality.oracle_sql(),
+}
