@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from . import lang_id, near_dup, packing, quality
+from . import decontaminate, lang_id, licenses, near_dup, packing, quality, sharding, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op7_license_scan": licenses.op7_license_scan,
+    "op8_sharding": sharding.op8_sharding,
     "op9_language_id": lang_id.op9_language_id,
     "op10_near_duplicates": near_dup.op10_near_duplicates,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.oracle_sql(),
+    "op2_decontamination": decontaminate.oracle_sql(),
+    "op6_url_filter": url_filter.oracle_sql(),
+    "op7_license_scan": licenses.oracle_sql(),
+    "op8_sharding": sharding.oracle_sql(),
 }
