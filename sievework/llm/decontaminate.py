@@ -51,26 +51,31 @@ def spelled(ws: str, width: int) -> Column:
 
 def simhash(sh: str) -> Column:
     """Bit b is set if more than half of the shingle hashes have it."""
-    return F.expr(f"aggregate(sequence(0, 63), 0L, (acc, b) -> acc | shiftleft(if(2 * size(filter({sh}, x -> getbit(x, b) = 1)) > size({sh}), 1L, 0L), b))")
+    return F.expr(f"coalesce(aggregate(sequence(0, 63), 0L, (acc, b) -> acc | shiftleft(if(2 * size(filter({sh}, x -> getbit(x, b) = 1)) > size({sh}), 1L, 0L), b)), 0L)")
 
 
 def _with_items(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    """(doc_id, item_id, similarity, word_start, n_words) of windows over the threshold, for items of this shingle width."""
+    """(doc_id, item_id, similarity, word_start, n_words) of window and item pairs within the radius, for items of this shingle width.
+
+    Filters on the results of lambda functions would be pushed below the projections that hold their inputs, and these
+    computed anew for each element; so arrays are exploded in outer form, fingerprints are never null, and the
+    threshold is applied after the best window has been chosen.
+    """
     items = items.withColumn("ih", hashed("iw", width)).withColumn("ifp", simhash("ih"))
-    starts = F.broadcast(items.select("m", F.explode("ih").alias("h")).distinct())
+    starts = F.broadcast(items.select("m", F.explode_outer("ih").alias("h")).distinct())
     stored = items.select("item_id", "m", "iw", "ifp", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("block"))
     stored = stored.select("*", F.explode(F.array(*map(F.lit, _MASKS))).alias("mask"))
     stored = bounded_broadcast(stored.select("item_id", "m", "iw", "ifp", "block", F.expr("(shiftright(ifp, 8 * block) & 255L) ^ mask").alias("value")))
 
-    placed = docs.withColumn("dh", hashed("dw", width)).select("doc_id", "dw", F.posexplode("dh").alias("word_start", "h"))
+    placed = docs.withColumn("dh", hashed("dw", width)).select("doc_id", "dw", F.posexplode_outer("dh").alias("word_start", "h"))
     windows = placed.join(starts, "h").select("doc_id", "word_start", "m", F.expr("slice(dw, word_start + 1, m)").alias("ww"))
     windows = windows.withColumn("wh", hashed("ww", width)).withColumn("fp", simhash("wh"))
     probes = windows.select("doc_id", "word_start", "m", "ww", "fp", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("block")).withColumn("value", F.expr("shiftright(fp, 8 * block) & 255L"))
     met = probes.join(stored, ["m", "block", "value"]).filter(f"bit_count(fp ^ ifp) <= {RADIUS}")
     met = met.filter("block = array_position(transform(sequence(0, 7), j -> bit_count(shiftright(fp ^ ifp, 8 * j) & 255L) <= 2), true) - 1")
-    spelt = met.withColumn("a", spelled("ww", width)).withColumn("b", spelled("iw", width)).filter("array_contains(b, a[0])")
-    both = spelt.withColumn("both", F.expr("aggregate(array_distinct(a), 0, (acc, x) -> acc + least(size(filter(a, y -> y = x)), size(filter(b, y -> y = x))))"))
-    return both.select("doc_id", "item_id", F.expr("both / (size(a) + size(b) - both)").alias("similarity"), "word_start", F.size("ww").alias("n_words")).filter(F.col("similarity") >= SIMILARITY)
+    spelt = met.withColumn("a", spelled("ww", width)).withColumn("b", spelled("iw", width))
+    both = spelt.withColumn("both", F.expr("if(array_contains(b, a[0]), aggregate(array_distinct(a), 0, (acc, x) -> acc + least(size(filter(a, y -> y = x)), size(filter(b, y -> y = x)))), 0)"))
+    return both.select("doc_id", "item_id", F.expr("both / (size(a) + size(b) - both)").alias("similarity"), "word_start", F.size("ww").alias("n_words"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -88,6 +93,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             rows = _with_items(texts, part, width)
             found = rows if found is None else found.unionByName(rows)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("word_start")).alias("back"), "n_words")).alias("w"))
+    best = best.filter(F.col("w.similarity") >= SIMILARITY)
     return best.select("doc_id", "item_id", F.round("w.similarity", 9).alias("similarity"), (-F.col("w.back")).alias("word_start"), "w.n_words")
 
 
