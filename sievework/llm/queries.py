@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, lang_id, licenses, near_dup, packing, quality, sharding, url_filter
+from . import decontaminate, html_text, lang_id, licenses, lm_score, near_dup, packing, quality, sharding, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_lm_scoring": lm_score.op3_lm_scoring,
     "op4_html_extraction": html_text.op4_html_extraction,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_url_filter": url_filter.op6_url_filter,

@@ -39,6 +39,10 @@ class Subwords:
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def starts_word(self, ids: int) -> np.ndarray:
+        """1 for each id whose text begins with a space."""
+        return np.array([int((self.tokenizer.id_to_token(i) or "").startswith("\u0120")) for i in range(ids)])
+
     def pre_tokens(self, text: str) -> list[bytes] | None:
         try:
             return _PRE_TOKEN.findall(text.encode("latin-1"))
