@@ -99,8 +99,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that leak an item."""
-    bad = leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_leaking_doc_id")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_leaking_doc_id")), "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

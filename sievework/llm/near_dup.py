@@ -9,11 +9,12 @@ coordinates is a bucket. The work in a bucket never is all its pairs:
 
 1. every class is compared with the smallest class of each of its buckets (one link per class and bucket);
 2. connected components of the confirmed links are found;
-3. only pairs of a bucket that still lie in different components are compared. Buckets with more than `SPLIT`
-   classes are first divided by a second and a third band, which a pair over the threshold shares too.
+3. only pairs of a bucket that still lie in different components are compared. The classes of buckets with more than
+   `SPLIT`, which texts around one common passage fill, are paired by their rarest shingles instead (prefix filter).
 
 With 32 bands of 4 rows a pair at the threshold of 0.8 shares no band with probability (1 - 0.8**4)**32 = 5e-8.
-Confirmed links compare the full sets of 64-bit shingle hashes.
+Pairs whose signatures agree in fewer than 77 of 128 coordinates are dropped (at the threshold, 1e-8 of pairs); the
+others are compared on their full sets of 64-bit shingle hashes.
 
 Nulls and edge cases: null or wordless text has no shingles and links with nothing; a text of fewer than k words is
 one shingle; rows whose id is null get a null component and are kept; rows that repeat an id are judged by the
@@ -27,13 +28,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, batches, drop_stored, mix64, shingle_hashes, stored, table, words_of
 from .components import components
 
-BANDS, ROWS, SPLIT = 32, 4, 48
+BANDS, ROWS, SPLIT, LEAST_AGREE = 32, 4, 24, 77
 
 
 def _mix32(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -63,30 +64,32 @@ def _set_of(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(shingle_hashes(hashes.array(words), k))
 
 
-def _band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    m = circulant_signature(shingles, bands * rows).astype(np.uint64).reshape(bands, rows)
+def _band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    m = signature.astype(np.uint64).reshape(bands, rows)
     key = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for j in range(rows):
         key = mix64(key + m[:, j])
     return key.view(np.int64)
 
 
-SIGNATURE = "doc_id long, n_shingles long, node binary, bands array<long>"
+SIGNATURE = "doc_id long, n_shingles long, node binary, bands array<long>, sketch binary"
 
 
 def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per document: size and 128-bit digest of its shingle set, and its band keys (both null if the set is empty)."""
+    """Per document: size and 128-bit digest of its shingle set, its band keys and the low byte of each signature coordinate (null if the set is empty)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches(it):
-            size, node, keys = [], [], []
+            size, node, keys, sketch = [], [], [], []
             for text in b.column(1).to_pylist():
                 s = _set_of(text, k, hashes)
                 size.append(len(s))
                 node.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                keys.append(_band_keys(s, bands, rows) if len(s) else None)
-            yield pa.record_batch([b.column(0), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "bands"])
+                m = circulant_signature(s, bands * rows) if len(s) else None
+                keys.append(_band_keys(m, bands, rows) if len(s) else None)
+                sketch.append((m & np.uint32(255)).astype(np.uint8).tobytes() if len(s) else None)
+            yield pa.record_batch([b.column(0), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "node", "bands", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNATURE)
 
@@ -132,50 +135,100 @@ def _close(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
-def _cross_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of rows(key, node, n, component) in one bucket and different components, with buckets over SPLIT divided by further bands."""
-    out = None
-    for depth in range(3):
-        sizes = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 != c1")
-        live = stored(rows.join(sizes.select("key", "m"), "key"), "buckets")
-        small = live.filter(F.col("m") <= SPLIT) if depth < 2 else live
-        other = small.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-        found = small.select("key", F.col("node").alias("a"), "n", "component").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("cb")) & _close("n", "nb", percent)).select("a", "b")
-        out = found if out is None else out.unionByName(found)
-        large = live.filter(F.col("m") > SPLIT)
-        if depth == 2 or large.isEmpty():
-            break
-        finer = large.drop("m").join(classes.select("node", "bands"), "node").select("node", "n", "component", "key", F.explode("bands").alias("band"))
-        rows = finer.select("node", "n", "component", F.xxhash64("key", "band").alias("key"))
-    return out.distinct()
+def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose signatures agree in LEAST_AGREE coordinates or more, by the low byte of each coordinate."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
+            keep = pa.array((x == y).sum(axis=1) >= LEAST_AGREE)
+            yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+
+    left = classes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
+    right = classes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+
+
+def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows(key, node, n, common, component, main) with one key, different components and sizes that allow the threshold.
+
+    `main` is one component of each key. A pair across components has a side outside it, so only those rows are
+    compared with all rows of the key. `common` bounds how many shingles a set can share with any other.
+    """
+    left = rows.filter("component != main").select("key", F.col("node").alias("x"), "n", "common", "component")
+    right = rows.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("common").alias("common_y"), F.col("component").alias("cy"))
+    enough = F.least("common", "common_y") * (100 + percent) >= (F.col("n") + F.col("ny")) * percent
+    met = left.join(right, "key").filter((F.col("component") != F.col("cy")) & _close("n", "ny", percent) & enough)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _rare_shingles(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(key, node, n, common, component): for each class in `members`, the rarest shingles of its set, counted within `members`.
+
+    Of two sets over the threshold, each shares with the other one of its n - ceil(n * percent / 100) + 1 shingles
+    that are rarest, in an order that is the same for all sets. Shingles of a common passage are the least rare, so
+    texts that share no more than the passage do not meet. `common` is how many shingles of the set other members
+    have too: edited copies of one text share no more than that, so those with many edits of their own do not meet.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches(it, 1 << 20):
+            sets = [_set_of(t, k, hashes) for t in b.column(1).to_pylist()]
+            which = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            yield pa.record_batch([b.column(0).take(pa.array(which)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "key"])
+
+    named = members.select("node", F.xxhash64("node").alias("id"), "n", "component")
+    rows = texts.join(named.select("node", "id"), "node").select("id", "text").mapInArrow(run, "id long, key long")
+    rows = stored(rows, "shingles")
+    common = rows.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    order = Window.partitionBy("id")
+    ranked = rows.join(common, "key").withColumn("many", F.count("*").over(order)).withColumn("rank", F.row_number().over(order.orderBy("df", "key")))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return ranked.join(named, "id").filter(F.col("n") - F.col("many") + F.col("rank") <= prefix).select("key", "node", "n", F.col("many").alias("common"), "component")
+
+
+def _cross_pairs(shared: DataFrame, classes: DataFrame, texts: DataFrame, part: DataFrame, k: int, percent: int) -> DataFrame:
+    """Candidate pairs across components: within small buckets directly, else by the rare shingles of their members."""
+    rows = shared.join(part, "node", "left").select("key", "node", "n", "leader", F.coalesce("component", "node").alias("component"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.max(F.when(F.col("node") == F.col("leader"), F.col("component"))).alias("main"))
+    rows = stored(rows.drop("leader").join(sizes.filter("c0 != c1").select("key", "m", "main"), "key"), "buckets")
+    found = _pairs_across(rows.filter(F.col("m") <= SPLIT).withColumn("common", F.col("n")), percent)
+    large = rows.filter(F.col("m") > SPLIT)
+    if not large.isEmpty():
+        members = stored(large.select("node", "n", "component").distinct(), "members")
+        rare = stored(_rare_shingles(members, texts, k, percent), "rare")
+        seen = rare.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.mode("component").alias("main"), F.min("n").alias("least")).filter("c0 != c1")
+        able = F.col("common") * (100 + percent) >= (F.col("n") + F.col("least")) * percent
+        found = found.unionByName(_pairs_across(rare.join(seen.select("key", "main", "least"), "key").filter(able), percent)).distinct()
+    return found
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
     sig = stored(signatures(docs, k), "signatures")
     usable = sig.filter("node is not null and doc_id is not null")
-    one = usable.groupBy("node").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("s"))
-    classes = stored(one.select("node", "s.doc_id", F.col("s.n_shingles").alias("n"), "s.bands"), "classes")
+    one = usable.groupBy("node").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("s"))
+    classes = stored(one.select("node", "s.doc_id", F.col("s.n_shingles").alias("n"), "s.bands", "s.sketch"), "classes")
 
     banded = classes.select("node", "n", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("leader"), F.min(F.struct("node", "n")).alias("first")).filter("m > 1").select("key", "leader", F.col("first.n").alias("leader_n"))
+    buckets = banded.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("node", "n")).alias("first")).filter("m > 1").select("key", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n"))
     shared = stored(banded.join(buckets, "key"), "buckets")
     texts = stored(_candidate_texts(docs, classes.join(shared.select("node").distinct(), "node").select("doc_id", "node"), k), "texts")
 
     star = shared.filter((F.col("node") != F.col("leader")) & _close("n", "leader_n", percent)).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(confirmed(star, texts, k, percent), "links")
+    links = stored(confirmed(_likely(star, classes), texts, k, percent), "links")
     part = stored(components(links), "parts")
-
-    in_part = shared.select("key", "node", "n").join(part, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    cross = _cross_pairs(in_part, classes, percent)
-    more = stored(confirmed(cross, texts, k, percent), "links")
+    cross = _cross_pairs(shared, classes, texts, part, k, percent)
+    more = stored(confirmed(_likely(cross, classes), texts, k, percent), "links")
     if not more.isEmpty():
         part = stored(components(more.unionByName(part.filter("node != component").select(F.col("node").alias("u"), F.col("component").alias("v")))), "parts")
+    drop_stored(texts, shared)
 
     grouped = classes.join(part, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = grouped.join(least, "component").select("node", "component_id")
-    own = sig.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    own = sig.join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return own.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
