@@ -190,3 +190,19 @@ def rewritten(df: DataFrame, text: str, rules: list[tuple[str, str, str]]) -> Da
     for rule, pattern, replacement in rules:
         df = df.withColumn(f"n_{rule}", F.regexp_count(F.col(text), F.lit(pattern))).withColumn(text, F.regexp_replace(text, pattern, replacement))
     return df
+
+
+def dotted_uses(texts: DataFrame, index: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, receiver, member, matched): dotted tokens whose receiver.member is in index(receiver, member), else whose member alone is there without a receiver."""
+    tokens = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+\.[a-z]+"), 0))).alias("_use"))
+    uses = tokens.select(key, F.split_part("_use", F.lit("."), F.lit(1)).alias("receiver"), F.split_part("_use", F.lit("."), F.lit(2)).alias("member"))
+    full = index.filter("receiver is not null").select("receiver", "member").distinct().withColumn("_full", F.lit(True))
+    leaf = index.filter("receiver is null").select("member").distinct().withColumn("_leaf", F.lit(True))
+    met = uses.join(bounded(full), ["receiver", "member"], "left").join(bounded(leaf), "member", "left")
+    return met.withColumn("matched", F.when(F.col("_full"), "qualified").when(F.col("_leaf"), "leaf")).filter("matched is not null").select(key, "receiver", "member", "matched")
+
+
+def used_elsewhere(uses: DataFrame, declared: DataFrame, name: str, place: str) -> DataFrame:
+    """Uses of declared names in places that do not declare them."""
+    names = declared.select(name).distinct()
+    return uses.join(names, name, "left_semi").join(declared.select(name, place).distinct(), [name, place], "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import segment, symbols
 from sievework.operators import relational as R
-from sievework.operators import tags
+from sievework.operators import tags, validate
 from sievework.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -319,3 +319,32 @@ def page_index(spark, sf_dir):
 @_q("""SELECT doc_id, length(regexp_replace(regexp_replace(text, '\\r\\n', chr(10), 'g'), '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x9F]', '?', 'g')) AS n, md5(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS collapsed_md5 FROM documents""")
 def safe_and_collapsed(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.length(symbols.terminal_safe(F.col("text"))).cast("long").alias("n"), F.md5(F.trim(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " "))).alias("collapsed_md5"))
+
+
+@_q("""SELECT doc_id, 'no-final-newline' AS code, 'notice' AS severity, 0 AS line_no FROM documents WHERE length(text) > 0 AND NOT ends_with(text, chr(10))
+UNION ALL SELECT doc_id, 'merge-marker', 'error', i::INT FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE regexp_matches(line, '^(<{7}|={7}|>{7})( |$)')""")
+def text_checks(spark, sf_dir):
+    return validate.text_problems(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+@_q("""WITH p AS (SELECT p_brand, p_partkey, p_partkey // 3 AS id, p_size * 4 AS parent, p_partkey % 17 = 0 AS bad FROM part), g AS (SELECT * FROM p WHERE NOT bad),
+d AS (SELECT *, row_number() OVER w AS n, first_value(p_partkey) OVER w AS f FROM g WINDOW w AS (PARTITION BY p_brand, id ORDER BY p_partkey))
+SELECT p_brand, p_partkey, 'malformed' AS code, NULL::VARCHAR AS note FROM p WHERE bad UNION ALL SELECT p_brand, p_partkey, 'duplicate-id', f::VARCHAR FROM d WHERE n > 1
+UNION ALL SELECT p_brand, p_partkey, 'dangling-parent', parent::VARCHAR FROM g WHERE parent != 0 AND NOT EXISTS (SELECT 1 FROM g h WHERE h.p_brand = g.p_brand AND h.id = g.parent)""")
+def manifest_checks(spark, sf_dir):
+    line = F.concat_ws(";", F.col("p_name"), F.col("p_type"), F.concat(F.lit("&h"), F.hex(F.floor(F.col("p_partkey") / 3))), F.when(F.col("p_partkey") % 17 == 0, "none").otherwise(F.concat(F.lit("&h"), F.hex(F.col("p_size") * 4))), F.lit("true"))
+    return validate.manifest_problems(_t(spark, sf_dir, "part").select("p_brand", "p_partkey", line.alias("line")), "p_brand", "p_partkey", "line")
+
+
+@_q("""WITH u AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+\\.[a-z]+')) AS x FROM documents), s AS (SELECT doc_id, split_part(x, '.', 1) AS receiver, split_part(x, '.', 2) AS member FROM u)
+SELECT doc_id, receiver, member, CASE WHEN receiver = 'mail8' AND member = 'example' THEN 'qualified' ELSE 'leaf' END AS matched FROM s WHERE (receiver = 'mail8' AND member = 'example') OR member = 'com'""")
+def deprecated_uses(spark, sf_dir):
+    index = spark.createDataFrame([("mail8", "example"), (None, "com")], "receiver string, member string")
+    return R.dotted_uses(_t(spark, sf_dir, "documents"), index, "doc_id", "text")
+
+
+@_q("""WITH d AS (SELECT DISTINCT p_brand AS name, p_type AS place FROM part WHERE p_size <= 3), u AS (SELECT p_partkey, p_brand AS name, p_type AS place FROM part WHERE p_size > 45)
+SELECT p_partkey, name, place FROM u WHERE name IN (SELECT name FROM d) AND NOT EXISTS (SELECT 1 FROM d WHERE d.name = u.name AND d.place = u.place)""")
+def declared_elsewhere(spark, sf_dir):
+    part = _t(spark, sf_dir, "part").select("p_partkey", "p_size", F.col("p_brand").alias("name"), F.col("p_type").alias("place"))
+    return R.used_elsewhere(part.filter("p_size > 45").drop("p_size"), part.filter("p_size <= 3"), "name", "place").select("p_partkey", "name", "place")
