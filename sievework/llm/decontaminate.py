@@ -33,7 +33,7 @@ _MASKS = [0] + [1 << i for i in range(8)] + [(1 << i) | (1 << j) for i in range(
 
 
 def words(text: str) -> Column:
-    return F.expr(rf"filter(split(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' '), ' '), x -> x != '')")
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
 def _shingles(ws: str, width: int, of: str) -> Column:

@@ -169,7 +169,7 @@ def test_leaks(spark, odd, none):
     ]
     docs = spark.createDataFrame([(*t, "x") for t in texts], "doc_id long, text string, item_id string")
     got = {(r["doc_id"], r["item_id"]): (round(r["similarity"], 6), r["word_start"]) for r in decontaminate.leaks(docs, bench).collect()}
-    assert got == {(1, 1): (1.0, 50), (3, 1): (round(23 / 29, 6), 0), (4, 2): (1.0, 1), (6, 1): (1.0, 0)} or got == {(1, 1): (1.0, 50), (4, 2): (1.0, 1), (6, 1): (1.0, 0)}
+    assert got == {(1, 1): (1.0, 50), (4, 2): (1.0, 1), (6, 1): (1.0, 0)}
     assert sorted(r["doc_id"] for r in decontaminate.without_leaks(docs, bench).collect()) == sorted({t[0] for t in texts} - {k[0] for k in got})
     assert decontaminate.leaks(odd, bench).count() == 0 and decontaminate.leaks(none, bench).count() == 0
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
