@@ -25,6 +25,18 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def ranked_encoding(path: str):
+    """The encoding of a rank file; made for one call a word, which it serves faster than Tokenizer.encode does."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Subwords:
     """ids(text) -> uint32 little-endian bytes of the ids."""
 
