@@ -16,6 +16,8 @@ table counts its lines together. Rows with null doc_id form one group. Other col
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,29 +54,40 @@ SPELLINGS = [
     (r"\bgnu lgpl\b|\blgpl\b", "gnu lesser general public license"),
     (r"\bv(er(sion)?)? ?(?=[0-9])", "version "),
     (r"(\b[0-9]+)((?: 0)+)(?= |$)", "$1"),
-    (r"\bthe | the\b", " "),
 ]
-COPYRIGHT = r"(?im)^.*(?:copyright|\(c\)|©).*$"
+#: A text without a digit that holds none of these has none of the spellings.
+SPELLING_WORDS = ("licence", "creative commons", "commercial", "share", "gpl")
+COPYRIGHT_WORDS = ("copyright", "(c)", "©")
+COPYRIGHT = r"(?m)^.*(?:copyright|\(c\)|©).*$"
+
 
+def with_canonical(df: DataFrame, text: str) -> DataFrame:
+    """df with its column text in canonical form: empty if null or only blanks, punctuation or copyright lines.
 
-def canonical(text: Column) -> Column:
-    """Canonical form of a text; empty if only blanks, punctuation or copyright lines."""
-    x = F.regexp_replace(F.lower(F.regexp_replace(text, COPYRIGHT, "")), r"[^\p{L}\p{N}]+", " ")
+    Searches for plain substrings, which are cheap, spare most texts the patterns. The result is never null, so that
+    no filter on it is pushed below, where it would be computed again.
+    """
+    x = F.col(text)
+    has = lambda words: reduce(lambda a, b: a | b, (F.contains(x, F.lit(w)) for w in words))
+    unified: Column = x
     for pattern, to in SPELLINGS:
-        x = F.regexp_replace(x, pattern, to)
-    return F.trim(F.regexp_replace(x, " +", " "))
+        unified = F.regexp_replace(unified, pattern, to)
+    df = df.withColumn(text, F.lower(F.coalesce(x, F.lit(""))))
+    df = df.withColumn(text, F.when(has(COPYRIGHT_WORDS), F.regexp_replace(x, COPYRIGHT, "")).otherwise(x))
+    df = df.withColumn(text, F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " ")))
+    return df.withColumn(text, F.when(has(SPELLING_WORDS) | x.rlike("[0-9]"), F.trim(F.regexp_replace(unified, " +", " "))).otherwise(x))
 
 
 def known_digests(spark: SparkSession, notices: list[tuple[str, str]]) -> DataFrame:
-    known = spark.createDataFrame(notices, "license_id string, known string")
-    return known.select("license_id", F.sha2(canonical(F.col("known")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    known = with_canonical(spark.createDataFrame(notices, "license_id string, known string"), "known")
+    return known.filter("known != ''").select("license_id", F.sha2("known", 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
     known = bounded_broadcast(known_digests(docs.sparkSession, notices))
     units = docs.select("doc_id", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))), F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))))).alias("u"))
-    texts = units.select("doc_id", "u.whole", canonical(F.col("u.unit")).alias("canonical")).filter("canonical != ''")
-    found = texts.select("doc_id", "whole", F.sha2("canonical", 256).alias("digest")).join(known, "digest")
+    texts = with_canonical(units.select("doc_id", "u.whole", "u.unit"), "unit")
+    found = texts.select("doc_id", "whole", F.coalesce(F.sha2("unit", 256), F.lit("")).alias("digest")).join(known, "digest")
     return found.groupBy("doc_id", "license_id").agg(F.max("whole").alias("whole_text"), F.count_if(~F.col("whole")).alias("n_lines"))
 
 
