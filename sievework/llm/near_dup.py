@@ -8,9 +8,10 @@ Documents with the same shingle set form a class and only one text of each is co
 coordinates is a bucket. The work in a bucket never is all its pairs:
 
 1. every class is compared with the smallest class of each of its buckets (one link per class and bucket);
-2. connected components of the confirmed links are found;
-3. only pairs of a bucket that still lie in different components are compared. The classes of buckets with more than
-   `SPLIT`, which texts around one common passage fill, are paired by their rarest shingles instead (prefix filter).
+2. connected components of the confirmed links are found; in buckets of more than `SPLIT` classes, those outside the
+   leader's component are compared with `LEADERS` more classes inside it, and components are found again;
+3. only pairs of a bucket that still lie in different components are compared. The classes of these large buckets,
+   which texts around one common passage fill, are paired by their rarest shingles instead (prefix filter).
 
 With 32 bands of 4 rows a pair at the threshold of 0.8 shares no band with probability (1 - 0.8**4)**32 = 5e-8.
 Pairs whose signatures agree in fewer than 77 of 128 coordinates are dropped (at the threshold, 1e-8 of pairs); the
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, batches, drop_stored, mix64, shingle_hashes, stored, table, words_of
 from .components import components
 
-BANDS, ROWS, SPLIT, LEAST_AGREE = 32, 4, 24, 77
+BANDS, ROWS, SPLIT, LEAST_AGREE, LEADERS = 32, 4, 24, 77, 8
 
 
 def _mix32(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -188,22 +189,46 @@ def _rare_shingles(members: DataFrame, texts: DataFrame, k: int, percent: int) -
     return ranked.join(named, "id").filter(F.col("n") - F.col("many") + F.col("rank") <= prefix).select("key", "node", "n", F.col("many").alias("common"), "component")
 
 
-def _cross_pairs(shared: DataFrame, classes: DataFrame, texts: DataFrame, part: DataFrame, k: int, percent: int) -> DataFrame:
-    """Candidate pairs across components: within small buckets directly, else by the rare shingles of their members."""
+def _mixed_buckets(shared: DataFrame, part: DataFrame) -> DataFrame:
+    """Rows (key, node, n, component, m, main) of the buckets that hold several components; main is the leader's."""
     rows = shared.join(part, "node", "left").select("key", "node", "n", "leader", F.coalesce("component", "node").alias("component"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.max(F.when(F.col("node") == F.col("leader"), F.col("component"))).alias("main"))
-    rows = stored(rows.drop("leader").join(sizes.filter("c0 != c1").select("key", "m", "main"), "key"), "buckets")
+    return stored(rows.drop("leader").join(sizes.filter("c0 != c1").select("key", "m", "main"), "key"), "buckets")
+
+
+def _more_stars(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each row of a large bucket outside its main component with LEADERS rows inside it, chosen by hashes.
+
+    Edited copies of one text mostly lie within the threshold of some of these, so that few are left to compare with all.
+    """
+    large = rows.filter(F.col("m") > SPLIT)
+    pick = [F.min(F.struct(F.xxhash64("node", F.lit(i)), "node", "n")) for i in range(LEADERS)]
+    leaders = large.filter("component = main").groupBy("key").agg(F.array(*pick).alias("leaders"))
+    met = large.filter("component != main").join(leaders, "key").select("node", "n", F.explode("leaders").alias("l"))
+    return met.filter((F.col("n") * 100 >= F.col("l.n") * percent) & (F.col("l.n") * 100 >= F.col("n") * percent)).select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
+
+
+def _cross_pairs(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Candidate pairs across components: within small buckets directly, else by the rare shingles of their members."""
     found = _pairs_across(rows.filter(F.col("m") <= SPLIT).withColumn("common", F.col("n")), percent)
     large = rows.filter(F.col("m") > SPLIT)
     if not large.isEmpty():
         members = stored(large.select("node", "n", "component").distinct(), "members")
         rare = stored(_rare_shingles(members, texts, k, percent), "rare")
-        seen = rare.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.mode("component").alias("main"), F.min("n").alias("least")).filter("c0 != c1")
+        seen = rare.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min_by("component", "node").alias("main"), F.min("n").alias("least")).filter("c0 != c1")
         able = F.col("common") * (100 + percent) >= (F.col("n") + F.col("least")) * percent
         found = found.unionByName(_pairs_across(rare.join(seen.select("key", "main", "least"), "key").filter(able), percent)).distinct()
     return found
 
 
+def _linked(pairs: DataFrame, part: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The components with the confirmed ones of `pairs` as further links."""
+    more = stored(confirmed(_likely(pairs, classes), texts, k, percent), "links")
+    if more.isEmpty():
+        return part
+    return stored(components(more.unionByName(part.filter("node != component").select(F.col("node").alias("u"), F.col("component").alias("v")))), "parts")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
     sig = stored(signatures(docs, k), "signatures")
@@ -219,10 +244,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     star = shared.filter((F.col("node") != F.col("leader")) & _close("n", "leader_n", percent)).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = stored(confirmed(_likely(star, classes), texts, k, percent), "links")
     part = stored(components(links), "parts")
-    cross = _cross_pairs(shared, classes, texts, part, k, percent)
-    more = stored(confirmed(_likely(cross, classes), texts, k, percent), "links")
-    if not more.isEmpty():
-        part = stored(components(more.unionByName(part.filter("node != component").select(F.col("node").alias("u"), F.col("component").alias("v")))), "parts")
+    rows = _mixed_buckets(shared, part)
+    if not rows.filter(F.col("m") > SPLIT).isEmpty():
+        part = _linked(_more_stars(rows, percent), part, classes, texts, k, percent)
+        rows = _mixed_buckets(shared, part)
+    part = _linked(_cross_pairs(rows, texts, k, percent), part, classes, texts, k, percent)
     drop_stored(texts, shared)
 
     grouped = classes.join(part, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
