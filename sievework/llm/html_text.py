@@ -2,13 +2,13 @@
 
 Each page is cut into text lines, one for each block of its markup, and a line knows where it stands: in something
 that is never part of an article (menu, header, footer, sidebar, form, advert, notice, comments, script, style, head),
-in an article element, or loose, outside both. Pages are ordered by host and path; each page is paired with the page before it in its
-host, the first of a host with the one after it. The loose lines of both are aligned by their longest common
-subsequence, and the shared ones, which the site's template wrote, are deleted.
+in an article element, or loose, outside both. Pages with loose lines are ordered by host and path; each is paired with
+the page before it and the page after it in its host. Its loose lines are aligned with those of either by their longest
+common subsequence, and the shared ones, which the site's template wrote, are deleted. The main text is the article's
+lines and the loose lines that remain, in page order.
 
 Lines of an article element are not differenced: copies of an article on one host, and passages that its articles
-share, would be deleted with the template. If a page has an article with text, that is its main text, else its loose
-lines that remain.
+share, would be deleted with the template.
 
 The order is a range partitioning, so a host with very many pages is spread over tasks; the one pair that
 crosses each partition boundary is joined from a table of the partitions' first and last rows.
@@ -166,58 +166,76 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-PARSED = "page_id long, url string, host string, path string, article string, loose array<string>"
+PARSED = "page_id long, url string, host string, path string, lines array<string>, loose array<int>"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """Per page: host, path, the article's lines joined, and the loose lines (null if there is an article)."""
+    """Per page: host, path, its lines in page order, and the places of the loose ones."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 4 << 20):
-            host, path, article, loose = [], [], [], []
+            host, path, texts, loose = [], [], [], []
             for url, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 h, p = split_url(url)
                 lines = text_lines(page)
-                text = "\n\n".join(x for kind, x in lines if kind == INSIDE)
                 host.append(h)
                 path.append(p)
-                article.append(text)
-                loose.append([x for kind, x in lines if kind == LOOSE])
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(host), pa.array(path), pa.array(article), pa.array(loose, pa.list_(pa.string()))], ["page_id", "url", "host", "path", "article", "loose"])
+                texts.append([x for _, x in lines])
+                loose.append([i for i, (kind, _) in enumerate(lines) if kind == LOOSE])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(host), pa.array(path), pa.array(texts, pa.list_(pa.string())), pa.array(loose, pa.list_(pa.int32()))], [c.split()[0] for c in PARSED.split(", ")])
 
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, PARSED)
 
 
 def with_neighbours(lines: DataFrame) -> DataFrame:
-    """lines(host, path, page_id, row, loose) with `other`, the loose lines of the page paired with each row."""
+    """lines(host, path, page_id, row, own) with `before` and `after`, the own lines of the pages next to each row in its host."""
     laid = stored(lines.repartitionByRange("host", "path", "page_id", "row").sortWithinPartitions("host", "path", "page_id", "row").withColumn("part", F.spark_partition_id()), "laid")
     order = Window.partitionBy("part").orderBy("host", "path", "page_id", "row")
-    me = F.struct("host", "loose")
+    me = F.struct("host", "own")
     near = laid.withColumn("before", F.lag(me).over(order)).withColumn("after", F.lead(me).over(order))
     key = F.struct("host", "path", "page_id", "row")
     edge = laid.groupBy("part").agg(F.min_by(me, key).alias("first"), F.max_by(me, key).alias("last"))
     across = Window.orderBy("part")  # one row for each partition
     edge = edge.select("part", F.lag("last").over(across).alias("last_before"), F.lead("first").over(across).alias("first_after"))
     near = near.join(F.broadcast(edge), "part").withColumn("before", F.coalesce("before", "last_before")).withColumn("after", F.coalesce("after", "first_after"))
-    return near.withColumn("other", F.when(F.col("before.host") == F.col("host"), F.col("before.loose")).when(F.col("after.host") == F.col("host"), F.col("after.loose")))
+    return near.withColumns({c: F.when(F.col(f"{c}.host") == F.col("host"), F.col(f"{c}.own")) for c in ("before", "after")})
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
-    all_pages = stored(parsed(pages).withColumn("row", F.monotonically_increasing_id()), "pages")
-    paired = with_neighbours(all_pages.select("host", "path", "page_id", "row", F.when(F.col("article") == "", F.col("loose")).alias("loose")))
+def _shared_places(paired: DataFrame) -> DataFrame:
+    """(row, gone): the places, among its loose lines, of those that a page shares with one next to it."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            rows = zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)
+            gone = [sorted(common_lines(own, before or []) | common_lines(own, after or [])) for own, before, after in rows]
+            yield pa.record_batch([b.column(0), pa.array(gone, pa.list_(pa.int32()))], ["row", "gone"])
+
+    return paired.select("row", "own", "before", "after").mapInArrow(run, "row long, gone array<int>")
+
+
+def _without(found: DataFrame) -> DataFrame:
+    """(page_id, url, text) of pages with their lines, without the loose ones at the places `gone`."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             text = []
-            for mine, other in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                shared = common_lines(mine, other or [])
-                text.append("\n\n".join(x for i, x in enumerate(mine) if i not in shared))
-            yield pa.record_batch([b.column(0), pa.array(text, pa.string())], ["row", "rest"])
-
-    rest = paired.filter("size(loose) > 0").select("row", "loose", "other").mapInArrow(run, "row long, rest string")
-    text = F.when(F.col("article") != "", F.col("article")).otherwise(F.coalesce("rest", F.lit("")))
-    return all_pages.join(rest, "row", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+            for lines, loose, gone in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                left_out = {loose[i] for i in gone}
+                text.append("\n\n".join(x for i, x in enumerate(lines) if i not in left_out))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(text, pa.string())], ["page_id", "url", "text"])
+
+    return found.select("page_id", "url", "lines", "loose", "gone").mapInArrow(run, "page_id long, url string, text string")
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text and n_chars of every page."""
+    all_pages = stored(parsed(pages).withColumn("row", F.monotonically_increasing_id()), "pages")
+    plain = all_pages.filter("size(loose) = 0").select("page_id", "url", F.array_join("lines", "\n\n").alias("text"))
+    mixed = all_pages.filter("size(loose) > 0")
+    own = mixed.select("host", "path", "page_id", "row", F.transform("loose", lambda i: F.get("lines", i)).alias("own"))
+    gone = _shared_places(with_neighbours(own))
+    text = plain.unionByName(_without(mixed.join(gone, "row")))
+    return text.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,6 +224,14 @@ def test_main_text(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_loose_lines_beside_an_article(spark):
+    """Text around an article element is differenced like that of a page without one, and stays in page order."""
+    page = "<body><div>site name</div><p>lead {0}</p><article>card {0}</article><div>body {0}</div><div>site foot</div></body>"
+    rows = [(i, f"http://h/{i}", page.format(i)) for i in range(3)] + [(9, "http://h/9", "<div>site name</div><div>own</div><div>site foot</div>")]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"lead {i}\n\ncard {i}\n\nbody {i}" for i in range(3)} | {9: "own"}
+
+
 def test_common_lines_is_longest():
     def lcs(a, b):
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
