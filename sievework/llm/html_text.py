@@ -5,7 +5,12 @@ that is never part of an article (menu, header, footer, sidebar, form, advert, n
 in an article element, or loose, outside both. Pages with loose lines are ordered by host and path; each is paired with
 the page before it and the page after it in its host. Its loose lines are aligned with those of either by their longest
 common subsequence, and the shared ones, which the site's template wrote, are deleted. The main text is the article's
-lines and the loose lines that remain, in page order.
+lines and the loose lines that remain, in page order. Copies of a page in a host, equal in all lines, count as one page
+at the place of the first, so that none is differenced with itself, and get the same text.
+
+A class or id name tells that an element is not part of an article only as a whole, or if all words it is made of do
+(`cookie-notice`, `site-footer`, but not `no-sidebar`), and not if the element is or contains an article or main
+element.
 
 Lines of an article element are not differenced: copies of an article on one host, and passages that its articles
 share, would be deleted with the template.
@@ -19,6 +24,7 @@ extracted each. An empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from bisect import bisect_left
@@ -50,40 +56,56 @@ NOT_TEXT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar "
     "navigation newsletter notice notices pagination paywall popup promo promoted promotion related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+# Words that, beside one of those in a class or id name, leave its meaning as it is.
+NEUTRAL_WORDS = frozenset("area bar block bottom box button buttons container group inner item items left link links list main outer page panel post posts right section site slot text top unit wrap wrapper".split())
 NOT_TEXT_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
-DROPPED, INSIDE, LOOSE = 0, 1, 2
+#: NAMED: dropped by its class or id name, if no article or main element is in it.
+DROPPED, INSIDE, LOOSE, NAMED = 0, 1, 2, 3
+
+
+def _names_no_text(value: str) -> bool:
+    """Whether one of the class or id names is that of something that is never part of an article."""
+    for name in value.split():
+        words = set(_WORD.findall(name))
+        if not NOT_TEXT_WORDS.isdisjoint(words) and words <= NOT_TEXT_WORDS | NEUTRAL_WORDS:
+            return True
+    return False
 
 
 def _kind(tag: str, attributes: str) -> int | None:
     """What an element makes of its text, or None if it changes nothing."""
     if tag in NOT_TEXT:
         return DROPPED
+    named, main = False, tag == "main"
     if attributes and tag not in ("html", "body"):
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in NOT_TEXT_ROLES):
                 return DROPPED
-            if name in ("class", "id") and not NOT_TEXT_WORDS.isdisjoint(_WORD.findall(value)):
-                return DROPPED
-            if name == "role" and value in ("main", "article"):
-                return INSIDE
-    return INSIDE if tag in ARTICLE else None
+            named |= name in ("class", "id") and _names_no_text(value)
+            main |= name == "role" and value == "main"
+            if name == "role" and value == "article":
+                tag = "article"
+    if main:
+        return INSIDE
+    return NAMED if named else INSIDE if tag in ARTICLE else None
 
 
 def text_lines(page: str | None) -> list[tuple[int, str]]:
     """(kind, line) of each block with text, in page order; lines in what is no article are left out."""
-    out: list[tuple[int, str]] = []
+    out: list[tuple[int, str, tuple]] = []
     if not page:
-        return out
+        return []
     stack: list[tuple[str, int | None]] = []
-    count = [0, 0, 0]
+    count = [0, 0, 0, 0]
+    named: list[list[bool]] = []  # of each open NAMED element, whether it is dropped
     line: list[str] = []
 
     def flush() -> None:
         if line:
             if text := " ".join("".join(line).split()):
-                out.append((INSIDE if count[INSIDE] else LOOSE, text))
+                out.append((INSIDE if count[INSIDE] else LOOSE, text, tuple(named)))
             line.clear()
 
     def pop_to(depth: int) -> None:
@@ -92,6 +114,8 @@ def text_lines(page: str | None) -> list[tuple[int, str]]:
             if kind is not None:
                 flush()
                 count[kind] -= 1
+                if kind == NAMED:
+                    named.pop()
 
     at = 0
     raw: str | None = None
@@ -136,11 +160,16 @@ def text_lines(page: str | None) -> list[tuple[int, str]]:
         if kind is not None:
             flush()
             count[kind] += 1
+            if kind == NAMED:
+                named.append([True])
+            elif kind == INSIDE and not count[DROPPED]:
+                for dropped in named:
+                    dropped[0] = False
         stack.append((tag, kind))
         if tag in RAW:
             raw = tag
     flush()
-    return out
+    return [(kind, text) for kind, text, within in out if not any(dropped[0] for dropped in within)]
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:
@@ -166,23 +195,24 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-PARSED = "page_id long, url string, host string, path string, lines array<string>, loose array<int>"
+PARSED = "page_id long, url string, host string, path string, digest binary, lines array<string>, loose array<int>"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """Per page: host, path, its lines in page order, and the places of the loose ones."""
+    """Per page: host, path, digest of all lines, its lines in page order, and the places of the loose ones."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 4 << 20):
-            host, path, texts, loose = [], [], [], []
+            host, path, digest, texts, loose = [], [], [], [], []
             for url, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 h, p = split_url(url)
                 lines = text_lines(page)
                 host.append(h)
                 path.append(p)
+                digest.append(hashlib.sha256("\n".join(f"{kind}{x}" for kind, x in lines).encode(errors="surrogatepass")).digest())
                 texts.append([x for _, x in lines])
                 loose.append([i for i, (kind, _) in enumerate(lines) if kind == LOOSE])
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(host), pa.array(path), pa.array(texts, pa.list_(pa.string())), pa.array(loose, pa.list_(pa.int32()))], [c.split()[0] for c in PARSED.split(", ")])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(host), pa.array(path), pa.array(digest, pa.binary()), pa.array(texts, pa.list_(pa.string())), pa.array(loose, pa.list_(pa.int32()))], [c.split()[0] for c in PARSED.split(", ")])
 
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, PARSED)
 
@@ -202,15 +232,15 @@ def with_neighbours(lines: DataFrame) -> DataFrame:
 
 
 def _shared_places(paired: DataFrame) -> DataFrame:
-    """(row, gone): the places, among its loose lines, of those that a page shares with one next to it."""
+    """(host, digest, gone): the places, among its loose lines, of those that a page shares with one next to it."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            rows = zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)
+            rows = zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)
             gone = [sorted(common_lines(own, before or []) | common_lines(own, after or [])) for own, before, after in rows]
-            yield pa.record_batch([b.column(0), pa.array(gone, pa.list_(pa.int32()))], ["row", "gone"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(gone, pa.list_(pa.int32()))], ["host", "digest", "gone"])
 
-    return paired.select("row", "own", "before", "after").mapInArrow(run, "row long, gone array<int>")
+    return paired.select("host", "digest", "own", "before", "after").mapInArrow(run, "host string, digest binary, gone array<int>")
 
 
 def _without(found: DataFrame) -> DataFrame:
@@ -232,9 +262,10 @@ def extract(pages: DataFrame) -> DataFrame:
     all_pages = stored(parsed(pages).withColumn("row", F.monotonically_increasing_id()), "pages")
     plain = all_pages.filter("size(loose) = 0").select("page_id", "url", F.array_join("lines", "\n\n").alias("text"))
     mixed = all_pages.filter("size(loose) > 0")
-    own = mixed.select("host", "path", "page_id", "row", F.transform("loose", lambda i: F.get("lines", i)).alias("own"))
-    gone = _shared_places(with_neighbours(own))
-    text = plain.unionByName(_without(mixed.join(gone, "row")))
+    own = mixed.select("host", "path", "page_id", "row", "digest", F.transform("loose", lambda i: F.get("lines", i)).alias("own"))
+    first = own.groupBy("host", "digest").agg(F.min(F.struct("path", "page_id", "row")).alias("at"), F.any_value("own").alias("own"))
+    gone = _shared_places(with_neighbours(first.select("host", "at.*", "digest", "own")))
+    text = plain.unionByName(_without(mixed.join(gone, ["host", "digest"])))
     return text.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -232,6 +232,19 @@ def test_loose_lines_beside_an_article(spark):
     assert got == {i: f"lead {i}\n\ncard {i}\n\nbody {i}" for i in range(3)} | {9: "own"}
 
 
+def test_copies_of_a_page_and_class_names(spark):
+    loose = "<body><div>site name</div><div>own {0}</div><div>site foot</div></body>"
+    rows = [(1, "http://k/1", loose.format(1)), (2, "http://k/2", loose.format(1)), (2, "http://k/2", loose.format(1)), (3, "http://k/3", "<article>a</article>"), (4, "http://k/4", loose.format(4)), (5, "http://m/1", loose.format(5)), (6, "http://m/2", loose.format(5))]
+    got = sorted((r["page_id"], r["text"]) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    alone = "site name\n\nown 5\n\nsite foot"
+    assert got == [(1, "own 1"), (2, "own 1"), (2, "own 1"), (3, "a"), (4, "own 4"), (5, alone), (6, alone)]
+    for name in ("content no-sidebar", "layout has-sidebar", "post share-enabled", "widget"):
+        assert html_text.text_lines(f"<div class='{name}'>lead<article>text<p class='social'>no</article></div>") == [(html_text.LOOSE, "lead"), (html_text.INSIDE, "text")]
+    for name in ("cookie-notice", "site-footer", "x sidebar"):
+        assert html_text.text_lines(f"<div class='{name}'>no<div>no</div></div><p>text</p>") == [(html_text.LOOSE, "text")]
+    assert html_text.text_lines("<div class='comments'><article class='comment'>no</article></div><main class='widget'>text</main>") == [(html_text.INSIDE, "text")]
+
+
 def test_common_lines_is_longest():
     def lcs(a, b):
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
