@@ -1,14 +1,14 @@
 """Language-model scores of documents by a small causal self-attention model (operator 3).
 
 First, all words of the learning documents are counted in Spark, and from these the subword ids and their pairs within
-words. Then the model is fitted: each task takes one in RUN_RATE of the runs of RUN words of its documents, in turn
-over all of them, runs Adam steps in numpy from the common parameters, and the tasks' parameters are averaged,
-weighted by tokens; ROUNDS such rounds. Last, every document is scored whole.
+words. Then the model is fitted on all text of the learning documents: each task runs Adam steps in numpy over all
+windows of its documents from the common parameters, and the tasks' parameters are averaged, weighted by tokens, an
+embedding by how often the task read its id; ROUNDS such rounds. Last, every document is scored whole.
 
 A subword id is predicted as its class, by the model, times its share of the class, from the counts after the class
 before it in its word, smoothed by the counts as a whole. The most frequent ids are classes of their own; the others fill classes
 of about equal weight, apart for ids that start a word and ids that go on with one. Ids never seen are in the last
-class of their kind. The model has one layer: class and position embeddings, one causal attention head over CONTEXT positions, a residual and
+class of their kind. The model has one layer: subword and position embeddings, one causal attention head over CONTEXT positions, a residual and
 a softmax over classes. A document is cut into overlapping windows, each predicting its last STRIDE tokens, so that
 each token is scored once, with CONTEXT - STRIDE tokens or more before it.
 
@@ -24,7 +24,8 @@ from __future__ import annotations
 
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,11 @@ from .common import batches, drop_stored, stored, table
 from .subwords import Subwords, ranked_encoding, tokenizer_path
 
 END_ID, IDS = 50_256, 50_257
-SINGLES, BINS, WIDTH = 64, 8, 16
+SINGLES, BINS, WIDTH = 96, 16, 16
 CONTEXT, STRIDE = 32, 16
-RUN, RUN_RATE, ROUNDS, BATCH, RATE = 40, 16, 2, 24, 0.02
+ROUNDS, BATCH, RATE = 2, 24, 0.02
+#: Input that stands before a text; it has an embedding after those of the ids.
+BEFORE = IDS
 #: Weight, in tokens, of the share over all contexts in the share after a class.
 SMOOTH = 4.0
 VOCABULARY, PAIRS = 400_000, 1_000_000
@@ -129,6 +132,7 @@ class Classes:
             below = np.cumsum(counts[rest]) - counts[rest]
             self.of[rest] = 1 + SINGLES + kind * BINS + np.where(counts[rest] > 0, below * BINS // max(1, counts[rest].sum()), BINS - 1)
         self.n = SINGLES + 2 * BINS + 1
+        self.of_input = np.append(self.of, np.int16(0))
         weight = np.where(counts > 0, counts, 0.5)
         total = np.bincount(self.of, weight, self.n)
         self.share = weight / total[self.of]
@@ -148,13 +152,13 @@ class Classes:
 
 
 class Model:
-    """One causal attention head over class and position embeddings, in float32 numpy."""
+    """One causal attention head over subword and position embeddings, in float32 numpy."""
 
     SHAPES = (("emb", None, WIDTH), ("pos", CONTEXT, WIDTH), ("wq", WIDTH, WIDTH), ("wk", WIDTH, WIDTH), ("wv", WIDTH, WIDTH), ("out", WIDTH, None), ("bias", 1, None))
 
-    def __init__(self, n: int, flat: np.ndarray | None = None, log_p: np.ndarray | None = None):
+    def __init__(self, n: int, flat: np.ndarray | None = None, log_p: np.ndarray | None = None, inputs: int = IDS + 1):
         self.n = n
-        shapes = [(name, a or n, b or n) for name, a, b in self.SHAPES]
+        shapes = [(name, inputs if name == "emb" else a or n, b or n) for name, a, b in self.SHAPES]
         size = sum(a * b for _, a, b in shapes)
         if flat is None:
             flat = np.random.default_rng(7).normal(0, 0.2, size).astype(np.float32)
@@ -163,11 +167,12 @@ class Model:
         for name, a, b in shapes:
             setattr(self, name, self.flat[at : at + a * b].reshape(a, b))
             at += a * b
+        self.dense = self.flat[inputs * WIDTH :]
         late = np.arange(CONTEXT)[None, :] > np.arange(CONTEXT - STRIDE, CONTEXT)[:, None]
         self.mask = np.where(late, np.float32(0), np.float32(1))
 
     def forward(self, x: np.ndarray):
-        """Attention and hidden state of the last STRIDE positions of windows x of classes."""
+        """Attention and hidden state of the last STRIDE positions of windows x of subword ids."""
         h = self.emb[x] + self.pos
         hq = np.ascontiguousarray(h[:, CONTEXT - STRIDE :])
         q = (hq.reshape(-1, WIDTH) @ (self.wq * np.float32(WIDTH**-0.5))).reshape(hq.shape)
@@ -192,13 +197,21 @@ class Model:
 
     def gradient(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> np.ndarray:
         """Gradient of the mean loss over the real targets."""
+        dense, ids, rows = self.gradients(x, y, real)
+        flat = np.zeros_like(self.flat)
+        flat[-len(dense) :] = dense
+        flat[: -len(dense)].reshape(-1, WIDTH)[ids] = rows
+        return flat
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """That gradient of `dense`, and the ids in x with that of each one's embedding."""
         h, q, k, v, a, hidden = self.forward(x)
         z = np.minimum(hidden.reshape(-1, WIDTH) @ self.out + self.bias, np.float32(80))
         np.exp(z, out=z)
         z /= z.sum(axis=1, keepdims=True)
         z[np.arange(len(z)), y.ravel()] -= 1
         z *= (real.ravel() / max(1, real.sum())).astype(np.float32)[:, None]
-        g = Model(self.n, np.zeros_like(self.flat))
+        g = Model(self.n, np.zeros_like(self.dense), inputs=0)
         g.out[:] = hidden.reshape(-1, WIDTH).T @ z
         g.bias[:] = z.sum(axis=0)
         d_hidden = (z @ self.out.T).reshape(hidden.shape)
@@ -212,14 +225,17 @@ class Model:
         d_h = d_k @ self.wk.T + d_v @ self.wv.T
         d_h[:, CONTEXT - STRIDE :] += d_q @ self.wq.T + d_hidden
         g.pos[:] = d_h.sum(axis=0)
-        np.add.at(g.emb, x.ravel(), rows(d_h))
-        return g.flat
+        flat = x.ravel()
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        starts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+        return g.flat, flat[starts], np.add.reduceat(rows(d_h)[order], starts)
 
 
 def windows(ids: list[bytes], of: np.ndarray):
-    """Windows of several texts: inputs, target classes, targets that are tokens, target ids, text of each window.
+    """Windows of several texts: input ids, target classes, targets that are tokens, target ids, text of each window.
 
-    Before a text stand CONTEXT - STRIDE + 1 places of class 0; its last window is filled up.
+    Before a text stand CONTEXT - STRIDE + 1 places of BEFORE; its last window is filled up.
     """
     lengths = np.array([len(t) // 4 for t in ids])
     blocks = -(-lengths // STRIDE)
@@ -232,56 +248,75 @@ def windows(ids: list[bytes], of: np.ndarray):
     text = np.repeat(np.arange(len(ids)), blocks)
     first = np.repeat(starts - (np.cumsum(blocks) - blocks) * STRIDE, blocks) + np.arange(len(text)) * STRIDE
     classes = np.where(flat >= 0, of[flat], 0).astype(np.int16)
+    inputs = np.where(flat >= 0, flat, BEFORE)
     view = np.lib.stride_tricks.sliding_window_view
     target = view(flat, STRIDE)[first + lead]
-    return view(classes, CONTEXT)[first], view(classes, STRIDE)[first + lead], target >= 0, target, text
+    return view(inputs, CONTEXT)[first], view(classes, STRIDE)[first + lead], target >= 0, target, text
+
+
+FITTED = "dense binary, tokens long, ids binary, rows binary, uses binary"
 
 
 def fit(docs: DataFrame, path: str, classes: Classes) -> np.ndarray:
     """Parameters averaged over the tasks' own, ROUNDS times."""
     params = Model(classes.n, log_p=classes.log_p).flat
+    names = [c.split()[0] for c in FITTED.split(", ")]
+
+    def row(dense: np.ndarray, tokens: int, emb: np.ndarray, uses: np.ndarray) -> pa.RecordBatch:
+        ids = np.flatnonzero(uses)
+        raw = [pa.array([x.tobytes()]) for x in (dense.astype(np.float32), ids, emb[ids].astype(np.float32), uses[ids])]
+        return pa.record_batch([raw[0], pa.array([tokens], pa.int64()), *raw[1:]], names)
+
+    def average(rows: Iterable[tuple]) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+        """Weighted averages of the dense parameters and the embeddings, and the sums of the weights."""
+        dense, tokens, emb, uses = 0.0, 0, np.zeros((IDS + 1, WIDTH)), np.zeros(IDS + 1, np.int64)
+        for raw, n, ids, own, many in rows:
+            ids, many = np.frombuffer(ids, np.int64), np.frombuffer(many, np.int64)
+            dense, tokens = dense + np.frombuffer(raw, np.float32) * np.float64(n), tokens + n
+            emb[ids] += np.frombuffer(own, np.float32).reshape(-1, WIDTH) * many[:, None]
+            uses[ids] += many
+        return dense / tokens, tokens, emb / np.maximum(uses, 1)[:, None], uses
+
     for _ in range(ROUNDS):
         shared = docs.sparkSession.sparkContext.broadcast((classes, params))
 
         def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             kinds, start = shared.value
             model, word_ids = Model(kinds.n, start), WordIds(path)
-            m, s, step, tokens, seen = np.zeros_like(model.flat), np.zeros_like(model.flat), 0, 0, 0
-            for b in batches(it, 8 << 20):
-                runs = []
-                for t in b.column(0).to_pylist():
-                    ws = _words(t)
-                    for i in range(0, len(ws) + 1, RUN):  # each run of words of each text in its turn
-                        seen += 1
-                        if seen % RUN_RATE == 0:
-                            end = _END if i + RUN > len(ws) else b""
-                            runs.append(b"".join(map(word_ids.__getitem__, ws[i : i + RUN])) + end)
-                runs = [r for r in runs if r]
-                if not runs:
-                    continue
-                x, y, real, _, _ = windows(runs, kinds.of)
+            m, s, m_emb, s_emb = (np.zeros_like(x) for x in (model.dense, model.dense, model.emb, model.emb))
+            step, tokens, uses = 0, 0, np.zeros(IDS + 1, np.int64)
+            for b in batches(it, 4 << 20):
+                x, y, real, _, _ = windows([b"".join(map(word_ids.__getitem__, _words(t))) + _END for t in b.column(0).to_pylist()], kinds.of)
+                uses += np.bincount(x.ravel(), minlength=IDS + 1)
+                tokens += int(real.sum())
                 order = np.random.default_rng(step).permutation(len(x))
                 for i in range(0, len(order), BATCH):
                     p = order[i : i + BATCH]
-                    g = model.gradient(x[p], y[p], real[p])
-                    step, tokens = step + 1, tokens + int(real[p].sum())
-                    m += (g - m) * 0.1
-                    s += (g * g - s) * 0.01
-                    model.flat -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+                    g, ids, rows = model.gradients(x[p], y[p], real[p])
+                    step += 1
+                    rate, fade = np.float32(RATE / (1 - 0.9**step)), np.float32(1 / (1 - 0.99**step))
+                    m += (g - m) * np.float32(0.1)
+                    s += (g * g - s) * np.float32(0.01)
+                    model.dense -= rate * m / (np.sqrt(s * fade) + np.float32(1e-8))
+                    m_rows, s_rows = m_emb[ids], s_emb[ids]  # only embeddings that were read move
+                    m_rows += (rows - m_rows) * np.float32(0.1)
+                    s_rows += (rows * rows - s_rows) * np.float32(0.01)
+                    m_emb[ids], s_emb[ids] = m_rows, s_rows
+                    model.emb[ids] -= rate * m_rows / (np.sqrt(s_rows * fade) + np.float32(1e-8))
             if tokens:
-                yield pa.record_batch([pa.array([(model.flat * np.float64(tokens)).tobytes()]), pa.array([tokens], pa.int64())], ["sums", "tokens"])
+                yield row(model.dense, tokens, model.emb, uses)
 
         def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, tokens = 0.0, 0
-            for b in it:
-                for raw, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    total, tokens = total + np.frombuffer(raw), tokens + n
-            if tokens:
-                yield pa.record_batch([pa.array([total.tobytes()]), pa.array([tokens], pa.int64())], ["sums", "tokens"])
+            rows = (r for b in it for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+            first = next(rows, None)
+            if first:
+                yield row(*average(chain([first], rows)))
 
-        rows = docs.select("text").mapInArrow(run, "sums binary, tokens long").repartition(8).mapInArrow(merge, "sums binary, tokens long").collect()
+        rows = docs.select("text").mapInArrow(run, FITTED).repartition(8).mapInArrow(merge, FITTED).collect()
         if rows:
-            params = (sum(np.frombuffer(r["sums"]) for r in rows) / sum(r["tokens"] for r in rows)).astype(np.float32)
+            dense, _, emb, uses = average([tuple(r) for r in rows])
+            kept = params[: -len(dense)].reshape(-1, WIDTH)
+            params = np.concatenate([np.where(uses[:, None] > 0, emb, kept).ravel(), dense]).astype(np.float32)
     return params
 
 
@@ -339,7 +374,7 @@ def score(docs: DataFrame, learn: DataFrame, path: str | None = None) -> DataFra
             logs = np.empty(y.shape, np.float32)
             for i in range(0, len(x), 32):  # so few that a batch stays in cache
                 logs[i : i + 32] = model.log_probabilities(x[i : i + 32], y[i : i + 32])
-            logs = np.where(real, logs / np.log(10) + share[np.where(begins[target], 0, x[:, CONTEXT - STRIDE :]), target], 0).sum(axis=1)
+            logs = np.where(real, logs / np.log(10) + share[np.where(begins[target], 0, kinds.of_input[x[:, CONTEXT - STRIDE :]]), target], 0).sum(axis=1)
             scores = np.bincount(of_text, logs, len(ids)) if ids else np.zeros(0)
             yield pa.record_batch([*b.columns[:3], pa.array(n_tokens, pa.int64()), pa.array(n_frequent, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), pa.array(rare, pa.list_(pa.string()))], [c.split()[0] for c in SCORED.split(", ")])
 

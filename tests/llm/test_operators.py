@@ -214,6 +214,21 @@ def test_lm_gradient_and_windows():
     assert [target[text == i][real[text == i]].tolist() for i in range(5)] == [list(range(k)) for k in (1, 15, 16, 17, 100)]
 
 
+def test_lm_learns_from_all_text_by_subword_ids(spark):
+    """One short text is enough to learn from, and ids of one class are told apart as inputs."""
+    docs = spark.createDataFrame([(sentence(7, 30),)], "text string")
+    counts = np.zeros(lm_score.IDS, np.int64)
+    classes = lm_score.Classes(counts, np.zeros(lm_score.IDS, np.int64))
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    start = lm_score.Model(classes.n, log_p=classes.log_p)
+    fitted = lm_score.Model(classes.n, lm_score.fit(docs, path, classes))
+    ids = np.frombuffer(b"".join(lm_score.WordIds(path)[w] for w in words(sentence(7, 30))), "<u4")
+    moved = np.flatnonzero((fitted.emb != start.emb).any(axis=1))
+    assert set(moved) >= set(ids.tolist())
+    x, y, real, _, _ = lm_score.windows([ids.tobytes()], classes.of)
+    assert x.max() > classes.n and fitted.log_probabilities(x, y)[real].mean() > start.log_probabilities(x, y)[real].mean()
+
+
 def test_main_text(spark):
     page = "<html><head><title>t</title></head><body><nav>menu</nav><header>top</header><div class='cookie-notice'>c</div><article><h1>Head &amp; line</h1><p>One\n  two<br>three<aside>no</aside><p>Four &lt;b&gt;<script>x='</p>'</script><form>f</form></article><section id=comments>say</section><footer>end</footer></body></html>"
     loose = "<body><div>site name</div><div>own {0}</div><div>site foot</div></body>"
