@@ -43,7 +43,7 @@ ROUNDS, BATCH, RATE = 2, 24, 0.02
 BEFORE = IDS
 #: Weight, in tokens, of the share over all contexts in the share after a class.
 SMOOTH = 4.0
-VOCABULARY, PAIRS = 400_000, 1_000_000
+VOCABULARY = 400_000
 
 
 def held_out():
@@ -138,12 +138,10 @@ class Classes:
         self.share = weight / total[self.of]
         self.log_p = np.log(np.maximum(total, 0.5) / total.sum()).astype(np.float32)
 
-    def shares_after(self, pairs: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """log10 share of each id after each class; pairs are those of count_pairs(), with their counts."""
-        before = pairs // IDS
-        cells, where = np.unique(np.where(before == END_ID, 0, self.of[before].astype(np.int64)) * IDS + pairs % IDS, return_inverse=True)
-        n = np.bincount(where, n, len(cells))
-        pair = np.bincount(cells // IDS * self.n + self.of[cells % IDS], n, self.n * self.n).reshape(self.n, self.n)
+    def shares_after(self, before: np.ndarray, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """log10 share of each id after each class; the arguments are the columns of count_cells()."""
+        cells, n = before.astype(np.int64) * IDS + ids, n.astype(np.float64)
+        pair = np.bincount(before.astype(np.int64) * self.n + self.of[ids], n, self.n * self.n).reshape(self.n, self.n)
         table = np.tile(SMOOTH * self.share, (self.n, 1))
         table.ravel()[cells] += n
         for c in range(self.n):
@@ -151,6 +149,14 @@ class Classes:
         return np.log10(table).astype(np.float32)
 
 
+def count_cells(pairs: DataFrame, classes: Classes) -> DataFrame:
+    """(before, id, n): counts of count_pairs() by the class before an id, 0 before a word's first; classes.n * IDS rows at most."""
+    of = pa.table({"last": np.arange(IDS, dtype=np.int64), "before": np.where(np.arange(IDS) == END_ID, 0, classes.of).astype(np.int32)})
+    split = pairs.select(F.expr(f"pair div {IDS}").alias("last"), (F.col("pair") % IDS).cast("int").alias("id"), "n")
+    joined = split.join(F.broadcast(pairs.sparkSession.createDataFrame(of)), "last")
+    return joined.groupBy("before", "id").agg(F.sum("n").alias("n"))
+
+
 class Model:
     """One causal attention head over subword and position embeddings, in float32 numpy."""
 
@@ -345,10 +351,9 @@ def score(docs: DataFrame, learn: DataFrame, path: str | None = None) -> DataFra
     subword = np.zeros(IDS, np.int64)
     for r in pairs.groupBy((F.col("pair") % IDS).alias("id")).agg(F.sum("n").alias("n")).collect():  # at most one row for each id of the tokenizer
         subword[r["id"]] = r["n"]
-    # The most frequent pairs, at most PAIRS; the others are left to smoothing.
-    often = pairs.filter(F.col("n") >= _least(pairs, "n", PAIRS)).toArrow()
     classes = Classes(subword, Subwords(tokenizer_path()).starts_word(IDS))
-    shares = classes.shares_after(often["pair"].to_numpy(), often["n"].to_numpy())
+    cells = count_cells(pairs, classes).toArrow()
+    shares = classes.shares_after(*(cells[c].to_numpy() for c in ("before", "id", "n")))
     params = fit(learn, path, classes)
     drop_stored(pairs)
 

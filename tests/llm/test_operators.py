@@ -229,6 +229,20 @@ def test_lm_learns_from_all_text_by_subword_ids(spark):
     assert x.max() > classes.n and fitted.log_probabilities(x, y)[real].mean() > start.log_probabilities(x, y)[real].mean()
 
 
+def test_lm_shares_use_every_pair(spark):
+    """Pairs seen once count as much as any, and END_ID before a word is class 0."""
+    counts = np.arange(lm_score.IDS)[::-1].copy()
+    classes = lm_score.Classes(counts, np.zeros(lm_score.IDS, np.int64))
+    last = classes.of[40_000]
+    before = np.flatnonzero(classes.of == last)[:300]
+    rows = [(int(b) * lm_score.IDS + 30_000, 1) for b in before] + [(lm_score.END_ID * lm_score.IDS + 30_000, 7)]
+    cells = lm_score.count_cells(spark.createDataFrame(rows, "pair long, n long"), classes)
+    assert sorted(map(tuple, cells.select("before", "id", "n").collect())) == [(0, 30_000, 7), (last, 30_000, len(before))]
+    got = classes.shares_after(*(cells.toArrow()[c].to_numpy() for c in ("before", "id", "n")))
+    want = (len(before) + lm_score.SMOOTH * classes.share[30_000]) / (len(before) + lm_score.SMOOTH)
+    assert abs(got[last, 30_000] - math.log10(want)) < 1e-5
+
+
 def test_main_text(spark):
     page = "<html><head><title>t</title></head><body><nav>menu</nav><header>top</header><div class='cookie-notice'>c</div><article><h1>Head &amp; line</h1><p>One\n  two<br>three<aside>no</aside><p>Four &lt;b&gt;<script>x='</p>'</script><form>f</form></article><section id=comments>say</section><footer>end</footer></body></html>"
     loose = "<body><div>site name</div><div>own {0}</div><div>site foot</div></body>"
