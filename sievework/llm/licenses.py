@@ -3,20 +3,26 @@
 A text is put into canonical form: lower case; copyright lines dropped; equivalent spellings unified ("licence" and
 "license", "v2" and "version 2", "version 2.0" and "version 2", "gpl" and "gnu general public license", ...);
 punctuation and white space turned into single spaces. The SHA-256 of the canonical form is the digest of the entire
-text. Known licence texts go through the same expressions, and texts are joined with them on the digest. Two units of
-each document are looked up as entire texts: the document, and each of its lines.
+text. Known licence texts go through the same expressions, and texts are joined with them on the digest. Looked up as
+entire texts are the document, each of its lines, and each run of its words, whatever the lines, that begins with the
+first ANCHOR words of a known text and has as many words. A known text of fewer words, or an SPDX tag, whose meaning
+depends on the rest of its line, is looked up as document and line only.
 
-The known texts are a parameter: (licence id, text). The default is a short list of the standard notices by which
-works name their licence. The table of known digests is broadcast after its size has been checked.
+Copyright lines are dropped as lines, so a text that names copyright in its terms is found in a longer document if that
+line is wrapped as in the known text; short texts name it in a line that is likewise dropped.
+
+The known texts are a parameter: (licence id, text). The default is the standard notices by which works name their
+licence, and the full texts of the folder license_texts. The table of known digests is broadcast after its size has been checked.
 
 One row per document and licence found: doc_id, license_id, whole_text (the document as a whole is the licence),
-n_lines (lines that are). Null, empty or blank texts match nothing. A document that appears in several rows of the
+n_lines (lines that are; 0 if only runs of words are). Null, empty or blank texts match nothing. A document that appears in several rows of the
 table counts its lines together. Rows with null doc_id form one group. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +50,15 @@ NOTICES = [
     ("CC0-1.0", "Released under CC0 1.0."),
 ]
 
+ANCHOR = 3
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(licence id, text) of the files ID.txt and ID.variant.txt of license_texts."""
+    files = sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
+    return [(f.name.removesuffix(".txt").removesuffix(".titled").removesuffix(".holder"), f.read_text()) for f in files]
+
+
 # Spellings taken as equal, in this order, on lower-cased text with single spaces for punctuation.
 SPELLINGS = [
     (r"\blicence(s|d)?\b", "license$1"),
@@ -79,16 +94,41 @@ def with_canonical(df: DataFrame, text: str) -> DataFrame:
 
 
 def known_digests(spark: SparkSession, notices: list[tuple[str, str]]) -> DataFrame:
+    """(digest, license_id, n_words, anchor) of each known text; the anchor is null if it has no runs to look up."""
     known = with_canonical(spark.createDataFrame(notices, "license_id string, known string"), "known")
-    return known.filter("known != ''").select("license_id", F.sha2("known", 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
-
-
-def scan(docs: DataFrame, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
-    known = bounded_broadcast(known_digests(docs.sparkSession, notices))
+    words = F.split("known", " ")
+    tag = F.startswith(F.col("known"), F.lit("spdx "))
+    anchor = F.when((F.size(words) >= ANCHOR) & ~tag, F.concat_ws(" ", F.slice(words, 1, ANCHOR)))
+    found = known.filter("known != ''").select("license_id", F.sha2("known", 256).alias("digest"), F.size(words).alias("n_words"), anchor.alias("anchor"))
+    return found.groupBy("digest").agg(F.min("license_id").alias("license_id"), F.min("n_words").alias("n_words"), F.min("anchor").alias("anchor"))
+
+
+def runs_of_words(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, license_id) of each run of words of a document that is a known text."""
+    anchors = [r["anchor"] for r in known.filter("anchor is not null").select("anchor").distinct().collect()]  # as many as known texts at most
+    if not anchors:
+        return docs.select("doc_id", F.lit("").alias("license_id")).limit(0)
+    body = with_canonical(docs.select("doc_id", F.col("text").alias("unit")), "unit")
+    listed = F.array(*map(F.lit, anchors))
+    begins = lambda i: F.concat_ws(" ", F.slice("words", i, ANCHOR))
+    places = F.filter(F.sequence(F.lit(1), F.size("words") - (ANCHOR - 1)), lambda i: F.array_contains(listed, begins(i)))
+    some = reduce(lambda a, b: a | b, (F.contains(F.col("unit"), F.lit(a)) for a in anchors))
+    # explode_outer, as explode would have a filter inferred and pushed below, where the form is computed again.
+    words = body.select("doc_id", F.when(some, F.split("unit", " ")).alias("words"))
+    at = words.select("doc_id", "words", F.explode_outer(F.when(F.size("words") >= ANCHOR, places)).alias("at"))
+    near = at.withColumn("anchor", begins(F.col("at"))).join(bounded_broadcast(known), "anchor")
+    return near.filter(F.sha2(F.array_join(F.slice("words", F.col("at"), F.col("n_words")), " "), 256) == F.col("digest")).select("doc_id", "license_id")
+
+
+def scan(docs: DataFrame, notices: list[tuple[str, str]] | None = None) -> DataFrame:
+    digests = known_digests(docs.sparkSession, NOTICES + full_texts() if notices is None else notices)
+    known = bounded_broadcast(digests.select("digest", "license_id"))
     units = docs.select("doc_id", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))), F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))))).alias("u"))
     texts = with_canonical(units.select("doc_id", "u.whole", "u.unit"), "unit")
     found = texts.select("doc_id", "whole", F.coalesce(F.sha2("unit", 256), F.lit("")).alias("digest")).join(known, "digest")
-    return found.groupBy("doc_id", "license_id").agg(F.max("whole").alias("whole_text"), F.count_if(~F.col("whole")).alias("n_lines"))
+    found = found.select("doc_id", "license_id", "whole", (~F.col("whole")).alias("line"))
+    runs = runs_of_words(docs, digests).select("doc_id", "license_id", F.lit(False).alias("whole"), F.lit(False).alias("line"))
+    return found.unionByName(runs).groupBy("doc_id", "license_id").agg(F.max("whole").alias("whole_text"), F.count_if("line").alias("n_lines"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -365,6 +365,18 @@ def test_licences(spark, odd, none):
     assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0
 
 
+def test_licence_texts_inside_documents(spark):
+    known = dict(licenses.full_texts())
+    assert {"MIT", "BSD-3-Clause", "ISC", "Apache-2.0", "GPL-3.0"} <= set(known)
+    rows = [(i, t) for i, (_, t) in enumerate(licenses.full_texts())]
+    rows += [(100 + i, "some words\n" + t + "\nmore words") for i, (_, t) in enumerate(licenses.full_texts())]
+    rows += [(200, "We say: licensed under\nthe MIT\nLicense. And more."), (201, "SPDX-License-Identifier: MIT-0"), (202, " ".join(known["ISC"].split()[:20]))]
+    got = {(r["doc_id"], r["license_id"]): r["whole_text"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (name, _) in enumerate(licenses.full_texts()):
+        assert got[(i, name)] and got[(100 + i, name)] is False, name
+    assert {k for k in got if k[0] >= 200} == {(200, "MIT")}
+
+
 def test_shard_store(spark, odd, none):
     store = sharding.ShardStore(spark, fresh_path(spark, "shards"), odd.schema, target_bytes=1 << 20, fanout=2, shard_rows=3)
     assert store.read().count() == 0
