@@ -4,22 +4,28 @@ Circulant MinHash (Li and Li, 2021) needs two permutations of the universe: sigm
 coordinate k of the signature is the least pi(sigma(x) - k), the second permutation circularly shifted by k. Both
 are bijections of the 32-bit integers, so no table is stored.
 
-Documents with the same shingle set form a class and only one text of each is compared. A band of `ROWS`
-coordinates is a bucket. The work in a bucket never is all its pairs:
-
-1. every class is compared with the smallest class of each of its buckets (one link per class and bucket);
-2. connected components of the confirmed links are found; in buckets of more than `SPLIT` classes, those outside the
-   leader's component are compared with `LEADERS` more classes inside it, and components are found again;
-3. only pairs of a bucket that still lie in different components are compared. The classes of these large buckets,
-   which texts around one common passage fill, are paired by their rarest shingles instead (prefix filter).
+Documents with the same shingle set form a class and only one of each is compared. A band of `ROWS` coordinates is a
+bucket. The work in a bucket never is all its pairs:
+
+1. every class is compared with the smallest class of each of its buckets (one link per class and bucket), and
+   connected components of the confirmed links are found;
+2. in buckets that still hold several components, every class is described by what it lacks of a pivot, a class that
+   most of the bucket's neighbourhood has met, and by what it has beyond it. If x lacks a(x) shingles of the pivot p and
+   has e(x) more, then J(x, y) >= t / 100 if and only if the two descriptions share s elements with
+   (100 + t) s >= W(x) + W(y) - (100 - t) |p|, where W = 100 a + t e. Edited copies of one text share few edits, so
+   their descriptions meet in few of their rarest elements (prefix filter), though the texts share nearly everything;
+3. classes far from the pivot are described by their whole sets, as if the pivot were empty: t/100 + J(x, p) - 1 bounds
+   J(y, p) from below, so that a pair either meets around the pivot or has both sides here. Shingles of a passage that
+   many texts share are the least rare and bring no pairs together;
+4. the pairs that meet, across components, are verified.
 
 With 32 bands of 4 rows a pair at the threshold of 0.8 shares no band with probability (1 - 0.8**4)**32 = 5e-8.
 Pairs whose signatures agree in fewer than 77 of 128 coordinates are dropped (at the threshold, 1e-8 of pairs); the
 others are compared on their full sets of 64-bit shingle hashes.
 
 Nulls and edge cases: null or wordless text has no shingles and links with nothing; a text of fewer than k words is
-one shingle; rows whose id is null get a null component and are kept; rows that repeat an id are judged by the
-smallest component id of that id; an empty table gives an empty result; other columns are ignored.
+one shingle; rows whose id is null get a null component and are kept; rows that repeat an id are judged each by its own
+text; an empty table gives an empty result; other columns are ignored unless named in `keep`.
 """
 
 from __future__ import annotations
@@ -35,7 +41,9 @@ from pyspark.sql import functions as F
 from .common import WordHashes, batches, drop_stored, mix64, shingle_hashes, stored, table, words_of
 from .components import components
 
-BANDS, ROWS, SPLIT, LEAST_AGREE, LEADERS = 32, 4, 24, 77, 8
+BANDS, ROWS, LEAST_AGREE = 32, 4, 77
+#: Percent of similarity with the pivot from which a class is described by its differences.
+NEAR = 50
 
 
 def _mix32(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -73,62 +81,78 @@ def _band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-SIGNATURE = "doc_id long, n_shingles long, node binary, bands array<long>, sketch binary"
+SIGNATURE = "n_shingles long, node binary, bands array<long>, sketch binary"
 
 
-def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per document: size and 128-bit digest of its shingle set, its band keys and the low byte of each signature coordinate (null if the set is empty)."""
+def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: the columns `keep`, size and 128-bit digest of its shingle set, its band keys and the low byte of each signature coordinate (null if the set is empty)."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").alias("_text"))
+    fields = source.schema.fields[:-1]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), SIGNATURE])
+    names = [*(f.name for f in fields), "n_shingles", "node", "bands", "sketch"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches(it):
             size, node, keys, sketch = [], [], [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(len(fields)).to_pylist():
                 s = _set_of(text, k, hashes)
                 size.append(len(s))
                 node.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 m = circulant_signature(s, bands * rows) if len(s) else None
                 keys.append(_band_keys(m, bands, rows) if len(s) else None)
                 sketch.append((m & np.uint32(255)).astype(np.uint8).tobytes() if len(s) else None)
-            yield pa.record_batch([b.column(0), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "node", "bands", "sketch"])
+            made = [pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
+            yield pa.record_batch([*b.columns[: len(fields)], *made], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNATURE)
+    return source.mapInArrow(run, schema)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes for which 100 * intersection >= percent * union, on full sets."""
+def _candidate_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, shingles) of each wanted (doc_id, node), the sorted 64-bit hashes; a row with another text under that id is passed over."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        last, mine = None, None
         for b in batches(it):
-            ok = []
-            for a, ta, tb in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if a != last:
-                    last, mine = a, _set_of(ta, k, hashes)
-                other = _set_of(tb, k, hashes)
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                ok.append(100 * both >= percent * (len(mine) + len(other) - both))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep)], ["u", "v"])
+            sets = [_set_of(t, k, hashes).tobytes() for t in b.column(1).to_pylist()]
+            keep = pa.array([xxhash.xxh3_128_digest(s) == n for n, s in zip(b.column(0).to_pylist(), sets, strict=True)], pa.bool_())
+            yield pa.record_batch([b.column(0).filter(keep), pa.array(sets, pa.binary()).filter(keep)], ["node", "shingles"])
+
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("node", "text")
+    return found.mapInArrow(run, "node binary, shingles binary").dropDuplicates(["node"])
+
+
+def _held(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which elements of sorted a are in sorted b."""
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return b[at] == a
+
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "u binary, v binary")
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs(a, b) with the sets sa and sb."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
 
 
-def _candidate_texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, text) of one document of each wanted (doc_id, node); a row with another text under that id is passed over."""
+def _in_both(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(batch, sets of a, sets of b); the set of a run of equal a is made once."""
+    for b in batches(it):
+        yield b, [np.frombuffer(s, np.uint64) for s in b.column(2).to_pylist()], [np.frombuffer(s, np.uint64) for s in b.column(3).to_pylist()]
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): the pairs (a, b) of nodes for which 100 * intersection >= percent * union, on full sets."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in batches(it):
-            same = [xxhash.xxh3_128_digest(_set_of(t, k, hashes).tobytes()) == n for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            keep = pa.array(same, pa.bool_())
-            yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep)], ["node", "text"])
+        for b, left, right in _in_both(it):
+            both = np.array([_held(x, y).sum() if len(x) < len(y) else _held(y, x).sum() for x, y in zip(left, right, strict=True)], np.int64)
+            sizes = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64)
+            keep = pa.array(100 * both >= percent * (sizes - both), pa.bool_())
+            yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep)], ["u", "v"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("node", "text")
-    return found.mapInArrow(run, "node binary, text string").dropDuplicates(["node"])
+    return _with_sets(pairs, sets).mapInArrow(run, "u binary, v binary")
 
 
 def _close(a: str, b: str, percent: int):
@@ -150,113 +174,122 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
-def _pairs_across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of rows(key, node, n, common, component, main) with one key, different components and sizes that allow the threshold.
-
-    `main` is one component of each key. A pair across components has a side outside it, so only those rows are
-    compared with all rows of the key. `common` bounds how many shingles a set can share with any other.
-    """
-    left = rows.filter("component != main").select("key", F.col("node").alias("x"), "n", "common", "component")
-    right = rows.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("common").alias("common_y"), F.col("component").alias("cy"))
-    enough = F.least("common", "common_y") * (100 + percent) >= (F.col("n") + F.col("ny")) * percent
-    met = left.join(right, "key").filter((F.col("component") != F.col("cy")) & _close("n", "ny", percent) & enough)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+DESCRIBED = "pivot binary, node binary, weight long, bound long, elements array<long>"
 
 
-def _rare_shingles(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(key, node, n, common, component): for each class in `members`, the rarest shingles of its set, counted within `members`.
+def _described(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Descriptions of the nodes b in met(a, b), a being their pivot: by differences from it, by their whole set under a null pivot, or both."""
 
-    Of two sets over the threshold, each shares with the other one of its n - ceil(n * percent / 100) + 1 shingles
-    that are rarest, in an order that is the same for all sets. Shingles of a common passage are the least rare, so
-    texts that share no more than the passage do not meet. `common` is how many shingles of the set other members
-    have too: edited copies of one text share no more than that, so those with many edits of their own do not meet.
-    """
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, left, right in _in_both(it):
+            pivot, node, weight, bound, elements = [], [], [], [], []
+            for p, x, sp, sx in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), left, right, strict=True):
+                held = _held(sx, sp)
+                both = int(held.sum())
+                union = len(sp) + len(sx) - both
+                if 100 * both >= (NEAR + percent - 100) * union:
+                    lacks, more = sp[~_held(sp, sx)], sx[~held]
+                    pivot.append(p)
+                    node.append(x)
+                    weight.append(100 * len(lacks) + percent * len(more))
+                    bound.append((100 - percent) * len(sp))
+                    elements.append(np.concatenate([~lacks, more]).view(np.int64))
+                if 100 * both < NEAR * union:
+                    pivot.append(None)
+                    node.append(x)
+                    weight.append(percent * len(sx))
+                    bound.append(0)
+                    elements.append(None)
+            yield pa.record_batch([pa.array(pivot, pa.binary()), pa.array(node, pa.binary()), pa.array(weight, pa.int64()), pa.array(bound, pa.int64()), pa.array(elements, pa.list_(pa.int64()))], [c.split()[0] for c in DESCRIBED.split(", ")])
+
+    return _with_sets(met, sets).mapInArrow(run, DESCRIBED)
+
+
+def _whole_sets(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Descriptions by whole sets, under an empty pivot."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in batches(it, 1 << 20):
-            sets = [_set_of(t, k, hashes) for t in b.column(1).to_pylist()]
-            which = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            yield pa.record_batch([b.column(0).take(pa.array(which)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "key"])
+        for b in batches(it):
+            found = [np.frombuffer(s, np.int64) for s in b.column(1).to_pylist()]
+            n = len(found)
+            yield pa.record_batch([pa.array([b""] * n, pa.binary()), b.column(0), pa.array([percent * len(s) for s in found], pa.int64()), pa.array([0] * n, pa.int64()), pa.array(found, pa.list_(pa.int64()))], [c.split()[0] for c in DESCRIBED.split(", ")])
 
-    named = members.select("node", F.xxhash64("node").alias("id"), "n", "component")
-    rows = texts.join(named.select("node", "id"), "node").select("id", "text").mapInArrow(run, "id long, key long")
-    rows = stored(rows, "shingles")
-    common = rows.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
-    order = Window.partitionBy("id")
-    ranked = rows.join(common, "key").withColumn("many", F.count("*").over(order)).withColumn("rank", F.row_number().over(order.orderBy("df", "key")))
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    return ranked.join(named, "id").filter(F.col("n") - F.col("many") + F.col("rank") <= prefix).select("key", "node", "n", F.col("many").alias("common"), "component")
+    return nodes.join(sets, "node").select("node", "shingles").mapInArrow(run, DESCRIBED)
 
 
-def _mixed_buckets(shared: DataFrame, part: DataFrame) -> DataFrame:
-    """Rows (key, node, n, component, m, main) of the buckets that hold several components; main is the leader's."""
-    rows = shared.join(part, "node", "left").select("key", "node", "n", "leader", F.coalesce("component", "node").alias("component"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.max(F.when(F.col("node") == F.col("leader"), F.col("component"))).alias("main"))
-    return stored(rows.drop("leader").join(sizes.filter("c0 != c1").select("key", "m", "main"), "key"), "buckets")
+def _pairs_described(described: DataFrame, part: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components whose descriptions under one pivot share one of their rarest elements and may share enough.
+
+    Of a pair, let W(x) be the larger weight. The shared elements number s >= (W(x) - bound) / 100, as y can share no
+    more than W(y) / percent, and s >= max(2 W(y) - bound, W(y)) / (100 + percent), as the larger weight is over the
+    bound: a class within the bound is linked with the pivot. So it is enough that x has one of its `far` rarest
+    elements among the `near` rarest of y.
+    """
+    rows = described.select("pivot", "node", "weight", "bound", F.size("elements").alias("size"), F.explode("elements").alias("element"))
+    many = rows.groupBy("pivot", "element").agg(F.count("*").alias("df")).filter("df > 1")
+    of = Window.partitionBy("pivot", "node")
+    ranked = rows.join(many, ["pivot", "element"]).withColumn("seen", F.count("*").over(of)).withColumn("rank", F.row_number().over(of.orderBy("df", "element")) + F.col("size") - F.col("seen"))
+    ceil = lambda x, d: F.ceil(x / F.lit(d))
+    w, bound = F.col("weight"), F.col("bound")
+    far = F.col("size") + 1 - F.greatest(F.lit(1), ceil(w - bound, 100))
+    near = F.col("size") + 1 - F.greatest(F.lit(1), ceil(F.greatest(w * 2 - bound, w), 100 + percent))
+    able = ranked.withColumn("far", far).withColumn("near", near).filter((F.col("rank") <= F.greatest("far", "near")) & (F.col("seen") > 0))
+    able = able.join(part.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    left = able.filter("weight > bound and rank <= far").select("pivot", "element", F.col("node").alias("x"), F.col("weight").alias("wx"), "bound", F.col("seen").alias("sx"), F.col("component").alias("cx"))
+    right = able.filter("rank <= near").select("pivot", "element", F.col("node").alias("y"), F.col("weight").alias("wy"), F.col("seen").alias("sy"), F.col("component").alias("cy"))
+    met = left.join(right, ["pivot", "element"]).filter((F.struct("wx", "x") > F.struct("wy", "y")) & (F.col("cx") != F.col("cy")) & (F.least("sx", "sy") * (100 + percent) >= F.col("wx") + F.col("wy") - F.col("bound")))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _more_stars(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each row of a large bucket outside its main component with LEADERS rows inside it, chosen by hashes.
+def _around_pivots(shared: DataFrame, part: DataFrame) -> DataFrame:
+    """(a, b): the classes b of each bucket with several components, and that bucket's pivot a.
 
-    Edited copies of one text mostly lie within the threshold of some of these, so that few are left to compare with all.
+    The home of a class is the leader of its largest bucket; the pivot of a bucket is the home with the largest bucket
+    among its members, so that a group of copies has few pivots.
     """
-    large = rows.filter(F.col("m") > SPLIT)
-    pick = [F.min(F.struct(F.xxhash64("node", F.lit(i)), "node", "n")) for i in range(LEADERS)]
-    leaders = large.filter("component = main").groupBy("key").agg(F.array(*pick).alias("leaders"))
-    met = large.filter("component != main").join(leaders, "key").select("node", "n", F.explode("leaders").alias("l"))
-    return met.filter((F.col("n") * 100 >= F.col("l.n") * percent) & (F.col("l.n") * 100 >= F.col("n") * percent)).select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
-
-
-def _cross_pairs(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Candidate pairs across components: within small buckets directly, else by the rare shingles of their members."""
-    found = _pairs_across(rows.filter(F.col("m") <= SPLIT).withColumn("common", F.col("n")), percent)
-    large = rows.filter(F.col("m") > SPLIT)
-    if not large.isEmpty():
-        members = stored(large.select("node", "n", "component").distinct(), "members")
-        rare = stored(_rare_shingles(members, texts, k, percent), "rare")
-        seen = rare.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min_by("component", "node").alias("main"), F.min("n").alias("least")).filter("c0 != c1")
-        able = F.col("common") * (100 + percent) >= (F.col("n") + F.col("least")) * percent
-        found = found.unionByName(_pairs_across(rare.join(seen.select("key", "main", "least"), "key").filter(able), percent)).distinct()
-    return found
-
-
-def _linked(pairs: DataFrame, part: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The components with the confirmed ones of `pairs` as further links."""
-    more = stored(confirmed(_likely(pairs, classes), texts, k, percent), "links")
-    if more.isEmpty():
-        return part
-    return stored(components(more.unionByName(part.filter("node != component").select(F.col("node").alias("u"), F.col("component").alias("v")))), "parts")
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
-    sig = stored(signatures(docs, k), "signatures")
+    homes = shared.groupBy("node").agg(F.max(F.struct("m", "leader")).alias("home"))
+    rows = shared.select("key", "node", "leader").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # A bucket in which all but the leader's component is one class has been compared already.
+    mixed = rows.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m")).filter("c0 != c1 and m > 2")
+    members = rows.select("key", "node").join(mixed.select("key"), "key").join(homes, "node")
+    pivots = members.groupBy("key").agg(F.max("home").alias("home"))
+    return members.select("key", "node").join(pivots, "key").select(F.col("home.leader").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _merged(links: DataFrame, part: DataFrame) -> DataFrame:
+    """Components with further links."""
+    return stored(components(links.unionByName(part.filter("node != component").select(F.col("node").alias("u"), F.col("component").alias("v")))), "parts")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, the columns `keep`, n_shingles, group (a digest, null if alone by definition), component_id (smallest id reachable over links), kept."""
+    sig = stored(signatures(docs, k, keep=keep), "signatures")
     usable = sig.filter("node is not null and doc_id is not null")
     one = usable.groupBy("node").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("s"))
     classes = stored(one.select("node", "s.doc_id", F.col("s.n_shingles").alias("n"), "s.bands", "s.sketch"), "classes")
 
     banded = classes.select("node", "n", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("node", "n")).alias("first")).filter("m > 1").select("key", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n"))
+    buckets = banded.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("node", "n")).alias("first")).filter("m > 1").select("key", "m", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n"))
     shared = stored(banded.join(buckets, "key"), "buckets")
-    texts = stored(_candidate_texts(docs, classes.join(shared.select("node").distinct(), "node").select("doc_id", "node"), k), "texts")
+    sets = stored(_candidate_sets(docs, classes.join(shared.select("node").distinct(), "node").select("doc_id", "node"), k), "sets")
 
     star = shared.filter((F.col("node") != F.col("leader")) & _close("n", "leader_n", percent)).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(confirmed(_likely(star, classes), texts, k, percent), "links")
+    links = stored(confirmed(_likely(star, classes), sets, percent), "links")
     part = stored(components(links), "parts")
-    rows = _mixed_buckets(shared, part)
-    if not rows.filter(F.col("m") > SPLIT).isEmpty():
-        part = _linked(_more_stars(rows, percent), part, classes, texts, k, percent)
-        rows = _mixed_buckets(shared, part)
-    part = _linked(_cross_pairs(rows, texts, k, percent), part, classes, texts, k, percent)
-    drop_stored(texts, shared)
-
-    grouped = classes.join(part, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = grouped.join(least, "component").select("node", "component_id")
-    own = sig.join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    described = stored(_described(_around_pivots(shared, part), sets, percent), "described")
+    whole = _whole_sets(described.filter("pivot is null").select("node").distinct(), sets, percent)
+    meets = stored(_pairs_described(described.filter("pivot is not null").unionByName(whole), part, percent), "meets")
+    more = stored(confirmed(_likely(meets, classes), sets, percent), "links")
+    if not more.isEmpty():
+        part = _merged(more, part)
+    drop_stored(sets, shared, described, meets, links, more)
+
+    grouped = classes.join(part, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    named = grouped.join(least, "group").select("node", "group", "component_id")
+    own = sig.join(named, "node", "left").select("doc_id", *keep, "n_shingles", "group", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return own.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")

@@ -110,12 +110,17 @@ def test_near_duplicates_equal_brute_force(spark, odd, none):
     assert near_dup.near_duplicates(none).count() == 0
 
 
-def test_near_duplicates_around_a_common_passage(spark, monkeypatch):
-    """Buckets over SPLIT are paired by rare shingles, and lose no link."""
-    monkeypatch.setattr(near_dup, "SPLIT", 3)
+def test_near_duplicates_around_a_common_passage(spark):
+    """Texts around one passage, and copies with many edits of one text, lose no link."""
     passage = sentence(99, 60)
     rows = [(i, passage + " " + sentence(1000 + i // 2, 90) + (" x" if i % 2 else "")) for i in range(60)]
     rows += [(100 + i, passage + " " + sentence(5000 + i, 8)) for i in range(30)]
+    base, r = sentence(77, 150).split(), random.Random(5)
+    for i in range(120):
+        copy = list(base)
+        for at in r.sample(range(150), r.randrange(1, 14)):
+            copy[at] = r.choice(VOCAB)
+        rows.append((200 + i, " ".join(copy)))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()}
     assert got == brute_components(rows, 4, 80)
 
