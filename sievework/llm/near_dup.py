@@ -223,7 +223,8 @@ def _pairs_described(described: DataFrame, part: DataFrame, percent: int) -> Dat
     Of a pair, let W(x) be the larger weight. The shared elements number s >= (W(x) - bound) / 100, as y can share no
     more than W(y) / percent, and s >= max(2 W(y) - bound, W(y)) / (100 + percent), as the larger weight is over the
     bound: a class within the bound is linked with the pivot. So it is enough that x has one of its `far` rarest
-    elements among the `near` rarest of y.
+    elements among the `near` rarest of y, and, as that holds for the rarest shared element, that the elements from there
+    on are enough.
     """
     rows = described.select("pivot", "node", "weight", "bound", F.size("elements").alias("size"), F.explode("elements").alias("element"))
     many = rows.groupBy("pivot", "element").agg(F.count("*").alias("df")).filter("df > 1")
@@ -233,11 +234,11 @@ def _pairs_described(described: DataFrame, part: DataFrame, percent: int) -> Dat
     w, bound = F.col("weight"), F.col("bound")
     far = F.col("size") + 1 - F.greatest(F.lit(1), ceil(w - bound, 100))
     near = F.col("size") + 1 - F.greatest(F.lit(1), ceil(F.greatest(w * 2 - bound, w), 100 + percent))
-    able = ranked.withColumn("far", far).withColumn("near", near).filter((F.col("rank") <= F.greatest("far", "near")) & (F.col("seen") > 0))
+    able = ranked.withColumns({"far": far, "near": near, "after": F.col("size") + 1 - F.col("rank")}).filter(F.col("rank") <= F.greatest("far", "near"))
     able = able.join(part.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    left = able.filter("weight > bound and rank <= far").select("pivot", "element", F.col("node").alias("x"), F.col("weight").alias("wx"), "bound", F.col("seen").alias("sx"), F.col("component").alias("cx"))
-    right = able.filter("rank <= near").select("pivot", "element", F.col("node").alias("y"), F.col("weight").alias("wy"), F.col("seen").alias("sy"), F.col("component").alias("cy"))
-    met = left.join(right, ["pivot", "element"]).filter((F.struct("wx", "x") > F.struct("wy", "y")) & (F.col("cx") != F.col("cy")) & (F.least("sx", "sy") * (100 + percent) >= F.col("wx") + F.col("wy") - F.col("bound")))
+    left = able.filter("weight > bound and rank <= far").select("pivot", "element", F.col("node").alias("x"), F.col("weight").alias("wx"), "bound", F.col("after").alias("ax"), F.col("component").alias("cx"))
+    right = able.filter("rank <= near").select("pivot", "element", F.col("node").alias("y"), F.col("weight").alias("wy"), F.col("after").alias("ay"), F.col("component").alias("cy"))
+    met = left.join(right, ["pivot", "element"]).filter((F.struct("wx", "x") > F.struct("wy", "y")) & (F.col("cx") != F.col("cy")) & (F.least("ax", "ay") * (100 + percent) >= F.col("wx") + F.col("wy") - F.col("bound")))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

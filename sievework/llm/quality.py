@@ -3,10 +3,11 @@
 Each document gets a few measures in one pass over its text. For every language and source, a quantile sketch of
 each measure is built: values fall into logarithmic bins, so that a bin's bound is within `ALPHA` of every value in
 it (the DDSketch of Masson, Rim and Lee, 2019). A sketch is a set of bin counts. Merging adds counts, so the result is
-the same for any partitioning, and a group with fewer than `MIN_DOCS` documents takes the merged sketch of its
-language, or else that of all documents. From the sketch come the median and the upper quartile, and from these the
-fence, upper quartile + REACH * (upper quartile - median), at least `FLOORS`. A document over a fence is rejected by
-joining it with the thresholds of its language and source.
+the same for any partitioning. A group's sketch is merged with that of its language, scaled to `PRIOR` documents, and a
+language's with that of all documents likewise, so that small groups lean on larger ones and large ones on themselves.
+From the merged sketch come the quartiles, and from these the fences, REACH times the interquartile range beyond the
+quartiles and one step of `RESOLUTION` more. A document outside a fence is rejected by joining it with the thresholds of
+its language and source. No fence is fixed: in a group whose texts are all alike they lie one step beside the quartiles.
 
 The sketches leave out documents that fail the base rules (too short, or mostly repeated windows): these go anyway.
 
@@ -29,11 +30,14 @@ from .common import batches, bounded_broadcast, stored, table
 
 ALPHA = 0.01
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
-MIN_DOCS = 200
-REACH = 4.0
-#: The least fence of each measure: symbols a word, share of repeated lines, share of upper case, characters a word.
-FLOORS = {"symbol_rate": 0.1, "dup_line_rate": 0.4, "upper_rate": 0.3, "word_length": 9.0}
+#: Documents that the sketch of the language weighs in a group's, and that of all documents in a language's.
+PRIOR = 100
+REACH = 8.0
+#: Symbols a word, share of upper case among letters, characters a word.
+MEASURES = ("symbol_rate", "upper_rate", "word_length")
 MIN_WORDS = 50
+#: What one character more changes in the shortest text that is judged.
+RESOLUTION = 1 / MIN_WORDS
 
 _SPACE = b" \t\n\r\x0b\x0c"
 _SYMBOLS = b"#*$%&|<>"
@@ -95,7 +99,6 @@ def with_measures(counted: DataFrame) -> DataFrame:
         {
             "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
             "symbol_rate": ratio("n_symbols", "n_words"),
-            "dup_line_rate": ratio("n_dup_lines", "n_lines"),
             "upper_rate": ratio("n_upper", "n_cased"),
             "word_length": ratio("word_chars", "n_words"),
             "_lang": F.coalesce("lang", F.lit("")),
@@ -106,42 +109,49 @@ def with_measures(counted: DataFrame) -> DataFrame:
 
 def sketches(measures: DataFrame) -> DataFrame:
     """(_lang, _source, measure, bin, n): the quantile sketch of each measure in each group."""
-    stack = f"stack({len(FLOORS)}, " + ", ".join(f"'{m}', {m}" for m in FLOORS) + ") as (measure, value)"
+    stack = f"stack({len(MEASURES)}, " + ", ".join(f"'{m}', {m}" for m in MEASURES) + ") as (measure, value)"
     x = F.col("value")
     long = measures.filter("not base_failed").select("_lang", "_source", F.expr(stack))
     binned = long.withColumn("bin", F.when(x > 1e-6, F.ceil(F.log(x) / math.log(GAMMA))).otherwise(F.lit(-1000)).cast("int"))
     return binned.groupBy("_lang", "_source", "measure", "bin").agg(F.count("*").alias("n"))
 
 
-def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Median and upper quartile of each group's merged sketch: the bounds of the bins that reach those shares."""
-    merged = sketch.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
+def _blended(sketch: DataFrame, keys: list[str], prior: DataFrame, prior_keys: list[str]) -> DataFrame:
+    """(keys, measure, bin, n): the sketch in millionths of a document, with the prior's shares as PRIOR documents more."""
+    total = prior.groupBy(*prior_keys, "measure").agg(F.sum("n").alias("_total"))
+    shares = prior.join(bounded_broadcast(total), [*prior_keys, "measure"]).select(*prior_keys, "measure", "bin", F.round(F.col("n").cast("double") / F.col("_total") * (PRIOR * 1_000_000)).cast("long").alias("n"))
+    groups = sketch.select(*keys, "measure").distinct()
+    rows = sketch.select(*keys, "measure", "bin", (F.col("n") * 1_000_000).alias("n")).unionByName(groups.join(bounded_broadcast(shares), [*prior_keys, "measure"]))
+    return rows.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
+
+
+def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """The quartiles of each group and measure: the bounds of the bins that reach those shares."""
     w = Window.partitionBy(*keys, "measure")
-    run = merged.withColumn("below", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
-    at = lambda q: F.min(F.when(F.col("below") >= F.col("total") * q, F.col("bin")))
+    run = sketch.withColumn("below", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
+    at = lambda q: F.min(F.when(F.col("below") * 4 >= F.col("total") * q, F.col("bin")))
     bound = lambda c: F.when(F.col(c) == -1000, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), F.col(c)))
-    q = run.groupBy(*keys, "measure").agg(at(0.5).alias("b50"), at(0.75).alias("b75"), F.max("total").alias("total"))
-    return q.select(*keys, "measure", "total", bound("b50").alias("q50"), bound("b75").alias("q75"))
+    q = run.groupBy(*keys, "measure").agg(at(1).alias("b25"), at(3).alias("b75"))
+    return q.select(*keys, "measure", bound("b25").alias("q25"), bound("b75").alias("q75"))
 
 
 def thresholds(measures: DataFrame) -> DataFrame:
-    """(_lang, _source, one fence per measure) of each group with a document that passes the base rules."""
-    sketch = stored(sketches(measures), "sketch")
-    own = _quantiles(sketch, ["_lang", "_source"])
-    lang = _quantiles(sketch, ["_lang"]).select("_lang", "measure", F.col("total").alias("lt"), F.col("q50").alias("l50"), F.col("q75").alias("l75"))
-    everything = _quantiles(sketch, []).select("measure", F.col("q50").alias("a50"), F.col("q75").alias("a75"))
-    pick = lambda o, g, a: F.when(F.col("total") >= MIN_DOCS, F.col(o)).when(F.col("lt") >= MIN_DOCS, F.col(g)).otherwise(F.col(a))
-    joined = own.join(bounded_broadcast(lang), ["_lang", "measure"]).join(F.broadcast(everything), "measure")
-    fence = pick("q75", "l75", "a75") + REACH * (pick("q75", "l75", "a75") - pick("q50", "l50", "a50"))
-    wide = joined.withColumn("fence", fence).groupBy("_lang", "_source")
-    return wide.agg(*[F.greatest(F.max(F.when(F.col("measure") == m, F.col("fence"))), F.lit(v)).alias(f"max_{m}") for m, v in FLOORS.items()])
+    """(_lang, _source, a low and a high fence per measure) of each group with a document that passes the base rules."""
+    own = stored(sketches(measures), "sketch")
+    everything = own.groupBy("measure", "bin").agg(F.sum("n").alias("n"))
+    lang = own.groupBy("_lang", "measure", "bin").agg(F.sum("n").alias("n"))
+    merged = _blended(own, ["_lang", "_source"], _blended(lang, ["_lang"], everything, []), ["_lang"])
+    q = _quartiles(merged, ["_lang", "_source"])
+    reach = (F.col("q75") - F.col("q25")) * REACH + RESOLUTION
+    of = lambda m, x: F.max(F.when(F.col("measure") == m, x))
+    return q.groupBy("_lang", "_source").agg(*[of(m, x).alias(f"{name}_{m}") for m in MEASURES for name, x in (("min", F.col("q25") - reach), ("max", F.col("q75") + reach))])
 
 
 def judged(measures: DataFrame, fences: DataFrame) -> DataFrame:
     """measures joined with their group's fences, and kept."""
     inside = F.lit(True)
-    for m in FLOORS:
-        inside &= F.coalesce(F.col(m) <= F.col(f"max_{m}"), F.lit(True))
+    for m in MEASURES:
+        inside &= F.coalesce(F.col(m).between(F.col(f"min_{m}"), F.col(f"max_{m}")), F.lit(True))
     return measures.join(bounded_broadcast(fences), ["_lang", "_source"], "left").withColumn("kept", ~F.col("base_failed") & inside)
 
 
@@ -166,11 +176,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle_sql() -> str:
     """The same result in DuckDB SQL."""
-    names = list(FLOORS)
-    quant = "min(CASE WHEN below >= total * {q} THEN bin END)"
-    level = lambda keys: f"""SELECT {keys}measure, max(total) AS total, {quant.format(q=0.5)} AS b50, {quant.format(q=0.75)} AS b75
-        FROM (SELECT {keys}measure, bin, sum(sum(n)) OVER (PARTITION BY {keys}measure ORDER BY bin) AS below, sum(sum(n)) OVER (PARTITION BY {keys}measure) AS total
-              FROM sketch GROUP BY {keys}measure, bin) GROUP BY {keys}measure"""
+    blend = lambda keys, src, prior, on: f"""SELECT {keys}, measure, bin, sum(n)::BIGINT AS n FROM (SELECT {keys}, measure, bin, n * 1000000 AS n FROM {src} UNION ALL
+        SELECT {keys}, measure, bin, round(n::DOUBLE / total * {PRIOR * 1_000_000})::BIGINT FROM (SELECT DISTINCT {keys}, measure FROM {src}) g
+        JOIN (SELECT *, sum(n) OVER (PARTITION BY {on}) AS total FROM {prior}) p USING ({on})) GROUP BY ALL"""
+    fences = ", ".join(f"max(CASE WHEN measure = '{m}' THEN {x} END) AS {name}_{m}" for m in MEASURES for name, x in (("lo", "q25 - reach"), ("hi", "q75 + reach")))
+    bound = lambda b: f"CASE WHEN {b} = -1000 THEN 0 ELSE pow({GAMMA!r}, {b}) END"
     return f"""
 WITH w AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text,
         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
@@ -180,20 +190,19 @@ twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY d
 rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, (VALUES (0), (1), (2)) v(j) GROUP BY doc_id),
 c AS (SELECT w.doc_id, lang, source, len(ws) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
-        coalesce(rep.n, 0) AS n_repeat_words, len(ls) AS n_lines, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS up,
+        coalesce(rep.n, 0) AS n_repeat_words, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS up,
         length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g')) AS cased FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
 m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-        CASE WHEN n_words > 0 THEN n_symbols::DOUBLE / n_words ELSE 0 END AS symbol_rate, CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines ELSE 0 END AS dup_line_rate,
+        CASE WHEN n_words > 0 THEN n_symbols::DOUBLE / n_words ELSE 0 END AS symbol_rate,
         CASE WHEN cased > 0 THEN up::DOUBLE / cased ELSE 0 END AS upper_rate, CASE WHEN n_words > 0 THEN word_chars::DOUBLE / n_words ELSE 0 END AS word_length FROM c),
-long AS ({" UNION ALL ".join(f"SELECT lang, source, '{x}' AS measure, {x} AS value FROM m WHERE NOT base_failed" for x in names)}),
-sketch AS (SELECT lang, source, measure, CASE WHEN value > 1e-6 THEN ceil(ln(value) / {math.log(GAMMA)!r})::INT ELSE -1000 END AS bin, count(*) AS n FROM long GROUP BY ALL),
-own AS ({level("lang, source, ")}), bylang AS ({level("lang, ")}), everything AS ({level("")}),
-pick AS (SELECT o.lang, o.source, o.measure,
-        CASE WHEN o.total >= {MIN_DOCS} THEN o.b50 WHEN g.total >= {MIN_DOCS} THEN g.b50 ELSE a.b50 END AS b50,
-        CASE WHEN o.total >= {MIN_DOCS} THEN o.b75 WHEN g.total >= {MIN_DOCS} THEN g.b75 ELSE a.b75 END AS b75
-        FROM own o JOIN bylang g ON o.lang = g.lang AND o.measure = g.measure JOIN everything a ON o.measure = a.measure),
-val AS (SELECT lang, source, measure, CASE WHEN b50 = -1000 THEN 0 ELSE pow({GAMMA!r}, b50) END AS q50, CASE WHEN b75 = -1000 THEN 0 ELSE pow({GAMMA!r}, b75) END AS q75 FROM pick),
-fence AS (SELECT lang, source, {", ".join(f"greatest(max(CASE WHEN measure = '{x}' THEN q75 + {REACH} * (q75 - q50) END), {v}) AS max_{x}" for x, v in FLOORS.items())} FROM val GROUP BY lang, source)
+long AS ({" UNION ALL ".join(f"SELECT lang, source, '{x}' AS measure, {x} AS value FROM m WHERE NOT base_failed" for x in MEASURES)}),
+own AS (SELECT lang, source, measure, CASE WHEN value > 1e-6 THEN ceil(ln(value) / {math.log(GAMMA)!r})::INT ELSE -1000 END AS bin, count(*) AS n FROM long GROUP BY ALL),
+everything AS (SELECT measure, bin, sum(n)::BIGINT AS n FROM own GROUP BY ALL), bylang AS (SELECT lang, measure, bin, sum(n)::BIGINT AS n FROM own GROUP BY ALL),
+lang2 AS ({blend("lang", "bylang", "everything", "measure")}), merged AS ({blend("lang, source", "own", "lang2", "lang, measure")}),
+run AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bin) AS below, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM merged),
+q AS (SELECT lang, source, measure, min(CASE WHEN below * 4 >= total THEN bin END) AS b25, min(CASE WHEN below * 4 >= total * 3 THEN bin END) AS b75 FROM run GROUP BY ALL),
+val AS (SELECT lang, source, measure, {bound("b25")} AS q25, {bound("b75")} AS q75, (q75 - q25) * {REACH} + {RESOLUTION} AS reach FROM q),
+fence AS (SELECT lang, source, {fences} FROM val GROUP BY lang, source)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-    NOT base_failed AND {" AND ".join(f"coalesce({x} <= max_{x}, true)" for x in names)} AS kept
+    NOT base_failed AND {" AND ".join(f"coalesce({x} BETWEEN lo_{x} AND hi_{x}, true)" for x in MEASURES)} AS kept
 FROM m LEFT JOIN fence ON m.lang = fence.lang AND m.source = fence.source"""
