@@ -3,7 +3,7 @@
 First, all words of the learning documents are counted in Spark, and from these the subword ids and their pairs within
 words. Then the model is fitted on all text of the learning documents: each task runs Adam steps in numpy over all
 windows of its documents from the common parameters, and the tasks' parameters are averaged, weighted by tokens, an
-embedding by how often the task read its id; ROUNDS such rounds. Last, every document is scored whole.
+embedding by how often the task read its id. Last, every document is scored whole.
 
 A subword id is predicted as its class, by the model, times its share of the class, from the counts after the class
 before it in its word, smoothed by the counts as a whole. The most frequent ids are classes of their own; the others fill classes
@@ -12,7 +12,8 @@ class of their kind. The model has one layer: subword and position embeddings, o
 a softmax over classes. A document is cut into overlapping windows, each predicting its last STRIDE tokens, so that
 each token is scored once, with CONTEXT - STRIDE tokens or more before it.
 
-The base score is that of a unigram model with add-one smoothing over words. Counts of the most frequent words, at
+The base score is that of a unigram model with add-one smoothing over words. It gives every unseen word, and there are
+many, the same share, and so is no distribution over texts, as the model is, which must spell them. Counts of the most frequent words, at
 most VOCABULARY, go to the tasks; the other words of each document are joined with the counts.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; each is tokenised with a space before it. Null, empty or wordless
@@ -37,8 +38,8 @@ from .subwords import Subwords, ranked_encoding, tokenizer_path
 
 END_ID, IDS = 50_256, 50_257
 SINGLES, BINS, WIDTH = 96, 16, 16
-CONTEXT, STRIDE = 32, 16
-ROUNDS, BATCH, RATE = 2, 24, 0.02
+CONTEXT, STRIDE = 32, 24
+ROUNDS, BATCH, RATE = 1, 32, 0.02
 #: Input that stands before a text; it has an embedding after those of the ids.
 BEFORE = IDS
 #: Weight, in tokens, of the share over all contexts in the share after a class.
@@ -78,7 +79,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         found = Counter()
 
         def emit() -> pa.RecordBatch:
-            rows = pa.record_batch([pa.array([w.decode() for w in found]), pa.array(list(found.values()), pa.int64())], ["word", "c"])
+            rows = pa.record_batch([pa.array([w.decode() for w in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "c"])
             found.clear()
             return rows
 
@@ -88,7 +89,8 @@ def count_words(docs: DataFrame) -> DataFrame:
                 found[b""] += 1
             if len(found) > 300_000:
                 yield emit()
-        yield emit()
+        if found:
+            yield emit()
 
     return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -112,7 +114,8 @@ def count_pairs(words: DataFrame, path: str) -> DataFrame:
                     before = i
             if len(found) > 300_000:
                 yield emit()
-        yield emit()
+        if found:
+            yield emit()
 
     return words.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
@@ -136,7 +139,6 @@ class Classes:
         weight = np.where(counts > 0, counts, 0.5)
         total = np.bincount(self.of, weight, self.n)
         self.share = weight / total[self.of]
-        self.log_p = np.log(np.maximum(total, 0.5) / total.sum()).astype(np.float32)
 
     def shares_after(self, before: np.ndarray, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
         """log10 share of each id after each class; the arguments are the columns of count_cells()."""
@@ -149,6 +151,30 @@ class Classes:
         return np.log10(table).astype(np.float32)
 
 
+    def prior_after(self, last: np.ndarray, of: np.ndarray, n: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Natural log of each class's probability after each input; the first three arguments are the columns of count_followers().
+
+        What follows a word's last id are the classes that start words.
+        """
+        table = np.zeros((IDS + 1, self.n))
+        table[last, of] = n
+        total = np.bincount(self.of, np.where(counts > 0, counts, 0.5), self.n)
+        starts = np.bincount(self.of[self.begins], np.where(counts > 0, counts, 0.5)[self.begins], self.n)
+        ends = np.append(np.maximum(counts - table[:IDS].sum(axis=1), 0), 1.0)
+        table += ends[:, None] * (starts / starts.sum())
+        table += SMOOTH * (total / total.sum())
+        np.maximum(table, 1e-9, out=table)
+        return np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+
+
+def count_followers(pairs: DataFrame, classes: Classes) -> DataFrame:
+    """(last, of, n): counts of count_pairs() by the class of an id, within words; IDS * classes.n rows at most."""
+    of = pa.table({"id": np.arange(IDS, dtype=np.int64), "of": classes.of.astype(np.int32)})
+    split = pairs.select(F.expr(f"pair div {IDS}").alias("last"), (F.col("pair") % IDS).alias("id"), "n").filter(F.col("last") != END_ID)
+    joined = split.join(F.broadcast(pairs.sparkSession.createDataFrame(of)), "id")  # one row for each id of the tokenizer
+    return joined.groupBy("last", "of").agg(F.sum("n").alias("n"))
+
+
 def count_cells(pairs: DataFrame, classes: Classes) -> DataFrame:
     """(before, id, n): counts of count_pairs() by the class before an id, 0 before a word's first; classes.n * IDS rows at most."""
     of = pa.table({"last": np.arange(IDS, dtype=np.int64), "before": np.where(np.arange(IDS) == END_ID, 0, classes.of).astype(np.int32)})
@@ -162,13 +188,13 @@ class Model:
 
     SHAPES = (("emb", None, WIDTH), ("pos", CONTEXT, WIDTH), ("wq", WIDTH, WIDTH), ("wk", WIDTH, WIDTH), ("wv", WIDTH, WIDTH), ("out", WIDTH, None), ("bias", 1, None))
 
-    def __init__(self, n: int, flat: np.ndarray | None = None, log_p: np.ndarray | None = None, inputs: int = IDS + 1):
-        self.n = n
+    def __init__(self, n: int, flat: np.ndarray | None = None, prior: np.ndarray | None = None, inputs: int = IDS + 1):
+        self.n, self.prior = n, prior
         shapes = [(name, inputs if name == "emb" else a or n, b or n) for name, a, b in self.SHAPES]
         size = sum(a * b for _, a, b in shapes)
         if flat is None:
             flat = np.random.default_rng(7).normal(0, 0.2, size).astype(np.float32)
-            flat[-n:] = log_p
+            flat[-n * (WIDTH + 1) :] *= 0.1  # the model begins close to the prior
         self.flat, at = flat.astype(np.float32, copy=True), 0
         for name, a, b in shapes:
             setattr(self, name, self.flat[at : at + a * b].reshape(a, b))
@@ -179,7 +205,8 @@ class Model:
 
     def forward(self, x: np.ndarray):
         """Attention and hidden state of the last STRIDE positions of windows x of subword ids."""
-        h = self.emb[x] + self.pos
+        h = self.emb.take(x, axis=0)
+        h += self.pos
         hq = np.ascontiguousarray(h[:, CONTEXT - STRIDE :])
         q = (hq.reshape(-1, WIDTH) @ (self.wq * np.float32(WIDTH**-0.5))).reshape(hq.shape)
         k = (h.reshape(-1, WIDTH) @ self.wk).reshape(h.shape)
@@ -188,14 +215,21 @@ class Model:
         np.minimum(a, np.float32(60), out=a)
         np.exp(a, out=a)
         a *= self.mask
-        a /= a.sum(axis=2, keepdims=True)
-        return h, q, k, v, a, hq + np.matmul(a, v)
+        a *= np.reciprocal(a.sum(axis=2, keepdims=True))
+        hq += np.matmul(a, v)
+        return h, q, k, v, a, hq
 
-    def log_probabilities(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural log of each target's probability, (windows, STRIDE)."""
-        hidden = self.forward(x)[-1].reshape(-1, WIDTH)
+    def logits(self, x: np.ndarray, hidden: np.ndarray) -> np.ndarray:
+        """What the counts after the last input say, moved by the hidden state."""
         z = hidden @ self.out
         z += self.bias
+        if self.prior is not None:
+            z += self.prior.take(x[:, CONTEXT - STRIDE :].ravel(), axis=0)
+        return z
+
+    def log_probabilities(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Natural log of each target's probability, (windows, STRIDE)."""
+        z = self.logits(x, self.forward(x)[-1].reshape(-1, WIDTH))
         np.minimum(z, np.float32(80), out=z)
         at = z[np.arange(len(z)), y.ravel()]
         np.exp(z, out=z)
@@ -212,30 +246,33 @@ class Model:
     def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """That gradient of `dense`, and the ids in x with that of each one's embedding."""
         h, q, k, v, a, hidden = self.forward(x)
-        z = np.minimum(hidden.reshape(-1, WIDTH) @ self.out + self.bias, np.float32(80))
+        z = self.logits(x, hidden.reshape(-1, WIDTH))
+        np.minimum(z, np.float32(80), out=z)
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(len(z)), y.ravel()] -= 1
-        z *= (real.ravel() / max(1, real.sum())).astype(np.float32)[:, None]
+        weight = (real.ravel() / max(1, real.sum())).astype(np.float32)
+        z *= (weight / z.sum(axis=1))[:, None]
+        z[np.arange(len(z)), y.ravel()] -= weight
         g = Model(self.n, np.zeros_like(self.dense), inputs=0)
         g.out[:] = hidden.reshape(-1, WIDTH).T @ z
         g.bias[:] = z.sum(axis=0)
         d_hidden = (z @ self.out.T).reshape(hidden.shape)
-        d_a = d_hidden @ v.transpose(0, 2, 1)
-        d_s = a * (d_a - (d_a * a).sum(axis=2, keepdims=True))
+        d_s = d_hidden @ v.transpose(0, 2, 1)
+        d_s -= np.einsum("bij,bij->bi", d_s, a)[:, :, None]
+        d_s *= a
         d_q, d_k, d_v = d_s @ k * np.float32(WIDTH**-0.5), d_s.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ d_hidden
         rows = lambda m: m.reshape(-1, WIDTH)
         g.wq[:] = rows(h[:, CONTEXT - STRIDE :]).T @ rows(d_q)
         g.wk[:] = rows(h).T @ rows(d_k)
         g.wv[:] = rows(h).T @ rows(d_v)
-        d_h = d_k @ self.wk.T + d_v @ self.wv.T
-        d_h[:, CONTEXT - STRIDE :] += d_q @ self.wq.T + d_hidden
+        d_h = (rows(d_k) @ self.wk.T + rows(d_v) @ self.wv.T).reshape(h.shape)
+        d_h[:, CONTEXT - STRIDE :] += (rows(d_q) @ self.wq.T).reshape(hidden.shape)
+        d_h[:, CONTEXT - STRIDE :] += d_hidden
         g.pos[:] = d_h.sum(axis=0)
         flat = x.ravel()
         order = np.argsort(flat, kind="stable")
         flat = flat[order]
         starts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-        return g.flat, flat[starts], np.add.reduceat(rows(d_h)[order], starts)
+        return g.flat, flat[starts], np.add.reduceat(rows(d_h).take(order, axis=0), starts)
 
 
 def windows(ids: list[bytes], of: np.ndarray):
@@ -263,9 +300,9 @@ def windows(ids: list[bytes], of: np.ndarray):
 FITTED = "dense binary, tokens long, ids binary, rows binary, uses binary"
 
 
-def fit(docs: DataFrame, path: str, classes: Classes) -> np.ndarray:
+def fit(docs: DataFrame, path: str, classes: Classes, prior: np.ndarray) -> np.ndarray:
     """Parameters averaged over the tasks' own, ROUNDS times."""
-    params = Model(classes.n, log_p=classes.log_p).flat
+    params = Model(classes.n).flat
     names = [c.split()[0] for c in FITTED.split(", ")]
 
     def row(dense: np.ndarray, tokens: int, emb: np.ndarray, uses: np.ndarray) -> pa.RecordBatch:
@@ -284,11 +321,11 @@ def fit(docs: DataFrame, path: str, classes: Classes) -> np.ndarray:
         return dense / tokens, tokens, emb / np.maximum(uses, 1)[:, None], uses
 
     for _ in range(ROUNDS):
-        shared = docs.sparkSession.sparkContext.broadcast((classes, params))
+        shared = docs.sparkSession.sparkContext.broadcast((classes, params, prior))
 
         def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            kinds, start = shared.value
-            model, word_ids = Model(kinds.n, start), WordIds(path)
+            kinds, start, after = shared.value
+            model, word_ids = Model(kinds.n, start, after), WordIds(path)
             m, s, m_emb, s_emb = (np.zeros_like(x) for x in (model.dense, model.dense, model.emb, model.emb))
             step, tokens, uses = 0, 0, np.zeros(IDS + 1, np.int64)
             for b in batches(it, 4 << 20):
@@ -304,9 +341,10 @@ def fit(docs: DataFrame, path: str, classes: Classes) -> np.ndarray:
                     m += (g - m) * np.float32(0.1)
                     s += (g * g - s) * np.float32(0.01)
                     model.dense -= rate * m / (np.sqrt(s * fade) + np.float32(1e-8))
-                    m_rows, s_rows = m_emb[ids], s_emb[ids]  # only embeddings that were read move
+                    m_rows, s_rows = m_emb.take(ids, axis=0), s_emb.take(ids, axis=0)  # only embeddings that were read move
                     m_rows += (rows - m_rows) * np.float32(0.1)
-                    s_rows += (rows * rows - s_rows) * np.float32(0.01)
+                    rows *= rows
+                    s_rows += (rows - s_rows) * np.float32(0.01)
                     m_emb[ids], s_emb[ids] = m_rows, s_rows
                     model.emb[ids] -= rate * m_rows / (np.sqrt(s_rows * fade) + np.float32(1e-8))
             if tokens:
@@ -354,16 +392,18 @@ def score(docs: DataFrame, learn: DataFrame, path: str | None = None) -> DataFra
     classes = Classes(subword, Subwords(tokenizer_path()).starts_word(IDS))
     cells = count_cells(pairs, classes).toArrow()
     shares = classes.shares_after(*(cells[c].to_numpy() for c in ("before", "id", "n")))
-    params = fit(learn, path, classes)
+    followers = count_followers(pairs, classes).toArrow()
+    prior = classes.prior_after(*(followers[c].to_numpy() for c in ("last", "of", "n")), subword)
+    params = fit(learn, path, classes, prior)
     drop_stored(pairs)
 
     least = _least(words, "c", VOCABULARY)
     frequent = {r["word"].encode(): float(np.log10((r["c"] + 1) / scale)) for r in words.filter(F.col("c") >= least).collect()}
-    shared = spark.sparkContext.broadcast((classes, params, shares, frequent))
+    shared = spark.sparkContext.broadcast((classes, params, prior, shares, frequent))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, flat, share, known = shared.value
-        model, word_ids, begins = Model(kinds.n, flat), WordIds(path), kinds.begins
+        kinds, flat, after, share, known = shared.value
+        model, word_ids, begins = Model(kinds.n, flat, after), WordIds(path), kinds.begins
         for b in batches(it, 1 << 20):
             ids, n_tokens, n_frequent, sums, rare = [], [], [], [], []
             for text in b.column(3).to_pylist():

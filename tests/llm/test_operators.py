@@ -203,7 +203,8 @@ def test_lm_scores(spark, odd, none):
 def test_lm_gradient_and_windows():
     r = np.random.default_rng(0)
     n = 20
-    m = lm_score.Model(n, log_p=np.full(n, -math.log(n), np.float32))
+    m = lm_score.Model(n)
+    m.flat[-n * (lm_score.WIDTH + 1) :] = np.random.default_rng(3).normal(0, 0.2, n * (lm_score.WIDTH + 1))
     x, y, real = r.integers(0, n, (3, lm_score.CONTEXT)), r.integers(0, n, (3, lm_score.STRIDE)), r.random((3, lm_score.STRIDE)) > 0.3
     loss = lambda f: -(lm_score.Model(n, f).log_probabilities(x, y) * real).sum() / real.sum()
     g = m.gradient(x, y, real)
@@ -225,8 +226,9 @@ def test_lm_learns_from_all_text_by_subword_ids(spark):
     counts = np.zeros(lm_score.IDS, np.int64)
     classes = lm_score.Classes(counts, np.zeros(lm_score.IDS, np.int64))
     path = tokenizer_path("byte_bpe_50k.tiktoken")
-    start = lm_score.Model(classes.n, log_p=classes.log_p)
-    fitted = lm_score.Model(classes.n, lm_score.fit(docs, path, classes))
+    prior = classes.prior_after(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), counts)
+    start = lm_score.Model(classes.n, prior=prior)
+    fitted = lm_score.Model(classes.n, lm_score.fit(docs, path, classes, prior), prior)
     ids = np.frombuffer(b"".join(lm_score.WordIds(path)[w] for w in words(sentence(7, 30))), "<u4")
     moved = np.flatnonzero((fitted.emb != start.emb).any(axis=1))
     assert set(moved) >= set(ids.tolist())
@@ -234,6 +236,11 @@ def test_lm_learns_from_all_text_by_subword_ids(spark):
     assert x.max() > classes.n and fitted.log_probabilities(x, y)[real].mean() > start.log_probabilities(x, y)[real].mean()
 
 
+def test_lm_counts_more_words_than_a_task_holds(spark):
+    docs = spark.createDataFrame([(" ".join(f"w{i}" for i in range(300_500)),)], "text string").repartition(1)
+    assert lm_score.count_words(docs).count() == 300_501
+
+
 def test_lm_shares_use_every_pair(spark):
     """Pairs seen once count as much as any, and END_ID before a word is class 0."""
     counts = np.arange(lm_score.IDS)[::-1].copy()
