@@ -5,9 +5,11 @@ import math
 import duckdb
 import pytest
 
-from sievework.plans import carriers
+from sievework.plans import carriers, source_queries
 
 DATA = "/root/testdata/sf0.001"
+QUERIES = carriers.QUERIES | source_queries.QUERIES
+ORACLES = carriers.ORACLES | source_queries.ORACLES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -25,18 +27,18 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(carriers.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, db, name):
-    df = carriers.QUERIES[name](spark, DATA)
+    df = QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=str)
-    cur = db.execute(carriers.ORACLES[name])
+    cur = db.execute(ORACLES[name])
     names = [d[0] for d in cur.description]
     assert sorted(names) == cols
     want = sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in cur.fetchall()), key=str)
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(carriers.QUERIES) - set(carriers.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
-    assert carriers.QUERIES[name](spark, DATA).count() > 0
+    assert QUERIES[name](spark, DATA).count() > 0
