@@ -4,13 +4,14 @@ For each language a context tree holds the symbols seen after each context of 0
 symbols seen, q of them different, a symbol seen c times has probability c / (T + q); else the escape q / (T + q) is
 taken and the next shorter context asked; below the empty context all 256 bytes are equally likely. With the
 statistics frozen after learning, the code length of a symbol depends on its context alone, so every code length is
-computed once into a table over the union of the trees, and a text is scored by two gathers a byte.
+computed once into a table over the union of the trees, and a text is scored by two gathers a byte. Symbols that no
+language has seen after a context of three bytes are few and cost their escape and the code length after two bytes.
 
-Learning reads at most `per_language` labelled documents of each language, chosen by a hash of doc_id, and keeps the
-`max_contexts` most frequent contexts of full length; both bounds are parameters. Counting is a Spark aggregation.
-Every document is scored whole.
+Learning reads at most `per_language` labelled documents of each language, chosen by a hash of doc_id; that bound is a
+parameter. All contexts of these documents are kept: the model has a row for each different window of four bytes in
+them. Counting is a Spark aggregation. Every document is scored whole.
 
-A text is lower-cased and its runs of letters are joined by single spaces. Null text, or text without a letter, is
+A text is lower-cased and its runs of letters (Unicode categories L) are joined by single spaces. Null text, or text without a letter, is
 `und` with score 0. Rows with a null doc_id are scored but never learned from. Ties go to the first language in
 alphabetical order. Without any labelled row every text is `und`. Other columns are ignored.
 """
@@ -18,6 +19,7 @@ alphabetical order. Without any labelled row every text is `und`. Other columns
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import batches, table
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Word characters that are numbers, as of fractions and Roman numerals, and no letters.
+_NUMBERS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 ORDER = 3
 #: Languages beyond this number are an error: the model table grows with them.
 MAX_LANGUAGES = 200
@@ -63,87 +67,120 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 class Model:
     languages: list[str]
     classes: np.ndarray  # byte -> class; 0 for bytes never seen
-    context: np.ndarray  # three classes, oldest first -> context
-    bits: np.ndarray  # context, class, language -> code length
+    context: np.ndarray  # three classes, oldest first -> context, the longest that was seen
+    shorter: np.ndarray  # context -> the same less its oldest byte
+    cell: np.ndarray  # context, class -> row of bits; -1 if no language has seen it there
+    bits: np.ndarray  # row, language -> code length
+    escape: np.ndarray  # context, language -> code length of the escape; 0 where the language has not seen the context
 
     @staticmethod
-    def of(rows: list[tuple[str, int, int]], max_contexts: int) -> Model:
-        languages = sorted({r[0] for r in rows})
-        lang = np.array([languages.index(r[0]) for r in rows], np.int64)
-        gram = np.array([r[1] for r in rows], np.int64)
-        n = np.array([r[2] for r in rows], np.float64)
-        seen = np.unique(np.concatenate([(gram >> s) & 255 for s in (0, 8, 16, 24)])) if len(rows) else np.zeros(0, np.int64)
+    def of(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model:
+        """From counts n of windows of four bytes (big-endian) by place of the language."""
+        n = n.astype(np.float64)
+        seen = np.unique(np.concatenate([(gram >> s) & 255 for s in (0, 8, 16, 24)]))
         classes = np.zeros(256, np.int64)
         classes[seen] = np.arange(1, len(seen) + 1)
         a, many = len(seen) + 1, max(1, len(languages))
         last, b1, b2, b3 = (classes[(gram >> s) & 255] for s in (0, 8, 16, 24))
 
-        def tree(context: np.ndarray, contexts: int, shorter: np.ndarray) -> np.ndarray:
-            """Code probabilities of each context, from those of its shorter context."""
-            count = np.zeros((contexts, a, many))
-            known = context >= 0
-            np.add.at(count, (context[known], last[known], lang[known]), n[known])
-            total = count.sum(axis=1, keepdims=True)
-            kinds = (count > 0).sum(axis=1, keepdims=True)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                p = np.where(count > 0, count / (total + kinds), kinds / (total + kinds) * shorter)
-            return np.where(total > 0, p, shorter)
-
-        flat = np.full((1, a, many), 1 / 256)
-        p0 = tree(np.zeros(len(gram), np.int64), 1, flat)
-        p1 = tree(b1, a, np.broadcast_to(p0, (a, a, many)))
+        def tree(context: np.ndarray, contexts: int, shorter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Rows context * a + class that were seen, their probabilities, and the escape of each context; shorter gives the probabilities of rows in the next shorter contexts."""
+            rows, row_of = np.unique(context * a + last, return_inverse=True)
+            count = np.bincount(row_of * many + lang, n, len(rows) * many).reshape(-1, many)
+            at = rows // a
+            sums = lambda x: np.bincount((at[:, None] * many + np.arange(many)).ravel(), x.ravel(), contexts * many).reshape(-1, many)
+            total, kinds = sums(count), sums((count > 0).astype(np.float64))
+            escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
+            p = np.where(count > 0, count / np.maximum(total + kinds, 1)[at], escape[at] * shorter(rows))
+            return rows, p.astype(np.float32), escape.astype(np.float32)
+
+        def lookup(rows: np.ndarray, p: np.ndarray, escape: np.ndarray, shorter):
+            """Probabilities of any rows of a tree, seen or not; shorter as in tree()."""
+
+            def of(wanted: np.ndarray) -> np.ndarray:
+                at = np.minimum(np.searchsorted(rows, wanted), max(0, len(rows) - 1))
+                hit = rows[at] == wanted if len(rows) else np.zeros(len(wanted), bool)
+                found = escape[wanted // a] * shorter(wanted)
+                found[hit] = p[at[hit]]
+                return found
+
+            return of
+
+        flat = lambda rows: np.full((len(rows), many), 1 / 256, np.float32)
+        none = lambda rows: rows % a  # noqa: E731  the empty context
+        t0 = tree(np.zeros(len(gram), np.int64), 1, flat)
+        p0 = lookup(*t0, flat)
+        t1 = tree(b1, a, lambda rows: p0(none(rows)))
+        p1 = lookup(*t1, lambda rows: p0(none(rows)))
         pairs, pair_of = np.unique(b2 * a + b1, return_inverse=True)
-        p2 = tree(pair_of, len(pairs), p1[pairs % a])
-        triple = (b3 * a + b2) * a + b1
-        triples, triple_of = np.unique(triple, return_inverse=True)
-        weight = np.bincount(triple_of, n, len(triples)) if len(rows) else np.zeros(0)
-        best = np.sort(np.lexsort((triples, -weight))[:max_contexts])
-        place = np.full(len(triples), -1)
-        place[best] = np.arange(len(best))
+        down2 = lambda rows: p1(pairs[rows // a] % a * a + rows % a)
+        t2 = tree(pair_of, len(pairs), down2)
+        p2 = lookup(*t2, down2)
+        triples, triple_of = np.unique((b3 * a + b2) * a + b1, return_inverse=True)
         pair_at = np.full(a * a, -1)
         pair_at[pairs] = np.arange(len(pairs))
-        p3 = tree(place[triple_of] if len(rows) else triple, len(best), p2[pair_at[triples[best] % (a * a)]])
-        p = np.concatenate([p1, p2, p3])
-        context = np.empty((a, a, a), np.int32)
-        context[:] = np.arange(a)
-        two = np.where(pair_at >= 0, pair_at + a, -1).reshape(a, a)
+        down3 = lambda rows: p2(pair_at[triples[rows // a] % (a * a)] * a + rows % a)
+        t3 = tree(triple_of, len(triples), down3)
+
+        # Contexts of one byte have every row, so that an escape from a longer one ends there at the latest.
+        all1 = np.arange(a * a)
+        base = np.array([0, a, a + len(pairs)])
+        rows = np.concatenate([all1, t2[0] + base[1] * a, t3[0] + base[2] * a])
+        bits = -np.log2(np.concatenate([p1(all1), t2[1], t3[1]]))
+        cell = np.full((base[2] + len(triples)) * a, -1, np.int32)
+        cell[rows] = np.arange(len(rows))
+        shorter = np.concatenate([np.arange(a), pairs % a, base[1] + pair_at[triples % (a * a)]])
+        escape = np.concatenate([np.ones((a, many)), t2[2], t3[2]])
+        context = np.broadcast_to(np.arange(a), (a, a, a)).copy()
+        two = np.where(pair_at >= 0, pair_at + base[1], -1).reshape(a, a)
         context = np.where(two[None] >= 0, two[None], context).reshape(-1)
-        context[triples[best]] = a + len(pairs) + np.arange(len(best))
-        return Model(languages, classes, context.astype(np.int32), -np.log2(p).astype(np.float32))
+        context[triples] = base[2] + np.arange(len(triples))
+        return Model(languages, classes, context.astype(np.int32), shorter.astype(np.int32), cell, bits.astype(np.float32), -np.log2(escape).astype(np.float32))
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text (none empty) under each language."""
-        a = self.bits.shape[1]
+        a = len(self.cell) // len(self.shorter)
         x = self.classes[np.frombuffer(b"".join(b"   " + t for t in texts), np.uint8)]
-        at = (x[:-3] * a + x[1:-2]) * a + x[2:-1]
+        at = self.context[(x[:-3] * a + x[1:-2]) * a + x[2:-1]].astype(np.int64)
+        row = self.cell[at * a + x[3:]]
+        cost = self.bits.take(row, axis=0)
+        left = np.flatnonzero(row < 0)
+        cost[left] = 0
+        where, symbol = at[left], x[3:][left]
+        while len(left):
+            cost[left] += self.escape[where]
+            where = self.shorter[where].astype(np.int64)
+            row = self.cell[where * a + symbol]
+            cost[left[row >= 0]] += self.bits[row[row >= 0]]
+            left, where, symbol = left[row < 0], where[row < 0], symbol[row < 0]
         ends = np.cumsum([len(t) + 3 for t in texts])
         starts = np.concatenate([[0], ends[:-1]])
-        cost = self.bits.reshape(-1, self.bits.shape[2])[self.context[at].astype(np.int64) * a + x[3:]]
         if len(texts) > 1:  # the windows that end in the next text's padding code no byte of a text
             cost[(starts[1:, None] - 3 + np.arange(3)).ravel()] = 0
         return np.add.reduceat(cost, starts, axis=0, dtype=np.float64)
 
 
-def train(labelled: DataFrame, per_language: int = 3000, max_contexts: int = 12_000) -> Model:
+def train(labelled: DataFrame, per_language: int = 3000) -> Model:
     """Learn from labelled (doc_id, text, lang)."""
     usable = labelled.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
-        return Model.of([], max_contexts)
+        return Model.of([], *np.zeros((3, 0), np.int64))
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))]), F.col("lang"))
     chosen = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = gram_counts(chosen).collect()
-    return Model.of([(r["lang"], r["gram"], r["n"]) for r in rows], max_contexts)
+    rows = gram_counts(chosen).toArrow()  # the windows of at most per_language documents of each language
+    languages, lang = np.unique(rows["lang"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+    return Model.of(languages.tolist(), lang, rows["gram"].to_numpy(), rows["n"].to_numpy())
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of docs with lang_pred and score, the posterior of that language under equal priors."""
+    """The columns `keep` of docs with lang_pred, score, the posterior of that language under equal priors, and lettered, whether the text has a letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = docs.select(*keep).schema.fields
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
-    names = [f.name for f in fields] + ["lang_pred", "score"]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double", "lettered boolean"])
+    names = [f.name for f in fields] + ["lang_pred", "score", "lettered"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -157,7 +194,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                 p = 1 / np.exp2(bits[np.arange(len(best)), best][:, None] - bits).sum(axis=1)
                 for i, k, s in zip(where, best, p, strict=True):
                     lang[i], score[i] = m.languages[k], float(s)
-            yield pa.record_batch([*b.columns[: len(fields)], pa.array(lang), pa.array(score)], names)
+            yield pa.record_batch([*b.columns[: len(fields)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array([bool(t) for t in texts], pa.bool_())], names)
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 

@@ -7,8 +7,10 @@ That is the packing of best-fit decreasing over single pieces. Each placement is
 one length and the range of sequences that takes it. Every piece then finds its slot by joining on its rank within
 its length.
 
-Ranks do not depend on partitions: pieces of a length are ranked within buckets of a hash of doc_id, and buckets are
-offset by the counts before them, so that a very common length is spread over tasks.
+Ranks do not depend on partitions: pieces of a length are ranked within buckets of a hash of the row, as many as keep
+about `bucket_rows` in each, and buckets are offset by the counts before them, so that a very common length is spread
+over tasks. A bucket is a range of ranks, so the slots it can meet are known beforehand; pieces and slots are joined on
+length and bucket, by which the pieces lie already, and nothing is broadcast but the counts, at most one for each length.
 
 A document's tokens are its subword ids and one end id. Documents of more than `size` tokens are cut into pieces of
 `size`, the first piece being the shorter one. Null or empty text is the end id alone. Rows with a null doc_id and
@@ -98,23 +100,26 @@ def plan(histogram: dict[int, int], size: int = 2048) -> tuple[list[tuple[int, i
     return slots, opened
 
 
-def pack(docs: DataFrame, path: str | None = None, size: int = 2048, end_id: int = 0, buckets: int = 64) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, size: int = 2048, end_id: int = 0, bucket_rows: int = 20_000) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     cut = stored(pieces(docs, path or tokenizer_path(), size, end_id), "pieces")
-    cut = cut.withColumn("bucket", F.pmod("row_hash", F.lit(buckets)))
+    histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `size` rows
+    many = spark.createDataFrame([(n, -(-c // bucket_rows)) for n, c in histogram.items()], "length long, buckets long")
+    cut = cut.join(F.broadcast(many), "length").withColumn("bucket", F.pmod("row_hash", "buckets")).drop("buckets")
     counts = cut.groupBy("length", "bucket").count()
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "row_hash", "piece")
-    ranked = cut.withColumn("in_bucket", F.row_number().over(within)).join(F.broadcast(offsets), ["length", "bucket"])
-    ranked = ranked.withColumn("rank", F.col("base") + F.col("in_bucket") - 1)
+    offsets = counts.select("length", "bucket", "count", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
 
-    histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
     slots, _ = plan(histogram, size)
     slot_rows = spark.createDataFrame(slots, "length long, first_rank long, ranks long, first_sequence long, per long, slot_offset long")
-    j = F.col("rank") - F.col("first_rank")
-    taken = ranked.join(F.broadcast(slot_rows), "length").filter((j >= 0) & (j < F.col("ranks")))
+    met = (F.col("first_rank") < F.col("base") + F.col("count")) & (F.col("base") < F.col("first_rank") + F.col("ranks"))
+    places = offsets.join(slot_rows, "length").filter(met).drop("count")
+
+    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "row_hash", "piece")
+    ranked = cut.withColumn("in_bucket", F.row_number().over(within))
+    j = F.col("base") + F.col("in_bucket") - 1 - F.col("first_rank")
+    taken = ranked.join(places, ["length", "bucket"]).filter((j >= 0) & (j < F.col("ranks")))
     return taken.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.floor(j / F.col("per"))).alias("sequence_id"), (F.col("slot_offset") + F.pmod(j, F.col("per")) * F.col("length")).alias("offset"))
 
 

@@ -6,7 +6,7 @@ it (the DDSketch of Masson, Rim and Lee, 2019). A sketch is a set of bin counts.
 the same for any partitioning. A group's sketch is merged with that of its language, scaled to `PRIOR` documents, and a
 language's with that of all documents likewise, so that small groups lean on larger ones and large ones on themselves.
 From the merged sketch come the quartiles, and from these the fences, REACH times the interquartile range beyond the
-quartiles and one step of `RESOLUTION` more. A document outside a fence is rejected by joining it with the thresholds of
+quartiles and one step more. A document outside a fence is rejected by joining it with the thresholds of
 its language and source. No fence is fixed: in a group whose texts are all alike they lie one step beside the quartiles.
 
 The sketches leave out documents that fail the base rules (too short, or mostly repeated windows): these go anyway.
@@ -33,11 +33,10 @@ GAMMA = (1 + ALPHA) / (1 - ALPHA)
 #: Documents that the sketch of the language weighs in a group's, and that of all documents in a language's.
 PRIOR = 100
 REACH = 8.0
-#: Symbols a word, share of upper case among letters, characters a word.
-MEASURES = ("symbol_rate", "upper_rate", "word_length")
 MIN_WORDS = 50
-#: What one character more changes in the shortest text that is judged.
-RESOLUTION = 1 / MIN_WORDS
+#: Symbols a word, share of upper case among letters and characters a word, with the step of each: one symbol or capital
+#: in the shortest text that is judged, half a character a word.
+MEASURES = {"symbol_rate": 1 / MIN_WORDS, "upper_rate": 1 / MIN_WORDS, "word_length": 0.5}
 
 _SPACE = b" \t\n\r\x0b\x0c"
 _SYMBOLS = b"#*$%&|<>"
@@ -142,9 +141,9 @@ def thresholds(measures: DataFrame) -> DataFrame:
     lang = own.groupBy("_lang", "measure", "bin").agg(F.sum("n").alias("n"))
     merged = _blended(own, ["_lang", "_source"], _blended(lang, ["_lang"], everything, []), ["_lang"])
     q = _quartiles(merged, ["_lang", "_source"])
-    reach = (F.col("q75") - F.col("q25")) * REACH + RESOLUTION
+    reach = lambda m: (F.col("q75") - F.col("q25")) * REACH + MEASURES[m]
     of = lambda m, x: F.max(F.when(F.col("measure") == m, x))
-    return q.groupBy("_lang", "_source").agg(*[of(m, x).alias(f"{name}_{m}") for m in MEASURES for name, x in (("min", F.col("q25") - reach), ("max", F.col("q75") + reach))])
+    return q.groupBy("_lang", "_source").agg(*[of(m, x).alias(f"{name}_{m}") for m in MEASURES for name, x in (("min", F.col("q25") - reach(m)), ("max", F.col("q75") + reach(m)))])
 
 
 def judged(measures: DataFrame, fences: DataFrame) -> DataFrame:
@@ -179,7 +178,7 @@ def oracle_sql() -> str:
     blend = lambda keys, src, prior, on: f"""SELECT {keys}, measure, bin, sum(n)::BIGINT AS n FROM (SELECT {keys}, measure, bin, n * 1000000 AS n FROM {src} UNION ALL
         SELECT {keys}, measure, bin, round(n::DOUBLE / total * {PRIOR * 1_000_000})::BIGINT FROM (SELECT DISTINCT {keys}, measure FROM {src}) g
         JOIN (SELECT *, sum(n) OVER (PARTITION BY {on}) AS total FROM {prior}) p USING ({on})) GROUP BY ALL"""
-    fences = ", ".join(f"max(CASE WHEN measure = '{m}' THEN {x} END) AS {name}_{m}" for m in MEASURES for name, x in (("lo", "q25 - reach"), ("hi", "q75 + reach")))
+    fences = ", ".join(f"max(CASE WHEN measure = '{m}' THEN {x} END) AS {name}_{m}" for m in MEASURES for name, x in (("lo", f"q25 - ((q75 - q25) * {REACH} + {MEASURES[m]})"), ("hi", f"q75 + ((q75 - q25) * {REACH} + {MEASURES[m]})")))
     bound = lambda b: f"CASE WHEN {b} = -1000 THEN 0 ELSE pow({GAMMA!r}, {b}) END"
     return f"""
 WITH w AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text,
@@ -201,7 +200,7 @@ everything AS (SELECT measure, bin, sum(n)::BIGINT AS n FROM own GROUP BY ALL),
 lang2 AS ({blend("lang", "bylang", "everything", "measure")}), merged AS ({blend("lang, source", "own", "lang2", "lang, measure")}),
 run AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bin) AS below, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM merged),
 q AS (SELECT lang, source, measure, min(CASE WHEN below * 4 >= total THEN bin END) AS b25, min(CASE WHEN below * 4 >= total * 3 THEN bin END) AS b75 FROM run GROUP BY ALL),
-val AS (SELECT lang, source, measure, {bound("b25")} AS q25, {bound("b75")} AS q75, (q75 - q25) * {REACH} + {RESOLUTION} AS reach FROM q),
+val AS (SELECT lang, source, measure, {bound("b25")} AS q25, {bound("b75")} AS q75 FROM q),
 fence AS (SELECT lang, source, {fences} FROM val GROUP BY lang, source)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
     NOT base_failed AND {" AND ".join(f"coalesce({x} BETWEEN lo_{x} AND hi_{x}, true)" for x in MEASURES)} AS kept

@@ -158,7 +158,35 @@ def test_quality_counts(odd, none):
     assert quality.judge(none).count() == 0 and quality.filter_documents(none).count() == 0
 
 
-def test_leaks(spark, odd, none):
+def test_fences_follow_their_source(spark):
+    """Sources have fences of their own, and moving one source's texts moves its verdicts alone."""
+
+    def verdicts(symbols):
+        rows = []
+        for source in ("plain", "shop"):
+            for i in range(300):
+                ws = sentence(9000 + i, 100).split()
+                some = symbols if source == "shop" else 0
+                ws[: some + i % 3] = [w + "$" for w in ws[: some + i % 3]]
+                rows.append((i, " ".join(ws), "en", source))
+            rows.append((900, " ".join(w + "$" * (j % 10 < 3) for j, w in enumerate(sentence(9900, 100).split())), "en", source))
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        measures = quality.with_measures(quality.measured(docs, ("doc_id", "lang", "source")))
+        fences = {r["_source"]: r for r in quality.thresholds(measures).collect()}
+        kept = {(r["source"], r["doc_id"]): r["kept"] for r in quality.judged(measures, quality.thresholds(measures)).collect()}
+        return fences, kept
+
+    (_, before), (fences, after) = verdicts(0), verdicts(30)
+    assert fences["shop"]["max_symbol_rate"] > fences["plain"]["max_symbol_rate"] + 0.1
+    assert not before[("shop", 900)] and not before[("plain", 900)]
+    assert after[("shop", 900)] and not after[("plain", 900)]
+    assert all(v for k, v in after.items() if k[1] < 300)
+
+
+@pytest.mark.parametrize("broadcast_words", [200_000, 0])
+def test_leaks(spark, odd, none, monkeypatch, broadcast_words):
+    """The same by broadcast and by shuffle."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", broadcast_words)
     item = sentence(50, 30)
     bench = spark.createDataFrame([(1, item), (2, "tiny item"), (3, None), (4, ""), (5, sentence(51, 40))], "item_id long, text string")
     w = item.split()
@@ -171,10 +199,14 @@ def test_leaks(spark, odd, none):
         (6, item + " " + item),
         (7, None),
         (8, ""),
+        (9, "again and again and again and again and again and again so it goes on and on and on"),
     ]
+    bench = bench.unionByName(spark.createDataFrame([(6, "and again and again and again and again and again and again so it goes on and on")], "item_id long, text string"))
     docs = spark.createDataFrame([(*t, "x") for t in texts], "doc_id long, text string, item_id string")
     got = {(r["doc_id"], r["item_id"]): (round(r["similarity"], 6), r["word_start"]) for r in decontaminate.leaks(docs, bench).collect()}
-    assert got == {(1, 1): (1.0, 50), (4, 2): (1.0, 1), (6, 1): (1.0, 0)}
+    assert got == {(1, 1): (1.0, 50), (4, 2): (1.0, 1), (6, 1): (1.0, 0), (9, 6): (round(13 / 15, 6), 0)}
+    mixed = spark.createDataFrame([(1, item, "x"), (1, sentence(70, 60), "x"), (None, item, "x"), (None, sentence(71, 60), "x")], "doc_id long, text string, item_id string")
+    assert sorted(r["text"] for r in decontaminate.without_leaks(mixed, bench).collect()) == sorted([sentence(70, 60), sentence(71, 60)])
     assert sorted(r["doc_id"] for r in decontaminate.without_leaks(docs, bench).collect()) == sorted({t[0] for t in texts} - {k[0] for k in got})
     assert decontaminate.leaks(odd, bench).count() == 0 and decontaminate.leaks(none, bench).count() == 0
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
@@ -414,6 +446,8 @@ def test_language_id(spark, odd, none):
     assert {r["doc_id"] for r in rows if r["lang_pred"] == "und"} == {4, 5, 6} and all(0 <= r["score"] <= 1 for r in rows)
     assert lang_id.identify(none, model).count() == 0
     assert {r["lang_pred"] for r in lang_id.identify(odd, lang_id.train(none)).collect()} == {"und"}
+    numbers = spark.createDataFrame([(1, "½ ² Ⅷ 12 _ ٣"), (2, "½ é")], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in lang_id.identify(numbers, model).orderBy("doc_id").collect()] == [True, False]
 
 
 def test_code_lengths_equal_brute_force():
@@ -426,7 +460,8 @@ def test_code_lengths_equal_brute_force():
             grams[(lang, int.from_bytes(g, "big"))] += 1
             for k in range(4):
                 seen.setdefault((lang, g[3 - k : 3]), collections.Counter())[g[3]] += 1
-    model = lang_id.Model.of([(lang, g, n) for (lang, g), n in grams.items()], 10_000)
+    langs = sorted(texts)
+    model = lang_id.Model.of(langs, *(np.array(c, np.int64) for c in zip(*((langs.index(lang), g, n) for (lang, g), n in grams.items()), strict=True)))
 
     def p(lang, context, s):
         c = seen.get((lang, context), {})
@@ -436,7 +471,7 @@ def test_code_lengths_equal_brute_force():
         shorter = p(lang, context[1:], s) if context else 1 / 256
         return len(c) / (total + len(c)) * shorter if total else shorter
 
-    ask = [b"banana", b"z", b"abra zoo"]
+    ask = [b"banana", b"z", b"abra zoo", b"zzqa ob", b"nd zeb", b"aboooz"]
     for row, t in zip(model.code_lengths(ask), ask, strict=True):
         padded = b"   " + t
         for lang, bits in zip(model.languages, row, strict=True):

@@ -6,12 +6,13 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pytest
 
 import corpus_pipeline
 from sievework.llm import decontaminate, quality
 from sievework.llm.subwords import Subwords, tokenizer_path
 
-from .test_operators import DATA, brute_components
+from .test_operators import DATA, brute_components, sentence
 
 
 def test_run_equals_brute_force(spark):
@@ -51,3 +52,34 @@ def test_repeated_rows_leave_one(spark):
     text = " ".join(f"word{i}" for i in range(80))
     docs = spark.createDataFrame([(5, text, "en", "a", 1), (5, text, "en", "a", 1), (6, text + " more", "en", "a", 1), (None, text, "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(str(r["doc_id"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect()) == ["5", "None"]
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def text(seed, n=90):
+    return sentence(seed, n)
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_text(spark):
+    a, b = text(1), text(2)
+    docs = spark.createDataFrame([(3, a, "en", "s", 1), (5, a + " more", "en", "s", 1), (5, b, "en", "s", 1), (5, b.upper(), "en", "s", 1), (7, "", "en", "s", 1), (7, "", "en", "s", 1), (8, None, "en", "s", 1)], DOCUMENTS)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, DATA)
+    assert got.columns == docs.columns
+    rows = sorted((r["doc_id"], r["text"] or "") for r in got.collect())
+    assert [i for i, _ in rows] == [3, 5, 7, 7, 8] and rows[0][1] == a and rows[1][1].lower() == b
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows(spark, stage):
+    """Nulls, blanks, long texts, repeats, an empty table and columns whose names the stages use themselves."""
+    schema = DOCUMENTS + ", doc string, id int, key long, group string, rows int, text_key int, kept boolean, lang_pred string"
+    extra = ("d", 1, 2, "g", 3, 4, False, "xx")
+    rows = [(1, text(1), "en", "s", 1), (1, text(1), "en", "s", 1), (None, text(1), None, None, None), (2, None, "en", "s", 1), (3, "", None, "s", 1), (4, " \n", "en", None, 1), (5, text(5, 20_000), "en", "s", 1), (6, "½ 12", "en", "s", 1)]
+    docs = spark.createDataFrame([(*r, *extra) for r in rows], schema)
+    got = stage(spark, docs, DATA)
+    last = stage is corpus_pipeline.STAGES[-1][1]
+    assert last or got.columns == docs.columns
+    n = got.count()
+    assert {"identify_language": n == 4, "apply_quality_rules": n == 4, "drop_near_duplicates": n == 7, "decontaminate_benchmark": n == 8, "pack_sequences": n >= 8}[stage.__name__]
+    assert stage(spark, docs.limit(0), DATA).count() == 0
