@@ -52,17 +52,21 @@ def decremented(expr: Column) -> Column:
     e = F.trim(expr)
     return (
         F.when(e.rlike(r"^\d+$"), (e.try_cast("long") - 1).cast("string"))
-        .when(e.rlike(r"\+ ?1$") & ~e.rlike(r"[-*/(]"), F.rtrim(F.regexp_replace(e, r"\s*\+ ?1$", "")))
-        .when(e.rlike(r"^[A-Za-z_][A-Za-z0-9_.]*$"), F.concat(e, F.lit(" - 1")))
+        .when(e.rlike(r"(?s)^.+\+\s*1$"), F.trim(F.regexp_replace(e, r"\s*\+\s*1$", "")))
+        .when(e.rlike(r"^[A-Za-z_]\w*$"), F.concat(e, F.lit(" - 1")))
         .otherwise(F.concat(F.lit("("), e, F.lit(") - 1")))
     )
 
 
 def terminal_safe(text: Column) -> Column:
-    """Text without ANSI sequences; CRLF as LF; other control and bidirectional characters as U+FFFD."""
-    x = F.regexp_replace(text, r"\x1B(?:\[[0-?]*[ -/]*[@-~]|\][^\x07\x1B]*(?:\x07|\x1B\\)|[@-Z\\-_])", "")
-    x = F.regexp_replace(x, r"\r\n", "\n")
-    return F.regexp_replace(x, r"[\x00-\x08\x0B-\x1F\x7F-\x9F‎‏‪-‮⁦-⁩]", "�")
+    """Text without the control sequences and two-character escapes of ECMA-48; CRLF as LF.
+
+    A lone carriage return, other control characters and the bidirectional embeddings and overrides become U+FFFD.
+    Isolates and direction marks stay: right-to-left text needs them.
+    """
+    x = F.regexp_replace(text, r"\x1B\[[0-9;?]*[ -/]*[@-~]|\x1B[@-Z\\-_]", "")
+    x = F.replace(x, F.lit("\r\n"), F.lit("\n"))
+    return F.regexp_replace(x, r"[\x00-\x08\x0B-\x1F\x7F-\x9F\u202A-\u202E]", "\ufffd")
 
 
 def tier(conf: Column) -> Column:

@@ -71,10 +71,11 @@ def orphans(items: DataFrame, key: str, references: DataFrame, reference: str) -
 
 def regressions(new: DataFrame, base: DataFrame, key: list[str], place: list[str]) -> DataFrame:
     """New rows by verdict: `introduced` if the baseline lacks the key, `moved` if it has the key but not at that place."""
-    keys = base.select(*key).distinct().withColumn("_key", F.lit(True))
-    places = base.select(*key, *place).distinct().withColumn("_place", F.lit(True))
-    seen = new.join(keys, key, "left").join(places, key + place, "left")
-    return seen.withColumn("verdict", F.when(F.col("_key").isNull(), "introduced").when(F.col("_place").isNull(), "moved").otherwise("kept")).drop("_key", "_place")
+    named = lambda columns: F.to_json(F.struct(*[F.col(c).cast("string").alias(str(i)) for i, c in enumerate(columns)]))  # noqa: E731  nulls equal nulls
+    keys = base.select(named(key).alias("_k")).distinct().withColumn("_key", F.lit(True))
+    places = base.select(named(key + place).alias("_p")).distinct().withColumn("_place", F.lit(True))
+    seen = new.withColumn("_k", named(key)).withColumn("_p", named(key + place)).join(keys, "_k", "left").join(places, "_p", "left")
+    return seen.withColumn("verdict", F.when(F.col("_key").isNull(), "introduced").when(F.col("_place").isNull(), "moved").otherwise("kept")).drop("_key", "_place", "_k", "_p")
 
 
 def count_changes(new: DataFrame, base: DataFrame, key: str) -> DataFrame:
@@ -120,9 +121,9 @@ def interval_pairs(claims: DataFrame, messages: DataFrame, tag: str, at: str, se
     """
     unix = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
     c = claims.select(tag, F.col(at).alias("claimed_at"), F.explode(F.array(*[F.floor(unix(at) / seconds) + i for i in (-1, 0, 1)])).alias("_bucket"))
-    m = messages.withColumn("_bucket", F.floor(unix(at) / seconds))
+    m = messages.withColumn("_bucket", F.floor(unix(at) / seconds)).withColumn("_row", F.monotonically_increasing_id())
     joined = m.join(c.withColumnRenamed(tag, "_tag").select("_tag", "claimed_at", F.col("_bucket").alias("_b")), (F.col("_tag") == F.col(tag)) & (F.col("_b") == F.col("_bucket")) & F.expr(f"{at} between claimed_at - interval {seconds} seconds and claimed_at + interval {seconds} seconds"), "left")
-    return joined.groupBy(*messages.columns).agg(F.count("claimed_at").alias("n_claims"))
+    return joined.groupBy("_row", *messages.columns).agg(F.count("claimed_at").alias("n_claims")).drop("_row")
 
 
 def forward_filled(df: DataFrame, keys: list[str], order: str, value: Column, name: str) -> DataFrame:

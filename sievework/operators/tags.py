@@ -9,11 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)\b[^>]*?(/?)>")
+# Elements without content, after the HTML standard.
 STANDALONE = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
 def walk(text: str, standalone: frozenset[str]) -> list[tuple[int, str, str]]:
-    """(offset, problem, tag): `unexpected` close without an opener, `mismatched` closes popped on the way to one, `unclosed` at the end."""
+    """(offset, problem, tag): `unexpected` close while nothing is open, `mismatched` close of another than the innermost, `unclosed` at the end.
+
+    A mismatched close closes all up to its opener, or the innermost alone if it has none.
+    """
     found, stack = [], []
     for m in _TAG.finditer(text):
         tag = m[2].lower()
@@ -22,12 +26,10 @@ def walk(text: str, standalone: frozenset[str]) -> list[tuple[int, str, str]]:
         if not m[1]:
             stack.append((m.start(), tag))
             continue
-        depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][1] == tag), None)
-        if depth is None:
-            found.append((m.start(), "unexpected", tag))
-            continue
-        found += [(at, "mismatched", t) for at, t in stack[depth + 1 :]]
-        del stack[depth:]
+        if not stack or stack[-1][1] != tag:
+            found.append((m.start(), "mismatched" if stack else "unexpected", tag))
+        depth = max((i for i, x in enumerate(stack) if x[1] == tag), default=len(stack) - 1)
+        del stack[max(depth, 0) :]
     return found + [(at, "unclosed", t) for at, t in stack]
 
 

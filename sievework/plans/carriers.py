@@ -227,11 +227,10 @@ def literal_share(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", F.length("html").alias("n_chars"), segment.literal_chars(F.col("html")).alias("literal_chars"))
 
 
-@_q(None)
+@_q("""SELECT p_partkey, md5('a = "' || repeat(' ', length(p_name)::INT) || '" + f("", "' || repeat(' ', 5) || '") ' || repeat(' ', length(p_type)::INT + 3) || chr(10) || repeat(' ', length(p_name)::INT + 6) || chr(10) || p_brand || ' "' || repeat(' ', length(p_name)::INT)) AS masked_md5 FROM part""")
 def mask_literals(spark, sf_dir):
-    masked = segment.code_only("text")
-    kept = F.length(F.regexp_replace(masked, r"\s", ""))
-    return _t(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n_chars"), F.length(masked).alias("n_masked"), kept.alias("n_code"))
+    text = F.concat(F.lit('a = "'), "p_name", F.lit('" + f("", "it\'s/") // '), "p_type", F.lit('\n  Rem '), "p_name", F.lit("\n"), "p_brand", F.lit(' "'), "p_name")
+    return _t(spark, sf_dir, "part").select("p_partkey", F.md5(segment.code_only(text)).alias("masked_md5"))
 
 
 @_q(None)
@@ -316,9 +315,9 @@ def page_index(spark, sf_dir):
     return p.filter(~F.startswith(path, F.lit("/fr/"))).select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"))
 
 
-@_q("""SELECT doc_id, length(regexp_replace(regexp_replace(text, '\\r\\n', chr(10), 'g'), '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x9F]', '?', 'g')) AS n, md5(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS collapsed_md5 FROM documents""")
+@_q("""SELECT doc_id, md5(regexp_replace(regexp_replace('a' || chr(27) || '[1;31m' || text || chr(8238) || chr(8295) || chr(13), '\\x1B\\[[0-9;?]*[ -/]*[@-~]', '', 'g'), '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x9F\\x{202A}-\\x{202E}]', chr(65533), 'g')) AS safe_md5, md5(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS collapsed_md5 FROM documents""")
 def safe_and_collapsed(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.length(symbols.terminal_safe(F.col("text"))).cast("long").alias("n"), F.md5(F.trim(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " "))).alias("collapsed_md5"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(symbols.terminal_safe(F.concat(F.lit("a\x1b[1;31m"), "text", F.lit("\u202e\u2067\r")))).alias("safe_md5"), F.md5(F.trim(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " "))).alias("collapsed_md5"))
 
 
 @_q("""SELECT doc_id, 'no-final-newline' AS code, 'notice' AS severity, 0 AS line_no FROM documents WHERE length(text) > 0 AND NOT ends_with(text, chr(10))

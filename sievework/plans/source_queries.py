@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.functions import segment
+from sievework.functions import segment, symbols
 from sievework.operators import catalog, relational, source_code, worklist
 from sievework.plans.carriers import _t
+from sievework.sources import tables
+from sievework.streaming import messages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -452,3 +454,82 @@ def suppressed_symbols(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
     gone, active = source_code.by_declaration(p.select(F.col("p_type").alias("name")).distinct(), p.filter("p_size < 3").select(F.lower("p_type").alias("name")))
     return gone.withColumn("suppressed", F.lit(True)).unionByName(active.withColumn("suppressed", F.lit(False)))
+
+
+@_q(f"""{_S} SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_no, md5(unnest(string_split(text, chr(10)))) AS real_md5, md5(unnest(string_split(code, chr(10)))) AS masked_md5 FROM s""")
+def line_pairs(spark, sf_dir):
+    both = _source(spark, sf_dir).withColumn("code", segment.code_text("text"))
+    return tables.line_pairs(both.select("doc_id", "text", "code"), "text", "code").select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.md5("real").alias("real_md5"), F.md5("masked").alias("masked_md5"))
+
+
+@_q("""SELECT p_partkey || chr(9) || trim(regexp_replace(p_name, ' +', ' ', 'g')) || chr(9) || p_brand || ' ' || p_type || chr(9) AS value FROM part""")
+def tsv_rows(spark, sf_dir):
+    return tables.tsv_lines(_t(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit(" "), F.replace("p_name", F.lit(" "), F.lit(" \t "))).alias("n"), F.concat("p_brand", F.lit("\n"), "p_type").alias("b"), F.lit(None).alias("e")))
+
+
+@_q("""SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k, props AS raw FROM events""")
+def json_documents(spark, sf_dir):
+    from pyspark.sql import types as T
+
+    raw = _t(spark, sf_dir, "events").select("event_id", F.col("props").alias("value"))
+    return tables.documents(raw, T.StructType([T.StructField("k", T.LongType())])).select("event_id", "doc.k", "raw")
+
+
+@_q("""SELECT p_partkey FROM part WHERE p_partkey % 10 = 0 OR p_size > 40""")
+def changed_content(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("text"), "p_size")
+    old = p.filter("p_partkey % 10 != 0").withColumn("text", F.when(F.col("p_size") > 40, "old").otherwise(F.col("text")))
+    return tables.changed(p, old, "p_partkey", "text").select("p_partkey")
+
+
+@_q("""SELECT 'Doc' || p_partkey || '.md' AS path FROM part WHERE p_size <= 25 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)""")
+def stale_outputs(spark, sf_dir):
+    page = lambda c: F.concat(F.lit("Doc"), F.col(c).cast("string"), F.lit(".md"))
+    listing = _t(spark, sf_dir, "part").filter("p_size <= 25").select(page("p_partkey").alias("path"))
+    return tables.stale(listing, _t(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.upper(page("l_partkey")).alias("path")), "path", True)
+
+
+@_q("""SELECT p_partkey FROM part WHERE p_partkey % 5 IN (0, 4)""")
+def safe_paths(spark, sf_dir):
+    path = F.element_at(F.array(*map(F.lit, ["a/b..c/d", "/a/b", "a\\b", "a/../b", "..a"])), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return tables.safe_paths(_t(spark, sf_dir, "part").select("p_partkey", path.alias("path")), "path").select("p_partkey")
+
+
+@_q(f"""{_ROWS}, g AS (SELECT *, CASE WHEN line = '#tag Note' THEN 1 WHEN line = '#tag EndNote' THEN 0 END AS e FROM r), h AS (SELECT doc_id, line_no, last_value(e IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS e FROM g)
+SELECT doc_id, count(*) FILTER (e = 1) AS inside, count(*) AS lines FROM h GROUP BY doc_id""")
+def note_sections(spark, sf_dir):
+    rows = segment.sections(_source(spark, sf_dir), "text", segment.PROSE, segment.PROSE_END)
+    return rows.groupBy("doc_id").agg(F.count_if("inside").alias("inside"), F.count("*").alias("lines"))
+
+
+@_q("""SELECT p_partkey, 'kiss ' || lower(p_brand) AS low, CASE p_partkey % 3 WHEN 0 THEN 'Old.Name' END AS old, CASE p_partkey % 3 WHEN 0 THEN 'New' || p_size END AS new, CASE WHEN p_size % 2 = 0 THEN 'manual' ELSE 'high' END AS tier,
+CASE p_partkey % 6 WHEN 0 THEN (p_size - 1)::VARCHAR WHEN 1 THEN 'f(x)' WHEN 2 THEN 'i - 1' WHEN 3 THEN '(a.b) - 1' WHEN 4 THEN '(x+10) - 1' ELSE 'a*2' END AS less FROM part""")
+def symbol_functions(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    message = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Old.Name  is deprecated.\n You should use New"), size, F.lit(" instead."))).otherwise("Old.Name mentions is deprecated")
+    expr = F.element_at(F.array(size, *map(F.lit, ["f(x)+1", " i ", "a.b", "x+10", "a*2 + 1"])), (F.col("p_partkey") % 6 + 1).cast("int"))
+    d = symbols.deprecation(message)
+    return _t(spark, sf_dir, "part").select("p_partkey", symbols.folded(F.concat(F.lit("\u212aİſS "), "p_brand")).alias("low"), d["old"].alias("old"), d["new"].alias("new"), symbols.tier(F.when(F.col("p_size") % 2 == 0, "manual-only").otherwise("high")).alias("tier"), symbols.decremented(expr).alias("less"))
+
+
+@_q("""SELECT p_partkey, len(list_filter(regexp_extract_all(p_name, '[.]?[A-Za-z0-9_]+'), lambda t: lower(t) = lower(split_part(p_name, ' ', 1)))) AS n FROM part""")
+def symbol_matches(spark, sf_dir):
+    first = F.split_part("p_name", F.lit(" "), F.lit(1))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.regexp_count("p_name", symbols.symbol_pattern(first, F.lit(False))).cast("long").alias("n"))
+
+
+@_q("""SELECT user_id AS tag, max(event_type = 'purchase') AS complete FROM events GROUP BY user_id""")
+def completed_replies(spark, sf_dir):
+    return messages.completed(_t(spark, sf_dir, "events").select(F.col("user_id").alias("tag"), F.col("event_type").alias("response")), "purchase")
+
+
+@_q("""WITH s AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 2 HOUR THEN 1 ELSE 0 END AS st FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+g AS (SELECT user_id, ts, sum(st) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM s) SELECT user_id AS tag, min(ts) AS start, count(*) AS parts FROM g GROUP BY user_id, k""")
+def split_replies(spark, sf_dir):
+    return messages.replies(_t(spark, sf_dir, "events").select(F.col("user_id").alias("tag"), F.col("ts").alias("at")), "2 hours").select("tag", "start", "parts")
+
+
+@_q("""SELECT m.event_id AS seq, c.ts AS claimed_at, CASE WHEN c.ts IS NULL THEN 'out-of-band' ELSE 'trailing' END AS channel FROM events m LEFT JOIN events c ON c.event_type = 'purchase' AND c.user_id = m.user_id AND m.ts BETWEEN c.ts - INTERVAL 3600 SECOND AND c.ts + INTERVAL 3600 SECOND WHERE m.event_type = 'view'""")
+def correlated_messages(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("tag"), F.col("ts").alias("at"), "event_type")
+    return messages.correlated(e.filter("event_type = 'view'").drop("event_type"), e.filter("event_type = 'purchase'").drop("event_type"), 3600).select("seq", "claimed_at", "channel")

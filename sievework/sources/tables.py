@@ -13,7 +13,7 @@ def files(spark: SparkSession, root: str, kinds: dict[str, list[str]]) -> DataFr
     kinds maps a kind to its extensions. Files of no kind, and those in a .git folder, are left out.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    found = found.filter(~F.col("path").contains("/.git/")).dropDuplicates(["path"])
+    found = found.filter(~F.col("path").contains("/.git/"))
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     kind = F.coalesce(*[F.when(ext.isin(exts), F.lit(name)) for name, exts in kinds.items()], F.lit(None).cast("string"))
     return found.withColumn("kind", kind).filter("kind is not null").select("path", "length", "content", "kind")
@@ -22,8 +22,8 @@ def files(spark: SparkSession, root: str, kinds: dict[str, list[str]]) -> DataFr
 def decoded(df: DataFrame) -> DataFrame:
     """df(content) with text, and problem: nul, utf8 or null. A byte-order mark is dropped and flagged in has_bom."""
     text = F.col("content").cast("string")
-    has_bom = F.substring(F.hex("content"), 1, 6) == "EFBBBF"
-    problem = F.when(F.expr("instr(hex(content), '00') > 0 and exists(sequence(0, greatest(length(content) - 1, 0)), i -> substring(hex(content), 2 * i + 1, 2) = '00')"), "nul").when(~F.is_valid_utf8(text), "utf8")
+    has_bom = F.expr("startswith(content, X'EFBBBF')")
+    problem = F.when(F.expr("contains(content, X'00')"), "nul").when(~F.is_valid_utf8(text), "utf8")
     return df.withColumn("has_bom", has_bom).withColumn("problem", problem).withColumn("text", F.when(problem.isNull(), F.when(has_bom, F.substring(text, 2, 1 << 30)).otherwise(text)))
 
 
@@ -41,15 +41,19 @@ def line_pairs(df: DataFrame, real: str, masked: str) -> DataFrame:
 
 
 def headed_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Rows of an unquoted TSV by its header's names; short rows are padded with empty text; a missing column is an error."""
-    raw = spark.read.text(path)
-    header = raw.first()
-    names = header[0].split("\t") if header else []
-    if missing := [c for c in columns if c not in names]:
-        raise ValueError(f"{path} lacks {', '.join(missing)}")
-    cells = F.split("value", "\t", -1)
-    rows = raw.filter(F.col("value") != header[0])
-    return rows.select(*[F.coalesce(F.get(cells, F.lit(names.index(c))), F.lit("")).alias(c) for c in columns])
+    """Rows of unquoted TSV files, each by its own header's names; short rows are padded with empty text; a missing column is an error.
+
+    A file is one row first, so files are read in parallel and a header is told by its place.
+    """
+    whole = spark.read.option("wholetext", True).text(path)
+    lines = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n", -1)
+    heads = whole.select(F.split(F.element_at(lines, 1), "\t", -1).alias("head"))
+    lacking = F.array_except(F.array(*map(F.lit, columns)), F.col("head"))
+    if bad := heads.filter(F.size(lacking) > 0).select(lacking.alias("lacking")).first():
+        raise ValueError(f"{path} lacks {', '.join(bad['lacking'])}")
+    rows = whole.select(F.split(F.element_at(lines, 1), "\t", -1).alias("_head"), F.posexplode(lines).alias("_at", "_line")).filter("_at > 0")
+    cell = lambda c: F.get(F.split("_line", "\t", -1), (F.array_position("_head", F.lit(c)) - 1).cast("int"))
+    return rows.select(*[F.coalesce(cell(c), F.lit("")).alias(c) for c in columns])
 
 
 def tsv_lines(df: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def test_stale_needs_a_complete_build(spark):
 
 
 def test_tag_recovery():
-    assert tags.walk("<a><b></a></c><d>", frozenset()) == [(3, "mismatched", "b"), (10, "unexpected", "c"), (14, "unclosed", "d")]
+    assert tags.walk("<a><b></a></c><d>", frozenset()) == [(6, "mismatched", "a"), (10, "unexpected", "c"), (14, "unclosed", "d")]
 
 
 def test_files_and_tsv(spark, tmp_path):
