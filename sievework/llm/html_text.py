@@ -10,9 +10,10 @@ at the place of the first, so that none is differenced with itself, and get the
 
 A class or id name tells that an element is not part of an article only as a whole, or if all words it is made of do
 (`cookie-notice`, `site-footer`, but not `no-sidebar`), and not if the element is or contains an article or main
-element.
+element. Names that may or may not tell so, as of bylines, shares, related links and widgets, drop nothing: their lines
+are loose inside an article too, so that differencing judges them.
 
-Lines of an article element are not differenced: copies of an article on one host, and passages that its articles
+Other lines of an article element are not differenced: copies of an article on one host, and passages that its articles
 share, would be deleted with the template.
 
 The order is a range partitioning, so a host with very many pages is spread over tasks; the one pair that
@@ -53,22 +54,24 @@ ARTICLE = frozenset("article main".split())
 REPEATED = frozenset("li dt dd tr td th option".split())
 # Words of class and id names, and roles, of what is not part of an article.
 NOT_TEXT_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar "
-    "navigation newsletter notice notices pagination paywall popup promo promoted promotion related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads advert adverts advertisement advertising banner comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar "
+    "navigation newsletter notice notices popup promo promoted promotion reply replies respond sidebar sponsor sponsored".split()
 )
+# Words of names whose lines are differenced wherever they stand.
+JUDGED_WORDS = frozenset("breadcrumb breadcrumbs byline pagination paywall related share sharing social subscribe toolbar widget".split())
 # Words that, beside one of those in a class or id name, leave its meaning as it is.
 NEUTRAL_WORDS = frozenset("area bar block bottom box button buttons container group inner item items left link links list main outer page panel post posts right section site slot text top unit wrap wrapper".split())
 NOT_TEXT_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
-#: NAMED: dropped by its class or id name, if no article or main element is in it.
-DROPPED, INSIDE, LOOSE, NAMED = 0, 1, 2, 3
+#: NAMED: dropped by its class or id name, if no article or main element is in it. JUDGED: loose by its name.
+DROPPED, INSIDE, LOOSE, NAMED, JUDGED = 0, 1, 2, 3, 4
 
 
-def _names_no_text(value: str) -> bool:
-    """Whether one of the class or id names is that of something that is never part of an article."""
+def _names(value: str, meant: frozenset[str]) -> bool:
+    """Whether one of the class or id names is made of the meant words and neutral ones."""
     for name in value.split():
         words = set(_WORD.findall(name))
-        if not NOT_TEXT_WORDS.isdisjoint(words) and words <= NOT_TEXT_WORDS | NEUTRAL_WORDS:
+        if not meant.isdisjoint(words) and words <= meant | NEUTRAL_WORDS:
             return True
     return False
 
@@ -77,19 +80,20 @@ def _kind(tag: str, attributes: str) -> int | None:
     """What an element makes of its text, or None if it changes nothing."""
     if tag in NOT_TEXT:
         return DROPPED
-    named, main = False, tag == "main"
+    named, judged, main = False, False, tag == "main"
     if attributes and tag not in ("html", "body"):
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in NOT_TEXT_ROLES):
                 return DROPPED
-            named |= name in ("class", "id") and _names_no_text(value)
+            named |= name in ("class", "id") and _names(value, NOT_TEXT_WORDS)
+            judged |= name in ("class", "id") and _names(value, JUDGED_WORDS)
             main |= name == "role" and value == "main"
             if name == "role" and value == "article":
                 tag = "article"
     if main:
         return INSIDE
-    return NAMED if named else INSIDE if tag in ARTICLE else None
+    return NAMED if named else INSIDE if tag in ARTICLE else JUDGED if judged else None
 
 
 def text_lines(page: str | None) -> list[tuple[int, str]]:
@@ -98,14 +102,15 @@ def text_lines(page: str | None) -> list[tuple[int, str]]:
     if not page:
         return []
     stack: list[tuple[str, int | None]] = []
-    count = [0, 0, 0, 0]
+    count = [0, 0, 0, 0, 0]
+    judged = [0]  # open JUDGED elements in each open article, innermost last
     named: list[list[bool]] = []  # of each open NAMED element, whether it is dropped
     line: list[str] = []
 
     def flush() -> None:
         if line:
             if text := " ".join("".join(line).split()):
-                out.append((INSIDE if count[INSIDE] else LOOSE, text, tuple(named)))
+                out.append((INSIDE if count[INSIDE] and not judged[-1] else LOOSE, text, tuple(named)))
             line.clear()
 
     def pop_to(depth: int) -> None:
@@ -116,6 +121,10 @@ def text_lines(page: str | None) -> list[tuple[int, str]]:
                 count[kind] -= 1
                 if kind == NAMED:
                     named.pop()
+                elif kind == INSIDE:
+                    judged.pop()
+                elif kind == JUDGED:
+                    judged[-1] -= 1
 
     at = 0
     raw: str | None = None
@@ -162,9 +171,13 @@ def text_lines(page: str | None) -> list[tuple[int, str]]:
             count[kind] += 1
             if kind == NAMED:
                 named.append([True])
-            elif kind == INSIDE and not count[DROPPED]:
-                for dropped in named:
-                    dropped[0] = False
+            elif kind == JUDGED:
+                judged[-1] += 1
+            elif kind == INSIDE:
+                judged.append(0)
+                if not count[DROPPED]:
+                    for dropped in named:
+                        dropped[0] = False
         stack.append((tag, kind))
         if tag in RAW:
             raw = tag

@@ -5,10 +5,12 @@ import math
 import random
 import re
 import zlib
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sievework.llm import components, decontaminate, html_text, lang_id, licenses, lm_score, near_dup, packing, quality, sharding, url_filter
 from sievework.llm import queries as llm_queries
@@ -312,12 +314,85 @@ def test_copies_of_a_page_and_class_names(spark):
     alone = "site name\n\nown 5\n\nsite foot"
     assert got == [(1, "own 1"), (2, "own 1"), (2, "own 1"), (3, "a"), (4, "own 4"), (5, alone), (6, alone)]
     for name in ("content no-sidebar", "layout has-sidebar", "post share-enabled", "widget"):
-        assert html_text.text_lines(f"<div class='{name}'>lead<article>text<p class='social'>no</article></div>") == [(html_text.LOOSE, "lead"), (html_text.INSIDE, "text")]
+        assert html_text.text_lines(f"<div class='{name}'>lead<article>text<p class='social'>no</article></div>") == [(html_text.LOOSE, "lead"), (html_text.INSIDE, "text"), (html_text.LOOSE, "no")]
     for name in ("cookie-notice", "site-footer", "x sidebar"):
         assert html_text.text_lines(f"<div class='{name}'>no<div>no</div></div><p>text</p>") == [(html_text.LOOSE, "text")]
     assert html_text.text_lines("<div class='comments'><article class='comment'>no</article></div><main class='widget'>text</main>") == [(html_text.INSIDE, "text")]
 
 
+def test_names_that_may_be_text_are_differenced(spark):
+    """Shares and bylines of an article go where a neighbour has them too, and stay where they are the page's own."""
+    page = "<article><h1>t {0}</h1><p class='byline'>by {0}</p><p>text {0}</p><div class='share-links'>share this</div></article>"
+    rows = [(i, f"http://h/{i}", page.format(i)) for i in range(3)] + [(9, "http://lone/", page.format(9))]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"t {i}\n\nby {i}\n\ntext {i}" for i in range(3)} | {9: "t 9\n\nby 9\n\ntext 9\n\nshare this"}
+
+
+class Blocks(HTMLParser):
+    """Lines of a page by the standard library's parser: those in dropped elements left out."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.lines, self.text = [], [], ""
+
+    def cut(self):
+        if line := " ".join(self.text.split()):
+            self.lines.append(line)
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_text.BLOCK:
+            self.cut()
+            if "p" in self.open[-1:]:
+                self.open.pop()
+        if tag == "br":
+            self.text += " "
+        elif tag not in html_text.VOID:
+            self.open.append("drop" if ("class", "ad") in attrs else tag)
+            if self.open[-1] == "drop":
+                self.cut()
+
+    def handle_endtag(self, tag):
+        if tag in html_text.BLOCK:
+            self.cut()
+        while self.open and tag in [t if t != "drop" else "div" for t in self.open]:
+            if self.open.pop() in (tag, "drop"):
+                break
+
+    def handle_data(self, data):
+        if not {"head", "script", "style", "title", "nav", "footer", "drop"} & set(self.open):
+            self.text += data
+
+
+@pytest.mark.parametrize("tag", ["article", "section"])
+def test_extraction_equals_brute_force(spark, tag):
+    """All given pages, as they are, and with their articles in an element that says nothing, so that all is differenced."""
+    pages = table(spark, DATA, "pages").withColumn("html", F.replace(F.replace("html", F.lit("<article>"), F.lit(f"<{tag}><p>of this site</p>" if tag == "section" else "<article>")), F.lit("</article>"), F.lit(f"</{tag}>")))
+    rows = [(r["page_id"], r["url"], r["html"]) for r in pages.collect()]
+    lines = {}
+    for i, _, page in rows:
+        b = Blocks()
+        b.feed(page)
+        b.close()
+        b.cut()
+        lines[i] = b.lines
+    want = {i: "\n\n".join(x) for i, x in lines.items()}
+    if tag == "section":
+        order = sorted((*url_filter.split_url(u), i) for i, u, _ in rows)
+        first = {}
+        for host, path, i in order:
+            first.setdefault((host, tuple(lines[i])), (host, path, i))
+        once = sorted(first.values())
+        for at, (host, _, i) in enumerate(once):
+            near = [lines[once[j][2]] for j in (at - 1, at + 1) if 0 <= j < len(once) and once[j][0] == host]
+            gone = set().union(*(html_text.common_lines(lines[i], x) for x in near))
+            for copy in (c for h, _, c in order if h == host and lines[c] == lines[i]):
+                want[copy] = "\n\n".join(x for k, x in enumerate(lines[i]) if k not in gone)
+        assert sum("of this site" not in t for t in want.values()) > 10
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    assert got == want
+
+
 def test_common_lines_is_longest():
     def lcs(a, b):
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
@@ -402,6 +477,21 @@ def test_digest_collisions_are_told_apart(tmp_path):
     assert g.find([b"two"]).tolist() == [2]
 
 
+def test_a_million_keys(tmp_path):
+    """The mapped array finds every key of a long list, no other, and tells a forged collision in it apart."""
+    keys = [b"h%d.example" % i for i in range(1_000_000)]
+    (tmp_path / "f").write_bytes(url_filter.digest_file([*keys, b"h5.example.twin"], [*range(1_000_000), 7], [1]))
+    a = url_filter.DigestArray(str(tmp_path / "f"))
+    assert isinstance(a.digest.base, np.memmap) or isinstance(a.digest, np.memmap)
+    ask = np.random.default_rng(1).integers(0, 1_000_000, 5000).tolist()
+    assert a.find([keys[i] for i in ask]).tolist() == ask and (a.find([b"x%d.example" % i for i in ask]) == -1).all()
+    raw = np.memmap(tmp_path / "f", np.uint8, "r+")
+    at = 16 + 8 * 1 + 8 * int(np.searchsorted(a.digest, url_filter.xxhash.xxh64_intdigest(keys[5])))
+    raw[at + 8 : at + 16] = raw[at : at + 8]  # the next key now has the digest of keys[5]
+    raw.flush()
+    assert url_filter.DigestArray(str(tmp_path / "f")).find([keys[5]]).tolist() == [5]
+
+
 def test_licences(spark, odd, none):
     rows = [(1, "Copyright 2020 A. Nobody\nLICENSED under the Apache Licence, v2.0"), (2, "text\nReleased under the MIT License!\nReleased under the MIT license\nmore"), (3, "MIT"), (4, None), (5, ""), (6, "This work is licensed under the GNU GPL, version 3.0.")]
     got = {(r["doc_id"], r["license_id"]): (r["whole_text"], r["n_lines"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
