@@ -45,7 +45,7 @@ def headed_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
     A file is one row first, so files are read in parallel and a header is told by its place.
     """
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n", -1)
     heads = whole.select(F.split(F.element_at(lines, 1), "\t", -1).alias("head"))
     lacking = F.array_except(F.array(*map(F.lit, columns)), F.col("head"))
