@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import segment, symbols
-from sievework.operators import catalog, relational, source_code, worklist
+from sievework.operators import catalog, relational, replies, source_code, worklist
 from sievework.plans.carriers import _t
 from sievework.sources import tables
 from sievework.streaming import messages
@@ -533,3 +533,125 @@ def split_replies(spark, sf_dir):
 def correlated_messages(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("tag"), F.col("ts").alias("at"), "event_type")
     return messages.correlated(e.filter("event_type = 'view'").drop("event_type"), e.filter("event_type = 'purchase'").drop("event_type"), 3600).select("seq", "claimed_at", "channel")
+
+
+_ENVELOPES = [
+    ('{"tag": "a", "response": "text"}', "ok", "success", True), ('{"tag": "a", "response": {}}', "empty", "empty_response", False), ("[1]", "unknown", "unknown_response", False), ("no json", "unknown", "unknown_response", False),
+    ('{"response": {"scriptError": [{"type": "scriptCompilerWarning"}]}}', "warnings", "script_warnings", True), ('{"response": {"scriptError": [{"type": "scriptCompilerWarning"}, {"x": 1}]}}', "script_error", "script_error", False),
+    ('{"response": {"buildError": {"errors": [1], "warnings": []}}}', "errors", "project_errors", False), ('{"response": {"buildError": {"warnings": [1]}}}', "warnings", "project_warnings", True), ('{"buildError": {"errors": [], "warnings": []}}', "ok", "success", True),
+    ('{"response": {"openErrors": [{"projectError": [{"isFatal": true}]}]}}', "open_errors", "open_errors", False), ('{"response": {"openErrors": [{"projectError": [{"severity": "error"}]}]}}', "open_errors", "open_errors", True),
+    ('{"response": {"missingFiles": "icon"}}', "missing_files", "missing_files", False), ('{"response": {"buildError": {"errors": 3}}}', "unknown", "unknown_response", False), ('{"tag": "a"}', "unknown", "unknown_response", False),
+]
+_EXPECTED = ", ".join(f"({i}, '{v}', '{o}', {ok})" for i, (_, v, o, ok) in enumerate(_ENVELOPES))
+
+
+@_q(f"WITH e(i, verdict, outcome, ok) AS (VALUES {_EXPECTED}) SELECT event_id, verdict, outcome, ok FROM events JOIN e ON i = event_id % {len(_ENVELOPES)}")
+def reply_verdicts(spark, sf_dir):
+    envelope = F.element_at(F.array(*[F.lit(e[0]) for e in _ENVELOPES]), (F.col("event_id") % len(_ENVELOPES) + 1).cast("int"))
+    got = replies.classified(_t(spark, sf_dir, "events").select("event_id", envelope.alias("envelope")), "envelope")
+    return got.withColumn("o", replies.outcome("verdict", "fatal", "key")).select("event_id", "verdict", "o.outcome", "o.ok")
+
+
+@_q("""SELECT 'Fn' || p_size AS function, 'To' || arg_min(p_partkey, p_partkey) AS method, arg_min(p_partkey % 2 = 0, p_partkey) AS drop_empty FROM part WHERE p_partkey % 5 != 0 AND p_partkey % 7 != 0 GROUP BY p_size""")
+def method_specs(spark, sf_dir):
+    n = F.col("p_partkey").cast("string")
+    forms = F.when(F.col("p_partkey") % 5 == 0, "member").when(F.col("p_partkey") % 2 == 0, "global only").otherwise("both")
+    rules = _t(spark, sf_dir, "part").select("p_partkey", forms.alias("forms"), (F.col("p_partkey") % 7 != 0).alias("applies"), F.concat(F.lit("Fn"), F.col("p_size").cast("string"), F.lit("(s, n)")).alias("old"), F.concat(F.lit("String.To"), n, F.when(F.col("p_partkey") % 2 == 0, "").otherwise("(n)")).alias("new"))
+    return replies.method_spec(rules, "p_partkey")
+
+
+@_q("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN CASE WHEN c_nationkey % 2 = 0 THEN 'linked' ELSE 'unresolved' END WHEN c_custkey % 4 = 2 THEN 'linked' WHEN c_nationkey % 5 = 0 THEN 'self' ELSE 'linked' END AS state FROM customer""")
+def page_links(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation")
+    page = lambda c: F.concat(F.lit("api/Page"), F.col(c).cast("string"))
+    r, k = F.col("c_custkey") % 4, F.col("c_nationkey")
+    target = F.when(r == 0, F.concat(F.lit("/"), page("c_nationkey"))).when(r == 1, F.upper(page("c_nationkey"))).when(r == 2, F.concat(F.lit("member-"), k.cast("string"))).otherwise(F.concat(F.lit("label-"), k.cast("string")))
+    links = _t(spark, sf_dir, "customer").select("c_custkey", F.when((k % 5 == 0) & (r != 3), page("c_nationkey")).otherwise("other").alias("current"), target.alias("target"), F.when(r < 2, "doc").otherwise("ref").alias("kind"))
+    labels = n.filter("n_nationkey % 2 = 0").select(F.concat(F.lit("label-"), F.col("n_nationkey").cast("string")).alias("label"), page("n_nationkey").alias("page"))
+    anchors = n.select(F.concat(F.lit("member-"), F.col("n_nationkey").cast("string")).alias("anchor"), page("n_nationkey").alias("page"))
+    return replies.resolved_links(links, n.select(page("n_nationkey").alias("page")), labels, anchors).select("c_custkey", "state")
+
+
+@_q("""WITH m AS (SELECT p_brand, p_partkey, p_size % 4 AS r, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part),
+s AS (SELECT *, last_value(CASE r WHEN 0 THEN 'class' || n WHEN 1 THEN NULL END IGNORE NULLS) OVER w AS c, last_value(CASE r WHEN 1 THEN 'box' WHEN 2 THEN '' END IGNORE NULLS) OVER w AS o FROM m WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey))
+SELECT p_brand, p_partkey AS line_no, coalesce(c, 'stem') AS container, 'run' || p_partkey AS member FROM s WHERE r = 3 UNION ALL SELECT p_brand, p_partkey, coalesce(c, 'stem'), 'box.run' || p_partkey FROM s WHERE r = 3 AND o = 'box' UNION ALL SELECT p_brand, p_partkey, 'box', 'run' || p_partkey FROM s WHERE r = 3 AND o = 'box'""")
+def location_index(spark, sf_dir):
+    from pyspark.sql import Window
+
+    p = _t(spark, sf_dir, "part").select("p_brand", "p_partkey", (F.col("p_size") % 4).alias("r"), F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("n"))
+    line = F.when(F.col("r") == 0, F.concat(F.lit("Protected Class Class"), F.col("n").cast("string"))).when(F.col("r") == 1, "#tag Events Box").when(F.col("r") == 2, "#tag EndEvents").otherwise(F.concat(F.lit("  Private Function Run"), F.col("p_partkey").cast("string"), F.lit("() As Integer")))
+    lines = p.select("p_brand", F.col("p_partkey").alias("line_no"), F.lit("Stem").alias("stem"), line.alias("line"), line.alias("code"))
+    return replies.location_index(lines, ["p_brand"], "stem")
+
+
+@_q("""SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, value, event_id)::INT AS by_place, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id)::INT AS by_value, row_number() OVER (PARTITION BY user_id ORDER BY list_position(['error', 'purchase', 'signup', 'click', 'view'], event_type), event_type, event_id)::INT AS by_bucket FROM events""")
+def ranked_listings(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    bucket = F.array_position(F.array(*map(F.lit, ["error", "purchase", "signup", "click", "view"])), F.col("event_type"))
+    x = replies.ranked(e, ["user_id"], [F.col("ts"), F.col("value"), F.col("event_id")], "by_place")
+    x = replies.ranked(x, ["event_type"], [F.desc("value"), F.col("event_id")], "by_value")
+    return replies.ranked(x, ["user_id"], [bucket, F.col("event_type"), F.col("event_id")], "by_bucket").select("event_id", "by_place", "by_value", "by_bucket")
+
+
+@_q("""WITH u AS (SELECT p_type AS name, count(DISTINCT p_brand) AS files, count(*) AS hits, max(p_size = 50) AS live, max(p_size) > 49 AS elsewhere, substr(p_name, 1, 1) AS part FROM part GROUP BY p_type, substr(p_name, 1, 1))
+SELECT name, part, row_number() OVER (PARTITION BY part ORDER BY live, hits DESC, name)::INT AS sweep_place, row_number() OVER (PARTITION BY part ORDER BY elsewhere DESC, files, name)::INT AS suppressed_place FROM u""")
+def sweep_order(spark, sf_dir):
+    part = F.substring("p_name", 1, 1)
+    u = _t(spark, sf_dir, "part").groupBy(F.col("p_type").alias("name"), part.alias("part")).agg(F.count_distinct("p_brand").alias("files"), F.count("*").alias("hits"), F.max(F.col("p_size") == 50).alias("live"), (F.max("p_size") > 49).alias("elsewhere"))
+    x = replies.ranked(u, ["part"], [F.col("live"), F.desc("hits"), F.col("name")], "sweep_place")
+    return replies.ranked(x, ["part"], [F.desc("elsewhere"), F.col("files"), F.col("name")], "suppressed_place").select("name", "part", "sweep_place", "suppressed_place")
+
+
+@_q("""SELECT n_name AS name, NULL AS segment, n_regionkey AS region FROM nation UNION ALL SELECT c_name, c_mktsegment, NULL FROM customer""")
+def concatenated_sources(spark, sf_dir):
+    return replies.concatenated(_t(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")), _t(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))).select("name", "segment", "region")
+
+
+@_q("""SELECT doc_id, md5(replace(url_encode(t), '%2F', '/')) AS quoted_md5, md5(t) AS back_md5 FROM (SELECT doc_id, 'a/b~c*d+e (f) ' || substr(text, 1, 200) AS t FROM documents)""")
+def quoted_paths(spark, sf_dir):
+    t = F.concat(F.lit("a/b~c*d+e (f) "), F.substring("text", 1, 200))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(replies.quoted(t)).alias("quoted_md5"), F.md5(replies.unquoted(replies.quoted(t))).alias("back_md5"))
+
+
+@_q("""SELECT p_partkey, i AS place, nfc_normalize(lower(t)) AS key FROM (SELECT p_partkey, unnest([p_name, p_brand, 'E' || chr(769) || 'a']) AS t, unnest([0, 1, 2])::INT AS i FROM part)""")
+def title_keys(spark, sf_dir):
+    raw = F.concat("p_name", F.lit("\t"), "p_brand", F.lit("\tÉa"))
+    rows = replies.listed_titles(_t(spark, sf_dir, "part").select("p_partkey", raw.alias("raw")), ["p_partkey"], "raw")
+    return rows.select("p_partkey", "place", replies.same_title_key("title").alias("key"))
+
+
+@_q("""WITH o AS (SELECT DISTINCT o_orderkey AS k FROM orders), l AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), c AS (SELECT count(*) FILTER (l.k IS NULL) AS a, count(*) FILTER (o.k IS NULL) AS b, count(*) FILTER (o.k IS NOT NULL AND l.k IS NOT NULL) AS n FROM o FULL JOIN l ON o.k = l.k)
+SELECT a + n >= 1000 AS enough, n >= (a + n) * 0.99 AS mostly_present, (a + b)::DOUBLE / greatest(a + b + n, 1) <= 0.02 AS close FROM c""")
+def inventory_gates(spark, sf_dir):
+    d = relational.set_difference(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")), "k")
+    return replies.gates(d).select("enough", "mostly_present", "close")
+
+
+@_q("""SELECT p_brand, array_to_string(list_sort(list(DISTINCT r) FILTER (r IS NOT NULL)), ',') AS live_on FROM (SELECT p_brand, unnest(CASE WHEN p_size % 2 = 0 THEN ['On' || p_size % 3, 'All'] ELSE [NULL] END) AS r FROM part) GROUP BY p_brand""")
+def live_receivers(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select("p_brand", F.when(F.col("p_size") % 2 == 0, F.array(F.concat(F.lit("On"), (F.col("p_size") % 3).cast("string")), F.lit("All"))).alias("r"))
+    return replies.live_on(p, ["p_brand"], "r")
+
+
+@_q("""WITH k AS (SELECT DISTINCT p_size AS s, p_size % 2 = 0 AS event FROM part WHERE p_size > 20) SELECT o_orderkey, CASE WHEN k.s IS NULL OR o_orderkey % 3 = 0 THEN 'plain' WHEN k.event THEN 'event' ELSE 'member' END AS what FROM orders LEFT JOIN k ON k.s = o_custkey % 50""")
+def provenance_notes(spark, sf_dir):
+    target = F.concat(F.lit("Class.M"), (F.col("o_custkey") % 50).cast("string"))
+    note = F.when(F.col("o_orderkey") % 3 == 0, "no such sentence").otherwise("From X; checked against the documentation index, which lists Old.Thing as a documented member. Imported because of y.")
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", target.alias("target"), note.alias("note"))
+    known = _t(spark, sf_dir, "part").filter("p_size > 20").select(F.concat(F.lit("class.m"), F.col("p_size").cast("string")).alias("name"), F.when(F.col("p_size") % 2 == 0, "event").otherwise("method").alias("kind")).distinct()
+    got = replies.rewritten_notes(rows, known, "note", "target")
+    said = F.regexp_extract("note", r"lists Class\.M\d+ as a documented (member|event)\. Imported", 1)
+    return got.select("o_orderkey", F.when(F.col("rewritten"), said).otherwise("plain").alias("what"))
+
+
+@_q("""SELECT doc_id, 1::BIGINT AS added, 1::BIGINT AS removed FROM documents""")
+def changed_lines(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"), F.concat(F.lit("new first line "), "text").alias("b"))
+    return replies.unified_diffs(d, ["doc_id"], "a", "b").select("doc_id", "added", "removed")
+
+
+@_q("""SELECT p_partkey FROM part WHERE p_size % 5 NOT IN (0, 1, 2)""")
+def matrix_in_scope(spark, sf_dir):
+    say = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("p_size") % 5 + 1).cast("int"))
+    m = _t(spark, sf_dir, "part").select("p_partkey", say(["A.B", "Xojo.Math.Max", "Class.Return(x)", "C.D", "E"]).alias("old"), say(["Out of scope", "Removed", "Removed", "Removed", "Removed"]).alias("cat"))
+    return catalog.in_scope(m, ["Out of scope", "IDE handles"], source_code.KEYWORDS).select("p_partkey")
