@@ -30,16 +30,19 @@ from pyspark.sql import functions as F
 
 from .common import batches, table
 
-#: Word characters that are numbers, as of fractions and Roman numerals, and no letters.
-_NUMBERS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Word characters that are numbers, as of fractions and Roman numerals, and no letters: few texts have one.
+_NUMBERS = [c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+_NUMBER = re.compile("[" + "".join(_NUMBERS) + "]")
+_MAYBE_NUMBER = re.compile("[" + "".join(c for c in _NUMBERS if c < "\U00010000") + "]|[\U00010000-\U0010ffff]")
 ORDER = 3
 #: Languages beyond this number are an error: the model table grows with them.
 MAX_LANGUAGES = 200
 
 
 def normalise(text: str | None) -> bytes:
-    return " ".join(_LETTERS.findall(text.lower())).encode() if text else b""
+    words = " ".join(_LETTERS.findall(text.lower())) if text else ""
+    return (" ".join(_NUMBER.sub(" ", words).split()) if not words.isascii() and _MAYBE_NUMBER.search(words) else words).encode()
 
 
 def held_out(remainders: int = 4, held: int = 2):
