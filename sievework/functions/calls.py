@@ -73,6 +73,42 @@ def to_methods(line: str, function: str, method: str, drop_empty: bool) -> tuple
     return line, done, skipped, unclosed
 
 
+def less_one(expression: str) -> str:
+    """An index expression less one: a number as a number, a final + 1 dropped, a name minus 1, anything else in brackets."""
+    e = expression.strip()
+    if e.isascii() and e.isdigit():
+        return str(int(e) - 1)
+    if m := re.fullmatch(r"(.+?)\s*\+\s*1", e):
+        return m[1].strip()
+    return f"{e} - 1" if re.fullmatch(_NAME, e) else f"({e}) - 1"
+
+
+def to_zero_based(line: str, old: str, new: str) -> tuple[str, int, int, int, int]:
+    """The line with calls of a one-based function or method as the zero-based method `new`, its start less one.
+
+    Beside it how many were converted, skipped as their source is no name, are another function as they lack a start, or
+    do not close. What was converted is looked at again, as its arguments may hold another call.
+    """
+    done = skipped = foreign = unclosed = 0
+    for before, place in ((r"(?<=\.)", 0), (r"(?<![\w.])", 1)):
+        find, at = re.compile(rf"{before}{re.escape(old)}\s*\(", re.I), 0
+        while m := find.search(masked_line(line), at):
+            span = call_span(masked_line(line), m.start())
+            given = [x.strip() for x in arguments(line[span[0] + 1 : span[1]])] if span else []
+            at = m.end()
+            if not span:
+                unclosed += 1
+            elif len(given) <= place or not (place or given[0]):
+                foreign += 1
+            elif place and not re.fullmatch(rf"{_NAME}(?:\.{_NAME})*", given[0]):
+                skipped += 1
+            else:
+                receiver = f"{given[0]}." if place else ""
+                line = f"{line[: m.start()]}{receiver}{new}({', '.join([less_one(given[place]), *given[place + 1 :]])}){line[span[1] + 1 :]}"
+                at, done = m.start(), done + 1
+    return line, done, skipped, foreign, unclosed
+
+
 def _bound(rest: str) -> str | None:
     """The lower bound of a loop's range: its second value if it counts down; None if range or step cannot be read."""
     m = _RANGE.fullmatch(rest)

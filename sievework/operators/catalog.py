@@ -261,9 +261,3 @@ def table_rows(df: DataFrame, keys: list[str], body: str) -> DataFrame:
     rows = df.select(*keys, F.posexplode(F.split(data, "\n")).alias("_at", "_row")).filter(F.trim("_row") != "")
     cells = F.transform(F.split("_row", r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda c: F.replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), F.lit('""'), F.lit('"')))
     return rows.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("_at")).alias("row_no"), cells.alias("cells"))
-
-
-def outcome(verdict: str) -> Column:
-    """struct(ok, outcome, exit_code) of a verdict."""
-    v = F.col(verdict)
-    return F.struct((v.isin("clean", "warnings")).alias("ok"), F.when(v.isin("clean", "warnings"), "done").when(v == "errors", "project_errors").otherwise("failed").alias("outcome"), F.when(v.isin("clean", "warnings"), 0).when(v == "errors", 1).otherwise(2).alias("exit_code"))

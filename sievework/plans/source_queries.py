@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ def _q(sql: str | None):
     return register
 
 
+@F.pandas_udf("binary")
+def _packed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: b"# one\n# two\n# three\n# four\n" + zlib.compress(t.encode()))
+
+
 # Documents as source text: every line in turn plain, with a literal, in a note, under a condition, with a comment.
 _L = "'x ' || regexp_replace(x, '[^A-Za-z0-9 .]', ' ', 'g')"
 
@@ -655,3 +662,32 @@ def matrix_in_scope(spark, sf_dir):
     say = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("p_size") % 5 + 1).cast("int"))
     m = _t(spark, sf_dir, "part").select("p_partkey", say(["A.B", "Xojo.Math.Max", "Class.Return(x)", "C.D", "E"]).alias("old"), say(["Out of scope", "Removed", "Removed", "Removed", "Removed"]).alias("cat"))
     return catalog.in_scope(m, ["Out of scope", "IDE handles"], source_code.KEYWORDS).select("p_partkey")
+
+
+@_q(f"""{_CALLS}, x AS (SELECT p_partkey, CASE r WHEN 0 THEN v || '.Middle(' || (n - 1) || ')' WHEN 1 THEN 'Mid(' || v || '.Middle(1), ' || n || ', "a,b")' WHEN 2 THEN v || '.Middle(' || (n - 1) || ')' WHEN 3 THEN 'Mid(' || v || ', ' || n ELSE 'Mid("' || v || '", ' || n || ')' END AS e, (r < 3)::INT AS converted, (r IN (1, 4))::INT AS skipped, (r = 3)::INT AS unclosed FROM c)
+SELECT p_partkey, md5('For v0 = 0 To 9' || chr(10) || 'For v1 = 9 DownTo 3' || chr(10) || 'x = ' || e || chr(10) || 'Next' || chr(10) || 'Next') AS text_md5, converted::BIGINT AS converted, skipped::BIGINT AS skipped, unclosed::BIGINT AS unclosed FROM x""")
+def zero_based_calls(spark, sf_dir):
+    calling = _calling(spark, sf_dir)
+    done = source_code.zero_based(calling, ["p_partkey"], "text", "Mid", "Middle")
+    return source_code.without_risk(done, source_code.loop_audit(calling, ["p_partkey"], "text", "Mid"), ["p_partkey"]).select("p_partkey", F.md5("text").alias("text_md5"), "converted", "skipped", "unclosed")
+
+
+@_q(f"""{_S} SELECT doc_id, len(regexp_extract_all(code, '\\bThe\\b')) AS converted, len(regexp_extract_all(text, '\\bThe\\b')) - len(regexp_extract_all(code, '\\bThe\\b')) AS suppressed FROM s""")
+def edits_on_code(spark, sf_dir):
+    done = source_code.rules_applied(_source(spark, sf_dir), ["doc_id"], "text", [("the", r"\bThe\b", "That")], ignore_case=False)
+    return done.select("doc_id", F.col("converted_the").alias("converted"), F.col("suppressed_the").alias("suppressed"))
+
+
+@_q("""SELECT c_nationkey, 'sym ' || c_custkey AS name, CASE WHEN c_custkey % 2 = 0 THEN 'std:doc' ELSE 'std:label' END AS role, CASE WHEN c_custkey % 2 = 0 THEN 'api/sym ' || c_custkey ELSE 'api/page' END AS page, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'T ' || c_mktsegment END AS title FROM customer""")
+def inventory_records(spark, sf_dir):
+    n, even = F.col("c_custkey").cast("string"), F.col("c_custkey") % 2 == 0
+    record = F.when(even, F.concat(F.lit("sym "), n, F.lit(" std:doc -1 api/$ -"))).otherwise(F.concat(F.lit("sym "), n, F.lit(" std:label 1 api/page.html#a T "), "c_mktsegment"))
+    # A nation's customers in files of at most a hundred records.
+    file = F.floor(F.col("c_custkey") / 100)
+    files = _t(spark, sf_dir, "customer").groupBy("c_nationkey", file.alias("file")).agg(F.array_join(F.collect_list(record), "\n").alias("t"))
+    return tables.inventory_records(files.select("c_nationkey", _packed("t").alias("content")), ["c_nationkey"], "content")
+
+
+@_q("""SELECT '{"p_partkey":' || p_partkey || ',"p_brand":"' || p_brand || '","note":' || CASE WHEN p_size % 2 = 0 THEN 'null' ELSE '"x"' END || '}' AS value FROM part""")
+def json_reports(spark, sf_dir):
+    return tables.json_report(_t(spark, sf_dir, "part").select("p_partkey", "p_brand", F.when(F.col("p_size") % 2 != 0, "x").alias("note")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,3 +93,24 @@ def stale(listing: DataFrame, expected: DataFrame, path: str, complete: bool) ->
 def safe_paths(df: DataFrame, path: str) -> DataFrame:
     """Rows whose path is relative, has no backslash and no parent step."""
     return df.filter(~F.col(path).rlike(r"^/|\\|(^|/)\.\.(/|$)"))
+
+
+@F.pandas_udf(T.StringType())
+def _inflated(content: pd.Series) -> pd.Series:
+    """What is compressed below four lines of text."""
+    return content.map(lambda c: None if c is None else zlib.decompress(bytes(c).split(b"\n", 4)[4]).decode())
+
+
+def inventory_records(df: DataFrame, keys: list[str], content: str) -> DataFrame:
+    """(keys, name, role, page, title) of compressed inventories of a documentation; a $ at an address's end stands for the name, a title of - for none."""
+    rows = df.select(*keys, F.explode(F.split(_inflated(content), "\n")).alias("_r"))
+    part = lambda i: F.regexp_extract("_r", r"^(.+?)\s+(\S+)\s+(-?\d+)\s+?(\S*)\s+(.*)$", i)
+    rows = rows.filter(part(2) != "").select(*keys, part(1).alias("name"), part(2).alias("role"), part(4).alias("_uri"), F.trim(part(5)).alias("title"))
+    uri = F.when(F.endswith("_uri", F.lit("$")), F.concat(F.expr("left(_uri, length(_uri) - 1)"), "name")).otherwise(F.col("_uri"))
+    page = F.regexp_replace(F.split_part(uri, F.lit("#"), F.lit(1)), r"\.html$", "")
+    return rows.select(*keys, "name", "role", page.alias("page"), F.when(F.col("title") == "-", "").otherwise(F.col("title")).alias("title"))
+
+
+def json_report(df: DataFrame) -> DataFrame:
+    """One text column, value: each row as a JSON object. Write with .write.text()."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
