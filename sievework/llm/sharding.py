@@ -5,7 +5,8 @@ committed by renaming a finished file to the next version's name, which fails if
 see a whole version or the one before. Compaction puts shards into tiers by size, a tier being `fanout` times the one
 before, and merges a tier that has `fanout` shards or more into files of about the target size. Merging reads the
 shards and writes them through a narrow coalesce, without a shuffle. Shards that the newest `keep_versions` manifests
-do not name are deleted.
+do not name are deleted: at once if an older manifest names them, and after `grace_hours` if none does, as those of a
+writer that failed before its commit. Two versions are kept by default, so that readers of the one before can end.
 
 Rows, repeated ones too, pass unchanged with all their columns; nulls, empty and very long texts are data like any
 other. An empty arrival commits a version without new shards; an empty store reads as an empty table.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +29,9 @@ from .common import filesystem, fresh_path, table
 class ShardStore:
     """A folder of immutable shards under versioned manifests."""
 
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, target_bytes: int = 128 << 20, fanout: int = 4, shard_rows: int = 20_000, keep_versions: int = 1):
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, target_bytes: int = 128 << 20, fanout: int = 4, shard_rows: int = 20_000, keep_versions: int = 2, grace_hours: float = 24):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-        self.target_bytes, self.fanout, self.shard_rows, self.keep_versions = target_bytes, fanout, shard_rows, keep_versions
+        self.target_bytes, self.fanout, self.shard_rows, self.keep_versions, self.grace_hours = target_bytes, fanout, shard_rows, keep_versions, grace_hours
 
     def versions(self) -> list[int]:
         fs, p = filesystem(self.spark, f"{self.root}/manifests")
@@ -113,6 +115,12 @@ class ShardStore:
                     fs.delete(p, False)
             fs, p = filesystem(self.spark, f"{self.root}/manifests/v{v:08d}.json")
             fs.delete(p, False)
+        fs, p = filesystem(self.spark, f"{self.root}/data")
+        runs = {path.rsplit("/", 2)[1] for path in live}
+        old = (time.time() - 3600 * self.grace_hours) * 1000
+        for s in fs.listStatus(p) if fs.exists(p) else ():
+            if s.getPath().getName() not in runs and s.getModificationTime() < old:
+                fs.delete(s.getPath(), True)
 
     def read(self, version: int | None = None) -> DataFrame:
         paths = [s["path"] for s in self.manifest(version)["shards"]]
@@ -122,7 +130,7 @@ class ShardStore:
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents arrive in four batches of unequal size, are compacted, and are read back from the last version."""
     docs = table(spark, sf_dir, "documents")
-    store = ShardStore(spark, fresh_path(spark, "shards"), docs.schema, target_bytes=64 << 20)
+    store = ShardStore(spark, fresh_path(spark, "shards"), docs.schema, target_bytes=64 << 20, keep_versions=1)  # no one reads the versions between
     part = F.pmod(F.xxhash64("doc_id"), F.lit(8))
     for first, last in ((0, 3), (4, 5), (6, 6), (7, 7)):
         store.append(docs.filter(part.between(first, last)))

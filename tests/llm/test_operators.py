@@ -254,6 +254,48 @@ def test_lm_gradient_and_windows():
     assert [target[text == i][real[text == i]].tolist() for i in range(5)] == [list(range(k)) for k in (1, 15, 16, 17, 100)]
 
 
+def brute_log10(m, ids, shares, classes):
+    """log10 probability of a text's ids, one token at a time, by plain loops over its window."""
+    C, S, W, total = lm_score.CONTEXT, lm_score.STRIDE, lm_score.WIDTH, 0.0
+    before = [lm_score.BEFORE] * (C - S + 1) + list(ids)
+    for j, target in enumerate(ids):
+        window = before[j // S * S :][:C]
+        p = C - S + j % S
+        h = [m.emb[x].astype(float) + m.pos[i] for i, x in enumerate(window[: p + 1])]
+        q = h[p] @ m.wq
+        weight = np.exp([q @ (x @ m.wk) / math.sqrt(W) for x in h])
+        hidden = h[p] + sum(w * (x @ m.wv) for w, x in zip(weight / weight.sum(), h, strict=True))
+        z = hidden @ m.out + m.bias[0] + m.prior[window[p]]
+        total += (z[classes.of[target]] - math.log(np.exp(z).sum())) / math.log(10)
+        last = 0 if classes.begins[target] else classes.of_input[window[p]]
+        total += shares[last, target]
+    return total
+
+
+def test_lm_score_equals_brute_force(spark, monkeypatch):
+    """Whole texts scored by windows and batches against one token at a time."""
+    seen, fit, shares_after = {}, lm_score.fit, lm_score.Classes.shares_after
+
+    def fitted(docs, path, classes, prior):
+        seen["model"] = lm_score.Model(classes.n, fit(docs, path, classes, prior), prior)
+        seen["classes"] = classes
+        return seen["model"].flat
+
+    def kept(self, *columns):
+        seen["shares"] = shares_after(self, *columns)
+        return seen["shares"]
+
+    monkeypatch.setattr(lm_score, "fit", fitted)
+    monkeypatch.setattr(lm_score.Classes, "shares_after", kept)
+    texts = {1: sentence(1, 60), 2: "river stone", 3: "", 4: None, 5: sentence(2, 11), 6: "unseen zzyqx words"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("held_out", F.lit(False))
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(docs, docs.filter("doc_id < 6")).collect()}
+    ids_of = lm_score.WordIds(tokenizer_path("byte_bpe_50k.tiktoken"))
+    for i, t in texts.items():
+        ids = np.frombuffer(b"".join(ids_of[w] for w in words(t)) + lm_score.END_ID.to_bytes(4, "little"), "<u4").tolist()
+        assert abs(got[i] - brute_log10(seen["model"], ids, seen["shares"], seen["classes"])) < 1e-3 * len(ids)
+
+
 def test_lm_learns_from_all_text_by_subword_ids(spark):
     """One short text is enough to learn from, and ids of one class are told apart as inputs."""
     docs = spark.createDataFrame([(sentence(7, 30),)], "text string")
@@ -525,6 +567,15 @@ def test_shard_store(spark, odd, none):
     assert after["version"] > 4 and len(after["shards"]) < len(before["shards"])
     key = lambda df: sorted(map(str, df.collect()))
     assert key(store.read()) == key(odd)
+    assert store.versions() == [after["version"] - 1, after["version"]] and key(store.read(after["version"] - 1)) == key(odd)
+    lost = store._write(odd.limit(2))  # a writer that never commits
+    store.vacuum()
+    assert spark.read.parquet(lost[0]["path"]).count() > 0
+    store.grace_hours = -1
+    store.vacuum()
+    with pytest.raises(Exception):
+        spark.read.parquet(lost[0]["path"])
+    assert key(store.read()) == key(odd)
 
 
 def test_language_id(spark, odd, none):
