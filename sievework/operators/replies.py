@@ -183,3 +183,40 @@ def unified_diffs(df: DataFrame, keys: list[str], before: str, after: str) -> Da
         yield "\n".join(lines), sum(t.startswith("+") for t in body), sum(t.startswith("-") for t in body)
 
     return per_text(packed, keys, "_job", compare, "diff string, added long, removed long")
+
+
+# Fields of an open error that are fields of their own and not part of its message.
+_OWN_FIELDS = ["type", "message", "severity", "isfatal", "location", "position", "source"]
+
+
+def diagnostic_rows(items: DataFrame, raw: str, severity: str, kind: str) -> DataFrame:
+    """items with one schema for the three shapes of a diagnostic: type, message, severity, location, position, line, line_raw, column_no.
+
+    An open error may hide in an object under one key, which names its type; without a message it gets one of its plain
+    fields, and its own severity counts. A script's location is an object whose line is one too high; a project's is text,
+    and its line stands in the position.
+    """
+    x = items.withColumn("_keys", F.json_object_keys(raw)).withColumn("_at", F.get_json_object(raw, "$.message"))
+    x = x.withColumn("_inner", F.expr(f"get_json_object({raw}, concat('$.', _keys[0]))"))
+    wrapped = (F.col(kind) == "open") & F.col("_at").isNull() & (F.size("_keys") == 1) & F.startswith(F.trim("_inner"), F.lit("{"))
+    x = x.withColumn("_wrapper", F.when(wrapped, F.get("_keys", F.lit(0)))).withColumn("_body", F.when(wrapped, F.col("_inner")).otherwise(F.col(raw)))
+    at = lambda path: F.get_json_object("_body", f"$.{path}")
+    plain = F.map_filter(F.from_json("_body", T.MapType(T.StringType(), T.StringType())), lambda k, v: v.isNotNull() & ~F.lower(k).isin(_OWN_FIELDS) & ~v.rlike(r"^[\[{]"))
+    extra = F.array_join(F.transform(F.array_sort(F.map_entries(plain)), lambda e: F.concat(e["key"], F.lit(" "), e["value"])), ", ")
+    name = F.coalesce(at("type"), "_wrapper")
+    told = F.when(F.col(kind) == "open", F.concat(name, F.when(extra != "", F.concat(F.lit(" ("), extra, F.lit(")"))).otherwise("")))
+    script, own = F.col(kind) == "script", F.lower(F.trim(at("severity")))
+    sent = F.coalesce(at("location.line"), at("line")).try_cast("int")
+    column = at("location.column").try_cast("int")
+    place = F.regexp_extract(F.coalesce(at("position"), F.lit("")), r"(?i)line (\d+)", 1).try_cast("int")
+    return x.select(
+        *items.columns,
+        name.alias("type"),
+        F.coalesce(at("message"), told).alias("message"),
+        F.when((F.col(kind) == "open") & own.isin("error", "warning"), own).otherwise(F.col(severity)).alias("said"),
+        F.when(~script & ~F.startswith(F.coalesce(at("location"), F.lit("{")), F.lit("{")), at("location")).alias("location"),
+        F.when(~script, at("position")).alias("position"),
+        F.when(script, F.when(sent > 1, sent - 1).when(sent == 1, sent)).otherwise(place).alias("line"),
+        F.when(script, sent).alias("line_raw"),
+        F.when(script & (column >= 0), column).alias("column_no"),
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import segment, symbols
-from sievework.operators import catalog, relational, replies, source_code, worklist
+from sievework.operators import catalog, formatting, relational, replies, source_code, worklist
 from sievework.plans.carriers import _t
 from sievework.sources import tables
 from sievework.streaming import messages
@@ -691,3 +691,37 @@ def inventory_records(spark, sf_dir):
 @_q("""SELECT '{"p_partkey":' || p_partkey || ',"p_brand":"' || p_brand || '","note":' || CASE WHEN p_size % 2 = 0 THEN 'null' ELSE '"x"' END || '}' AS value FROM part""")
 def json_reports(spark, sf_dir):
     return tables.json_report(_t(spark, sf_dir, "part").select("p_partkey", "p_brand", F.when(F.col("p_size") % 2 != 0, "x").alias("note")))
+
+
+@_q("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'projectError' WHEN 1 THEN 'scriptCompilerError' WHEN 2 THEN 'IDE Version Conflict' END AS type, CASE event_id % 4 WHEN 0 THEN 'm' || event_id WHEN 1 THEN 'bad' WHEN 2 THEN 'IDE Version Conflict (ideVersion 1, projectVersion ' || event_id || ')' END AS message,
+CASE event_id % 4 WHEN 2 THEN 'warning' ELSE 'error' END AS said, CASE WHEN event_id % 4 = 0 THEN 'Window1.Opening' END AS location, CASE event_id % 4 WHEN 0 THEN 7 WHEN 1 THEN greatest(event_id % 5 - 1, 1) END::INT AS line, CASE WHEN event_id % 4 = 1 THEN (event_id % 5)::INT END AS line_raw, CASE WHEN event_id % 4 = 1 AND event_id % 3 > 0 THEN (event_id % 3)::INT END AS column_no FROM events WHERE event_id % 4 != 1 OR event_id % 5 > 0""")
+def normalised_diagnostics(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").filter("event_id % 4 != 1 or event_id % 5 > 0").select("event_id", (F.col("event_id") % 4).alias("r"))
+    n = lambda m: (F.col("event_id") % m).cast("string")
+    column = F.when(F.col("event_id") % 3 == 0, "-1").otherwise(n(3))
+    raw = (
+        F.when(F.col("r") == 0, F.concat(F.lit('{"type": "projectError", "message": "m'), F.col("event_id").cast("string"), F.lit('", "location": "Window1.Opening", "position": "Opening, line 7"}')))
+        .when(F.col("r") == 1, F.concat(F.lit('{"type": "scriptCompilerError", "message": "bad", "location": {"line": '), n(5), F.lit(', "column": '), column, F.lit("}}")))
+        .when(F.col("r") == 2, F.concat(F.lit('{"loadError": {"type": "IDE Version Conflict", "projectVersion": "'), F.col("event_id").cast("string"), F.lit('", "ideVersion": 1, "severity": "Warning", "more": [1]}}')))
+        .otherwise('{"other": 1, "second": 2}')
+    )
+    kind = F.element_at(F.array(*map(F.lit, ["project", "script", "open", "project"])), (F.col("r") + 1).cast("int"))
+    rows = e.select("event_id", raw.alias("raw"), F.lit("error").alias("severity"), kind.alias("kind"))
+    return replies.diagnostic_rows(rows, "raw", "severity", "kind").select("event_id", "type", "message", "said", "location", "line", "line_raw", "column_no")
+
+
+@_q("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a' || chr(13) || chr(10) || 'b' || chr(13) || chr(10) WHEN 1 THEN 'a' || chr(10) || chr(10) WHEN 2 THEN '' ELSE 'a' || chr(10) END AS added, CASE p_partkey % 4 WHEN 0 THEN 'a' || chr(10) || 'b' WHEN 2 THEN '' ELSE 'a' END AS stripped, 'Key' || p_size || '= v ' || chr(10) || ' no key' || chr(10) || 'B=c = d' AS manifest FROM part""")
+def line_policies(spark, sf_dir):
+    text = F.element_at(F.array(*map(F.lit, ["a\r\nb", "a\n\n", "", "a"])), (F.col("p_partkey") % 4 + 1).cast("int"))
+    manifest = F.concat(F.lit("  Key"), F.col("p_size").cast("string"), F.lit(" = v \n no key\nB\t=c = d"))
+    return _t(spark, sf_dir, "part").select("p_partkey", formatting.line_policy(text).alias("added"), formatting.line_policy(text, "lf", "strip").alias("stripped"), formatting.manifest_keys(manifest).alias("manifest"))
+
+
+@_q("""SELECT p_partkey, md5('#tag Module' || chr(10) || chr(9) || '#tag Method, Flags = ' || p_size || chr(10) || 'x' || p_size || chr(10) || chr(9) || '#tag EndMethod' || chr(10) || chr(9) || '#Tag Instance, a' || chr(10) || '#tag EndModule') AS formatted_md5 FROM part WHERE p_size % 3 != 0""")
+def files_to_format(spark, sf_dir):
+    n = F.col("p_size").cast("string")
+    good = F.concat(F.lit("#tag Module\n\t#tag Method, Flags = "), n, F.lit("\nx"), n, F.lit("\n\t#tag EndMethod\n\t#Tag Instance, a\n#tag EndModule"))
+    bad = F.concat(F.lit("#tag Module\n  #TAG Method, Flags = "), n, F.lit("  \nx"), n, F.lit("\n#tag EndMethod\n#tag Instance, a\n#tag EndOther"))
+    closed = F.when(F.col("p_size") % 3 == 1, F.regexp_replace(bad, "EndOther", "EndModule")).otherwise(F.concat(F.regexp_replace(good, "#Tag", "#tag")))
+    texts = _t(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 3 == 0, good).otherwise(closed).alias("text"))
+    return formatting.would_change(texts, "text", formatting.tags_indented("text")).select("p_partkey", F.md5("formatted").alias("formatted_md5"))
