@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework.functions import segment, symbols
 from sievework.operators import catalog, formatting, relational, replies, source_code, worklist
@@ -29,7 +30,7 @@ def _q(sql: str | None):
     return register
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _packed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: b"# one\n# two\n# three\n# four\n" + zlib.compress(t.encode()))
 
@@ -476,8 +477,6 @@ def tsv_rows(spark, sf_dir):
 
 @_q("""SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k, props AS raw FROM events""")
 def json_documents(spark, sf_dir):
-    from pyspark.sql import types as T
-
     raw = _t(spark, sf_dir, "events").select("event_id", F.col("props").alias("value"))
     return tables.documents(raw, T.StructType([T.StructField("k", T.LongType())])).select("event_id", "doc.k", "raw")
 
