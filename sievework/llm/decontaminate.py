@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, table
+from .common import bounded_broadcast, stored, table
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 23
 #: Up to so many words, items and their shingles are broadcast; beyond, they are shuffled.
@@ -113,6 +113,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text leaks an item; rows that share an id with one, or have none, are judged by their own text."""
     bad = _leaks(docs, benchmark).select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
+    bad = stored(bad, "leaks")  # else counted once and computed again for the join
     boxed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
     return boxed.join(bounded_broadcast(bad), F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("key") == F.col("bad_key")), "left_anti").select("doc.*")
 
