@@ -9,22 +9,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)\b[^>]*?(/?)>")
-# Elements without content, after the HTML standard.
+# Elements whose content is raw, and those without content, after the HTML standard.
+RAW = frozenset(["script", "style"])
 STANDALONE = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
 def walk(text: str, standalone: frozenset[str]) -> list[tuple[int, str, str]]:
     """(offset, problem, tag): `unexpected` close while nothing is open, `mismatched` close of another than the innermost, `unclosed` at the end.
 
-    A mismatched close closes all up to its opener, or the innermost alone if it has none.
+    A mismatched close closes all up to its opener, or the innermost alone if it has none. What stands in scripts and
+    styles is no tag.
     """
-    found, stack = [], []
-    for m in _TAG.finditer(text):
-        tag = m[2].lower()
+    found, stack, at = [], [], 0
+    while m := _TAG.search(text, at):
+        tag, at = m[2].lower(), m.end()
         if m[3] or tag in standalone:
             continue
         if not m[1]:
             stack.append((m.start(), tag))
+            if tag in RAW:
+                end = text.lower().find(f"</{tag}", at)
+                at = end if end >= 0 else len(text)
             continue
         if not stack or stack[-1][1] != tag:
             found.append((m.start(), "mismatched" if stack else "unexpected", tag))

@@ -1,9 +1,11 @@
 """Masks, calls, loops and formatting on small texts."""
 
+import collections
 import random
+from html.parser import HTMLParser
 
 from sievework.functions import calls, segment
-from sievework.operators import formatting
+from sievework.operators import formatting, tags
 
 
 def code(text):
@@ -73,3 +75,41 @@ def test_formatting_settles():
         lines += ["#tag End" + k for k in reversed(opened)]
         once = formatting.indented_tags("\n".join(lines))
         assert formatting.indented_tags(once) == once and once.count("\n") == max(len(lines) - 1, 0)
+
+
+class Stack(HTMLParser):
+    """Problems of a page by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.found = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in tags.STANDALONE:
+            self.open.append(tag)
+
+    def handle_startendtag(self, tag, attrs):
+        pass
+
+    def handle_endtag(self, tag):
+        if tag in tags.STANDALONE:
+            return
+        if not self.open:
+            self.found.append(("unexpected", tag))
+        elif self.open[-1] != tag:
+            self.found.append(("mismatched", tag))
+        while self.open and tag in self.open and self.open[-1] != tag:
+            self.open.pop()
+        self.open[-1:] = []
+
+
+def test_tag_problems_equal_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = collections.Counter()
+    for r in pages.collect():
+        s = Stack()
+        s.feed(r["html"])
+        s.close()
+        want.update((r["page_id"], *p) for p in s.found + [("unclosed", t) for t in s.open])
+    got = {(r["page_id"], r["problem"], r["tag"]): r["n"] for r in tags.problems(pages, "page_id", "html").collect()}
+    assert got == dict(want) and len(got) > 50
