@@ -137,7 +137,7 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _in_both(it: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(batch, sets of a, sets of b); the set of a run of equal a is made once."""
+    """(batch, sets of a, sets of b)."""
     for b in batches(it):
         yield b, [np.frombuffer(s, np.uint64) for s in b.column(2).to_pylist()], [np.frombuffer(s, np.uint64) for s in b.column(3).to_pylist()]
 
