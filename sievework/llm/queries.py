@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, lang_id, licenses, lm_score, near_dup, packing, quality, sharding, url_filter
+from . import binary_packing, centroids, decontaminate, divergence, html_text, lang_id, licenses, lm_score, near_dup, packing, quality, sharding, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_language_id": lang_id.op9_language_id,
     "op10_near_duplicates": near_dup.op10_near_duplicates,
+    "op11_binary_packing": binary_packing.op11_binary_packing,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_centroid_clustering": centroids.op13_centroid_clustering,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.oracle_sql(),
@@ -22,4 +25,6 @@ ORACLES: dict[str, str] = {
     "op6_url_filter": url_filter.oracle_sql(),
     "op7_license_scan": licenses.oracle_sql(),
     "op8_sharding": sharding.oracle_sql(),
+    "op12_source_divergence": divergence.oracle_sql(),
+    "op13_centroid_clustering": centroids.oracle_sql(),
 }
