@@ -7,11 +7,13 @@ than `least` documents go, with all terms that begin with them, as a longer pref
 shorter one. A term shorter than the level's width carries a closing byte, so a surviving prefix that ends with it is
 a complete term and is kept. Levels end when no prefix is left open.
 
-Each level is one pass over the texts. A task counts into a table that it hands on when it is full, so a task's
-memory does not depend on the vocabulary. If the prefixes left open by the level before are few (`shipped`), every task
-gets them and leaves the rest out; else the counts of all prefixes are joined with them.
+Each level is one pass over the texts. Prefixes of up to eight bytes are 64-bit integers, taken from all terms of a batch
+at once; longer ones are only made of terms whose eight bytes are still open. A task counts into tables that it hands on
+when they are full, so its memory does not depend on the vocabulary. If the prefixes left open by the level before are few
+(`shipped`), every task gets them and leaves the rest out; else the counts of all prefixes are joined with them.
 
-Kept terms are counted by language and source in a last pass. With V kept terms in a language and N occurrences of
+Kept terms are counted by language and source in a last pass; a task's counts leave it as arrays over `CHUNK` terms each, which
+are added up by language, source and chunk. With V kept terms in a language and N occurrences of
 them in a group, a term's share is p = 1 + floor(10^9 (count + 5) / (N + 5 V)), by long division in 64 bits, exact up to
 2^53 occurrences. Every term of a language is one row of counts by source, and the distances between all sources of a
 language add up over those rows in tasks, a block of `block` sources against all.
@@ -35,9 +37,11 @@ from .common import batches, bounded_broadcast, stored, table
 #: Documents of a language that have a kept term; ranks of terms in the result.
 LEAST, TOP = 30, 50
 #: Bytes of a prefix at each level; after the last, twice as many each time.
-WIDTHS = (3, 6, 12)
+WIDTHS = (4, 8, 16)
 #: Open prefixes or kept terms that are sent to every task; rows of a task's table of counts.
 SHIPPED, TABLE_ROWS = 200_000, 300_000
+#: Kept terms of a language whose counts travel in one row.
+CHUNK = 4096
 #: Closes a complete term; no term has this byte.
 CLOSE = b"\0"
 
@@ -49,26 +53,48 @@ def terms_of(text: bytes | None) -> list[bytes]:
     return text.translate(_TO_TERMS).split() if text else []
 
 
-class _Prefixes(dict):
-    """Term -> its prefix at this level, or None if the level before left none of it open."""
+def prefix_keys(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The prefixes of `width` bytes, at most eight, of all terms in order as big-endian integers, closed by zeros; and where each text's begin, and the end."""
+    plain = [t.translate(_TO_TERMS) if t else b"" for t in texts]
+    # A blank in front of each text and as many behind as a prefix is wide.
+    all_ = np.frombuffer(b" " + b" ".join(plain) + b" " * (width + 1), np.uint8)
+    blank = all_ == 32
+    starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    keys, inside = np.zeros(len(starts), np.uint64), np.ones(len(starts), bool)
+    for j in range(width):
+        byte = all_[starts + j]
+        inside &= byte != 32
+        keys = (keys << np.uint64(8)) | np.where(inside, byte, 0).astype(np.uint64)
+    begins = np.cumsum([1] + [len(t) + 1 for t in plain])
+    return keys, np.searchsorted(starts, begins)
 
-    def __init__(self, width: int, before: int, open_: set[bytes] | None):
-        super().__init__()
-        self.width, self.before, self.open = width, before, open_
 
-    def __missing__(self, term: bytes) -> bytes | None:
-        if len(self) >= TABLE_ROWS:
-            self.clear()
-        closed = term + CLOSE
-        wanted = len(closed) > self.before and (self.open is None or closed[: self.before] in self.open)
-        found = self[term] = closed[: self.width] if wanted else None
-        return found
+def _sorted_distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
-def _batch(keys: list[tuple], counts: list[int], names: list[str]) -> pa.RecordBatch:
-    cols = list(zip(*keys, strict=True)) if keys else [[]] * (len(names) - 1)
-    kinds = [pa.string()] * (len(names) - 2) + [pa.binary()]
-    return pa.record_batch([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(counts, pa.int64())], names)
+class _Sums:
+    """Counts by sorted 64-bit keys, added up in runs."""
+
+    def __init__(self):
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.rows = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.rows += len(keys)
+        if self.rows > TABLE_ROWS:
+            k, n = self.merged()
+            self.keys, self.counts, self.rows = [k], [n], len(k)
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.keys:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        keys, at = np.unique(np.concatenate(self.keys), return_inverse=True)
+        return keys, np.bincount(at, np.concatenate(self.counts), len(keys)).astype(np.int64)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -76,23 +102,6 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(empty("lang").alias("lang"), empty("source").alias("source"), F.col("text").cast("binary").alias("text"))
 
 
-def _handed_on(counts: dict[tuple, Counter], names: list[str], step: int = 50_000) -> Iterator[pa.RecordBatch]:
-    """The counts by group as batches of rows; the tables are empty afterwards."""
-    keys: list[tuple] = []
-    values: list[int] = []
-    for group, table_ in counts.items():
-        for k, n in table_.items():
-            if k is not None:
-                keys.append((*group, k))
-                values.append(n)
-            if len(keys) >= step:
-                yield _batch(keys, values, names)
-                keys, values = [], []
-    counts.clear()
-    if keys:
-        yield _batch(keys, values, names)
-
-
 def _shipped(rows: DataFrame, name: str, most: int) -> dict[str, set[bytes]] | None:
     """The values of column `name` by language, if there are at most `most`; else None."""
     found = rows.select("lang", name).take(most + 1)
@@ -104,33 +113,74 @@ def _shipped(rows: DataFrame, name: str, most: int) -> dict[str, set[bytes]] | N
     return by_lang
 
 
-def level(texts: DataFrame, width: int, before: int, opened: DataFrame | None, least: int, shipped: int) -> DataFrame:
-    """(lang, prefix): the prefixes of `width` bytes, or complete terms, in at least `least` documents of the language.
+def _short_prefixes(texts: DataFrame, width: int, before: int, sent: dict[str, set[bytes]] | None) -> DataFrame:
+    """(lang, prefix, n): how many of a task's texts have a term with each prefix of at most eight bytes."""
+    opened = None if sent is None else {lang: np.sort(np.array([int.from_bytes(p, "big") for p in ps], np.uint64)) for lang, ps in sent.items()}
 
-    opened: the open prefixes of `before` bytes, all of them if None.
-    """
-    sent = None if opened is None else _shipped(opened, "prefix", shipped)
+    def rows(lang: str, sums: _Sums) -> pa.RecordBatch:
+        keys, n = sums.merged()
+        return pa.record_batch([pa.repeat(lang, len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "key", "n"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, _Prefixes] = {}
-        counts: dict[tuple, Counter] = {}
+        sums: dict[str, _Sums] = {}
+        for b in batches(it):
+            keys, begins = prefix_keys(b.column(1).to_pylist(), width)
+            by_lang: dict[str, list[np.ndarray]] = {}
+            for i, lang in enumerate(b.column(0).to_pylist()):
+                if opened is None or lang in opened:
+                    by_lang.setdefault(lang, []).append(_sorted_distinct(keys[begins[i] : begins[i + 1]]))
+            for lang, parts in by_lang.items():
+                k, n = np.unique(np.concatenate(parts), return_counts=True)
+                if before:
+                    wanted = (k >> np.uint64(8 * (width - before)) & np.uint64(0xFF)) != 0  # else complete before
+                    if opened is not None:
+                        wanted &= np.isin(k >> np.uint64(8 * (width - before)), opened[lang])
+                    k, n = k[wanted], n[wanted]
+                sums.setdefault(lang, _Sums()).add(k, n.astype(np.int64))
+            if sum(x.rows for x in sums.values()) > 2 * TABLE_ROWS:
+                yield from (rows(lang, x) for lang, x in sums.items())
+                sums.clear()
+        yield from (rows(lang, x) for lang, x in sums.items())
+
+    found = texts.select("lang", "text").mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return found.select("lang", F.unhex(F.lpad(F.hex("key"), 16, "0")).alias("prefix"), "n").withColumn("prefix", F.substring("prefix", 9 - width, width))
+
+
+def _long_prefixes(texts: DataFrame, width: int, before: int, sent: dict[str, set[bytes]] | None) -> DataFrame:
+    """The same for any width; of terms that the level before left open only."""
+
+    def rows(lang: str, counts: Counter) -> pa.RecordBatch:
+        return pa.record_batch([pa.repeat(lang, len(counts)), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["lang", "prefix", "n"])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = {}
         for b in batches(it):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if sent is not None and lang not in sent:
-                    continue
-                if lang not in known:
-                    known[lang] = _Prefixes(width, before, None if sent is None else sent[lang])
-                counts.setdefault((lang,), Counter()).update(set(map(known[lang].__getitem__, set(terms_of(text)))))
+                if sent is None:
+                    counts.setdefault(lang, Counter()).update({(t + CLOSE)[:width] for t in terms_of(text) if len(t) >= before})
+                elif lang in sent:
+                    opened = sent[lang]
+                    counts.setdefault(lang, Counter()).update({(t + CLOSE)[:width] for t in terms_of(text) if len(t) >= before and t[:before] in opened})
             if sum(map(len, counts.values())) > TABLE_ROWS:
-                yield from _handed_on(counts, ["lang", "prefix", "n"])
-        yield from _handed_on(counts, ["lang", "prefix", "n"])
+                yield from (rows(lang, x) for lang, x in counts.items())
+                counts.clear()
+        yield from (rows(lang, x) for lang, x in counts.items())
+
+    return texts.select("lang", "text").mapInArrow(run, "lang string, prefix binary, n long").groupBy("lang", "prefix").agg(F.sum("n").alias("n"))
+
 
-    found = texts.select("lang", "text").mapInArrow(run, "lang string, prefix binary, n long")
-    total = found.groupBy("lang", "prefix").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+def level(texts: DataFrame, width: int, before: int, opened: DataFrame | None, least: int, shipped: int) -> DataFrame:
+    """(lang, prefix): the prefixes of `width` bytes, or complete terms closed by zero bytes, in at least `least` documents of the language.
+
+    opened: the open prefixes of `before` bytes, all of them if None.
+    """
+    sent = None if opened is None else _shipped(opened, "prefix", shipped)
+    counted = (_short_prefixes if width <= 8 else _long_prefixes)(texts, width, before, sent)
+    found = counted.filter(F.col("n") >= least)
     if opened is not None and sent is None:
         parents = opened.select("lang", F.col("prefix").alias("parent"))
-        total = total.withColumn("parent", F.substring("prefix", 1, before)).join(parents, ["lang", "parent"], "left_semi")
-    return total.select("lang", "prefix")
+        found = found.withColumn("parent", F.substring("prefix", 1, before)).join(parents, ["lang", "parent"], "left_semi")
+    return found.select("lang", "prefix")
 
 
 def frequent_terms(docs: DataFrame, least: int = LEAST, widths: tuple[int, ...] = WIDTHS, shipped: int = SHIPPED) -> DataFrame:
@@ -140,7 +190,7 @@ def frequent_terms(docs: DataFrame, least: int = LEAST, widths: tuple[int, ...]
     while True:
         found = stored(level(texts, width, before, opened, least, shipped), "prefixes")
         closed = F.substring("prefix", -1, 1) == F.lit(CLOSE)
-        kept.append(found.filter(closed).select("lang", F.expr("substring(prefix, 1, length(prefix) - 1)").alias("term")))
+        kept.append(found.filter(closed).select("lang", F.rtrim(F.col("prefix").cast("string"), F.lit("\0")).cast("binary").alias("term")))
         opened = found.filter(~closed)
         if opened.isEmpty():
             break
@@ -151,26 +201,92 @@ def frequent_terms(docs: DataFrame, least: int = LEAST, widths: tuple[int, ...]
     return stored(terms, "kept_terms")
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, shipped: int = SHIPPED) -> DataFrame:
-    """(lang, source, term, n): occurrences of the kept terms in each group."""
-    sent = _shipped(terms, "term", shipped)
+def _counts_by_name(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """term_counts() for any number of kept terms: all terms are counted and joined with the kept ones."""
+    names = ["lang", "source", "term", "n"]
+
+    def rows(group: tuple[str, str], counts: Counter) -> pa.RecordBatch:
+        return pa.record_batch([pa.repeat(group[0], len(counts)), pa.repeat(group[1], len(counts)), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple, Counter] = {}
-        names = ["lang", "source", "term", "n"]
+        counts: dict[tuple[str, str], Counter] = {}
         for b in batches(it):
             for lang, source, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                found = terms_of(text)
-                if sent is not None:
-                    found = filter(sent.get(lang, ()).__contains__, found)
-                counts.setdefault((lang, source), Counter()).update(found)
+                counts.setdefault((lang, source), Counter()).update(terms_of(text))
             if sum(map(len, counts.values())) > TABLE_ROWS:
-                yield from _handed_on(counts, names)
-        yield from _handed_on(counts, names)
-
-    found = _texts(docs).mapInArrow(run, "lang string, source string, term binary, n long")
-    total = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    return total if sent is not None else total.join(terms, ["lang", "term"], "left_semi")
+                yield from (rows(g, x) for g, x in counts.items())
+                counts.clear()
+        yield from (rows(g, x) for g, x in counts.items())
+
+    found = texts.mapInArrow(run, "lang string, source string, term binary, n long")
+    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(terms, ["lang", "term"], "left_semi")
+
+
+def _counts_by_place(texts: DataFrame, sent: dict[str, set[bytes]], chunk: int) -> DataFrame:
+    """term_counts() for kept terms that every task has, told by their place among the sorted terms of their language."""
+    listed = {lang: sorted(ts) for lang, ts in sent.items()}
+    schema = "lang string, source string, chunk int, at array<int>, n array<long>"
+
+    def arrays(group: tuple[str, str], at: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edges = np.searchsorted(at, np.arange(0, int(at[-1]) + 1 + chunk, chunk)) if len(at) else np.zeros(1, np.int64)
+        for c in range(len(edges) - 1):
+            some = slice(edges[c], edges[c + 1])
+            if len(at[some]):
+                yield pa.record_batch([pa.array([group[0]]), pa.array([group[1]]), pa.array([c], pa.int32()), pa.array([at[some].astype(np.int32)]), pa.array([n[some]])], ["lang", "source", "chunk", "at", "n"])
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = {lang: {t: i for i, t in enumerate(ts)} for lang, ts in listed.items()}
+        sums: dict[tuple[str, str], np.ndarray] = {}
+
+        def settle(counts: dict[tuple[str, str], Counter]) -> None:
+            for g, table_ in counts.items():
+                place = places[g[0]]
+                kept = [(place[t], n) for t, n in table_.items() if t in place]
+                if g not in sums:
+                    sums[g] = np.zeros(len(place), np.int64)
+                if kept:
+                    at, n = np.array(kept, np.int64).T
+                    sums[g][at] += n
+            counts.clear()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for g, dense in sums.items():
+                at = np.flatnonzero(dense)
+                yield from arrays(g, at, dense[at])
+            sums.clear()
+
+        counts: dict[tuple[str, str], Counter] = {}
+        for b in batches(it):
+            for lang, source, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if lang in places:
+                    counts.setdefault((lang, source), Counter()).update(terms_of(text))
+            if sum(map(len, counts.values())) > TABLE_ROWS:
+                settle(counts)
+                if sum(map(len, sums.values())) > 20 * TABLE_ROWS:  # sources may be many
+                    yield from out()
+        settle(counts)
+        yield from out()
+
+    def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, str, int], np.ndarray] = {}
+        for b in it:
+            cols = [b.column(i).to_pylist() for i in range(3)]
+            at, n = b.column(3), b.column(4)
+            for i, key in enumerate(zip(*cols, strict=True)):
+                acc = sums.setdefault(key, np.zeros(chunk, np.int64))
+                acc[at[i].values.to_numpy() - key[2] * chunk] += n[i].values.to_numpy()
+        for (lang, source, c), acc in sums.items():
+            at = np.flatnonzero(acc)
+            term = [listed[lang][c * chunk + j] for j in at.tolist()]
+            yield pa.record_batch([pa.repeat(lang, len(at)), pa.repeat(source, len(at)), pa.array(term, pa.binary()), pa.array(acc[at])], ["lang", "source", "term", "n"])
+
+    return texts.mapInArrow(count, schema).repartition("lang", "source", "chunk").mapInArrow(add, "lang string, source string, term binary, n long")
+
+
+def term_counts(docs: DataFrame, terms: DataFrame, shipped: int = SHIPPED, chunk: int = CHUNK) -> DataFrame:
+    """(lang, source, term, n): occurrences of the kept terms in each group."""
+    sent = _shipped(terms, "term", shipped)
+    return _counts_by_name(_texts(docs), terms) if sent is None else _counts_by_place(_texts(docs), sent, chunk)
 
 
 def share(count: Column, total: Column) -> Column:
