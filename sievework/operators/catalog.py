@@ -244,20 +244,3 @@ def final_newline(text: Column) -> Column:
     """Line endings as LF and one at the end; empty text stays empty."""
     x = F.rtrim(F.regexp_replace(text, r"\r\n?", "\n"), F.lit("\n"))
     return F.when(text == "", text).otherwise(F.concat(x, F.lit("\n")))
-
-
-def headings(lines: DataFrame, keys: list[str], line: str) -> DataFrame:
-    """Lines with title where one stands above a line of punctuation as long, found by looking ahead."""
-    w = Window.partitionBy(*keys).orderBy("line_no")
-    mark = r"^([=\-~^\"'#*+.])\1{2,}\s*$"
-    below = F.lead(line).over(w)
-    title = F.trim(line)
-    return lines.withColumn("title", F.when((title != "") & ~F.col(line).rlike(mark) & below.rlike(mark) & (F.length(F.rtrim(below)) >= F.length(title)), title))
-
-
-def table_rows(df: DataFrame, keys: list[str], body: str) -> DataFrame:
-    """keys, row_no, cells: rows of comma-separated text below a blank line; quotes hold commas, blank rows go."""
-    data = F.regexp_extract(body, r"(?s)^(?:[^\n]+\n)*\s*\n(.*)$", 1)
-    rows = df.select(*keys, F.posexplode(F.split(data, "\n")).alias("_at", "_row")).filter(F.trim("_row") != "")
-    cells = F.transform(F.split("_row", r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda c: F.replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), F.lit('""'), F.lit('"')))
-    return rows.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("_at")).alias("row_no"), cells.alias("cells"))

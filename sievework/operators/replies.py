@@ -91,26 +91,6 @@ def resolved_links(links: DataFrame, pages: DataFrame, labels: DataFrame, anchor
     return met.withColumn("state", F.when(page.isNull(), "unresolved").when(own, "self").otherwise("linked")).withColumn("page", page).drop("_t", "_l", "_exact", "_low", "_member", "_label")
 
 
-def location_index(lines: DataFrame, keys: list[str], stem: str) -> DataFrame:
-    """(container, member, line_no) of method signatures in lines(keys, stem, line_no, line, code), lower-cased.
-
-    The container is the class last declared, or the file's stem before any; a signature between event tags is also
-    indexed under the control that owns them, as a member of it and as owner.member of the container. State is carried
-    by windows over the lines of a file.
-    """
-    w = Window.partitionBy(*keys).orderBy("line_no")
-    tag = F.regexp_extract("line", r"(?i)^\s*#tag\s+events\s+([A-Za-z_]\w*)", 1)
-    ends = F.col("line").rlike(r"(?i)^\s*#tag\s+endevents\b")
-    owner = F.last(F.when(tag != "", tag).when(ends, ""), ignorenulls=True).over(w)
-    declared = F.regexp_extract("code", r"(?i)^\s*(?:(?:protected|private)\s+)?class\s+([A-Za-z_]\w*)", 1)
-    container = F.coalesce(F.last(F.nullif(declared, F.lit("")), ignorenulls=True).over(w), F.col(stem))
-    member = F.regexp_extract("code", r"(?i)^\s*(?:(?:private|protected|public|shared)\s+)*(?:sub|function)\s+([A-Za-z_]\w*)", 1)
-    rows = lines.withColumns({"_o": F.coalesce(owner, F.lit("")), "_c": container, "_m": member}).filter("_m != ''")
-    entry = lambda c, m: F.struct(F.lower(c).alias("container"), F.lower(m).alias("member"))
-    own = F.when(F.col("_o") != "", F.array(entry(F.col("_c"), F.concat("_o", F.lit("."), "_m")), entry(F.col("_o"), F.col("_m")))).otherwise(F.array())
-    return rows.select(*keys, "line_no", F.inline(F.concat(F.array(entry(F.col("_c"), F.col("_m"))), own)))
-
-
 def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "place") -> DataFrame:
     """df with the place of each row within its keys; the order must end in a column that tells rows apart."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

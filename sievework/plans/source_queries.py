@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.functions import segment, symbols
-from sievework.operators import catalog, formatting, relational, replies, source_code, worklist
+from sievework.operators import catalog, formatting, locations, pages, relational, replies, source_code, worklist
 from sievework.plans.carriers import _t
 from sievework.sources import tables
 from sievework.streaming import messages
@@ -441,13 +441,13 @@ def message_symbols(spark, sf_dir):
 def section_headings(spark, sf_dir):
     line = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Title"), F.col("turn").cast("string"))).otherwise("============")
     rows = _t(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("line_no"), line.alias("line"))
-    return catalog.headings(rows, ["conv_id"], "line").filter("title is not null").select("conv_id", "line_no", "title")
+    return pages.section_lines(rows, ["conv_id"]).filter("title is not null").select("conv_id", "line_no", "title")
 
 
 @_q("""SELECT p_partkey, unnest([1, 2])::INT AS row_no, unnest([p_name || '|a,b|' || p_size, 'x|say "hi"|' || p_brand]) AS cells FROM part""")
 def csv_tables(spark, sf_dir):
     body = F.concat(F.lit(":header: h\n:widths: 1\n\n"), "p_name", F.lit(', "a,b", '), F.col("p_size").cast("string"), F.lit('\n\nx, "say ""hi""", '), "p_brand", F.lit("\n"))
-    return catalog.table_rows(_t(spark, sf_dir, "part").select("p_partkey", body.alias("body")), ["p_partkey"], "body").select("p_partkey", "row_no", F.array_join("cells", "|").alias("cells"))
+    return pages.table_rows(_t(spark, sf_dir, "part").select("p_partkey", body.alias("body")), ["p_partkey"], "body").select("p_partkey", "row_no", F.array_join("cells", "|").alias("cells"))
 
 
 @_q("""SELECT resolution, count(*) AS n FROM (SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN 'located' WHEN c_nationkey % 3 = 1 THEN 'ambiguous' ELSE 'unresolved' END AS resolution FROM customer) GROUP BY 1""")
@@ -587,7 +587,7 @@ def location_index(spark, sf_dir):
     p = _t(spark, sf_dir, "part").select("p_brand", "p_partkey", (F.col("p_size") % 4).alias("r"), F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("n"))
     line = F.when(F.col("r") == 0, F.concat(F.lit("Protected Class Class"), F.col("n").cast("string"))).when(F.col("r") == 1, "#tag Events Box").when(F.col("r") == 2, "#tag EndEvents").otherwise(F.concat(F.lit("  Private Function Run"), F.col("p_partkey").cast("string"), F.lit("() As Integer")))
     lines = p.select("p_brand", F.col("p_partkey").alias("line_no"), F.lit("Stem").alias("stem"), line.alias("line"), line.alias("code"))
-    return replies.location_index(lines, ["p_brand"], "stem")
+    return locations.location_index(lines, ["p_brand"], "stem")
 
 
 @_q("""SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, value, event_id)::INT AS by_place, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id)::INT AS by_value, row_number() OVER (PARTITION BY user_id ORDER BY list_position(['error', 'purchase', 'signup', 'click', 'view'], event_type), event_type, event_id)::INT AS by_bucket FROM events""")
