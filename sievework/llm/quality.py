@@ -5,9 +5,15 @@ each measure is built: values fall into logarithmic bins, so that a bin's bound
 it (the DDSketch of Masson, Rim and Lee, 2019). A sketch is a set of bin counts. Merging adds counts, so the result is
 the same for any partitioning. A group's sketch is merged with that of its language, scaled to `PRIOR` documents, and a
 language's with that of all documents likewise, so that small groups lean on larger ones and large ones on themselves.
-From the merged sketch come the quartiles, and from these the fences, REACH times the interquartile range beyond the
-quartiles and one step more. A document outside a fence is rejected by joining it with the thresholds of
-its language and source. No fence is fixed: in a group whose texts are all alike they lie one step beside the quartiles.
+From the merged sketch come the quartiles, and from these the fences, REACH times the group's spread beyond them. A
+document outside a fence is rejected by joining it with the thresholds of its language and source. No number but REACH
+is fixed, and it has no unit.
+
+The spread of a measure is the interquartile range, the group's or its language's, whichever is larger, so that a source that is
+mostly copies of one text still takes others; where a language has none, that of all documents counts, and where nothing
+varies there is no fence. Symbols a word are 0 in most documents of prose and so are their quartiles: how far they may
+vary is told by all marks a word (characters that are no letters), of which symbols are some. A source of program code or
+tables, with many marks that vary much, has wide fences; one of prose has narrow ones.
 
 The sketches leave out documents that fail the base rules (too short, or mostly repeated windows): these go anyway.
 
@@ -32,15 +38,17 @@ ALPHA = 0.01
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
 #: Documents that the sketch of the language weighs in a group's, and that of all documents in a language's.
 PRIOR = 100
-REACH = 8.0
+REACH = 5.0
 MIN_WORDS = 50
-#: Symbols a word, share of upper case among letters and characters a word, with the step of each: one symbol or capital
-#: in the shortest text that is judged, half a character a word.
-MEASURES = {"symbol_rate": 1 / MIN_WORDS, "upper_rate": 1 / MIN_WORDS, "word_length": 0.5}
+#: Symbols a word, marks a word and characters a word.
+MEASURES = ("symbol_rate", "mark_rate", "word_length")
+#: The measures that have fences, and the measure whose spread sets them.
+FENCED = {"symbol_rate": "mark_rate", "word_length": "word_length"}
 
 _SPACE = b" \t\n\r\x0b\x0c"
 _SYMBOLS = b"#*$%&|<>"
-COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_cased long"
+_MARKS = bytes(c for c in range(128) if not chr(c).isalpha() and c not in _SPACE)
+COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_marks long"
 
 
 def _repeat_words(words: list[bytes]) -> int:
@@ -68,14 +76,13 @@ def _repeat_words(words: list[bytes]) -> int:
 
 def text_counts(text: str | None) -> tuple[int, ...]:
     if not text:
-        return (0,) * 8
+        return (0,) * 7
     b = text.encode()
     words = b.split()
     lines = [x for x in b.split(b"\n") if x.strip()]
     chars = len(text) - (len(b) - len(b.translate(None, _SPACE)))
-    upper = len(b) - len(b.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    lower = len(b) - len(b.translate(None, b"abcdefghijklmnopqrstuvwxyz"))
-    return len(words), chars, len(b) - len(b.translate(None, _SYMBOLS)), len(lines) - len(set(lines)), _repeat_words(words), len(lines), upper, upper + lower
+    marks = len(b) - len(b.translate(None, _MARKS))
+    return len(words), chars, len(b) - len(b.translate(None, _SYMBOLS)), len(lines) - len(set(lines)), _repeat_words(words), len(lines), marks
 
 
 def measured(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
@@ -86,8 +93,8 @@ def measured(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            counts = np.array([text_counts(t) for t in b.column(len(fields)).to_pylist()], np.int64).reshape(-1, 8)
-            yield pa.record_batch([*b.columns[: len(fields)], *(pa.array(np.ascontiguousarray(counts[:, i])) for i in range(8))], names)
+            counts = np.array([text_counts(t) for t in b.column(len(fields)).to_pylist()], np.int64).reshape(-1, 7)
+            yield pa.record_batch([*b.columns[: len(fields)], *(pa.array(np.ascontiguousarray(counts[:, i])) for i in range(7))], names)
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
@@ -98,7 +105,7 @@ def with_measures(counted: DataFrame) -> DataFrame:
         {
             "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
             "symbol_rate": ratio("n_symbols", "n_words"),
-            "upper_rate": ratio("n_upper", "n_cased"),
+            "mark_rate": ratio("n_marks", "n_words"),
             "word_length": ratio("word_chars", "n_words"),
             "_lang": F.coalesce("lang", F.lit("")),
             "_source": F.coalesce("source", F.lit("")),
@@ -135,23 +142,26 @@ def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def thresholds(measures: DataFrame) -> DataFrame:
-    """(_lang, _source, a low and a high fence per measure) of each group with a document that passes the base rules."""
+    """(_lang, _source, a low and a high fence per fenced measure) of each group with a document that passes the base rules."""
     own = stored(sketches(measures), "sketch")
     everything = own.groupBy("measure", "bin").agg(F.sum("n").alias("n"))
-    lang = own.groupBy("_lang", "measure", "bin").agg(F.sum("n").alias("n"))
-    merged = _blended(own, ["_lang", "_source"], _blended(lang, ["_lang"], everything, []), ["_lang"])
-    q = _quartiles(merged, ["_lang", "_source"])
-    reach = lambda m: (F.col("q75") - F.col("q25")) * REACH + MEASURES[m]
+    lang = stored(_blended(own.groupBy("_lang", "measure", "bin").agg(F.sum("n").alias("n")), ["_lang"], everything, []), "sketch")
+    q = _quartiles(_blended(own, ["_lang", "_source"], lang, ["_lang"]), ["_lang", "_source"])
+    range_of = lambda df, keys, name: _quartiles(df, keys).select(*keys, "measure", (F.col("q75") - F.col("q25")).alias(name))
+    spread = range_of(lang, ["_lang"], "_of_lang").join(F.broadcast(range_of(everything, [], "_of_all")), "measure")  # a row for each measure
+    q = q.join(bounded_broadcast(spread), ["_lang", "measure"])
+    q = q.withColumn("spread", F.greatest(F.col("q75") - F.col("q25"), F.coalesce(F.nullif("_of_lang", F.lit(0.0)), "_of_all")))
     of = lambda m, x: F.max(F.when(F.col("measure") == m, x))
-    return q.groupBy("_lang", "_source").agg(*[of(m, x).alias(f"{name}_{m}") for m in MEASURES for name, x in (("min", F.col("q25") - reach(m)), ("max", F.col("q75") + reach(m)))])
+    reach = lambda s: F.nullif(of(s, F.col("spread")), F.lit(0.0)) * REACH
+    fences = [f.alias(name) for m, s in FENCED.items() for name, f in ((f"min_{m}", of(m, F.col("q25")) - reach(s)), (f"max_{m}", of(m, F.col("q75")) + reach(s)))]
+    return stored(q.groupBy("_lang", "_source").agg(*fences), "fences")
 
 
 def judged(measures: DataFrame, fences: DataFrame) -> DataFrame:
-    """measures joined with their group's fences, and kept."""
-    inside = F.lit(True)
-    for m in MEASURES:
-        inside &= F.coalesce(F.col(m).between(F.col(f"min_{m}"), F.col(f"max_{m}")), F.lit(True))
-    return measures.join(bounded_broadcast(fences), ["_lang", "_source"], "left").withColumn("kept", ~F.col("base_failed") & inside)
+    """measures joined with their group's fences, with the measures outside them, and kept."""
+    outside = F.array_compact(F.array(*[F.when(~F.col(m).between(F.col(f"min_{m}"), F.col(f"max_{m}")), F.lit(m)) for m in FENCED]))
+    met = measures.join(bounded_broadcast(fences), ["_lang", "_source"], "left").withColumn("outside", outside)
+    return met.withColumn("kept", ~F.col("base_failed") & (F.size("outside") == 0))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -178,8 +188,11 @@ def oracle_sql() -> str:
     blend = lambda keys, src, prior, on: f"""SELECT {keys}, measure, bin, sum(n)::BIGINT AS n FROM (SELECT {keys}, measure, bin, n * 1000000 AS n FROM {src} UNION ALL
         SELECT {keys}, measure, bin, round(n::DOUBLE / total * {PRIOR * 1_000_000})::BIGINT FROM (SELECT DISTINCT {keys}, measure FROM {src}) g
         JOIN (SELECT *, sum(n) OVER (PARTITION BY {on}) AS total FROM {prior}) p USING ({on})) GROUP BY ALL"""
-    fences = ", ".join(f"max(CASE WHEN measure = '{m}' THEN {x} END) AS {name}_{m}" for m in MEASURES for name, x in (("lo", f"q25 - ((q75 - q25) * {REACH} + {MEASURES[m]})"), ("hi", f"q75 + ((q75 - q25) * {REACH} + {MEASURES[m]})")))
     bound = lambda b: f"CASE WHEN {b} = -1000 THEN 0 ELSE pow({GAMMA!r}, {b}) END"
+    of = lambda m, x: f"max(CASE WHEN measure = '{m}' THEN {x} END)"
+    fences = ", ".join(f"{of(m, q)} {sign} nullif({of(s, 'spread')}, 0) * {REACH} AS {name}_{m}" for m, s in FENCED.items() for name, q, sign in (("lo", "q25", "-"), ("hi", "q75", "+")))
+    quartiles = lambda keys, src: f"""SELECT {keys}measure, {bound("min(CASE WHEN below * 4 >= total THEN bin END)")} AS q25, {bound("min(CASE WHEN below * 4 >= total * 3 THEN bin END)")} AS q75
+        FROM (SELECT *, sum(n) OVER (PARTITION BY {keys}measure ORDER BY bin) AS below, sum(n) OVER (PARTITION BY {keys}measure) AS total FROM {src}) GROUP BY ALL"""
     return f"""
 WITH w AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text,
         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
@@ -189,19 +202,17 @@ twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY d
 rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, (VALUES (0), (1), (2)) v(j) GROUP BY doc_id),
 c AS (SELECT w.doc_id, lang, source, len(ws) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
-        coalesce(rep.n, 0) AS n_repeat_words, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS up,
-        length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g')) AS cased FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
+        coalesce(rep.n, 0) AS n_repeat_words, length(text) - length(regexp_replace(text, '[\\x00-\\x08\\x0E-\\x1F!-@\\[-`{{-\\x7F]', '', 'g')) AS marks FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
 m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
         CASE WHEN n_words > 0 THEN n_symbols::DOUBLE / n_words ELSE 0 END AS symbol_rate,
-        CASE WHEN cased > 0 THEN up::DOUBLE / cased ELSE 0 END AS upper_rate, CASE WHEN n_words > 0 THEN word_chars::DOUBLE / n_words ELSE 0 END AS word_length FROM c),
+        CASE WHEN n_words > 0 THEN marks::DOUBLE / n_words ELSE 0 END AS mark_rate, CASE WHEN n_words > 0 THEN word_chars::DOUBLE / n_words ELSE 0 END AS word_length FROM c),
 long AS ({" UNION ALL ".join(f"SELECT lang, source, '{x}' AS measure, {x} AS value FROM m WHERE NOT base_failed" for x in MEASURES)}),
 own AS (SELECT lang, source, measure, CASE WHEN value > 1e-6 THEN ceil(ln(value) / {math.log(GAMMA)!r})::INT ELSE -1000 END AS bin, count(*) AS n FROM long GROUP BY ALL),
 everything AS (SELECT measure, bin, sum(n)::BIGINT AS n FROM own GROUP BY ALL), bylang AS (SELECT lang, measure, bin, sum(n)::BIGINT AS n FROM own GROUP BY ALL),
 lang2 AS ({blend("lang", "bylang", "everything", "measure")}), merged AS ({blend("lang, source", "own", "lang2", "lang, measure")}),
-run AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bin) AS below, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM merged),
-q AS (SELECT lang, source, measure, min(CASE WHEN below * 4 >= total THEN bin END) AS b25, min(CASE WHEN below * 4 >= total * 3 THEN bin END) AS b75 FROM run GROUP BY ALL),
-val AS (SELECT lang, source, measure, {bound("b25")} AS q25, {bound("b75")} AS q75 FROM q),
-fence AS (SELECT lang, source, {fences} FROM val GROUP BY lang, source)
+val AS ({quartiles("lang, source, ", "merged")}), of_lang AS ({quartiles("lang, ", "lang2")}), of_all AS ({quartiles("", "everything")}),
+wide AS (SELECT val.*, greatest(val.q75 - val.q25, coalesce(nullif(l.q75 - l.q25, 0), a.q75 - a.q25)) AS spread FROM val JOIN of_lang l ON l.lang = val.lang AND l.measure = val.measure JOIN of_all a ON a.measure = val.measure),
+fence AS (SELECT lang, source, {fences} FROM wide GROUP BY lang, source)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-    NOT base_failed AND {" AND ".join(f"coalesce({x} BETWEEN lo_{x} AND hi_{x}, true)" for x in MEASURES)} AS kept
+    NOT base_failed AND {" AND ".join(f"coalesce({x} BETWEEN lo_{x} AND hi_{x}, true)" for x in FENCED)} AS kept
 FROM m LEFT JOIN fence ON m.lang = fence.lang AND m.source = fence.source"""

@@ -171,20 +171,29 @@ def test_fences_follow_their_source(spark):
                 some = symbols if source == "shop" else 0
                 ws[: some + i % 3] = [w + "$" for w in ws[: some + i % 3]]
                 rows.append((i, " ".join(ws), "en", source))
-            rows.append((900, " ".join(w + "$" * (j % 10 < 3) for j, w in enumerate(sentence(9900, 100).split())), "en", source))
+            rows.append((900, " ".join(w + "$$" * (j % 10 < 3) for j, w in enumerate(sentence(9900, 100).split())), "en", source))
         docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
         measures = quality.with_measures(quality.measured(docs, ("doc_id", "lang", "source")))
         fences = {r["_source"]: r for r in quality.thresholds(measures).collect()}
         kept = {(r["source"], r["doc_id"]): r["kept"] for r in quality.judged(measures, quality.thresholds(measures)).collect()}
         return fences, kept
 
-    (_, before), (fences, after) = verdicts(0), verdicts(30)
+    (_, before), (fences, after) = verdicts(0), verdicts(60)
     assert fences["shop"]["max_symbol_rate"] > fences["plain"]["max_symbol_rate"] + 0.1
     assert not before[("shop", 900)] and not before[("plain", 900)]
     assert after[("shop", 900)] and not after[("plain", 900)]
     assert all(v for k, v in after.items() if k[1] < 300)
 
 
+def test_a_source_of_copies_takes_other_texts(spark):
+    """Where most texts of a source are one, its own quartiles have no spread; its language's is used, and with none at all there is no fence."""
+    rows = [(i, sentence(1, 100) if i < 400 else sentence(i, 100), "en", "copies") for i in range(500)] + [(i, sentence(i, 100), "en", "other") for i in range(500, 1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert all(r["kept"] for r in quality.judge(docs).collect())
+    same = docs.filter("doc_id < 400").unionByName(docs.filter("doc_id = 600"))
+    assert all(r["kept"] for r in quality.judge(same).collect())
+
+
 @pytest.mark.parametrize("broadcast_words", [200_000, 0])
 def test_leaks(spark, odd, none, monkeypatch, broadcast_words):
     """The same by broadcast and by shuffle."""
