@@ -9,9 +9,9 @@ From the merged sketch come the quartiles, and from these the fences, REACH time
 document outside a fence is rejected by joining it with the thresholds of its language and source. No number but REACH
 is fixed, and it has no unit.
 
-The spread of a measure is the interquartile range, the group's or its language's, whichever is larger, so that a source that is
-mostly copies of one text still takes others; where a language has none, that of all documents counts, and where nothing
-varies there is no fence. Symbols a word are 0 in most documents of prose and so are their quartiles: how far they may
+The spread of a measure is the group's interquartile range, but at least the median of those of its language's groups, so
+that a source that is mostly copies of one text still takes others; ranges of 0 are left out of the median. Where a language
+has no other, the median over all groups counts, and where nothing varies there is no fence. Symbols a word are 0 in most documents of prose and so are their quartiles: how far they may
 vary is told by all marks a word (characters that are no letters), of which symbols are some. A source of program code or
 tables, with many marks that vary much, has wide fences; one of prose has narrow ones.
 
@@ -145,12 +145,13 @@ def thresholds(measures: DataFrame) -> DataFrame:
     """(_lang, _source, a low and a high fence per fenced measure) of each group with a document that passes the base rules."""
     own = stored(sketches(measures), "sketch")
     everything = own.groupBy("measure", "bin").agg(F.sum("n").alias("n"))
-    lang = stored(_blended(own.groupBy("_lang", "measure", "bin").agg(F.sum("n").alias("n")), ["_lang"], everything, []), "sketch")
-    q = _quartiles(_blended(own, ["_lang", "_source"], lang, ["_lang"]), ["_lang", "_source"])
-    range_of = lambda df, keys, name: _quartiles(df, keys).select(*keys, "measure", (F.col("q75") - F.col("q25")).alias(name))
-    spread = range_of(lang, ["_lang"], "_of_lang").join(F.broadcast(range_of(everything, [], "_of_all")), "measure")  # a row for each measure
-    q = q.join(bounded_broadcast(spread), ["_lang", "measure"])
-    q = q.withColumn("spread", F.greatest(F.col("q75") - F.col("q25"), F.coalesce(F.nullif("_of_lang", F.lit(0.0)), "_of_all")))
+    lang = _blended(own.groupBy("_lang", "measure", "bin").agg(F.sum("n").alias("n")), ["_lang"], everything, [])
+    q = _quartiles(_blended(own, ["_lang", "_source"], lang, ["_lang"]), ["_lang", "_source"]).withColumn("range", F.col("q75") - F.col("q25"))
+    q = stored(q, "quartiles")
+    median = F.expr("percentile_disc(0.5) within group (order by nullif(range, 0))")
+    q = q.join(F.broadcast(q.groupBy("measure").agg(median.alias("_of_all"))), "measure")  # a row for each measure
+    q = q.join(bounded_broadcast(q.groupBy("_lang", "measure").agg(median.alias("_of_lang"))), ["_lang", "measure"])
+    q = q.withColumn("spread", F.greatest("range", F.coalesce("_of_lang", "_of_all")))
     of = lambda m, x: F.max(F.when(F.col("measure") == m, x))
     reach = lambda s: F.nullif(of(s, F.col("spread")), F.lit(0.0)) * REACH
     fences = [f.alias(name) for m, s in FENCED.items() for name, f in ((f"min_{m}", of(m, F.col("q25")) - reach(s)), (f"max_{m}", of(m, F.col("q75")) + reach(s)))]
@@ -210,8 +211,9 @@ long AS ({" UNION ALL ".join(f"SELECT lang, source, '{x}' AS measure, {x} AS val
 own AS (SELECT lang, source, measure, CASE WHEN value > 1e-6 THEN ceil(ln(value) / {math.log(GAMMA)!r})::INT ELSE -1000 END AS bin, count(*) AS n FROM long GROUP BY ALL),
 everything AS (SELECT measure, bin, sum(n)::BIGINT AS n FROM own GROUP BY ALL), bylang AS (SELECT lang, measure, bin, sum(n)::BIGINT AS n FROM own GROUP BY ALL),
 lang2 AS ({blend("lang", "bylang", "everything", "measure")}), merged AS ({blend("lang, source", "own", "lang2", "lang, measure")}),
-val AS ({quartiles("lang, source, ", "merged")}), of_lang AS ({quartiles("lang, ", "lang2")}), of_all AS ({quartiles("", "everything")}),
-wide AS (SELECT val.*, greatest(val.q75 - val.q25, coalesce(nullif(l.q75 - l.q25, 0), a.q75 - a.q25)) AS spread FROM val JOIN of_lang l ON l.lang = val.lang AND l.measure = val.measure JOIN of_all a ON a.measure = val.measure),
+val AS ({quartiles("lang, source, ", "merged")}), ranges AS (SELECT *, q75 - q25 AS r FROM val),
+of_lang AS (SELECT lang, measure, quantile_disc(nullif(r, 0), 0.5) AS r FROM ranges GROUP BY ALL), of_all AS (SELECT measure, quantile_disc(nullif(r, 0), 0.5) AS r FROM ranges GROUP BY ALL),
+wide AS (SELECT ranges.*, greatest(ranges.r, coalesce(l.r, a.r)) AS spread FROM ranges JOIN of_lang l ON l.lang = ranges.lang AND l.measure = ranges.measure JOIN of_all a ON a.measure = ranges.measure),
 fence AS (SELECT lang, source, {fences} FROM wide GROUP BY lang, source)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
     NOT base_failed AND {" AND ".join(f"coalesce({x} BETWEEN lo_{x} AND hi_{x}, true)" for x in FENCED)} AS kept
