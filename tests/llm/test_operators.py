@@ -562,6 +562,39 @@ def test_licence_texts_inside_documents(spark):
     assert {k for k in got if k[0] >= 200} == {(200, "MIT")}
 
 
+@pytest.mark.parametrize("holder", [None, "Copyright (c) 2021, 2023 Somebody & Daughters, Inc. All rights reserved."])
+def test_licence_texts_wrapped_anew(spark, holder):
+    """Each text by paragraphs and as one run, at three widths, alone and inside a document; with the notice of a holder of its own."""
+    import textwrap
+
+    rows, names = [], {}
+    for name, text in licenses.full_texts():
+        paragraphs = [p for p in text.split("\n\n") if p.strip()]
+        if holder and name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC"):
+            paragraphs = [holder if p.strip().lower().startswith("copyright") else p for p in paragraphs]
+        for width in (60, 100, 10**9):
+            for whole in ("\n\n".join(textwrap.fill(p, width) for p in paragraphs), textwrap.fill(" ".join(paragraphs), width)):
+                for inside in (whole, f"An article about nothing.\n{whole}\nThe end of it."):
+                    rows.append((len(rows), inside))
+                    names[len(rows) - 1] = (name, width, inside is whole)
+    got = {(r["doc_id"], r["license_id"]): r["whole_text"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    lost = [n for i, n in names.items() if (i, n[0]) not in got]
+    assert not lost, lost
+    if not holder:
+        assert not [n for i, n in names.items() if got[(i, n[0])] != n[2]]
+
+
+def test_licence_sql(spark):
+    texts = licenses.full_texts()
+    rows = [(1, texts[0][1]), (2, "before\n" + dict(texts)["MIT"] + "\nafter"), (3, "Licensed under the MIT\nLicence."), (4, None), (5, "COPYRIGHT HOLDERS BE LIABLE"), (6, "Released under CC0 1.0.\nSPDX-License-Identifier: MIT")]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    want = con.execute(f"select doc_id, license_id, whole_text, n_lines from ({licenses.oracle_sql()})").fetchall()
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "license_id", "whole_text", "n_lines").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) >= 5
+
+
 def test_shard_store(spark, odd, none):
     store = sharding.ShardStore(spark, fresh_path(spark, "shards"), odd.schema, target_bytes=1 << 20, fanout=2, shard_rows=3)
     assert store.read().count() == 0
