@@ -163,45 +163,65 @@ class Model:
         return np.add.reduceat(cost, starts, axis=0, dtype=np.float64)
 
 
-def train(labelled: DataFrame, per_language: int = 3000) -> Model:
-    """Learn from labelled (doc_id, text, lang)."""
+def sample(labelled: DataFrame, per_language: int = 3000) -> DataFrame | None:
+    """About per_language rows of each language in labelled (doc_id, text, lang), by a hash of the id; None if no row can be learned from."""
     usable = labelled.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
-        return Model.of([], *np.zeros((3, 0), np.int64))
+        return None
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))]), F.col("lang"))
-    chosen = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    return usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+
+
+def train(labelled: DataFrame, per_language: int = 3000) -> Model:
+    """Learn from a sample of labelled (doc_id, text, lang)."""
+    chosen = sample(labelled, per_language)
+    if chosen is None:
+        return Model.of([], *np.zeros((3, 0), np.int64))
     rows = gram_counts(chosen).toArrow()  # the windows of at most per_language documents of each language
     languages, lang = np.unique(rows["lang"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
     return Model.of(languages.tolist(), lang, rows["gram"].to_numpy(), rows["n"].to_numpy())
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of docs with lang_pred, score, the posterior of that language under equal priors, and lettered, whether the text has a letter."""
+    """The columns `keep` of docs with lang_pred, score, the posterior of that language under equal priors, and lettered, whether the text has a letter, and bits, the code length a byte under that language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = docs.select(*keep).schema.fields
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double", "lettered boolean"])
-    names = [f.name for f in fields] + ["lang_pred", "score", "lettered"]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double", "lettered boolean", "bits double"])
+    names = [f.name for f in fields] + ["lang_pred", "score", "lettered", "bits"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches(it, 1 << 20):
             texts = [normalise(t) for t in b.column(len(fields)).to_pylist()]
-            lang, score = ["und"] * len(texts), [0.0] * len(texts)
+            lang, score, cost = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
             where = [i for i, t in enumerate(texts) if t]
             if where and m.languages:
                 bits = m.code_lengths([texts[i] for i in where])
                 best = bits.argmin(axis=1)
                 p = 1 / np.exp2(bits[np.arange(len(best)), best][:, None] - bits).sum(axis=1)
-                for i, k, s in zip(where, best, p, strict=True):
-                    lang[i], score[i] = m.languages[k], float(s)
-            yield pa.record_batch([*b.columns[: len(fields)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array([bool(t) for t in texts], pa.bool_())], names)
+                for j, (i, k) in enumerate(zip(where, best, strict=True)):
+                    lang[i], score[i], cost[i] = m.languages[k], float(p[j]), float(bits[j, k]) / len(texts[i])
+            yield pa.record_batch([*b.columns[: len(fields)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array([bool(t) for t in texts], pa.bool_()), pa.array(cost, pa.float64())], names)
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
+def cost_limits(model: Model, labelled: DataFrame, per_language: int = 3000, share: float = 0.9, times: float = 2.0) -> dict[str, float]:
+    """By language, the most bits a byte that a text of it may cost: `times` what `share` of the sample it is learned from cost at most.
+
+    Noise, program code and scripts that no sample has cost several times as much as a learned language, and the
+    posterior, which only compares languages, cannot tell.
+    """
+    chosen = sample(labelled, per_language)
+    if chosen is None:
+        return {}
+    found = identify(chosen, model).filter("bits is not null").groupBy("lang_pred").agg((F.percentile_approx("bits", share) * times).alias("most"))
+    return {r["lang_pred"]: r["most"] for r in found.collect()}  # a row for each language
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs.filter(~held_out()))

@@ -83,3 +83,19 @@ def test_stages_take_odd_rows(spark, stage):
     n = got.count()
     assert {"identify_language": n == 4, "apply_quality_rules": n == 4, "drop_near_duplicates": n == 7, "decontaminate_benchmark": n == 8, "pack_sequences": n >= 8}[stage.__name__]
     assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_language_stage_rejects_what_no_language_fits(spark):
+    """Noise, program code and scripts that were not learned go; documents stay, also short ones and those of mixed languages."""
+    import inspect
+    import random
+
+    r = random.Random(2)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randrange(3, 10)))
+    junk = [" ".join(word("bcdfghjklmnpqrstvwxz") for _ in range(80)), " ".join(word("abcdefghijklmnopqrstuvwxyz") for _ in range(80)), inspect.getsource(corpus_pipeline), "\u0397 \u03b3\u03c1\u03ae\u03b3\u03bf\u03c1\u03b7 \u03b1\u03bb\u03b5\u03c0\u03bf\u03cd " * 20, "\u0421\u044a\u0435\u0448\u044c \u0436\u0435 \u0435\u0449\u0451 " * 20, "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0 " * 20, "QmFzZTY0IGVuY29kZWQgc3RyaW5n" * 20]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    added = spark.createDataFrame([(10_000_000 + i, t, None, "src1", len(t)) for i, t in enumerate(junk)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.identify_language(spark, docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(added), DATA)
+    assert kept.filter("doc_id >= 10000000").count() == 0
+    lettered = sum(any(c.isalpha() for c in x["text"]) for x in docs.collect())
+    assert kept.count() == lettered
