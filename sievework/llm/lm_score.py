@@ -1,9 +1,12 @@
 """Language-model scores of documents by a small causal self-attention model (operator 3).
 
 First, all words of the learning documents are counted in Spark, and from these the subword ids and their pairs within
-words. Then the model is fitted on all text of the learning documents: each task runs Adam steps in numpy over all
-windows of its documents from the common parameters, and the tasks' parameters are averaged, weighted by tokens, an
-embedding by how often the task read its id. Last, every document is scored whole.
+words. Then the model is fitted on all text of the learning documents, in ROUNDS rounds over shares of them. Documents are
+dealt to parts of about PART_WORDS words and to rounds by a hash of their id and text. In a round, Adam steps in numpy run over all
+windows of a part's documents, in order of the hash, from the common parameters; then the parts' parameters are
+averaged, weighted by tokens, an embedding by how often the part read its id. Parts and their order are a function
+of the rows alone, so the scores do not depend on how the input is split or on the number of tasks. Last, every document is
+scored whole.
 
 A subword id is predicted as its class, by the model, times its share of the class, from the counts after the class
 before it in its word, smoothed by the counts as a whole. The most frequent ids are classes of their own; the others fill classes
@@ -26,7 +29,7 @@ from __future__ import annotations
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,9 @@ from .subwords import Subwords, ranked_encoding, tokenizer_path
 END_ID, IDS = 50_256, 50_257
 SINGLES, BINS, WIDTH = 96, 16, 16
 CONTEXT, STRIDE = 32, 24
-ROUNDS, BATCH, RATE = 1, 32, 0.02
+ROUNDS, BATCH, RATE = 4, 32, 0.02
+#: Words of a part, and parts at most; beyond that parts grow.
+PART_WORDS, PARTS = 2_000_000, 16_384
 #: Input that stands before a text; it has an embedding after those of the ids.
 BEFORE = IDS
 #: Weight, in tokens, of the share over all contexts in the share after a class.
@@ -297,39 +302,62 @@ def windows(ids: list[bytes], of: np.ndarray):
     return view(inputs, CONTEXT)[first], view(classes, STRIDE)[first + lead], target >= 0, target, text
 
 
-FITTED = "dense binary, tokens long, ids binary, rows binary, uses binary"
+FITTED = "part int, dense binary, tokens long, ids binary, rows binary, uses binary"
 
 
-def fit(docs: DataFrame, path: str, classes: Classes, prior: np.ndarray) -> np.ndarray:
-    """Parameters averaged over the tasks' own, ROUNDS times."""
+def fit(docs: DataFrame, path: str, classes: Classes, prior: np.ndarray, words: int) -> np.ndarray:
+    """Parameters learned from docs(doc_id, text) of so many words, averaged over parts after each round."""
     params = Model(classes.n).flat
     names = [c.split()[0] for c in FITTED.split(", ")]
+    parts = int(min(max(1, -(-words // PART_WORDS)), PARTS))
+    groups = int(np.ceil(np.sqrt(parts)))
+    key = F.xxhash64("doc_id", "text")
+    dealt = docs.select("doc_id", "text", key.alias("key"), F.pmod(key, F.lit(parts)).cast("int").alias("part"), F.pmod(F.shiftright(key, 40), F.lit(ROUNDS)).alias("round"))
 
-    def row(dense: np.ndarray, tokens: int, emb: np.ndarray, uses: np.ndarray) -> pa.RecordBatch:
+    def row(part: int, dense: np.ndarray, tokens: int, emb: np.ndarray, uses: np.ndarray) -> pa.RecordBatch:
         ids = np.flatnonzero(uses)
         raw = [pa.array([x.tobytes()]) for x in (dense.astype(np.float32), ids, emb[ids].astype(np.float32), uses[ids])]
-        return pa.record_batch([raw[0], pa.array([tokens], pa.int64()), *raw[1:]], names)
+        return pa.record_batch([pa.array([part], pa.int32()), raw[0], pa.array([tokens], pa.int64()), *raw[1:]], names)
 
     def average(rows: Iterable[tuple]) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
         """Weighted averages of the dense parameters and the embeddings, and the sums of the weights."""
         dense, tokens, emb, uses = 0.0, 0, np.zeros((IDS + 1, WIDTH)), np.zeros(IDS + 1, np.int64)
-        for raw, n, ids, own, many in rows:
+        for _, raw, n, ids, own, many in rows:
             ids, many = np.frombuffer(ids, np.int64), np.frombuffer(many, np.int64)
             dense, tokens = dense + np.frombuffer(raw, np.float32) * np.float64(n), tokens + n
             emb[ids] += np.frombuffer(own, np.float32).reshape(-1, WIDTH) * many[:, None]
             uses[ids] += many
         return dense / tokens, tokens, emb / np.maximum(uses, 1)[:, None], uses
 
-    for _ in range(ROUNDS):
+    def by_part(it: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[tuple[int, list[str | None]]]:
+        """The texts of each part in order, cut by their own sizes only, so that batches do not depend on what shares the task."""
+        part, texts, size = None, [], 0
+        for b in batches(it, 4 << 20):
+            for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if texts and (p != part or size >= most):
+                    yield part, texts
+                    texts, size = [], 0
+                part = p
+                texts.append(t)
+                size += len(t or "")
+        if texts:
+            yield part, texts
+
+    for r in range(ROUNDS):
         shared = docs.sparkSession.sparkContext.broadcast((classes, params, prior))
+        pace = RATE * (1 - r / (2 * ROUNDS))
 
-        def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(it: Iterator[pa.RecordBatch], shared=shared, pace=pace) -> Iterator[pa.RecordBatch]:
             kinds, start, after = shared.value
-            model, word_ids = Model(kinds.n, start, after), WordIds(path)
-            m, s, m_emb, s_emb = (np.zeros_like(x) for x in (model.dense, model.dense, model.emb, model.emb))
-            step, tokens, uses = 0, 0, np.zeros(IDS + 1, np.int64)
-            for b in batches(it, 4 << 20):
-                x, y, real, _, _ = windows([b"".join(map(word_ids.__getitem__, _words(t))) + _END for t in b.column(0).to_pylist()], kinds.of)
+            word_ids, at = WordIds(path), None
+            for part, texts in by_part(it):
+                if part != at:
+                    if at is not None:
+                        yield row(at, model.dense, tokens, model.emb, uses)
+                    at, model = part, Model(kinds.n, start, after)
+                    m, s, m_emb, s_emb = (np.zeros_like(x) for x in (model.dense, model.dense, model.emb, model.emb))
+                    step, tokens, uses = 0, 0, np.zeros(IDS + 1, np.int64)
+                x, y, real, _, _ = windows([b"".join(map(word_ids.__getitem__, _words(t))) + _END for t in texts], kinds.of)
                 uses += np.bincount(x.ravel(), minlength=IDS + 1)
                 tokens += int(real.sum())
                 order = np.random.default_rng(step).permutation(len(x))
@@ -337,7 +365,7 @@ def fit(docs: DataFrame, path: str, classes: Classes, prior: np.ndarray) -> np.n
                     p = order[i : i + BATCH]
                     g, ids, rows = model.gradients(x[p], y[p], real[p])
                     step += 1
-                    rate, fade = np.float32(RATE / (1 - 0.9**step)), np.float32(1 / (1 - 0.99**step))
+                    rate, fade = np.float32(pace / (1 - 0.9**step)), np.float32(1 / (1 - 0.99**step))
                     m += (g - m) * np.float32(0.1)
                     s += (g * g - s) * np.float32(0.01)
                     model.dense -= rate * m / (np.sqrt(s * fade) + np.float32(1e-8))
@@ -347,18 +375,21 @@ def fit(docs: DataFrame, path: str, classes: Classes, prior: np.ndarray) -> np.n
                     s_rows += (rows - s_rows) * np.float32(0.01)
                     m_emb[ids], s_emb[ids] = m_rows, s_rows
                     model.emb[ids] -= rate * m_rows / (np.sqrt(s_rows * fade) + np.float32(1e-8))
-            if tokens:
-                yield row(model.dense, tokens, model.emb, uses)
+            if at is not None:
+                yield row(at, model.dense, tokens, model.emb, uses)
 
         def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = (r for b in it for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-            first = next(rows, None)
-            if first:
-                yield row(*average(chain([first], rows)))
-
-        rows = docs.select("text").mapInArrow(run, FITTED).repartition(8).mapInArrow(merge, FITTED).collect()
-        if rows:
-            dense, _, emb, uses = average([tuple(r) for r in rows])
+            """One row for each group of parts, added in order of the parts."""
+            rows = (x for b in it for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+            for group, own in groupby(rows, lambda x: x[0] % groups):
+                yield row(group, *average(own))
+
+        own = dealt.filter(F.col("round") == r).repartition(parts, "part").sortWithinPartitions("part", "key", "doc_id")
+        fitted = own.select("part", "text").mapInArrow(run, FITTED)
+        group = F.col("part") % groups
+        merged = fitted.repartition(groups, group).sortWithinPartitions(group, "part").mapInArrow(merge, FITTED).collect()  # a row for each group
+        if merged:
+            dense, _, emb, uses = average(sorted(map(tuple, merged)))
             kept = params[: -len(dense)].reshape(-1, WIDTH)
             params = np.concatenate([np.where(uses[:, None] > 0, emb, kept).ravel(), dense]).astype(np.float32)
     return params
@@ -394,7 +425,7 @@ def score(docs: DataFrame, learn: DataFrame, path: str | None = None) -> DataFra
     shares = classes.shares_after(*(cells[c].to_numpy() for c in ("before", "id", "n")))
     followers = count_followers(pairs, classes).toArrow()
     prior = classes.prior_after(*(followers[c].to_numpy() for c in ("last", "of", "n")), subword)
-    params = fit(learn, path, classes, prior)
+    params = fit(learn, path, classes, prior, n)
     drop_stored(pairs)
 
     least = _least(words, "c", VOCABULARY)

@@ -285,8 +285,8 @@ def test_lm_score_equals_brute_force(spark, monkeypatch):
     """Whole texts scored by windows and batches against one token at a time."""
     seen, fit, shares_after = {}, lm_score.fit, lm_score.Classes.shares_after
 
-    def fitted(docs, path, classes, prior):
-        seen["model"] = lm_score.Model(classes.n, fit(docs, path, classes, prior), prior)
+    def fitted(docs, path, classes, prior, n):
+        seen["model"] = lm_score.Model(classes.n, fit(docs, path, classes, prior, n), prior)
         seen["classes"] = classes
         return seen["model"].flat
 
@@ -307,13 +307,13 @@ def test_lm_score_equals_brute_force(spark, monkeypatch):
 
 def test_lm_learns_from_all_text_by_subword_ids(spark):
     """One short text is enough to learn from, and ids of one class are told apart as inputs."""
-    docs = spark.createDataFrame([(sentence(7, 30),)], "text string")
+    docs = spark.createDataFrame([(1, sentence(7, 30))], "doc_id long, text string")
     counts = np.zeros(lm_score.IDS, np.int64)
     classes = lm_score.Classes(counts, np.zeros(lm_score.IDS, np.int64))
     path = tokenizer_path("byte_bpe_50k.tiktoken")
     prior = classes.prior_after(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), counts)
     start = lm_score.Model(classes.n, prior=prior)
-    fitted = lm_score.Model(classes.n, lm_score.fit(docs, path, classes, prior), prior)
+    fitted = lm_score.Model(classes.n, lm_score.fit(docs, path, classes, prior, 30), prior)
     ids = np.frombuffer(b"".join(lm_score.WordIds(path)[w] for w in words(sentence(7, 30))), "<u4")
     moved = np.flatnonzero((fitted.emb != start.emb).any(axis=1))
     assert set(moved) >= set(ids.tolist())
@@ -321,6 +321,18 @@ def test_lm_learns_from_all_text_by_subword_ids(spark):
     assert x.max() > classes.n and fitted.log_probabilities(x, y)[real].mean() > start.log_probabilities(x, y)[real].mean()
 
 
+def test_lm_scores_do_not_depend_on_the_split(spark, monkeypatch):
+    """The same rows read as 1, 4 and 16 tasks, with parts of their own size and of many."""
+    docs = spark.createDataFrame([(i, sentence(i, 150)) for i in range(60)] + [(3, sentence(3, 150)), (None, "one two"), (61, None)], "doc_id long, text string").withColumn("held_out", lm_score.held_out())
+    for part_words in (lm_score.PART_WORDS, 1000):
+        monkeypatch.setattr(lm_score, "PART_WORDS", part_words)
+        runs = []
+        for tasks in (1, 4, 16):
+            split = docs.repartition(tasks)
+            runs.append(sorted((r["doc_id"] or 0, r["score"]) for r in lm_score.score(split, split.filter("not held_out")).collect()))
+        assert np.allclose(runs[0], runs[1], atol=1e-6) and np.allclose(runs[0], runs[2], atol=1e-6)
+
+
 def test_lm_counts_more_words_than_a_task_holds(spark):
     docs = spark.createDataFrame([(" ".join(f"w{i}" for i in range(300_500)),)], "text string").repartition(1)
     assert lm_score.count_words(docs).count() == 300_501
