@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.operators import locations, pages, paths
+from sievework.operators import designer, locations, pages, paths
 from sievework.plans.carriers import _t
+from sievework.sources import tables
+from sievework.streaming import messages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,3 +178,67 @@ def _files(spark, sf_dir) -> DataFrame:
     lines = text.select("o", "stem", F.posexplode(F.split("text", "\n")).alias("_at", "line"))
     code = F.when(F.startswith(F.trim("line"), F.lit("#")) | F.startswith("line", F.lit("//")), "").otherwise(F.col("line"))
     return lines.select("o", "stem", (F.col("_at") + 1).alias("line_no"), "line", code.alias("code"))
+
+
+# A manifest for each customer: headers that vary with the customer, and a line for each order.
+@_q("""WITH o AS (SELECT o_custkey AS c, 2 + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS line_no, o_orderkey AS k, 1 + o_orderkey % 40 AS id, o_orderkey % 7 AS r, (o_orderkey // 7) % 50 AS parent FROM orders JOIN customer ON c_custkey = o_custkey),
+i AS (SELECT * FROM o WHERE r > 2), f AS (SELECT c, id, min(line_no) AS first FROM i GROUP BY ALL)
+SELECT c AS customer, line_no::INT AS line_no, CASE r WHEN 0 THEN 'XJP001' WHEN 1 THEN 'XJP002' ELSE 'XJP004' END AS code, 'error' AS severity, CASE r WHEN 1 THEN 'Ord-' || k END AS detail FROM o WHERE r < 3
+UNION ALL SELECT c, line_no::INT, 'XJP003', 'error', first::VARCHAR FROM i JOIN f USING (c, id) WHERE line_no > first
+UNION ALL SELECT c, line_no::INT, 'XJP007', 'error', '&h' || printf('%X', parent) FROM i WHERE parent != 0 AND NOT EXISTS (SELECT 1 FROM f WHERE f.c = i.c AND f.id = i.parent)
+UNION ALL SELECT c_custkey, 1, 'XJP104', 'warning', c_mktsegment FROM customer WHERE c_nationkey % 5 = 1 UNION ALL SELECT c_custkey, 0, 'XJP005', 'error', 'Type' FROM customer WHERE c_nationkey % 5 = 2
+UNION ALL SELECT c_custkey, 2, 'XJP006', 'error', c_name FROM customer WHERE c_nationkey % 4 = 1 UNION ALL SELECT c_custkey, 2, 'XJP102', 'warning', '2026.' || (22 + c_nationkey) FROM customer WHERE c_nationkey % 4 = 2 UNION ALL SELECT c_custkey, 0, 'XJP005', 'error', 'RBProjectVersion' FROM customer WHERE c_nationkey % 4 = 3
+UNION ALL SELECT c_custkey, 1, 'XJP101', 'warning', NULL FROM customer WHERE c_nationkey % 5 = 2 UNION ALL SELECT c_custkey, 2, 'XJP101', 'warning', NULL FROM customer WHERE c_nationkey % 4 = 3""")
+def manifest_codes(spark, sf_dir):
+    from pyspark.sql import Window
+
+    c, k = _t(spark, sf_dir, "customer"), F.col("o_orderkey")
+    nation = F.col("c_nationkey")
+    kind = F.when(nation % 5 == 1, F.concat(F.lit("Type="), "c_mktsegment")).when(nation % 5 == 2, "").otherwise("Type=Desktop")
+    version = F.when(nation % 4 == 1, F.concat(F.lit("RBProjectVersion="), "c_name")).when(nation % 4 == 2, F.concat(F.lit("RBProjectVersion=2026."), _s(22 + nation))).when(nation % 4 == 3, "").otherwise("RBProjectVersion=2026.021")
+    heads = c.select(F.col("c_custkey").alias("customer"), F.posexplode(F.array(kind, version)).alias("_at", "line")).select("customer", (F.col("_at") + 1).alias("line_no"), "line")
+    parent = F.concat(F.lit("&h"), F.hex(F.floor(k / 7) % 50))
+    item = F.concat(F.lit("Class=Name;Path.x;&h"), F.hex(k % 40 + 1), F.lit(";"), parent, F.when(k % 2 == 0, ";true").otherwise(";False;more;"))
+    line = F.when(k % 7 == 0, "no equals sign").when(k % 7 == 1, F.concat(F.lit("Ord-"), _s(k), F.lit("=1"))).when(k % 7 == 2, "Class=a;b;&hXY;&h1;true").otherwise(item)
+    place = (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) + 2).alias("line_no")
+    own = _t(spark, sf_dir, "orders").join(c.select(F.col("c_custkey").alias("o_custkey")), "o_custkey").select(F.col("o_custkey").alias("customer"), place, line.alias("line"))
+    return designer.manifest_problems(heads.unionByName(own), "customer", "line_no", "line")
+
+
+@_q(None)
+def designer_codes(spark, sf_dir):
+    """A file for each order, its items lines of tags and blocks that a hash of the item picks; tested against brute force."""
+    choices = ["#tag Window", "#tag EndWindow", "Begin Label One", "End", "#tag Method, Flags = &h0", "#tag EndMethod", "\t#tag Events Box", "#tag EndEvents", "End Image", "#tag MultiImage", "Image", "BeginPage Two", "#tag EndMultiImage", "End ScreenContent", "#tag ", "#tag Novel", "#tag Instance, Name = a"]
+    pick = lambda x: F.get(F.array(*map(F.lit, choices)), (F.pmod(F.xxhash64(x["l_partkey"], x["l_suppkey"], x["l_linenumber"]), F.lit(len(choices)))).cast("int"))
+    items = _items(spark, sf_dir, lambda x: F.concat(pick(x), F.lit("\n"), F.get(F.array(*map(F.lit, choices)), (x["l_partkey"] % len(choices)).cast("int")), F.lit("\n")))
+    path = F.concat(F.lit("a/File"), _s(F.col("o_orderkey")), F.when(F.col("o_orderkey") % 2 == 0, ".xojo_window").otherwise(".xojo_code"))
+    return designer.designer_problems(items.withColumn("path", path), "o_orderkey", "path", "items")
+
+
+@_q(r"""SELECT doc_id, md5(encode(replace(replace(text, 'the ', 'THE '), 'src', 'from')) || '\xFF\x0D\x0A\xC3'::BLOB || encode(replace(source, 'src', 'from') || chr(1114111)) || '\x80'::BLOB) AS edited_md5 FROM documents""")
+def byte_edits(spark, sf_dir):
+    raw = lambda hexed: F.unhex(F.lit(hexed))
+    content = F.concat(F.encode("text", "UTF-8"), raw("FF0D0AC3"), F.encode("source", "UTF-8"), raw("F48FBFBF80"))
+    text = tables.text_of(content)
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(tables.bytes_of(F.regexp_replace(F.regexp_replace(text, "the ", "THE "), "src", "from"))).alias("edited_md5"))
+
+
+@_q("""WITH e AS (SELECT user_id % 997 AS k, arg_max(event_type, event_id) AS op, max(event_id) AS at, arg_max(value, event_id) AS v FROM events GROUP BY 1)
+SELECT c_custkey AS key, c_acctbal AS value, NULL AS change FROM customer WHERE c_custkey NOT IN (SELECT k FROM e)
+UNION ALL SELECT k, v, CASE WHEN c_custkey IS NULL THEN 'added' WHEN c_acctbal != v THEN 'changed' END FROM e LEFT JOIN customer ON c_custkey = k WHERE op != 'error'
+UNION ALL SELECT k, NULL, 'removed' FROM e JOIN customer ON c_custkey = k WHERE op = 'error'""")
+def replayed_changes(spark, sf_dir):
+    base = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
+    log = _t(spark, sf_dir, "events").select((F.col("user_id") % 997).alias("key"), "value", "event_id", F.when(F.col("event_type") == "error", "remove").otherwise("set").alias("op"))
+    after = tables.replayed(base, log, ["key"], "event_id")
+    return after.join(tables.differing(base, after, ["key"]), "key", "full").select("key", "value", "change")
+
+
+@_q("""WITH m AS (SELECT user_id AS tag, ts, event_id, event_type = 'purchase' AS stop FROM events), p AS (SELECT *, lag(ts) OVER w AS before, lag(stop) OVER w AS stopped FROM m WINDOW w AS (PARTITION BY tag ORDER BY ts, event_id)),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR stopped OR ts - before >= INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY tag ORDER BY ts, event_id) AS g FROM p)
+SELECT tag::VARCHAR AS tag, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, count(*) AS parts, CASE WHEN bool_or(stop) THEN 'sentinel' ELSE 'quiet' END AS ended FROM g GROUP BY tag, g""")
+def ended_replies(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("tag"), F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("response"))
+    # A deadline beyond the data: SQL can say the quiet period and the sentinel; deadlines are tested against the stream.
+    found = messages.ended_replies(e, "purchase", quiet_ms=7_200_000, deadline_ms=10**12)
+    return found.select("tag", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "parts", "ended")

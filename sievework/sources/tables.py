@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import pandas as pd
@@ -46,15 +47,17 @@ def line_pairs(df: DataFrame, real: str, masked: str) -> DataFrame:
 def headed_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Rows of unquoted TSV files, each by its own header's names; short rows are padded with empty text; a missing column is an error.
 
-    A file is one row first, so files are read in parallel and a header is told by its place.
+    Files are read in splits like any text, so one large file is the work of many tasks. The header is the first row of the split that
+    begins at byte 0, told by the order in which a task reads; the headers, one a file, are joined to the rows by file. An error shows
+    when rows are read, and planning runs no job.
     """
-    whole = spark.read.text(path, wholetext=True)
-    lines = F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n", -1)
-    heads = whole.select(F.split(F.element_at(lines, 1), "\t", -1).alias("head"))
-    lacking = F.array_except(F.array(*map(F.lit, columns)), F.col("head"))
-    if bad := heads.filter(F.size(lacking) > 0).select(lacking.alias("lacking")).first():
-        raise ValueError(f"{path} lacks {', '.join(bad['lacking'])}")
-    rows = whole.select(F.split(F.element_at(lines, 1), "\t", -1).alias("_head"), F.posexplode(lines).alias("_at", "_line")).filter("_at > 0")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"), F.regexp_replace("value", r"\r$", "").alias("_line"))
+    heads = lines.filter("_start = 0").groupBy("_file").agg(F.min(F.struct("_row", "_line")).alias("_h"))
+    heads = heads.select("_file", F.col("_h._row").alias("_head_row"), F.split("_h._line", "\t", -1).alias("_head"))
+    lacking = F.array_except(F.array(*map(F.lit, columns)), F.col("_head"))
+    said = F.concat(F.col("_file"), F.lit(" lacks "), F.array_join(lacking, ", "))
+    heads = heads.withColumn("_head", F.when(F.size(lacking) == 0, F.col("_head")).otherwise(F.raise_error(said).cast("array<string>")))
+    rows = lines.join(heads, "_file").filter((F.col("_start") != 0) | (F.col("_row") != F.col("_head_row")))
     cell = lambda c: F.get(F.split("_line", "\t", -1), (F.array_position("_head", F.lit(c)) - 1).cast("int"))
     return rows.select(*[F.coalesce(cell(c), F.lit("")).alias(c) for c in columns])
 
@@ -75,6 +78,47 @@ def upsert(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     return base.join(changes.select(*keys).distinct(), keys, "left_anti").unionByName(changes)
 
 
+def keyed_lines(lines: DataFrame, line: str, columns: list[str], key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, refused) of tab-separated lines(line_no, line) of a keyed table: refused(line_no, line, reason) have another number of cells, or no key.
+
+    Empty lines are neither. Of rows with one key the last counts.
+    """
+    cells = F.split(line, "\t", -1)
+    reason = F.when(F.size(cells) != len(columns), F.concat(F.size(cells).cast("string"), F.lit(" cells"))).when(F.trim(F.get(cells, F.lit(columns.index(key)))) == "", "no key")
+    read = lines.filter(F.col(line) != "").select("line_no", line, cells.alias("_c"), reason.alias("reason"))
+    good = read.filter("reason is null").select("line_no", *[F.get("_c", F.lit(i)).alias(c) for i, c in enumerate(columns)])
+    last = good.groupBy(key).agg(F.max(F.struct("line_no", *[c for c in columns if c != key])).alias("_r"))
+    return last.select(*[F.col(key) if c == key else F.col(f"_r.{c}").alias(c) for c in columns]), read.filter("reason is not null").select("line_no", line, "reason")
+
+
+def replayed(base: DataFrame, log: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """base after a log(op, order, the columns of base) of `set` and `remove`: of each key the last entry counts.
+
+    The log is brought down to an entry a key before it meets the base, so a hot key costs one row.
+    """
+    rest = [c for c in base.columns if c not in keys]
+    last = log.groupBy(*keys).agg(F.max(F.struct(order, "op", *rest)).alias("_e"))
+    put = last.filter("_e.op = 'set'").select(*[F.col(c) if c in keys else F.col(f"_e.{c}").alias(c) for c in base.columns])
+    return base.join(last.select(*keys), keys, "left_anti").unionByName(put)
+
+
+def differing(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, change) of the keys that a save must write: added, removed or changed; none if nothing has to be saved."""
+    rest = [c for c in before.columns if c not in keys]
+    side = lambda df, name: df.select(*keys, F.struct(F.lit(1).alias("_"), *rest).alias(name))
+    met = side(before, "_a").join(side(after, "_b"), keys, "full")
+    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(~F.col("_a").eqNullSafe(F.col("_b")), "changed")
+    return met.select(*keys, change.alias("change")).filter("change is not null")
+
+
+def saved(before: DataFrame, after: DataFrame, keys: list[str], path: str) -> bool:
+    """Write `after` as tab-separated files in order of the keys, only if it differs from `before`; whether it was written."""
+    if differing(before, after, keys).isEmpty():
+        return False
+    tsv_lines(after.orderBy(*keys)).write.text(path)
+    return True
+
+
 def changed(new: DataFrame, old: DataFrame, key: str, content: Column | str) -> DataFrame:
     """Rows of new whose content differs from old's under the key, or that old lacks: all that a writer must write."""
     content = F.col(content) if isinstance(content, str) else content
@@ -84,10 +128,11 @@ def changed(new: DataFrame, old: DataFrame, key: str, content: Column | str) ->
 
 def stale(listing: DataFrame, expected: DataFrame, path: str, complete: bool) -> DataFrame:
     """Listed paths that a build no longer makes, compared without case; none unless the build was complete and made something."""
-    if not complete or expected.isEmpty():
+    if not complete:
         return listing.limit(0)
     low = lambda df: df.withColumn("_low", F.lower(path))
-    return low(listing).join(low(expected).select("_low").distinct(), "_low", "left_anti").drop("_low")
+    made = expected.agg((F.count(F.lit(1)) > 0).alias("_some")).filter("_some").drop("_some")  # one row, or none
+    return low(listing).join(low(expected).select("_low").distinct(), "_low", "left_anti").drop("_low").crossJoin(F.broadcast(made))
 
 
 def safe_paths(df: DataFrame, path: str) -> DataFrame:
@@ -95,6 +140,35 @@ def safe_paths(df: DataFrame, path: str) -> DataFrame:
     return df.filter(~F.col(path).rlike(r"^/|\\|(^|/)\.\.(/|$)"))
 
 
+#: Stand for the bytes 0x80 to 0xFF where they are no UTF-8: the last 128 code points, for private use.
+_BYTES = 0x10FF00
+_KEPT = re.compile("[\U0010ff80-\U0010ffff]")
+_LOOSE = re.compile("[\udc80-\udcff]")
+
+
+@F.pandas_udf(T.StringType())
+def text_of(content: pd.Series) -> pd.Series:
+    """Bytes as text that bytes_of() turns into the same bytes again: line breaks stay, and bytes that are no UTF-8 become characters of their own.
+
+    So do the bytes of such characters where a text has them, which keeps the mapping one to one.
+    """
+
+    def read(b: bytes | None) -> str | None:
+        if b is None:
+            return None
+        t = bytes(b).decode("utf-8", "surrogateescape")
+        t = _KEPT.sub(lambda m: m[0].encode().decode("ascii", "surrogateescape"), t)
+        return _LOOSE.sub(lambda m: chr(_BYTES + ord(m[0]) - 0xDC00), t)
+
+    return content.map(read)
+
+
+@F.pandas_udf(T.BinaryType())
+def bytes_of(text: pd.Series) -> pd.Series:
+    """The bytes of a text from text_of(), edited or not."""
+    return text.map(lambda t: None if t is None else _KEPT.sub(lambda m: chr(ord(m[0]) - _BYTES + 0xDC00), t).encode("utf-8", "surrogateescape"))
+
+
 @F.pandas_udf(T.StringType())
 def _inflated(content: pd.Series) -> pd.Series:
     """What is compressed below four lines of text."""
