@@ -113,6 +113,15 @@ def _mapped(f):
 code_only = _mapped(lambda t: "".join(masked_line(x) for x in re.split(r"(\n)", t)))
 #: The same with everything blanked that is no code: tags, notes, constants, layout.
 code_text = _mapped(masked_text)
+
+
+@F.pandas_udf(T.StructType([T.StructField("code", T.StringType()), T.StructField("target", T.StringType())]))
+def code_and_target(text: pd.Series) -> pd.DataFrame:
+    """Both of the next, each text masked once."""
+    code = text.map(lambda t: None if t is None else masked_text(t))
+    return pd.DataFrame({"code": code, "target": code.map(lambda t: None if t is None else conditional_text(t))})
+
+
 #: What of the code stands in constructs that depend on the target.
 target_text = _mapped(lambda t: conditional_text(masked_text(t)))
 

@@ -25,9 +25,9 @@ def release(text: Column) -> Column:
 
 
 def deprecation(message: Column) -> Column:
-    """struct(old, new) of '<old> is deprecated. You should use <new> instead.'; null if the message is no such one."""
+    """struct(old, new) of '<old> is deprecated. You should use <new> instead.', without case, old being a dotted name; null if the message is no such one."""
     m = collapsed(message)
-    part = lambda i: F.regexp_extract(m, r"^(\S+) is deprecated\.?(?: You should use (.+?) instead\.?)?$", i)
+    part = lambda i: F.regexp_extract(m, r"(?i)^([A-Z_][\w.]*) is deprecated ?\.? ?(?:You should use (.+?) instead ?\.?)?$", i)
     return F.when(part(1) != "", F.struct(part(1).alias("old"), F.nullif(part(2), F.lit("")).alias("new")))
 
 
@@ -41,10 +41,15 @@ def leaf(name: Column) -> Column:
     return F.regexp_extract(name, r"([^.]*)$", 1)
 
 
+def quoted(text: Column) -> Column:
+    r"""Java pattern that matches the text itself; a \E in it ends no quotation."""
+    return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
 def symbol_pattern(name: Column, member: Column) -> Column:
     r"""Java pattern of a symbol: a member as `\.X\b`, a global as `(?<![\w.])X\b`, Unicode-aware and without case."""
-    quoted = F.concat(F.lit(r"\Q"), name, F.lit(r"\E\b"))
-    return F.when(member, F.concat(F.lit(r"(?iU)\."), quoted)).otherwise(F.concat(F.lit(r"(?iU)(?<![\w.])"), quoted))
+    whole = F.concat(quoted(name), F.lit(r"\b"))
+    return F.when(member, F.concat(F.lit(r"(?iU)\."), whole)).otherwise(F.concat(F.lit(r"(?iU)(?<![\w.])"), whole))
 
 
 def decremented(expr: Column) -> Column:

@@ -184,6 +184,53 @@ def lookup(matrix: DataFrame, query: str) -> DataFrame:
     return matrix.withColumn("how", how).filter("how is not null")
 
 
+def rules_by_symbol(rules: DataFrame, query: str) -> DataFrame:
+    """Rules(name, old) that convert the symbol: it is a name on their deprecated side, whole or as last component."""
+    return rules.filter(F.array_contains(symbol_tokens(F.col("name"), F.col("old")), query.lower().lstrip(".")))
+
+
+def rules_where(rules: DataFrame, rule_id: str | None = None, category: str | None = None, tier: str | None = None) -> DataFrame:
+    """Rules of an id, a category and a tier, each without case and only where asked for; manual-only is the tier manual."""
+    low = lambda c: F.lower(F.col(c))
+    found = rules
+    for column, wanted in (("rule_id", rule_id), ("category", category)):
+        found = found if wanted is None else found.filter(low(column) == wanted.lower())
+    name = F.regexp_replace(low("conf"), "^manual-only$", "manual")
+    return found if tier is None else found.filter(name == tier.lower().replace("manual-only", "manual"))
+
+
+def with_rule_members(patterns: DataFrame, rules: DataFrame) -> DataFrame:
+    """patterns(key, pattern) with origin `matrix`, and a row made for each member that only rules search for, with origin the rule's id."""
+    only = rule_only_members(rules, patterns)
+    made = only.select("key", F.concat(F.lit(r"(?i)\."), F.regexp_replace("key", r"^\.", ""), F.lit(r"\b")).alias("pattern"), F.col("rule_id").cast("string").alias("origin"))
+    return patterns.select("key", "pattern", F.lit("matrix").alias("origin")).unionByName(made)
+
+
+def documented_rows(matrix: DataFrame, index: DataFrame) -> DataFrame:
+    """matrix(old, kind) with page: the deprecated row of index(name, flags, page) that has its facts, or null.
+
+    Names meet without case, signature and title decoration. An event never joins: methods have the same names. A method prefers
+    the page "<name> Method"; other rows find such a page under the bare name too, after a page of their own name. Of equals the
+    least page counts.
+    """
+    clean = lambda c: F.lower(joinable(F.col(c)))
+    named = index.filter(F.contains("flags", F.lit("deprecated"))).select(clean("name").alias("_n"), "page").filter("_n != ''")
+    method = F.endswith("_n", F.lit(" method"))
+    own = named.select(F.col("_n").alias("_key"), method.alias("_method"), F.lit(0).alias("_rank"), "page")
+    bare_ = named.filter(method).select(F.trim(F.regexp_replace("_n", " method$", "")).alias("_key"), F.lit(True).alias("_method"), F.lit(1).alias("_rank"), "page")
+    best = own.unionByName(bare_).groupBy("_key").agg(F.min(F.when(F.col("_method"), F.struct("_rank", "page"))).alias("_m"), F.min(F.struct("_rank", "page")).alias("_any"))
+    met = matrix.withColumn("_key", clean("old")).join(best, "_key", "left")
+    page = F.when(F.col("kind") == "Event", None).when(F.col("kind") == "Method", F.coalesce("_m.page", "_any.page")).otherwise(F.col("_any.page"))
+    return met.select(*matrix.columns, page.alias("page"))
+
+
+def renamed_classes(matrix: DataFrame) -> DataFrame:
+    """(old, new) of the classes that a matrix renames, old lower-cased: undotted rows of the two categories of types; of several the last by row_id counts."""
+    new = F.trim(F.coalesce("new", F.lit("")))
+    able = matrix.filter(~F.contains("old", F.lit(".")) & F.col("cat").isin("IDE handles", "Source — type") & ~new.isin("", "—"))
+    return able.groupBy(F.lower("old").alias("old")).agg(F.max_by(F.split_part(F.split_part(new, F.lit("("), F.lit(1)), F.lit(" "), F.lit(1)), "row_id").alias("new"))
+
+
 def tier_counts(rules: DataFrame, category: str, conf: str) -> DataFrame:
     """(category, tier, n); manual-only counts as manual."""
     return rules.groupBy(category, F.regexp_replace(conf, "^manual-only$", "manual").alias("tier")).agg(F.count("*").alias("n"))

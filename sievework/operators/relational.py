@@ -64,9 +64,8 @@ def dangling(df: DataFrame, parent: str, owners: DataFrame, owner: str, none: in
 
 def orphans(items: DataFrame, key: str, references: DataFrame, reference: str) -> DataFrame:
     """Items that nothing refers to; none if there is no reference at all."""
-    if references.isEmpty():
-        return items.limit(0)
-    return items.join(references.select(F.col(reference).alias(key)).distinct(), key, "left_anti").select(items.columns)
+    some = references.agg((F.count(F.lit(1)) > 0).alias("_some")).filter("_some").select()  # one row, or none
+    return items.join(references.select(F.col(reference).alias(key)).distinct(), key, "left_anti").select(items.columns).crossJoin(F.broadcast(some))
 
 
 def regressions(new: DataFrame, base: DataFrame, key: list[str], place: list[str]) -> DataFrame:
@@ -186,6 +185,30 @@ def set_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return n.withColumn("share", (F.col("left_only") + F.col("right_only")) / F.greatest(F.col("left_only") + F.col("right_only") + F.col("in_both"), F.lit(1)))
 
 
+def different_rows(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, side): the keys that only one of the two has."""
+    mark = lambda df, c: df.select(key).distinct().withColumn(c, F.lit(1))
+    met = mark(left, "_l").join(mark(right, "_r"), key, "full_outer").filter(F.col("_l").isNull() | F.col("_r").isNull())
+    return met.select(key, F.when(F.col("_r").isNull(), "left").otherwise("right").alias("side"))
+
+
+def numbered(df: DataFrame, coarse: list[Column], order: list[Column], name: str = "rank") -> DataFrame:
+    """df with the place of each row in one order over all rows, from 1, without a window over all rows.
+
+    coarse is a prefix of the order whose values are far fewer than the rows: these are counted, and a place is how many rows have smaller
+    ones and the row's place among its equals, within which `order` decides.
+    """
+    keys = [f"_c{i}" for i in range(len(coarse))]
+    rows = df.withColumns(dict(zip(keys, coarse, strict=True)))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)  # one row for each value of the prefix
+    base = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    same = [placed[k].eqNullSafe(base[k]) for k in keys]
+    joined = placed.join(bounded(base), same)
+    return joined.select(*df.columns, (F.col("_before") + F.col("_place")).cast("int").alias(name))
+
+
 def rewritten(df: DataFrame, text: str, rules: list[tuple[str, str, str]]) -> DataFrame:
     """text after rules (id, Java pattern, replacement) in order, each on the result of the one before, with a count of each rule's matches in n_<id>."""
     for rule, pattern, replacement in rules:

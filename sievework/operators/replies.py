@@ -50,8 +50,12 @@ def classified(replies: DataFrame, envelope: str) -> DataFrame:
     return typed.withColumn("verdict", verdict).withColumn("fatal", F.coalesce(fatal, F.lit(False))).drop("_p")
 
 
+# Exit codes of verdicts that have one of their own; of the others a run that is well exits 0, else 1.
+EXIT_CODES = {"script_error": 5, "unknown": 4}
+
+
 def outcome(verdict: str, fatal: str, key: str, warnings_as_errors: bool = False) -> Column:
-    """struct(ok, outcome): what a verdict means for the run."""
+    """struct(ok, outcome, exit_code): what a verdict means for the run."""
     v = F.col(verdict)
     ok = (v == "ok") | ((v == "open_errors") & ~F.col(fatal)) | ((v == "warnings") & F.lit(not warnings_as_errors))
     name = (
@@ -62,7 +66,8 @@ def outcome(verdict: str, fatal: str, key: str, warnings_as_errors: bool = False
         .when(v == "ok", "success")
         .otherwise(v)
     )
-    return F.struct(ok.alias("ok"), name.alias("outcome"))
+    code = F.coalesce(*[F.when(v == name_, F.lit(n)) for name_, n in EXIT_CODES.items()], F.when(ok, 0).otherwise(1))
+    return F.struct(ok.alias("ok"), name.alias("outcome"), code.alias("exit_code"))
 
 
 def method_spec(rules: DataFrame, order: str) -> DataFrame:

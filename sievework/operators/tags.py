@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sievework.functions.arrow import cut
+
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)\b[^>]*?(/?)>")
 # Elements whose content is raw, and those without content, after the HTML standard.
 RAW = frozenset(["script", "style"])
@@ -43,7 +45,7 @@ def problems(df: DataFrame, key: str, text: str, standalone: frozenset[str] = ST
     kind = df.schema[key].dataType.simpleString()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in cut(it):
             rows = [(k, *p) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for p in walk(t or "", standalone)]
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
             yield pa.record_batch([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], [key, "at", "problem", "tag"])

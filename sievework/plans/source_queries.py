@@ -337,11 +337,11 @@ def rule_only_members(spark, sf_dir):
     return catalog.rule_only_members(rules, have).select("key", F.col("rule_id").cast("string").alias("rule_id"))
 
 
-@_q("""SELECT DISTINCT 'Own' || p_size % 4 || '.Sym' || p_size % 8 AS symbol, CASE p_size % 8 WHEN 0 THEN 'c0r1' WHEN 1 THEN 'c0r2' WHEN 2 THEN 'c1r1' WHEN 5 THEN 'c1r2' ELSE 'c1r3' END AS rule_id, 'leaf' AS by FROM part WHERE p_size % 8 IN (0, 1, 2, 5, 6) UNION ALL SELECT 'Box.Sym0', 'c0r1', 'whole' WHERE EXISTS (SELECT 1 FROM part)""")
+@_q("""SELECT DISTINCT 'Own' || p_size % 4 || '.Sym' || p_size % 8 AS symbol, CASE p_size % 8 WHEN 0 THEN 'c0r1' WHEN 1 THEN 'c0r2' WHEN 2 THEN 'c1r1' WHEN 5 THEN 'c1r2' ELSE 'c1r3' END AS rule_id, 'leaf' AS by FROM part WHERE p_size % 8 IN (0, 1, 2, 5, 6) UNION ALL SELECT DISTINCT 'Box.Sym' || p_size % 8, CASE p_size % 8 WHEN 0 THEN 'c0r1' WHEN 1 THEN 'c0r2' WHEN 2 THEN 'c1r1' WHEN 5 THEN 'c1r2' ELSE 'c1r3' END, CASE p_size % 8 WHEN 0 THEN 'whole' ELSE 'leaf' END FROM part WHERE p_size % 8 IN (0, 1, 2, 5, 6)""")
 def rules_of_symbols(spark, sf_dir):
     rules = spark.createDataFrame(RULES, "rule_id string, name string, old string, new string, conf string, applies boolean, manual string")
     p = _t(spark, sf_dir, "part").select(F.concat(F.lit("Own"), (F.col("p_size") % 4).cast("string"), F.lit(".Sym"), (F.col("p_size") % 8).cast("string")).alias("symbol"))
-    extra = _t(spark, sf_dir, "part").limit(1).select(F.lit("Box.Sym0").alias("symbol"))
+    extra = _t(spark, sf_dir, "part").select(F.concat(F.lit("Box.Sym"), (F.col("p_size") % 8).cast("string")).alias("symbol"))
     return catalog.rules_of_symbols(p.unionByName(extra).distinct(), rules)
 
 
@@ -613,9 +613,9 @@ def concatenated_sources(spark, sf_dir):
     return replies.concatenated(_t(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")), _t(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))).select("name", "segment", "region")
 
 
-@_q("""SELECT doc_id, md5(replace(url_encode(t), '%2F', '/')) AS quoted_md5, md5(t) AS back_md5 FROM (SELECT doc_id, 'a/b~c*d+e (f) ' || substr(text, 1, 200) AS t FROM documents)""")
+@_q("""SELECT doc_id, md5(replace(url_encode(t), '%2F', '/')) AS quoted_md5, md5(t) AS back_md5 FROM (SELECT doc_id, 'a/b~c*d+e (f) ' || text AS t FROM documents)""")
 def quoted_paths(spark, sf_dir):
-    t = F.concat(F.lit("a/b~c*d+e (f) "), F.substring("text", 1, 200))
+    t = F.concat(F.lit("a/b~c*d+e (f) "), "text")
     return _t(spark, sf_dir, "documents").select("doc_id", F.md5(replies.quoted(t)).alias("quoted_md5"), F.md5(replies.unquoted(replies.quoted(t))).alias("back_md5"))
 
 
