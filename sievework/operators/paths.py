@@ -23,6 +23,27 @@ def folders_above(folder: Column) -> Column:
     return F.transform(depths, lambda n: F.struct(n.alias("depth"), at(n).alias("folder")))
 
 
+def relative_path(page: Column, target: Column) -> Column:
+    """The target's path as seen from the page's folder: `..` for each folder that the two do not share, then the rest; `.` for the folder itself.
+
+    Empty and `.` parts go. A page in no folder sees the target as it is.
+    """
+    parts = lambda x: F.filter(F.split(x, "/"), lambda p: ~p.isin("", "."))
+    base, to = parts(folder_of(page)), parts(target)
+    n = F.least(F.size(base), F.size(to))
+    apart = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(base, i) != F.get(to, i))
+    shared = F.when(n == 0, F.lit(0)).otherwise(F.coalesce(F.get(apart, F.lit(0)), n))
+    steps = F.concat(F.array_repeat(F.lit(".."), F.size(base) - shared), F.slice(to, shared + 1, F.size(to)))
+    return F.when(folder_of(page) == "", target).otherwise(F.when(F.size(steps) == 0, ".").otherwise(F.array_join(steps, "/")))
+
+
+def link_destination(path: Column) -> Column:
+    """A path with what would end a link's destination early escaped: brackets and blanks."""
+    for c, to in (("(", "%28"), (")", "%29"), (" ", "%20")):
+        path = F.replace(path, F.lit(c), F.lit(to))
+    return path
+
+
 def nearest_ancestors(folders: DataFrame, folder: str, listed: DataFrame, stops: DataFrame) -> DataFrame:
     """(folder, ancestor, the columns of listed): for each folder the nearest of itself and those above that listed(folder, ...) has.
 

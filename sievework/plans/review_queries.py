@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.operators import catalog, relational, replies, source_code, worklist
+from sievework.operators import catalog, paths, relational, replies, source_code, worklist
 from sievework.plans.carriers import _t
 from sievework.plans.source_queries import _ENVELOPES, _EXPECTED, _GROUPED, _ROWS, _diagnostics, _matrix, _source
+from sievework.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +97,23 @@ def reply_exit_codes(spark, sf_dir):
     found = replies.classified(e.select("event_id", envelope.alias("envelope")), "envelope")
     code = lambda promoted: F.struct(F.lit(promoted).alias("promoted"), replies.outcome("verdict", "fatal", "key", promoted)["exit_code"].alias("exit_code"))
     return found.select("event_id", F.inline(F.array(code(True), code(False))))
+
+
+# From each page to the page with the next id, both under their hosts.
+@_q("""WITH p AS (SELECT page_id, regexp_extract(url, '://([^?#]*)', 1) AS path, lead(regexp_extract(url, '://([^?#]*)', 1)) OVER (ORDER BY page_id) AS target FROM pages),
+a AS (SELECT page_id, list_filter(string_split(regexp_extract(path, '^(.*)/[^/]*$', 1), '/'), lambda x: x != '') AS base, list_filter(string_split(target, '/'), lambda x: x != '') AS goal FROM p WHERE target IS NOT NULL),
+s AS (SELECT *, len(list_filter(range(1, least(len(base), len(goal)) + 1), lambda i: base[1:i] = goal[1:i])) AS n FROM a)
+SELECT page_id, array_to_string(list_concat(list_transform(range(len(base) - n), lambda i: '..'), goal[n + 1:]), '/') AS link FROM s""")
+def relative_links(spark, sf_dir):
+    path = F.regexp_extract("url", r"://([^?#]*)", 1)
+    p = _t(spark, sf_dir, "pages").select("page_id", path.alias("path"))
+    nxt = p.select((F.col("page_id") - 1).alias("page_id"), F.col("path").alias("target"))
+    return p.join(nxt, "page_id").select("page_id", paths.link_destination(paths.relative_path(F.col("path"), F.col("target"))).alias("link"))
+
+
+@_q(r"""WITH l AS (SELECT doc_id, unnest(regexp_extract_all(replace(text, '. ', '.' || chr(13) || chr(10)), '[^\n\r]*(?:\r\n|\n|\r)|[^\n\r]+$')) AS x FROM documents WHERE text != '')
+SELECT doc_id, count(*) AS lines, sum(ends_with(x, chr(13) || chr(10))::INT)::BIGINT AS windows_endings, sum((NOT ends_with(x, chr(10)))::INT)::BIGINT AS without_ending, sum(length(regexp_replace(x, '[\n\r]+$', '')))::BIGINT AS chars FROM l GROUP BY doc_id""")
+def ended_lines(spark, sf_dir):
+    text = F.replace("text", F.lit(". "), F.lit(".\r\n"))
+    rows = tables.ended_lines(_t(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.col("ending") == "\r\n").alias("windows_endings"), F.count_if(F.col("ending") == "").alias("without_ending"), F.sum(F.length("line")).alias("chars"))

@@ -38,6 +38,14 @@ def line_rows(df: DataFrame, text: str = "text", line_break: str = r"\r\n|\n|\r"
     return df.select("*", F.posexplode(lines).alias("_pos", "line")).withColumn("line_no", F.col("_pos") + 1).drop("_pos")
 
 
+def ended_lines(df: DataFrame, text: str = "text") -> DataFrame:
+    """Lines with line_no from 1 and `ending`, the break that ends each, empty for what stands behind the last: line and ending in order give the text."""
+    whole = F.regexp_extract_all(F.col(text), F.lit(r"[^\n\r]*(?:\r\n|\n|\r)|[^\n\r]+\z"), 0)
+    rows = df.select("*", F.posexplode(whole).alias("_pos", "_whole"))
+    ending = F.regexp_extract("_whole", r"(\r\n|\n|\r)?\z", 1)
+    return rows.select(*df.columns, (F.col("_pos") + 1).alias("line_no"), F.regexp_replace("_whole", r"[\n\r]+\z", "").alias("line"), ending.alias("ending"))
+
+
 def line_pairs(df: DataFrame, real: str, masked: str) -> DataFrame:
     """Lines of two parallel texts side by side."""
     pairs = F.arrays_zip(F.split(real, "\n", -1).alias("real"), F.split(masked, "\n", -1).alias("masked"))
