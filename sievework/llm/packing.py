@@ -32,12 +32,12 @@ from .subwords import Subwords, tokenizer_path
 PIECE = "doc_id long, row_hash long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) -> DataFrame:
-    """One row per piece of a document: place, length and CRC-32 of its ids."""
+def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, remember: int = 800_000) -> DataFrame:
+    """One row per piece of a document: place, length and CRC-32 of its ids. A task remembers the ids of so many pre-tokens."""
     end = end_id.to_bytes(4, "little")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = Subwords(path)
+        subwords = Subwords(path, remember)
         for b in batches(it):
             out: list[tuple] = []
             for doc_id, salt, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
@@ -100,10 +100,10 @@ def plan(histogram: dict[int, int], size: int = 2048) -> tuple[list[tuple[int, i
     return slots, opened
 
 
-def pack(docs: DataFrame, path: str | None = None, size: int = 2048, end_id: int = 0, bucket_rows: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, size: int = 2048, end_id: int = 0, bucket_rows: int = 20_000, remember: int = 800_000) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    cut = stored(pieces(docs, path or tokenizer_path(), size, end_id), "pieces")
+    cut = stored(pieces(docs, path or tokenizer_path(), size, end_id, remember), "pieces")
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `size` rows
     many = spark.createDataFrame([(n, -(-c // bucket_rows)) for n, c in histogram.items()], "length long, buckets long")
     cut = cut.join(F.broadcast(many), "length").withColumn("bucket", F.pmod("row_hash", "buckets")).drop("buckets")

@@ -124,8 +124,7 @@ def sketches(measures: DataFrame) -> DataFrame:
 
 def _blended(sketch: DataFrame, keys: list[str], prior: DataFrame, prior_keys: list[str]) -> DataFrame:
     """(keys, measure, bin, n): the sketch in millionths of a document, with the prior's shares as PRIOR documents more."""
-    total = prior.groupBy(*prior_keys, "measure").agg(F.sum("n").alias("_total"))
-    shares = prior.join(bounded_broadcast(total), [*prior_keys, "measure"]).select(*prior_keys, "measure", "bin", F.round(F.col("n").cast("double") / F.col("_total") * (PRIOR * 1_000_000)).cast("long").alias("n"))
+    shares = prior.withColumn("_total", F.sum("n").over(Window.partitionBy(*prior_keys, "measure"))).select(*prior_keys, "measure", "bin", F.round(F.col("n").cast("double") / F.col("_total") * (PRIOR * 1_000_000)).cast("long").alias("n"))
     groups = sketch.select(*keys, "measure").distinct()
     rows = sketch.select(*keys, "measure", "bin", (F.col("n") * 1_000_000).alias("n")).unionByName(groups.join(bounded_broadcast(shares), [*prior_keys, "measure"]))
     return rows.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
@@ -145,7 +144,7 @@ def thresholds(measures: DataFrame) -> DataFrame:
     """(_lang, _source, a low and a high fence per fenced measure) of each group with a document that passes the base rules."""
     own = stored(sketches(measures), "sketch")
     everything = own.groupBy("measure", "bin").agg(F.sum("n").alias("n"))
-    lang = _blended(own.groupBy("_lang", "measure", "bin").agg(F.sum("n").alias("n")), ["_lang"], everything, [])
+    lang = stored(_blended(own.groupBy("_lang", "measure", "bin").agg(F.sum("n").alias("n")), ["_lang"], everything, []), "sketch")
     q = _quartiles(_blended(own, ["_lang", "_source"], lang, ["_lang"]), ["_lang", "_source"]).withColumn("range", F.col("q75") - F.col("q25"))
     q = stored(q, "quartiles")
     median = F.expr("percentile_disc(0.5) within group (order by nullif(range, 0))")
