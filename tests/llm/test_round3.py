@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.llm import binary_packing, centroids, divergence
+from sievework.llm import binary_packing, centroids, divergence, html_text
 from sievework.llm.common import table
 from sievework.llm.subwords import Subwords, tokenizer_path
 
@@ -237,3 +238,38 @@ def test_counts_by_place_and_by_name_agree(spark, odd):
     terms = divergence.frequent_terms(docs, 2)
     by_name = rows(divergence.term_counts(docs, terms, shipped=0), "lang", "source", "term", "n")
     assert rows(divergence.term_counts(docs, terms, chunk=3), "lang", "source", "term", "n") == by_name and len(by_name) > 20
+
+
+# Lines that repeat, and neighbours across partitions (operator 4)
+
+
+def test_common_lines_of_repeated_lines():
+    r = random.Random(8)
+
+    def longest(a, b):
+        d = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(d[j] + 1 if x == y else max(d[j + 1], new[j]))
+            d = new
+        return d[-1]
+
+    for _ in range(300):
+        k = r.choice([1, 2, 3, 9])
+        a, b = ([r.choice("abcdefghi"[:k]) for _ in range(r.randrange(0, 150))] for _ in range(2))
+        found = sorted(html_text.common_lines(a, b))
+        left = iter(b)
+        assert all(any(a[i] == y for y in left) for i in found) and len(found) == longest(a, b)
+    began = time.process_time()
+    assert len(html_text.common_lines(["x"] * 40_000, ["x"] * 39_999)) == 39_999
+    assert len(html_text.common_lines(["x", "y"] * 10_000, ["y", "x", "x"] * 7_000)) > 15_000
+    assert time.process_time() - began < 20
+
+
+def test_neighbours_across_partitions(spark):
+    rows = [(f"h{i // 7}", f"/p{i:03d}", i, i, [f"line {i}"]) for i in range(60)]
+    df = spark.createDataFrame(rows, "host string, path string, page_id long, row long, own array<string>").repartition(9)
+    got = {x["row"]: (x["before"], x["after"]) for x in html_text.with_neighbours(df).collect()}
+    own = lambda i, j: [f"line {j}"] if 0 <= j < 60 and i // 7 == j // 7 else None
+    assert got == {i: (own(i, i - 1), own(i, i + 1)) for i in range(60)}
