@@ -5,11 +5,11 @@ import math
 import duckdb
 import pytest
 
-from sievework.plans import carriers, source_queries
+from sievework.plans import carriers, page_queries, review_queries, source_queries
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = carriers.QUERIES | source_queries.QUERIES
-ORACLES = carriers.ORACLES | source_queries.ORACLES
+QUERIES = carriers.QUERIES | source_queries.QUERIES | page_queries.QUERIES | review_queries.QUERIES
+ORACLES = carriers.ORACLES | source_queries.ORACLES | page_queries.ORACLES | review_queries.ORACLES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
