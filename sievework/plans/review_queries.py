@@ -117,3 +117,48 @@ def ended_lines(spark, sf_dir):
     text = F.replace("text", F.lit(". "), F.lit(".\r\n"))
     rows = tables.ended_lines(_t(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
     return rows.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.col("ending") == "\r\n").alias("windows_endings"), F.count_if(F.col("ending") == "").alias("without_ending"), F.sum(F.length("line")).alias("chars"))
+
+
+# What the urls themselves hold decides: an anchor gives backslashes, a query a leading slash, a closing slash a step up.
+@_q("""SELECT page_id, path FROM (SELECT page_id, CASE WHEN contains(url, '#') THEN replace(p, '/', chr(92)) WHEN contains(url, '?') THEN '/' || p WHEN ends_with(p, '/') THEN p || '../x' ELSE p END AS path
+FROM (SELECT page_id, url, regexp_extract(url, '://([^?#]*)', 1) AS p FROM pages)) WHERE NOT starts_with(path, '/') AND NOT contains(path, chr(92)) AND NOT list_contains(string_split(path, '/'), '..')""")
+def safe_url_paths(spark, sf_dir):
+    p, url = F.regexp_extract("url", r"://([^?#]*)", 1), F.col("url")
+    path = F.when(F.contains(url, F.lit("#")), F.replace(p, F.lit("/"), F.lit("\\"))).when(F.contains(url, F.lit("?")), F.concat(F.lit("/"), p)).when(F.endswith(p, F.lit("/")), F.concat(p, F.lit("../x"))).otherwise(p)
+    return tables.safe_paths(_t(spark, sf_dir, "pages").select("page_id", path.alias("path")), "path")
+
+
+@_q("""WITH m AS (SELECT p_partkey, lower(p_brand || '.' || replace(p_name, ' ', '.')) AS old FROM part)
+SELECT p_partkey, CASE WHEN old = 'ring' THEN 'exact' WHEN regexp_extract(old, '([^.]*)$', 1) = 'ring' THEN 'leaf' ELSE 'part' END AS how FROM m WHERE contains(old, 'ring')""")
+def part_lookups(spark, sf_dir):
+    old = F.concat("p_brand", F.lit("."), F.replace("p_name", F.lit(" "), F.lit(".")), F.lit("(size As Integer)"))
+    return catalog.lookup(_t(spark, sf_dir, "part").select("p_partkey", old.alias("old")), ".Ring").select("p_partkey", "how")
+
+
+# A part's name and its suppliers' orders' priorities as two wordings of a replacement.
+@_q("""WITH w AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, lower(p_type || '.' || split_part(p_name, ' ', 1)) AS a, lower(CASE WHEN l_quantity > 25 THEN split_part(p_name, ' ', 2) WHEN l_quantity > 12 THEN p_type ELSE p_type || '.' || split_part(p_name, ' ', 1 + l_linenumber % 2) END) AS b
+    FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT a AS ours, b AS theirs, count(*) AS n FROM w WHERE NOT (a = b OR starts_with(a, b || '.') OR starts_with(b, a || '.') OR split_part(a, '.', 2) = b OR regexp_extract(b, '([^.]*)$', 1) = a) GROUP BY ALL""")
+def wording_disagreements(spark, sf_dir):
+    i = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).withColumn("id", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    word = lambda n: F.split_part("p_name", F.lit(" "), n)
+    ours = F.concat(F.lit("the `"), "p_type", F.lit("."), word(F.lit(1)), F.lit("` or others"))
+    theirs = F.when(F.col("l_quantity") > 25, word(F.lit(2))).when(F.col("l_quantity") > 12, F.col("p_type")).otherwise(F.concat("p_type", F.lit("."), word(F.col("l_linenumber") % 2 + 1)))
+    found = catalog.disagreements(i.select("id", ours.alias("replacement")), i.select("id", theirs.alias("replacement")), "id")
+    head = lambda c: catalog.first_head(F.col(c))
+    return found.groupBy(head("ours").alias("ours"), head("theirs").alias("theirs")).agg(F.count("*").alias("n"))
+
+
+# A loop for each item, counting up or down between its numbers, with a call whose start adds the line number or takes it away.
+@_q("""WITH i AS (SELECT l_quantity::INT % 5 AS low, l_partkey % 9 AS high, l_linenumber AS n, l_returnflag AS f, l_suppkey % 2 = 0 AS plus FROM lineitem),
+v AS (SELECT *, CASE f WHEN 'A' THEN low WHEN 'R' THEN high END AS least FROM i)
+SELECT CASE f WHEN 'N' THEN 'LITERAL' ELSE 'i=' || least END AS label, CASE WHEN f = 'N' THEN CASE WHEN low >= 1 THEN 'safe' ELSE 'risky' END WHEN least + CASE WHEN plus THEN n ELSE -n END >= 1 THEN 'safe' ELSE 'risky' END AS verdict, count(*) AS calls FROM v GROUP BY ALL""")
+def item_loops(spark, sf_dir):
+    s = lambda x: x.cast("string")
+    low, high, n = F.col("l_quantity").cast("int") % 5, F.col("l_partkey") % 9, F.col("l_linenumber")
+    span = F.when(F.col("l_returnflag") == "A", F.concat(s(low), F.lit(" To "), s(high))).otherwise(F.concat(s(low), F.when(F.col("l_tax") > 0.04, " DownTo "), s(high)))
+    span = F.coalesce(span, F.concat(s(low), F.lit(" To "), s(high), F.lit(" Step -1")))
+    start = F.when(F.col("l_returnflag") == "N", s(low)).otherwise(F.concat(F.lit("i"), F.when(F.col("l_suppkey") % 2 == 0, " + ").otherwise(" - "), s(n)))
+    text = F.concat(F.lit("Sub Go()\nFor i As Integer = "), span, F.lit("\n  x = Mid(s, "), start, F.lit(", 1) ' Mid(s, 0)\nNext\nEnd Sub"))
+    found = source_code.loop_audit(_t(spark, sf_dir, "lineitem").select("l_orderkey", text.alias("text")), ["l_orderkey"], "text", "Mid")
+    return found.groupBy("label", "verdict").agg(F.count("*").alias("calls"))
