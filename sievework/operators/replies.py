@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.operators.source_code import per_text
 
 # Keys of a diagnostics payload, in the order in which they are looked for.
 PAYLOADS = ["scriptError", "buildError", "openErrors", "loadError", "missingFiles"]
@@ -154,22 +152,6 @@ def rewritten_notes(rows: DataFrame, documented: DataFrame, note: str, target: s
     return met.withColumn("rewritten", F.coalesce(new != F.col(note), F.lit(False))).withColumn(note, F.coalesce(new, F.col(note))).drop("_t", "_what")
 
 
-def unified_diffs(df: DataFrame, keys: list[str], before: str, after: str) -> DataFrame:
-    """keys, diff, added, removed: the unified difference of two texts of a row, with how many lines it adds and removes."""
-    packed = df.select(*keys, F.to_json(F.struct(F.col(before).alias("a"), F.col(after).alias("b"))).alias("_job"))
-
-    def compare(job: str) -> Iterator[tuple]:
-        import difflib
-        import json
-
-        x = json.loads(job)
-        lines = list(difflib.unified_diff(x.get("a", "").split("\n"), x.get("b", "").split("\n"), "before", "after", lineterm=""))
-        body = lines[2:]
-        yield "\n".join(lines), sum(t.startswith("+") for t in body), sum(t.startswith("-") for t in body)
-
-    return per_text(packed, keys, "_job", compare, "diff string, added long, removed long")
-
-
 # Fields of an open error that are fields of their own and not part of its message.
 _OWN_FIELDS = ["type", "message", "severity", "isfatal", "location", "position", "source"]
 

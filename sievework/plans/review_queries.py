@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.operators import catalog, paths, relational, replies, source_code, worklist
+from sievework.operators import catalog, differences, paths, relational, replies, source_code, worklist
 from sievework.plans.carriers import _t
 from sievework.plans.source_queries import _ENVELOPES, _EXPECTED, _GROUPED, _ROWS, _diagnostics, _matrix, _source
 from sievework.sources import tables
@@ -162,3 +162,31 @@ def item_loops(spark, sf_dir):
     text = F.concat(F.lit("Sub Go()\nFor i As Integer = "), span, F.lit("\n  x = Mid(s, "), start, F.lit(", 1) ' Mid(s, 0)\nNext\nEnd Sub"))
     found = source_code.loop_audit(_t(spark, sf_dir, "lineitem").select("l_orderkey", text.alias("text")), ["l_orderkey"], "text", "Mid")
     return found.groupBy("label", "verdict").agg(F.count("*").alias("calls"))
+
+
+# Documents and a revision of each: a hash of a line decides whether it stays, goes or is marked.
+_REVISED = """l AS (SELECT doc_id, unnest(generate_series(1, len(ls))) AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(text || chr(10) || 'end', chr(10)) AS ls FROM documents)),
+k AS (SELECT *, CASE WHEN line = 'end' THEN ' ' WHEN md5(line) < '2' THEN '-' WHEN md5(line) < '4' THEN '~' ELSE ' ' END AS what, count(*) FILTER (WHERE what = ' ') OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS block FROM l),
+o AS (SELECT doc_id, block, n, 2 AS turn, ' ' AS op, line FROM k WHERE what = ' ' UNION ALL SELECT doc_id, block, n, 0, '-', line FROM k WHERE what != ' ' UNION ALL SELECT doc_id, block, n, 1, '+', '~' || line FROM k WHERE what = '~')"""
+
+
+def _revised(spark, sf_dir) -> DataFrame:
+    lines, digest = F.split("text", "\n", -1), F.md5
+    keep = F.transform(F.filter(lines, lambda x: (digest(x) >= "2") | (x == "end")), lambda x: F.when((digest(x) < "4") & (x != "end"), F.concat(F.lit("~"), x)).otherwise(x))
+    end = F.lit("\nend")
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.concat("text", end).alias("before"), F.array_join(F.array_append(keep, F.lit("end")), "\n").alias("after"))
+    return differences.line_changes(d, ["doc_id"], "before", "after")
+
+
+@_q(f"""WITH {_REVISED} SELECT doc_id, count(*) FILTER (WHERE op = '+') AS added, count(*) FILTER (WHERE op = '-') AS removed FROM o GROUP BY doc_id""")
+def revised_lines(spark, sf_dir):
+    return differences.change_counts(_revised(spark, sf_dir), ["doc_id"])
+
+
+@_q(f"""WITH {_REVISED}, s AS (SELECT *, row_number() OVER w AS seq, count(*) FILTER (WHERE op != '+') OVER w AS a, count(*) FILTER (WHERE op != '-') OVER w AS b FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY block, turn, n)),
+c AS (SELECT *, max((op != ' ')::INT) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM s),
+h AS (SELECT *, seq - row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS island FROM c WHERE near = 1),
+g AS (SELECT doc_id, min(seq) AS first_seq, max(a) - min(a - (op != '+')::INT) AS na, min(a - (op != '+')::INT) AS a0, max(b) - min(b - (op != '-')::INT) AS nb, min(b - (op != '-')::INT) AS b0, string_agg(op || line, chr(10) ORDER BY seq) AS body FROM h GROUP BY doc_id, island)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first_seq)::BIGINT AS hunk, '@@ -' || CASE na WHEN 1 THEN (a0 + 1)::VARCHAR ELSE CASE na WHEN 0 THEN a0 ELSE a0 + 1 END || ',' || na END || ' +' || CASE nb WHEN 1 THEN (b0 + 1)::VARCHAR ELSE CASE nb WHEN 0 THEN b0 ELSE b0 + 1 END || ',' || nb END || ' @@' AS header, md5(body) AS body_md5 FROM g""")
+def revision_hunks(spark, sf_dir):
+    return differences.hunks(_revised(spark, sf_dir), ["doc_id"]).select("doc_id", F.col("hunk").cast("long").alias("hunk"), "header", F.md5("body").alias("body_md5"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.functions import segment, symbols
-from sievework.operators import catalog, formatting, locations, pages, relational, replies, source_code, worklist
+from sievework.operators import catalog, differences, formatting, locations, pages, relational, replies, source_code, worklist
 from sievework.plans.carriers import _t
 from sievework.sources import tables
 from sievework.streaming import messages
@@ -653,7 +653,7 @@ def provenance_notes(spark, sf_dir):
 @_q("""SELECT doc_id, 1::BIGINT AS added, 1::BIGINT AS removed FROM documents""")
 def changed_lines(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"), F.concat(F.lit("new first line "), "text").alias("b"))
-    return replies.unified_diffs(d, ["doc_id"], "a", "b").select("doc_id", "added", "removed")
+    return differences.change_counts(differences.line_changes(d, ["doc_id"], "a", "b"), ["doc_id"])
 
 
 @_q("""SELECT p_partkey FROM part WHERE p_size % 5 NOT IN (0, 1, 2)""")

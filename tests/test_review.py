@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sievework.functions import calls, symbols
-from sievework.operators import catalog, paths, relational, source_code, worklist
+from sievework.operators import catalog, differences, paths, relational, source_code, worklist
 from sievework.sources import tables
 
 
@@ -110,3 +110,30 @@ def test_documented_rows(spark):
     matrix = spark.createDataFrame([("Window", "Class"), ("window(i As Integer)", "Method"), ("Screen", "Method"), ("Screen", "Class"), ("Window", "Event"), ("Current", "Class"), ("", "Class")], "old string, kind string")
     assert sorted(map(str, ((r["old"], r["kind"], r["page"]) for r in catalog.documented_rows(matrix, index).collect()))) == sorted(map(str, [("Window", "Class", 1), ("window(i As Integer)", "Method", 2), ("Screen", "Method", 3), ("Screen", "Class", 3), ("Window", "Event", None), ("Current", "Class", None), ("", "Class", None)]))
 
+
+
+def test_differences_turn_one_text_into_the_other(spark):
+    import difflib
+    import random
+
+    r = random.Random(6)
+    many = lambda ns: "".join(f"line {n}\n" for n in ns)
+    line = lambda: r.choice(["a", "b", "c", "", "dd"])
+    pairs = [("\n".join(line() for _ in range(r.randrange(0, 40))), "\n".join(line() for _ in range(r.randrange(0, 40)))) for _ in range(60)]
+    pairs += [("a\nb\n", "a\nb"), (None, "x"), ("x", None), ("", ""), (many(range(30)), many([*range(14), 99, *range(14, 30)])), (many([99, *range(30)]), many([*range(20), *range(22, 30), 98]))]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    changes = differences.line_changes(df, ["i"], "a", "b")
+    got = {}
+    for x in changes.orderBy("i", "seq").collect():
+        got.setdefault(x["i"], []).append((x["op"], x["line"]))
+    for i, (a, b) in enumerate(pairs):
+        split = lambda t: (t[:-1] if t.endswith("\n") else t).split("\n") if t else []
+        rows = got.get(i, [])
+        assert [t for op, t in rows if op != "+"] == split(a) and [t for op, t in rows if op != "-"] == split(b)
+    # On texts with one way to say it the hunks are those of the standard library.
+    want = {}
+    for i in (64, 65):
+        a, b = (p[:-1].split("\n") for p in pairs[i])
+        want[i] = [t for t in difflib.unified_diff(a, b, lineterm="")][2:]
+    shown = differences.hunks(changes.filter("i >= 64"), ["i"]).orderBy("i", "hunk").collect()
+    assert {i: [t for x in shown if x["i"] == i for t in (x["header"], *x["body"].split("\n"))] for i in want} == want
