@@ -52,20 +52,27 @@ def line_pairs(df: DataFrame, real: str, masked: str) -> DataFrame:
     return df.select("*", F.posexplode(pairs).alias("_pos", "_pair")).select(*df.columns, (F.col("_pos") + 1).alias("line_no"), "_pair.*")
 
 
+#: Files whose headers are sent to all tasks; with more, the rows are shuffled by file.
+FILES_SENT = 20_000
+
+
 def headed_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Rows of unquoted TSV files, each by its own header's names; short rows are padded with empty text; a missing column is an error.
 
     Files are read in splits like any text, so one large file is the work of many tasks. The header is the first row of the split that
-    begins at byte 0, told by the order in which a task reads; the headers, one a file, are joined to the rows by file. An error shows
-    when rows are read, and planning runs no job.
+    begins at byte 0, told by the order in which a task reads; the headers, one a file, are joined to the rows by file, and sent to
+    the tasks if the files are at most FILES_SENT, which keeps the rows in order. An error shows when rows are read, and planning
+    runs no job.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"), F.regexp_replace("value", r"\r$", "").alias("_line"))
+    text = spark.read.text(path)
+    lines = text.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"), F.regexp_replace("value", r"\r$", "").alias("_line"))
     heads = lines.filter("_start = 0").groupBy("_file").agg(F.min(F.struct("_row", "_line")).alias("_h"))
     heads = heads.select("_file", F.col("_h._row").alias("_head_row"), F.split("_h._line", "\t", -1).alias("_head"))
     lacking = F.array_except(F.array(*map(F.lit, columns)), F.col("_head"))
     said = F.concat(F.col("_file"), F.lit(" lacks "), F.array_join(lacking, ", "))
     heads = heads.withColumn("_head", F.when(F.size(lacking) == 0, F.col("_head")).otherwise(F.raise_error(said).cast("array<string>")))
-    rows = lines.join(heads, "_file").filter((F.col("_start") != 0) | (F.col("_row") != F.col("_head_row")))
+    few = len(text.inputFiles()) <= FILES_SENT  # a listing, no job
+    rows = lines.join(F.broadcast(heads) if few else heads, "_file").filter((F.col("_start") != 0) | (F.col("_row") != F.col("_head_row")))
     cell = lambda c: F.get(F.split("_line", "\t", -1), (F.array_position("_head", F.lit(c)) - 1).cast("int"))
     return rows.select(*[F.coalesce(cell(c), F.lit("")).alias(c) for c in columns])
 

@@ -21,7 +21,7 @@ def test_every_byte_comes_back(spark):
     assert out[-1] == b"new\xc3\xa9\xff\r\nnew\xc3\xa9\xc3"
 
 
-def test_headed_files_are_read_in_splits(spark, tmp_path):
+def test_headed_files_are_read_in_splits(spark, tmp_path, monkeypatch):
     big = "b\ta\n" + "".join(f"{i}\tx{i}\n" for i in range(20_000)) + "b\ta\n"
     (tmp_path / "one.tsv").write_text(big)
     (tmp_path / "two.tsv").write_text("a\tc\tb\r\ny\tz\t1\r\nshort\r\n")
@@ -33,6 +33,8 @@ def test_headed_files_are_read_in_splits(spark, tmp_path):
         assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
         want = sorted([(f"x{i}", str(i)) for i in range(20_000)] + [("a", "b"), ("y", "1"), ("short", "")])
         assert sorted(map(tuple, df.collect())) == want
+        monkeypatch.setattr(tables, "FILES_SENT", 0)
+        assert sorted(map(tuple, tables.headed_tsv(spark, str(tmp_path), ["a", "b"]).collect())) == want
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     lacking = tables.headed_tsv(spark, str(tmp_path), ["a", "c"])  # no error before rows are read
