@@ -86,7 +86,7 @@ def brute_components(rows, k, percent):
 @pytest.mark.parametrize("name", sorted(llm_queries.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     df = llm_queries.QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
