@@ -14,7 +14,7 @@ NOISY_GLOBALS = "line text mid left right split join volume date format str val
 # What begins a pattern that looks for a member: an escaped dot, or one looked behind for.
 MEMBER_STARTS = (r"\.", r"(?<=\.)")
 # Words between a notice and its release, and what ends a replacement's name in prose.
-LINKING = ["in", "version", "xojo"]
+LINKING = ["in", "version"]
 LEFTOVERS = ["]]", "}", "<ShowIf", "(above)", "(below)", "/api/", "/doc/"]
 #: Characters between a notice and the word that names its replacement, at most.
 NEAR = 120
@@ -142,9 +142,9 @@ def by_severity(df: DataFrame, severity: str, wanted: str, notices: bool = True)
     return kept if notices else kept.filter(F.col(severity) != "notice")
 
 
-def in_scope(matrix: DataFrame, excluded: list[str], keywords: list[str]) -> DataFrame:
+def in_scope(matrix: DataFrame, excluded: list[str], keywords: list[str], namespace: str) -> DataFrame:
     """Rows of no excluded category, not in the old namespace and not named by a keyword."""
-    return matrix.filter(~F.col("cat").isin(excluded) & ~F.startswith("old", F.lit("Xojo.")) & ~bare(F.col("old")).isin(keywords))
+    return matrix.filter(~F.col("cat").isin(excluded) & ~F.startswith("old", F.lit(f"{namespace}.")) & ~bare(F.col("old")).isin(keywords))
 
 
 def grouped_members(members: DataFrame, page: str, kind: str, name: str, kinds: list[str]) -> DataFrame:
@@ -246,17 +246,17 @@ def deprecated_symbol(stem: Column, title: Column, casing: Column) -> Column:
     return F.when(keep, symbol).otherwise(F.concat(casing, F.lit("."), member))
 
 
-def prose_deprecation(text: Column) -> Column:
+def prose_deprecation(text: Column, product: str = "") -> Column:
     """struct(since, replacement) of a notice in prose; blanks where it has none.
 
     The paragraph with the notice is found first, and what stands behind the notice in it. The release is the first
-    word there that is none of the linking words. The replacement follows a "use" that is near, up to the end of its sentence or
+    word there that is none of the linking words and not the product's name. The replacement follows a "use" that is near, up to the end of its sentence or
     a turn like "instead"; of a link its text counts, and markup behind the name goes.
     """
     notice = r"\b(?:was|is|has been) (?:deprecated|removed)\b"
     paragraph = F.get(F.filter(F.split(text, r"\n[ \t]*\n"), lambda p: p.rlike(notice)), F.lit(0))
     behind = F.get(F.split(paragraph, notice, 2), F.lit(1))
-    word = F.get(F.filter(F.split(behind, r"\s+"), lambda w: (w != "") & ~F.lower(w).isin(LINKING)), F.lit(0))
+    word = F.get(F.filter(F.split(behind, r"\s+"), lambda w: (w != "") & ~F.lower(w).isin([*LINKING, product.lower()])), F.lit(0))
     since = F.rtrim(F.regexp_extract(F.coalesce(word, F.lit("")), r"^[0-9][0-9r.]*", 0), F.lit("."))
     asked = F.split(behind, r"\b(?:Please use|Use)\s+", 2)
     said = F.when(F.length(F.get(asked, F.lit(0))) <= NEAR, F.get(asked, F.lit(1)))

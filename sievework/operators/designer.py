@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from sievework.functions.symbols import hex_id
 from sievework.sources.tables import line_rows
 
-# Kinds of tags; those that nothing closes; those in which Begin opens a block; the outermost tag of a file by extension.
+# Kinds of tags; those that nothing closes; those in which Begin opens a block; the outermost tags of a file by what stands
+# behind the underscore of its extension, as .x_window.
 KNOWN = set(
     "BuildAutomation Class Color ColorGroup CompatibilityFlags ComputedProperty Constant DatabaseConnection DelegateDeclaration DesktopToolbar DesktopWindow Enum EnumValues "
     "Event Events ExternalMethod FileType FileTypeSet Getter Hook IOSContainerControl IOSLaunchScreen IOSLayout IOSScreen IOSView ImageRepresentation ImageSpecification Instance "
@@ -28,15 +29,15 @@ DESIGNER = set(
     "Report Toolbar WebContainerControl WebPage Window iOSLaunchScreen iOSLayout".split()
 )
 OUTER = {
-    "xojo_code": "BuildAutomation Class Interface IOSContainerControl IOSLaunchScreen IOSLayout IOSScreen IOSView MobileContainer MobileScreen Module WebContainerControl WebPage WebStyle iOSLaunchScreen iOSLayout",
-    "xojo_color": "ColorGroup",
-    "xojo_database_connection": "DatabaseConnection",
-    "xojo_filetypeset": "FileTypeSet",
-    "xojo_image": "MultiImage",
-    "xojo_menu": "Menu",
-    "xojo_report": "Report",
-    "xojo_toolbar": "DesktopToolbar Toolbar",
-    "xojo_window": "DesktopWindow Window",
+    "code": "BuildAutomation Class Interface IOSContainerControl IOSLaunchScreen IOSLayout IOSScreen IOSView MobileContainer MobileScreen Module WebContainerControl WebPage WebStyle iOSLaunchScreen iOSLayout",
+    "color": "ColorGroup",
+    "database_connection": "DatabaseConnection",
+    "filetypeset": "FileTypeSet",
+    "image": "MultiImage",
+    "menu": "Menu",
+    "report": "Report",
+    "toolbar": "DesktopToolbar Toolbar",
+    "window": "DesktopWindow Window",
 }
 NEWEST_VERSION = "2026.021"
 PROJECT_TYPES = ["Console", "Desktop", "Mobile", "Web", "Web2", "iOS"]
@@ -65,7 +66,7 @@ def structure(line: Column) -> Column:
     )
 
 
-def fold(lines: list[tuple[int, str, str, int]], extension: str, warn_unknown: bool) -> list[tuple]:
+def fold(lines: list[tuple[int, str, str, int]], kind: str, warn_unknown: bool) -> list[tuple]:
     """Problems of (line_no, what, name, column) in order.
 
     `regions` holds the open tags; a closing tag that is not the innermost's closes all up to its own, or the innermost alone. Blocks
@@ -121,7 +122,7 @@ def fold(lines: list[tuple[int, str, str, int]], extension: str, warn_unknown: b
         tell(line, None, "XJT004", name)
     for name, line in blocks:
         tell(line, None, "XJB004", name)
-    usual = OUTER.get(extension)
+    usual = OUTER.get(kind)
     if outer is None:
         tell(0, None, "XJT005")
     elif usual and outer[1] not in usual.split():
@@ -132,7 +133,7 @@ def fold(lines: list[tuple[int, str, str, int]], extension: str, warn_unknown: b
 def designer_problems(files: DataFrame, key: str, path: str, text: str, warn_unknown: bool = True) -> DataFrame:
     """(key, line_no, column, code, severity, detail) of files(key, path, text); an empty or null text has no problems."""
     full = files.filter(F.length(text) > 0)
-    extension = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    extension = F.lower(F.regexp_extract(path, r"\.[^./_]+_([^./]+)$", 1))
     lines = line_rows(full.select(key, F.col(text).alias("_text")), "_text").select(key, "line_no", structure(F.col("line")).alias("_s")).filter("_s is not null")
     events = lines.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("line_no", "_s.what", "_s.name", "_s.column"))).alias("_events"))
     jobs = full.select(key, extension.alias("_ext")).join(events, key, "left").select(key, "_ext", "_events")

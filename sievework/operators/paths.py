@@ -71,7 +71,7 @@ def saved_release(manifest: Column) -> Column:
 def enclosing_releases(folders: DataFrame, folder: str, manifests: DataFrame, stops: DataFrame) -> DataFrame:
     """(folder, ancestor, path, release): the release of the project around each folder, by manifests(path, text).
 
-    A manifest without a release is passed over, as is one that is no project file.
+    A manifest without a release is passed over, as is one that is no project file, whose extension ends with _project.
     """
-    read = manifests.filter(F.endswith("path", F.lit(".xojo_project"))).select(folder_of(F.col("path")).alias("folder"), "path", saved_release(F.col("text")).alias("release"))
+    read = manifests.filter(F.col("path").rlike(r"\.[^./]+_project$")).select(folder_of(F.col("path")).alias("folder"), "path", saved_release(F.col("text")).alias("release"))
     return nearest_ancestors(folders, folder, read.filter("release is not null"), stops)

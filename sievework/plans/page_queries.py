@@ -114,9 +114,9 @@ def enclosing_releases(spark, sf_dir):
     year = F.lit(2010) + (F.col("k") < "1").cast("int") + (F.col("k") < "2").cast("int")
     text = F.concat(F.lit("Type=Web\nOrigIDEVersion="), _s(year), F.lit("0"), _s(F.when(F.substring("k", 3, 1) < "8", 2).otherwise(1)), F.lit("10\n"))
     in_folder = lambda name: F.concat(F.when(F.col("folder") == "/", "").otherwise(F.col("folder")), F.lit(f"/{name}"))
-    manifests = every.filter("k < '4'").select(in_folder("app.xojo_project").alias("path"), text.alias("text"))
+    manifests = every.filter("k < '4'").select(in_folder("app.src_project").alias("path"), text.alias("text"))
     others = every.select(in_folder("read.me").alias("path"), F.lit("OrigIDEVersion=20990100").alias("text"))
-    unsaved = every.select(in_folder("aaa.xojo_project").alias("path"), F.lit("Type=Web").alias("text"))
+    unsaved = every.select(in_folder("aaa.src_project").alias("path"), F.lit("Type=Web").alias("text"))
     found = paths.enclosing_releases(p, "folder", manifests.unionByName(others).unionByName(unsaved), every.filter(F.substring("k", 2, 1) < "3").select("folder"))
     return p.join(found, "folder").select("page_id", "ancestor", F.col("release.year").alias("year"), F.col("release.number").alias("number"))
 
@@ -211,7 +211,7 @@ def designer_codes(spark, sf_dir):
     choices = ["#tag Window", "#tag EndWindow", "Begin Label One", "End", "#tag Method, Flags = &h0", "#tag EndMethod", "\t#tag Events Box", "#tag EndEvents", "End Image", "#tag MultiImage", "Image", "BeginPage Two", "#tag EndMultiImage", "End ScreenContent", "#tag ", "#tag Novel", "#tag Instance, Name = a"]
     pick = lambda x: F.get(F.array(*map(F.lit, choices)), (F.pmod(F.xxhash64(x["l_partkey"], x["l_suppkey"], x["l_linenumber"]), F.lit(len(choices)))).cast("int"))
     items = _items(spark, sf_dir, lambda x: F.concat(pick(x), F.lit("\n"), F.get(F.array(*map(F.lit, choices)), (x["l_partkey"] % len(choices)).cast("int")), F.lit("\n")))
-    path = F.concat(F.lit("a/File"), _s(F.col("o_orderkey")), F.when(F.col("o_orderkey") % 2 == 0, ".xojo_window").otherwise(".xojo_code"))
+    path = F.concat(F.lit("a/File"), _s(F.col("o_orderkey")), F.when(F.col("o_orderkey") % 2 == 0, ".src_window").otherwise(".src_code"))
     return designer.designer_problems(items.withColumn("path", path), "o_orderkey", "path", "items")
 
 

@@ -331,7 +331,7 @@ def documented_replacements(spark, sf_dir):
 @_q("""WITH r AS (SELECT '.m' || p_size AS key, min(p_partkey)::VARCHAR AS rule_id FROM part WHERE p_partkey % 3 != 2 GROUP BY 1) SELECT key, rule_id FROM r WHERE key NOT IN (SELECT '.m' || p_size FROM part WHERE p_type = 'ECONOMY')""")
 def rule_only_members(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
-    find = F.element_at(F.array(F.concat(F.lit(r"(?i)\.M"), F.col("p_size").cast("string"), F.lit(r"\b")), F.concat(F.lit(r"(?<=\.)m"), F.col("p_size").cast("string")), F.concat(F.lit(r"Xojo\.M"), F.col("p_size").cast("string"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    find = F.element_at(F.array(F.concat(F.lit(r"(?i)\.M"), F.col("p_size").cast("string"), F.lit(r"\b")), F.concat(F.lit(r"(?<=\.)m"), F.col("p_size").cast("string")), F.concat(F.lit(r"Old\.M"), F.col("p_size").cast("string"))), (F.col("p_partkey") % 3 + 1).cast("int"))
     rules = p.select(F.col("p_partkey").alias("rule_id"), find.alias("find"))
     have = p.filter("p_type = 'ECONOMY'").select(F.concat(F.lit(".m"), F.col("p_size").cast("string")).alias("key"))
     return catalog.rule_only_members(rules, have).select("key", F.col("rule_id").cast("string").alias("rule_id"))
@@ -399,9 +399,9 @@ def page_symbols(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", got.alias("symbol"))
 
 
-@_q("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '2019r2' WHEN 1 THEN '2021r1' ELSE '' END AS since, CASE p_partkey % 4 WHEN 0 THEN 'DesktopListBox' WHEN 1 THEN 'Xojo.Timer' WHEN 2 THEN 'List' ELSE '' END AS replacement FROM part""")
+@_q("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '2019r2' WHEN 1 THEN '2021r1' ELSE '' END AS since, CASE p_partkey % 4 WHEN 0 THEN 'DesktopListBox' WHEN 1 THEN 'Old.Timer' WHEN 2 THEN 'List' ELSE '' END AS replacement FROM part""")
 def prose_notices(spark, sf_dir):
-    text = F.element_at(F.array(*map(F.lit, ["This item was deprecated in version 2019r2. Please use :doc:`DesktopListBox </api/x>` as a replacement.", "It has been deprecated in 2021r1.\nUse **Xojo.Timer** instead", "It was removed. Please use List]] or more.", "Use this event to draw."])), (F.col("p_partkey") % 4 + 1).cast("int"))
+    text = F.element_at(F.array(*map(F.lit, ["This item was deprecated in version 2019r2. Please use :doc:`DesktopListBox </api/x>` as a replacement.", "It has been deprecated in 2021r1.\nUse **Old.Timer** instead", "It was removed. Please use List]] or more.", "Use this event to draw."])), (F.col("p_partkey") % 4 + 1).cast("int"))
     return _t(spark, sf_dir, "part").select("p_partkey", catalog.prose_deprecation(text).alias("d")).select("p_partkey", "d.since", "d.replacement")
 
 
@@ -659,8 +659,8 @@ def changed_lines(spark, sf_dir):
 @_q("""SELECT p_partkey FROM part WHERE p_size % 5 NOT IN (0, 1, 2)""")
 def matrix_in_scope(spark, sf_dir):
     say = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("p_size") % 5 + 1).cast("int"))
-    m = _t(spark, sf_dir, "part").select("p_partkey", say(["A.B", "Xojo.Math.Max", "Class.Return(x)", "C.D", "E"]).alias("old"), say(["Out of scope", "Removed", "Removed", "Removed", "Removed"]).alias("cat"))
-    return catalog.in_scope(m, ["Out of scope", "IDE handles"], source_code.KEYWORDS).select("p_partkey")
+    m = _t(spark, sf_dir, "part").select("p_partkey", say(["A.B", "Old.Math.Max", "Class.Return(x)", "C.D", "E"]).alias("old"), say(["Out of scope", "Removed", "Removed", "Removed", "Removed"]).alias("cat"))
+    return catalog.in_scope(m, ["Out of scope", "IDE handles"], source_code.KEYWORDS, "Old").select("p_partkey")
 
 
 @_q(f"""{_CALLS}, x AS (SELECT p_partkey, CASE r WHEN 0 THEN v || '.Middle(' || (n - 1) || ')' WHEN 1 THEN 'Mid(' || v || '.Middle(1), ' || n || ', "a,b")' WHEN 2 THEN v || '.Middle(' || (n - 1) || ')' WHEN 3 THEN 'Mid(' || v || ', ' || n ELSE 'Mid("' || v || '", ' || n || ')' END AS e, (r < 3)::INT AS converted, (r IN (1, 4))::INT AS skipped, (r = 3)::INT AS unclosed FROM c)

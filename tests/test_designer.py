@@ -14,7 +14,7 @@ def codes(spark, *files):
 
 
 def test_each_code(spark):
-    w = "a/b.xojo_window"
+    w = "a/b.src_window"
     files = [
         (w, "#tag Window\nBegin Label A\n   Text = x\nEnd\n#tag EndWindow\n"),
         (w, "#tag EndWindow\n"),
@@ -23,13 +23,13 @@ def test_each_code(spark):
         (w, "#tag Window\n"),
         (w, "nothing\n"),
         (w, "#tag Window\n#tag Future, x=1\n#tag EndWindow\n"),
-        ("x.xojo_menu", "#tag Class\n#tag EndClass\n"),
+        ("x.src_menu", "#tag Class\n#tag EndClass\n"),
         (w, "End Image\n#tag Window\nBegin Canvas C\nEnd Image\n#tag EndWindow\n"),
         (w, "#tag Window\nBeginDesignBlock Name\n#tag EndWindow\n"),
         (w, "#tag Window\n#tag EndWindow\nBegin Label outside\n"),
         (w, ""),
         (w, None),
-        ("i.xojo_image", "#tag MultiImage\nImage\nEnd Image\nImage one\nEnd\n#tag EndMultiImage\n"),
+        ("i.src_image", "#tag MultiImage\nImage\nEnd Image\nImage one\nEnd\n#tag EndMultiImage\n"),
         (w, "#tag Window\n#tag Extra\n#tag EndExtra\n#tag EndMenu\n#tag EndWindow\n"),
     ]
     assert codes(spark, *files) == [
@@ -106,9 +106,9 @@ def test_random_files(spark):
     kinds = ["Window", "Method", "MultiImage", "Instance", "Novel", "WINDOW", "Events"]
     choice = lambda: r.choice([f"#tag {r.choice(kinds)}", f"#tag End{r.choice(kinds)}", "Begin Label a", "Image", "End", "End Image", "End ScreenContent", "text"])
     texts = [[choice() for _ in range(r.randrange(1, 40))] for _ in range(200)]
-    got = codes(spark, *[("f.xojo_window", "\n".join(t)) for t in texts])
+    got = codes(spark, *[("f.src_window", "\n".join(t)) for t in texts])
     for g, t in zip(got, texts, strict=True):
-        assert sorted((n, c) for n, c, _ in g) == brute(t, "xojo_window"), t
+        assert sorted((n, c) for n, c, _ in g) == brute(t, "window"), t
 
 
 def test_manifest(spark):
