@@ -22,12 +22,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null texts have no letter and go. If no row of docs has a language and an id to learn from, only the letters decide.
     Repeated rows and rows with a null id are judged each.
     """
-    learn = docs.filter(~lang_id.held_out())
-    model = lang_id.train(learn)
-    found = lang_id.identify(docs.select(F.struct(*docs.columns).alias("doc"), "text"), model, keep=("doc",))
+    learned = ~lang_id.held_out() & lang_id.learnable()
+    model = lang_id.train(docs.filter(learned))
+    found = lang_id.identify(docs.select(F.struct(*docs.columns).alias("doc"), learned.alias("learned"), "text"), model, keep=("doc", "learned"))
     if not model.languages:
         return found.filter("lettered").select("doc.*")
-    limits = [F.when(F.col("lang_pred") == lang, F.lit(most)) for lang, most in lang_id.cost_limits(model, learn).items()]
+    found = stored(found, "judged")
+    limits = [F.when(F.col("lang_pred") == lang, F.lit(most)) for lang, most in lang_id.cost_limits(found.filter("learned")).items()]
     usual = F.col("bits") <= F.coalesce(*limits, F.lit(float("inf")))
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= 0.5) & usual).select("doc.*")
 

@@ -7,9 +7,9 @@ statistics frozen after learning, the code length of a symbol depends on its con
 computed once into a table over the union of the trees, and a text is scored by two gathers a byte. Symbols that no
 language has seen after a context of three bytes are few and cost their escape and the code length after two bytes.
 
-Learning reads at most `per_language` labelled documents of each language, chosen by a hash of doc_id; that bound is a
-parameter. All contexts of these documents are kept: the model has a row for each different window of four bytes in
-them. Counting is a Spark aggregation. Every document is scored whole.
+Learning reads every labelled document. All contexts are kept: the model has a row for each different window of four
+bytes that the learned texts have, and only these windows' counts, a Spark aggregation, reach the driver. Every
+document is scored whole.
 
 A text is lower-cased and its runs of letters (Unicode categories L) are joined by single spaces. Null text, or text without a letter, is
 `und` with score 0. Rows with a null doc_id are scored but never learned from. Ties go to the first language in
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batches, table
@@ -60,7 +60,10 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
                     of.setdefault(lang, []).append(b"   " + t + b" ")
             for lang, texts in of.items():
                 x = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint32)
-                gram, n = np.unique((x[:-3] << np.uint32(24)) | (x[1:-2] << np.uint32(16)) | (x[2:-1] << np.uint32(8)) | x[3:], return_counts=True)
+                inside = np.ones(len(x) - 3, bool)
+                ends = np.cumsum([len(t) for t in texts[:-1]], dtype=np.int64)
+                inside[(ends[:, None] - np.arange(1, 4)).ravel()] = False  # no window reaches into the next text
+                gram, n = np.unique(((x[:-3] << np.uint32(24)) | (x[1:-2] << np.uint32(16)) | (x[2:-1] << np.uint32(8)) | x[3:])[inside], return_counts=True)
                 yield pa.record_batch([pa.array([lang] * len(gram)), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
     return labelled.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -163,24 +166,17 @@ class Model:
         return np.add.reduceat(cost, starts, axis=0, dtype=np.float64)
 
 
-def sample(labelled: DataFrame, per_language: int = 3000) -> DataFrame | None:
-    """About per_language rows of each language in labelled (doc_id, text, lang), by a hash of the id; None if no row can be learned from."""
-    usable = labelled.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
+def learnable():
+    """Rows of (doc_id, text, lang) that have what is learned from."""
+    return F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
+
+
+def train(labelled: DataFrame) -> Model:
+    """Learn from all of labelled (doc_id, text, lang)."""
+    usable = labelled.filter(learnable())
+    if len(usable.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
-        return None
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))]), F.col("lang"))
-    return usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-
-
-def train(labelled: DataFrame, per_language: int = 3000) -> Model:
-    """Learn from a sample of labelled (doc_id, text, lang)."""
-    chosen = sample(labelled, per_language)
-    if chosen is None:
-        return Model.of([], *np.zeros((3, 0), np.int64))
-    rows = gram_counts(chosen).toArrow()  # the windows of at most per_language documents of each language
+    rows = gram_counts(usable).toArrow()  # a row for each language and different window of four bytes
     languages, lang = np.unique(rows["lang"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
     return Model.of(languages.tolist(), lang, rows["gram"].to_numpy(), rows["n"].to_numpy())
 
@@ -209,17 +205,18 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
-def cost_limits(model: Model, labelled: DataFrame, per_language: int = 3000, share: float = 0.9, times: float = 2.0) -> dict[str, float]:
-    """By language, the most bits a byte that a text of it may cost: `times` what `share` of the sample it is learned from cost at most.
+def cost_limits(judged: DataFrame, share: float = 0.9, times: float = 2.0) -> dict[str, float]:
+    """By language, the most bits a byte that a text of it may cost: `times` what `share` of the learned texts cost at most.
 
-    Noise, program code and scripts that no sample has cost several times as much as a learned language, and the
-    posterior, which only compares languages, cannot tell.
+    judged (lang_pred, bits) has a row for each of them. Costs are counted in steps of 1/1024 bit, rounded up, so that
+    the limits are exact counts over all rows and do not depend on the split. Noise, program code and scripts that were
+    not learned cost several times as much as a learned language, and the posterior, which only compares languages,
+    cannot tell.
     """
-    chosen = sample(labelled, per_language)
-    if chosen is None:
-        return {}
-    found = identify(chosen, model).filter("bits is not null").groupBy("lang_pred").agg((F.percentile_approx("bits", share) * times).alias("most"))
-    return {r["lang_pred"]: r["most"] for r in found.collect()}  # a row for each language
+    steps = judged.filter("bits is not null").groupBy("lang_pred", F.ceil(F.col("bits") * 1024).alias("step")).agg(F.count("*").alias("n"))
+    of = Window.partitionBy("lang_pred")
+    reached = steps.withColumns({"below": F.sum("n").over(of.orderBy("step")), "all": F.sum("n").over(of)}).filter(F.col("below") >= F.col("all") * share)
+    return {r["lang_pred"]: r["step"] / 1024 * times for r in reached.groupBy("lang_pred").agg(F.min("step").alias("step")).collect()}  # a row for each language
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

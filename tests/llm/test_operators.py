@@ -655,6 +655,23 @@ def test_language_id(spark, odd, none):
     assert [r["lang_pred"] == "und" for r in lang_id.identify(numbers, model).orderBy("doc_id").collect()] == [True, False]
 
 
+def test_languages_are_learned_from_every_document(spark):
+    """Every row's windows are counted, and limits are those of all rows' costs, also beyond 3,000 documents of a language."""
+    rows = [(i, f"word number {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}x", "en") for i in range(7000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    want = collections.Counter()
+    for _, t, _ in rows:
+        s = b"   " + lang_id.normalise(t) + b" "
+        want.update(int.from_bytes(s[j : j + 4], "big") for j in range(len(s) - 3))
+    model = lang_id.train(docs)
+    made = lang_id.Model.of(["en"], np.zeros(len(want), np.int64), np.array(list(want), np.int64), np.array(list(want.values()), np.int64))
+    assert np.array_equal(model.bits, made.bits) and np.array_equal(model.cell, made.cell)
+    judged = lang_id.identify(docs, model)
+    costs = sorted(math.ceil(r["bits"] * 1024) for r in judged.collect())
+    limit = lang_id.cost_limits(judged)
+    assert limit == {"en": 2 * costs[math.ceil(0.9 * len(costs)) - 1] / 1024} == lang_id.cost_limits(judged.repartition(2))
+
+
 def test_code_lengths_equal_brute_force():
     texts = {"x": [b"abracadabra", b"banana band"], "y": [b"zebra zoo", b"abba"]}
     grams, seen = collections.Counter(), {}
