@@ -17,7 +17,9 @@ bucket. The work in a bucket never is all its pairs:
 3. classes far from the pivot are described by their whole sets, as if the pivot were empty: t/100 + J(x, p) - 1 bounds
    J(y, p) from below, so that a pair either meets around the pivot or has both sides here. Shingles of a passage that
    many texts share are the least rare and bring no pairs together;
-4. the pairs that meet, across components, are verified.
+4. the pairs that meet, across components, are verified: first, in turns, those of each class with one class of the
+   largest component that has the element, which grow with the rows and join most of a group; then all that are still across
+   components, none of them within that largest one. So a group's pairs are not made where its links already are.
 
 With 32 bands of 4 rows a pair at the threshold of 0.8 shares no band with probability (1 - 0.8**4)**32 = 5e-8.
 Pairs whose signatures agree in fewer than 77 of 128 coordinates are dropped (at the threshold, 1e-8 of pairs); the
@@ -44,6 +46,8 @@ from .components import components
 BANDS, ROWS, LEAST_AGREE = 32, 4, 77
 #: Percent of similarity with the pivot from which a class is described by its differences.
 NEAR = 50
+#: Times that classes are compared with one class of each element's main component, before all pairs that are left.
+TURNS = 2
 
 
 def _mix32(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -217,14 +221,14 @@ def _whole_sets(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return nodes.join(sets, "node").select("node", "shingles").mapInArrow(run, DESCRIBED)
 
 
-def _pairs_described(described: DataFrame, part: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components whose descriptions under one pivot share one of their rarest elements and may share enough.
+def _prefixes(described: DataFrame, percent: int) -> DataFrame:
+    """The rarest elements of each description, by which pairs are found: pivot, element, node, weight, bound, after, far, near.
 
     Of a pair, let W(x) be the larger weight. The shared elements number s >= (W(x) - bound) / 100, as y can share no
     more than W(y) / percent, and s >= max(2 W(y) - bound, W(y)) / (100 + percent), as the larger weight is over the
     bound: a class within the bound is linked with the pivot. So it is enough that x has one of its `far` rarest
     elements among the `near` rarest of y, and, as that holds for the rarest shared element, that the elements from there
-    on are enough.
+    on, `after`, are enough.
     """
     rows = described.select("pivot", "node", "weight", "bound", F.size("elements").alias("size"), F.explode("elements").alias("element"))
     many = rows.groupBy("pivot", "element").agg(F.count("*").alias("df")).filter("df > 1")
@@ -232,14 +236,39 @@ def _pairs_described(described: DataFrame, part: DataFrame, percent: int) -> Dat
     ranked = rows.join(many, ["pivot", "element"]).withColumn("seen", F.count("*").over(of)).withColumn("rank", F.row_number().over(of.orderBy("df", "element")) + F.col("size") - F.col("seen"))
     ceil = lambda x, d: F.ceil(x / F.lit(d))
     w, bound = F.col("weight"), F.col("bound")
-    far = F.col("size") + 1 - F.greatest(F.lit(1), ceil(w - bound, 100))
-    near = F.col("size") + 1 - F.greatest(F.lit(1), ceil(F.greatest(w * 2 - bound, w), 100 + percent))
-    able = ranked.withColumns({"far": far, "near": near, "after": F.col("size") + 1 - F.col("rank")}).filter(F.col("rank") <= F.greatest("far", "near"))
-    able = able.join(part.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    left = able.filter("weight > bound and rank <= far").select("pivot", "element", F.col("node").alias("x"), F.col("weight").alias("wx"), "bound", F.col("after").alias("ax"), F.col("component").alias("cx"))
-    right = able.filter("rank <= near").select("pivot", "element", F.col("node").alias("y"), F.col("weight").alias("wy"), F.col("after").alias("ay"), F.col("component").alias("cy"))
-    met = left.join(right, ["pivot", "element"]).filter((F.struct("wx", "x") > F.struct("wy", "y")) & (F.col("cx") != F.col("cy")) & (F.least("ax", "ay") * (100 + percent) >= F.col("wx") + F.col("wy") - F.col("bound")))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    far = (w > bound) & (F.col("rank") <= F.col("size") + 1 - F.greatest(F.lit(1), ceil(w - bound, 100)))
+    near = F.col("rank") <= F.col("size") + 1 - F.greatest(F.lit(1), ceil(F.greatest(w * 2 - bound, w), 100 + percent))
+    return ranked.select("pivot", "element", "node", "weight", "bound", (F.col("size") + 1 - F.col("rank")).alias("after"), far.alias("far"), near.alias("near")).filter("far or near")
+
+
+def _of_components(able: DataFrame, part: DataFrame) -> DataFrame:
+    """able with the component of each node and `main`, the one with most nodes under its pivot and element, where there are several."""
+    rows = able.join(part.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = rows.groupBy("pivot", "element", "component").agg(F.count("*").alias("n"))
+    mains = sizes.groupBy("pivot", "element").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("components")).filter("components > 1")
+    return rows.join(mains.select("pivot", "element", F.col("most.component").alias("main")), ["pivot", "element"])
+
+
+def _that_may_link(others: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components of `others` and `rows`, parts of _of_components(), that share an element of their prefixes and may share enough."""
+    side = lambda df, end: df.select("pivot", "element", *(F.col(c).alias(c + end) for c in ("node", "weight", "bound", "after", "far", "near", "component")))
+    met = side(others, "_x").join(side(rows, "_y"), ["pivot", "element"])
+    heavier = F.struct("weight_x", "node_x") > F.struct("weight_y", "node_y")
+    fits = (heavier & F.col("far_x") & F.col("near_y")) | (~heavier & F.col("far_y") & F.col("near_x"))
+    enough = F.least("after_x", "after_y") * (100 + percent) >= F.col("weight_x") + F.col("weight_y") - F.col("bound_x")
+    met = met.filter((F.col("component_x") != F.col("component_y")) & fits & enough)
+    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
+def _pairs_with_one(rows: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs of the classes outside the main component of an element with one class of it, another each turn: a pair for each row at most."""
+    one = rows.filter("component = main and near").groupBy("pivot", "element").agg(F.min_by(F.struct(*rows.columns), F.xxhash64("node", F.lit(turn))).alias("one")).select("one.*")
+    return _that_may_link(rows.filter("component != main"), one, percent)
+
+
+def _pairs_described(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs across components; of each, one class is outside the main component of the element in which they meet."""
+    return _that_may_link(rows.filter("component != main"), rows, percent)
 
 
 def _around_pivots(shared: DataFrame, part: DataFrame) -> DataFrame:
@@ -279,11 +308,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, keep: tuple[
     part = stored(components(links), "parts")
     described = stored(_described(_around_pivots(shared, part), sets, percent), "described")
     whole = _whole_sets(described.filter("pivot is null").select("node").distinct(), sets, percent)
-    meets = stored(_pairs_described(described.filter("pivot is not null").unionByName(whole), part, percent), "meets")
-    more = stored(confirmed(_likely(meets, classes), sets, percent), "links")
-    if not more.isEmpty():
-        part = _merged(more, part)
-    drop_stored(sets, shared, described, meets, links, more)
+    able = stored(_prefixes(described.filter("pivot is not null").unionByName(whole), percent), "prefixes")
+    for turn in range(TURNS + 1):
+        rows = stored(_of_components(able, part), "mixed")
+        meets = stored(_pairs_with_one(rows, percent, turn) if turn < TURNS else _pairs_described(rows, percent), "meets")
+        more = stored(confirmed(_likely(meets, classes), sets, percent), "links")
+        if not more.isEmpty():
+            part = _merged(more, part)
+        drop_stored(rows, meets, more)
+    drop_stored(sets, shared, described, able, links)
 
     grouped = classes.join(part, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("group"))
     least = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))

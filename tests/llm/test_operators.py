@@ -127,6 +127,21 @@ def test_near_duplicates_around_a_common_passage(spark):
     assert got == brute_components(rows, 4, 80)
 
 
+def test_pairs_of_a_group_grow_with_its_size(spark):
+    """n classes that share edits of a pivot, each with one of its own: a turn makes n - 1 pairs, and none is left once these are linked."""
+    for n in (20, 40):
+        rows = [(b"p", bytes([i]), 80 * 31, 20 * 100, [*range(30), 1000 + i]) for i in range(n)]
+        able = near_dup._prefixes(spark.createDataFrame(rows, near_dup.DESCRIBED), 80)
+        part = spark.createDataFrame([], "node binary, component binary")
+        apart = near_dup._of_components(able, part)
+        links = near_dup._pairs_with_one(apart, 80, 0).collect()
+        assert len(links) == n - 1 and near_dup._pairs_described(apart, 80).count() == n * (n - 1) // 2
+        part = spark.createDataFrame([(bytes([i]), bytes([0])) for i in range(n)], "node binary, component binary")
+        assert near_dup._pairs_described(near_dup._of_components(able, part), 80).count() == 0
+        part = part.filter(F.col("node") != bytes([7]))  # one that is in no component yet is compared with all
+        assert near_dup._pairs_described(near_dup._of_components(able, part), 80).count() == n - 1
+
+
 def test_circulant_signature_estimates_jaccard():
     r = np.random.default_rng(1)
     pool = r.integers(0, 1 << 63, 3000, dtype=np.uint64)
