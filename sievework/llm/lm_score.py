@@ -26,6 +26,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -302,6 +303,15 @@ def windows(ids: list[bytes], of: np.ndarray):
     return view(inputs, CONTEXT)[first], view(classes, STRIDE)[first + lead], target >= 0, target, text
 
 
+def packed(table: np.ndarray) -> tuple[tuple[int, ...], bytes]:
+    """A float32 table for a broadcast: each copy lies on a disk, of the driver and of every executor, and most rows of a table over all ids are alike."""
+    return table.shape, zlib.compress(np.ascontiguousarray(table, np.float32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(shape: tuple[int, ...], raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view(np.float32).reshape(shape)
+
+
 FITTED = "part int, dense binary, tokens long, ids binary, rows binary, uses binary"
 
 
@@ -343,13 +353,15 @@ def fit(docs: DataFrame, path: str, classes: Classes, prior: np.ndarray, words:
         if texts:
             yield part, texts
 
+    spark = docs.sparkSession
+    counted = spark.sparkContext.broadcast((classes, packed(prior)))
     for r in range(ROUNDS):
-        shared = docs.sparkSession.sparkContext.broadcast((classes, params, prior))
+        shared = spark.sparkContext.broadcast(params)
         pace = RATE * (1 - r / (2 * ROUNDS))
 
         def run(it: Iterator[pa.RecordBatch], shared=shared, pace=pace) -> Iterator[pa.RecordBatch]:
-            kinds, start, after = shared.value
-            word_ids, at = WordIds(path), None
+            (kinds, table), start = counted.value, shared.value
+            word_ids, at, after = WordIds(path), None, unpacked(*table)
             for part, texts in by_part(it):
                 if part != at:
                     if at is not None:
@@ -388,10 +400,12 @@ def fit(docs: DataFrame, path: str, classes: Classes, prior: np.ndarray, words:
         fitted = own.select("part", "text").mapInArrow(run, FITTED)
         group = F.col("part") % groups
         merged = fitted.repartition(groups, group).sortWithinPartitions(group, "part").mapInArrow(merge, FITTED).collect()  # a row for each group
+        shared.destroy()
         if merged:
             dense, _, emb, uses = average(sorted(map(tuple, merged)))
             kept = params[: -len(dense)].reshape(-1, WIDTH)
             params = np.concatenate([np.where(uses[:, None] > 0, emb, kept).ravel(), dense]).astype(np.float32)
+    counted.destroy()
     return params
 
 
@@ -430,10 +444,11 @@ def score(docs: DataFrame, learn: DataFrame, path: str | None = None) -> DataFra
 
     least = _least(words, "c", VOCABULARY)
     frequent = {r["word"].encode(): float(np.log10((r["c"] + 1) / scale)) for r in words.filter(F.col("c") >= least).collect()}
-    shared = spark.sparkContext.broadcast((classes, params, prior, shares, frequent))
+    shared = spark.sparkContext.broadcast((classes, params, packed(prior), packed(shares), frequent))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, flat, after, share, known = shared.value
+        after, share = unpacked(*after), unpacked(*share)
         model, word_ids, begins = Model(kinds.n, flat, after), WordIds(path), kinds.begins
         for b in batches(it, 1 << 20):
             ids, n_tokens, n_frequent, sums, rare = [], [], [], [], []
@@ -456,6 +471,7 @@ def score(docs: DataFrame, learn: DataFrame, path: str | None = None) -> DataFra
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")
     scored = stored(source.mapInArrow(run, SCORED), "scored")
+    shared.destroy()
     others = scored.select("row", F.explode("rare").alias("word")).join(words, "word", "left")
     others = others.groupBy("row").agg(F.sum(F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(scale)))).alias("rare_sum"), F.count("c").alias("n_rare"))
     full = scored.drop("rare").join(others, "row", "left")

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import pickle
 import random
 import re
 import zlib
@@ -348,6 +349,21 @@ def test_lm_scores_do_not_depend_on_the_split(spark, monkeypatch):
         assert np.allclose(runs[0], runs[1], atol=1e-6) and np.allclose(runs[0], runs[2], atol=1e-6)
 
 
+def test_lm_broadcasts_stay_small_and_go(spark, monkeypatch):
+    """Every executor keeps a copy of each broadcast on its disk: few are sent, packed, and all are destroyed."""
+    from pyspark import Broadcast, SparkContext
+
+    sizes, gone, make, destroy = [], [], SparkContext.broadcast, Broadcast.destroy
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: (sizes.append(len(pickle.dumps(value))), make(self, value))[-1])
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, blocking=False: (gone.append(1), destroy(self, blocking))[1])
+    docs = table(spark, DATA, "documents").select("doc_id", "text").withColumn("held_out", lm_score.held_out())
+    scored = lm_score.score(docs, docs.filter(~F.col("held_out")))
+    assert scored.filter("score < 0").count() == docs.count()
+    assert sum(sizes) < 50_000_000 and len(gone) == len(sizes) == lm_score.ROUNDS + 2
+    a = np.random.default_rng(1).normal(size=(7, 5)).astype(np.float32)
+    assert np.array_equal(lm_score.unpacked(*lm_score.packed(a)), a)
+
+
 def test_lm_counts_more_words_than_a_task_holds(spark):
     docs = spark.createDataFrame([(" ".join(f"w{i}" for i in range(300_500)),)], "text string").repartition(1)
     assert lm_score.count_words(docs).count() == 300_501
