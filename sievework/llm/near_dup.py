@@ -17,8 +17,8 @@ bucket. The work in a bucket never is all its pairs:
 3. classes far from the pivot are described by their whole sets, as if the pivot were empty: t/100 + J(x, p) - 1 bounds
    J(y, p) from below, so that a pair either meets around the pivot or has both sides here. Shingles of a passage that
    many texts share are the least rare and bring no pairs together;
-4. the pairs that meet, across components, are verified: first, in turns, those of each class with one class of the
-   largest component that has the element, which grow with the rows and join most of a group; then all that are still across
+4. the pairs that meet, across components, are verified: first those of each class with one class of the largest
+   component that has the element, which grow with the rows and join most of a group; then all that are still across
    components, none of them within that largest one. So a group's pairs are not made where its links already are.
 
 With 32 bands of 4 rows a pair at the threshold of 0.8 shares no band with probability (1 - 0.8**4)**32 = 5e-8.
@@ -46,8 +46,6 @@ from .components import components
 BANDS, ROWS, LEAST_AGREE = 32, 4, 77
 #: Percent of similarity with the pivot from which a class is described by its differences.
 NEAR = 50
-#: Times that classes are compared with one class of each element's main component, before all pairs that are left.
-TURNS = 2
 
 
 def _mix32(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -241,14 +239,23 @@ def _prefixes(described: DataFrame, percent: int) -> DataFrame:
     return ranked.select("pivot", "element", "node", "weight", "bound", (F.col("size") + 1 - F.col("rank")).alias("after"), far.alias("far"), near.alias("near")).filter("far or near")
 
 
-def _of_components(able: DataFrame, part: DataFrame) -> DataFrame:
-    """able with the component of each node and `main`, the one with most nodes under its pivot and element, where there are several."""
-    rows = able.join(part.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _of_components(rows: DataFrame) -> DataFrame:
+    """Rows of pivots and elements whose nodes have several components, with `main`, the component of most of them."""
     sizes = rows.groupBy("pivot", "element", "component").agg(F.count("*").alias("n"))
     mains = sizes.groupBy("pivot", "element").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("components")).filter("components > 1")
     return rows.join(mains.select("pivot", "element", F.col("most.component").alias("main")), ["pivot", "element"])
 
 
+def _linked(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with each component renamed to the least within two steps of links(u, v): nodes of one name are connected, but not all that are have one name."""
+    of = rows.select("node", "component").distinct()
+    ends = links.join(of.toDF("u", "c"), "u").join(of.toDF("v", "d"), "v").select("c", "d")
+    steps = ends.unionByName(ends.select(F.col("d").alias("c"), F.col("c").alias("d"))).filter("c != d").distinct()
+    least = steps.groupBy("c").agg(F.min("d").alias("d")).select(F.col("c").alias("d"), F.least("c", "d").alias("name"))
+    names = steps.join(least, "d").groupBy(F.col("c").alias("component")).agg(F.min("name").alias("name"))
+    return rows.join(names, "component", "left").withColumn("component", F.coalesce("name", "component")).drop("name")
+
+
 def _that_may_link(others: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) across components of `others` and `rows`, parts of _of_components(), that share an element of their prefixes and may share enough."""
     side = lambda df, end: df.select("pivot", "element", *(F.col(c).alias(c + end) for c in ("node", "weight", "bound", "after", "far", "near", "component")))
@@ -260,9 +267,9 @@ def _that_may_link(others: DataFrame, rows: DataFrame, percent: int) -> DataFram
     return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
-def _pairs_with_one(rows: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Pairs of the classes outside the main component of an element with one class of it, another each turn: a pair for each row at most."""
-    one = rows.filter("component = main and near").groupBy("pivot", "element").agg(F.min_by(F.struct(*rows.columns), F.xxhash64("node", F.lit(turn))).alias("one")).select("one.*")
+def _pairs_with_one(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the classes outside the main component of an element with one class of it: a pair for each row at most."""
+    one = rows.filter("component = main and near").groupBy("pivot", "element").agg(F.min_by(F.struct(*rows.columns), F.xxhash64("node")).alias("one")).select("one.*")
     return _that_may_link(rows.filter("component != main"), one, percent)
 
 
@@ -308,15 +315,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, keep: tuple[
     part = stored(components(links), "parts")
     described = stored(_described(_around_pivots(shared, part), sets, percent), "described")
     whole = _whole_sets(described.filter("pivot is null").select("node").distinct(), sets, percent)
-    able = stored(_prefixes(described.filter("pivot is not null").unionByName(whole), percent), "prefixes")
-    for turn in range(TURNS + 1):
-        rows = stored(_of_components(able, part), "mixed")
-        meets = stored(_pairs_with_one(rows, percent, turn) if turn < TURNS else _pairs_described(rows, percent), "meets")
-        more = stored(confirmed(_likely(meets, classes), sets, percent), "links")
-        if not more.isEmpty():
-            part = _merged(more, part)
-        drop_stored(rows, meets, more)
-    drop_stored(sets, shared, described, able, links)
+    able = _prefixes(described.filter("pivot is not null").unionByName(whole), percent)
+    named = able.join(part.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = stored(_of_components(stored(named, "prefixes")), "mixed")
+    meets = stored(_pairs_with_one(mixed, percent), "meets")
+    first = stored(confirmed(_likely(meets, classes), sets, percent), "links")
+    rest = stored(_of_components(_linked(mixed.drop("main"), first)), "mixed")
+    others = stored(_pairs_described(rest, percent), "meets")
+    more = stored(confirmed(_likely(others, classes), sets, percent).unionByName(first), "links")
+    if not more.isEmpty():
+        part = _merged(more, part)
+    drop_stored(sets, shared, described, mixed, meets, first, rest, others, links, more)
 
     grouped = classes.join(part, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("group"))
     least = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))

@@ -129,18 +129,20 @@ def test_near_duplicates_around_a_common_passage(spark):
 
 
 def test_pairs_of_a_group_grow_with_its_size(spark):
-    """n classes that share edits of a pivot, each with one of its own: a turn makes n - 1 pairs, and none is left once these are linked."""
+    """n classes that share edits of a pivot, each with one of its own: n - 1 pairs come first, and none is left once these are linked."""
     for n in (20, 40):
         rows = [(b"p", bytes([i]), 80 * 31, 20 * 100, [*range(30), 1000 + i]) for i in range(n)]
-        able = near_dup._prefixes(spark.createDataFrame(rows, near_dup.DESCRIBED), 80)
-        part = spark.createDataFrame([], "node binary, component binary")
-        apart = near_dup._of_components(able, part)
-        links = near_dup._pairs_with_one(apart, 80, 0).collect()
-        assert len(links) == n - 1 and near_dup._pairs_described(apart, 80).count() == n * (n - 1) // 2
-        part = spark.createDataFrame([(bytes([i]), bytes([0])) for i in range(n)], "node binary, component binary")
-        assert near_dup._pairs_described(near_dup._of_components(able, part), 80).count() == 0
-        part = part.filter(F.col("node") != bytes([7]))  # one that is in no component yet is compared with all
-        assert near_dup._pairs_described(near_dup._of_components(able, part), 80).count() == n - 1
+        able = near_dup._prefixes(spark.createDataFrame(rows, near_dup.DESCRIBED), 80).withColumn("component", F.col("node"))
+        apart = near_dup._of_components(able)
+        links = near_dup._pairs_with_one(apart, 80).toDF("u", "v")
+        assert links.count() == n - 1 and near_dup._pairs_described(apart, 80).count() == n * (n - 1) // 2
+        together = able.withColumn("component", F.lit(b"c"))
+        assert near_dup._of_components(together).count() == 0
+        one_left = able.withColumn("component", F.when(F.col("node") == bytes([7]), F.col("node")).otherwise(F.lit(b"c")))
+        assert near_dup._pairs_described(near_dup._of_components(one_left), 80).count() == n - 1
+        left = near_dup._linked(apart.drop("main"), links)
+        names = {bytes(r["node"]): bytes(r["component"]) for r in left.select("node", "component").distinct().collect()}
+        assert len(set(names.values())) <= 3 and near_dup._pairs_described(near_dup._of_components(left), 80).count() <= 2 * n
 
 
 def test_circulant_signature_estimates_jaccard():
