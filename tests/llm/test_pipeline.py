@@ -6,6 +6,7 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -99,3 +100,20 @@ def test_language_stage_rejects_what_no_language_fits(spark):
     assert kept.filter("doc_id >= 10000000").count() == 0
     lettered = sum(any(c.isalpha() for c in x["text"]) for x in docs.collect())
     assert kept.count() == lettered
+
+
+@pytest.mark.parametrize("stage", ["identify_language", "apply_quality_rules", "drop_near_duplicates", "pack_sequences"])
+def test_batches_to_python_are_bounded(spark, stage):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 1000) as text", "'en' as lang", "'a' as source", "0L as n_chars")
+    try:
+        getattr(corpus_pipeline, stage)(spark, docs.limit(20), DATA)
+        sizes = lambda it: (pa.record_batch([pa.array([b.nbytes]), pa.array([b.num_rows])], ["size", "rows"]) for b in it)
+        got = docs.mapInArrow(sizes, "size long, rows long").collect()
+        assert sum(r["rows"] for r in got) == 3000 and max(r["size"] for r in got) < 5 << 20
+        spark.conf.set(key, "900k")
+        getattr(corpus_pipeline, stage)(spark, docs.limit(20), DATA)
+        assert spark.conf.get(key) == "900k"
+    finally:
+        spark.conf.unset(key)
