@@ -30,6 +30,7 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cache, cached_property
 from itertools import groupby
 
 import numpy as np
@@ -57,12 +58,17 @@ def held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2, F.lit(False))
 
 
+@cache
+def _encoding(path: str):
+    return ranked_encoding(path)
+
+
 class WordIds(dict):
     """Subword ids of a lower-cased word after a space, as bytes, remembered up to a bound."""
 
     def __init__(self, path: str, bound: int = 400_000):
         super().__init__()
-        self.encode, self.bound = ranked_encoding(path).encode_ordinary, bound
+        self.encode, self.bound = _encoding(path).encode_ordinary, bound
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.bound:
@@ -206,11 +212,15 @@ class Model:
             setattr(self, name, self.flat[at : at + a * b].reshape(a, b))
             at += a * b
         self.dense = self.flat[inputs * WIDTH :]
+        self.head = self.flat[-n * (WIDTH + 1) :].reshape(WIDTH + 1, n)  # out and, below it, bias
         late = np.arange(CONTEXT)[None, :] > np.arange(CONTEXT - STRIDE, CONTEXT)[:, None]
         self.mask = np.where(late, np.float32(0), np.float32(1))
+        self.odds = None if prior is None else np.exp(prior)
+        self.slope: Model | None = None
+        self.kept = np.empty((2, 0, n), np.float32)
 
     def forward(self, x: np.ndarray):
-        """Attention and hidden state of the last STRIDE positions of windows x of subword ids."""
+        """Of the last STRIDE positions of windows x of subword ids: attention before it is divided by its sums, what it reads, and the hidden state with a 1 behind it."""
         h = self.emb.take(x, axis=0)
         h += self.pos
         hq = np.ascontiguousarray(h[:, CONTEXT - STRIDE :])
@@ -221,25 +231,50 @@ class Model:
         np.minimum(a, np.float32(60), out=a)
         np.exp(a, out=a)
         a *= self.mask
-        a *= np.reciprocal(a.sum(axis=2, keepdims=True))
-        hq += np.matmul(a, v)
-        return h, q, k, v, a, hq
+        part = np.reciprocal(a.reshape(-1, CONTEXT) @ np.ones(CONTEXT, np.float32))[:, None]
+        read = np.matmul(a, v).reshape(-1, WIDTH)
+        read *= part
+        hidden = np.ones((len(read), WIDTH + 1), np.float32)
+        np.add(hq.reshape(-1, WIDTH), read, out=hidden[:, :WIDTH])
+        return h, q, k, v, a, part, read, hidden
 
     def logits(self, x: np.ndarray, hidden: np.ndarray) -> np.ndarray:
         """What the counts after the last input say, moved by the hidden state."""
-        z = hidden @ self.out
-        z += self.bias
+        z = hidden @ self.head
         if self.prior is not None:
             z += self.prior.take(x[:, CONTEXT - STRIDE :].ravel(), axis=0)
         return z
 
+    def weights(self, x: np.ndarray, y: np.ndarray, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A weight for each class, their sum, and the log of the weight of y, by target; the first is overwritten by the next call.
+
+        The counts come in as factors of exponentials; where these leave the range of float32, all is taken from the largest logit.
+        """
+        rows, at = len(hidden), np.arange(len(hidden)) * self.n + y.ravel()
+        if self.kept.shape[1] < rows:
+            self.kept = np.empty((2, rows, self.n), np.float32)  # new pages for each batch would cost as much as the sums
+        z, odds = self.kept[:, :rows]
+        np.matmul(hidden, self.head, out=z)
+        log = z.ravel().take(at)
+        with np.errstate(over="ignore", invalid="ignore"):
+            np.exp(z, out=z)
+            if self.odds is not None:
+                self.odds.take(x[:, CONTEXT - STRIDE :].ravel(), axis=0, out=odds, mode="clip")
+                z *= odds
+                log += np.log(odds.ravel().take(at))
+            total = z @ np.ones(self.n, np.float32)
+        if not (total.min(initial=1) > 1e-30 and total.max(initial=1) < 1e30):
+            z[:] = self.logits(x, hidden)
+            z -= z.max(axis=1, keepdims=True)
+            log = z.ravel().take(at)
+            np.exp(z, out=z)
+            total = z.sum(axis=1)
+        return z, total, log
+
     def log_probabilities(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of each target's probability, (windows, STRIDE)."""
-        z = self.logits(x, self.forward(x)[-1].reshape(-1, WIDTH))
-        np.minimum(z, np.float32(80), out=z)
-        at = z[np.arange(len(z)), y.ravel()]
-        np.exp(z, out=z)
-        return (at - np.log(z.sum(axis=1))).reshape(y.shape)
+        _, total, log = self.weights(x, y, self.forward(x)[-1])
+        return (log - np.log(total)).reshape(y.shape)
 
     def gradient(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> np.ndarray:
         """Gradient of the mean loss over the real targets."""
@@ -250,34 +285,37 @@ class Model:
         return flat
 
     def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """That gradient of `dense`, and the ids in x with that of each one's embedding."""
-        h, q, k, v, a, hidden = self.forward(x)
-        z = self.logits(x, hidden.reshape(-1, WIDTH))
-        np.minimum(z, np.float32(80), out=z)
-        np.exp(z, out=z)
-        weight = (real.ravel() / max(1, real.sum())).astype(np.float32)
-        z *= (weight / z.sum(axis=1))[:, None]
-        z[np.arange(len(z)), y.ravel()] -= weight
-        g = Model(self.n, np.zeros_like(self.dense), inputs=0)
-        g.out[:] = hidden.reshape(-1, WIDTH).T @ z
-        g.bias[:] = z.sum(axis=0)
-        d_hidden = (z @ self.out.T).reshape(hidden.shape)
-        d_s = d_hidden @ v.transpose(0, 2, 1)
-        d_s -= np.einsum("bij,bij->bi", d_s, a)[:, :, None]
+        """That gradient of `dense`, overwritten by the next call, and the ids in x with that of each one's embedding."""
+        h, q, k, v, a, part, read, hidden = self.forward(x)
+        z, total, _ = self.weights(x, y, hidden)
+        g = self.slope = self.slope or Model(self.n, np.zeros_like(self.dense), inputs=0)
+        z.ravel()[np.arange(len(z)) * self.n + y.ravel()] -= total
+        share = (real.ravel() / (np.float32(max(1, real.sum())) * total))[:, None]  # z is scaled where it is narrow
+        np.matmul((hidden * share).T, z, out=g.head)
+        d_hidden = z @ self.out.T
+        d_hidden *= share
+        inner = np.einsum("ij,ij->i", d_hidden, read)[:, None]
+        shape = (len(x), STRIDE, -1)
+        d_part = d_hidden * part
+        d_s = d_part.reshape(shape) @ v.transpose(0, 2, 1)
+        d_s -= (inner * part).reshape(shape)
         d_s *= a
-        d_q, d_k, d_v = d_s @ k * np.float32(WIDTH**-0.5), d_s.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ d_hidden
+        d_q, d_k, d_v = d_s @ k, d_s.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ d_part.reshape(shape)
+        d_q *= np.float32(WIDTH**-0.5)
         rows = lambda m: m.reshape(-1, WIDTH)
         g.wq[:] = rows(h[:, CONTEXT - STRIDE :]).T @ rows(d_q)
         g.wk[:] = rows(h).T @ rows(d_k)
         g.wv[:] = rows(h).T @ rows(d_v)
         d_h = (rows(d_k) @ self.wk.T + rows(d_v) @ self.wv.T).reshape(h.shape)
-        d_h[:, CONTEXT - STRIDE :] += (rows(d_q) @ self.wq.T).reshape(hidden.shape)
-        d_h[:, CONTEXT - STRIDE :] += d_hidden
+        d_h[:, CONTEXT - STRIDE :] += (rows(d_q) @ self.wq.T + d_hidden).reshape(shape)
         g.pos[:] = d_h.sum(axis=0)
-        flat = x.ravel()
-        order = np.argsort(flat, kind="stable")
-        flat = flat[order]
-        starts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+        bits = x.size.bit_length()
+        flat = np.sort((x.ravel().astype(np.int64) << bits) | np.arange(x.size))  # by id, then place
+        order = flat & ((1 << bits) - 1)
+        flat >>= bits
+        new = np.ones(len(flat), bool)
+        np.not_equal(flat[1:], flat[:-1], out=new[1:])
+        starts = np.flatnonzero(new)
         return g.flat, flat[starts], np.add.reduceat(rows(d_h).take(order, axis=0), starts)
 
 
@@ -312,6 +350,17 @@ def unpacked(shape: tuple[int, ...], raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view(np.float32).reshape(shape)
 
 
+class Packed:
+    """A packed table; a worker unpacks it once for all its tasks."""
+
+    def __init__(self, table: np.ndarray):
+        self.parts = packed(table)
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        return unpacked(*self.parts)
+
+
 FITTED = "part int, dense binary, tokens long, ids binary, rows binary, uses binary"
 
 
@@ -354,19 +403,19 @@ def fit(docs: DataFrame, path: str, classes: Classes, prior: np.ndarray, words:
             yield part, texts
 
     spark = docs.sparkSession
-    counted = spark.sparkContext.broadcast((classes, packed(prior)))
+    counted = spark.sparkContext.broadcast((classes, Packed(prior)))
     for r in range(ROUNDS):
         shared = spark.sparkContext.broadcast(params)
         pace = RATE * (1 - r / (2 * ROUNDS))
 
         def run(it: Iterator[pa.RecordBatch], shared=shared, pace=pace) -> Iterator[pa.RecordBatch]:
-            (kinds, table), start = counted.value, shared.value
-            word_ids, at, after = WordIds(path), None, unpacked(*table)
+            (kinds, prior), start = counted.value, shared.value
+            word_ids, at = WordIds(path), None
             for part, texts in by_part(it):
                 if part != at:
                     if at is not None:
                         yield row(at, model.dense, tokens, model.emb, uses)
-                    at, model = part, Model(kinds.n, start, after)
+                    at, model = part, Model(kinds.n, start, prior.table)
                     m, s, m_emb, s_emb = (np.zeros_like(x) for x in (model.dense, model.dense, model.emb, model.emb))
                     step, tokens, uses = 0, 0, np.zeros(IDS + 1, np.int64)
                 x, y, real, _, _ = windows([b"".join(map(word_ids.__getitem__, _words(t))) + _END for t in texts], kinds.of)
@@ -444,28 +493,31 @@ def score(docs: DataFrame, learn: DataFrame, path: str | None = None) -> DataFra
 
     least = _least(words, "c", VOCABULARY)
     frequent = {r["word"].encode(): float(np.log10((r["c"] + 1) / scale)) for r in words.filter(F.col("c") >= least).collect()}
-    shared = spark.sparkContext.broadcast((classes, params, packed(prior), packed(shares), frequent))
+    shared = spark.sparkContext.broadcast((classes, params, Packed(prior), Packed(shares), frequent))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, flat, after, share, known = shared.value
-        after, share = unpacked(*after), unpacked(*share)
-        model, word_ids, begins = Model(kinds.n, flat, after), WordIds(path), kinds.begins
+        model, word_ids = Model(kinds.n, flat, after.table), WordIds(path)
+        share, before = share.table.ravel(), kinds.of_input.astype(np.int64) * IDS
         for b in batches(it, 1 << 20):
             ids, n_tokens, n_frequent, sums, rare = [], [], [], [], []
             for text in b.column(3).to_pylist():
                 ws = _words(text)
                 ids.append(b"".join(map(word_ids.__getitem__, ws)) + _END)
                 ws.append(b"")
-                logs = [known[w] for w in ws if w in known]
+                logs = list(map(known.get, ws))
+                others = [w.decode() for w, log in zip(ws, logs, strict=True) if log is None] if None in logs else []
                 n_tokens.append(len(ws))
-                n_frequent.append(len(logs))
-                sums.append(sum(logs))
-                rare.append([w.decode() for w in ws if w not in known] if len(logs) < len(ws) else [])
+                n_frequent.append(len(ws) - len(others))
+                sums.append(sum(log for log in logs if log is not None) if others else sum(logs))
+                rare.append(others)
             x, y, real, target, of_text = windows(ids, kinds.of)
             logs = np.empty(y.shape, np.float32)
             for i in range(0, len(x), 32):  # so few that a batch stays in cache
                 logs[i : i + 32] = model.log_probabilities(x[i : i + 32], y[i : i + 32])
-            logs = np.where(real, logs / np.log(10) + share[np.where(begins[target], 0, kinds.of_input[x[:, CONTEXT - STRIDE :]]), target], 0).sum(axis=1)
+            cell = np.where(kinds.begins[target], 0, before[x[:, CONTEXT - STRIDE :]])
+            cell += target
+            logs = np.where(real, logs / np.log(10) + share.take(cell, mode="clip"), 0).sum(axis=1)
             scores = np.bincount(of_text, logs, len(ids)) if ids else np.zeros(0)
             yield pa.record_batch([*b.columns[:3], pa.array(n_tokens, pa.int64()), pa.array(n_frequent, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), pa.array(rare, pa.list_(pa.string()))], [c.split()[0] for c in SCORED.split(", ")])
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import pickle
 import random
 import re
 import time
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.llm import binary_packing, centroids, divergence, html_text
+from sievework.llm import binary_packing, centroids, divergence, html_text, lm_score
 from sievework.llm.common import table
 from sievework.llm.subwords import Subwords, tokenizer_path
 
@@ -273,3 +274,29 @@ def test_neighbours_across_partitions(spark):
     got = {x["row"]: (x["before"], x["after"]) for x in html_text.with_neighbours(df).collect()}
     own = lambda i, j: [f"line {j}"] if 0 <= j < 60 and i // 7 == j // 7 else None
     assert got == {i: (own(i, i - 1), own(i, i + 1)) for i in range(60)}
+
+
+def test_lm_probabilities_of_large_and_small_logits():
+    """Weights beyond the range of float32 are taken from the largest logit, for the scores and for the gradient."""
+    r, n = np.random.default_rng(0), 20
+    x, y, real = r.integers(0, n, (3, lm_score.CONTEXT)), r.integers(0, n, (3, lm_score.STRIDE)), np.ones((3, lm_score.STRIDE), bool)
+    prior = np.log(r.dirichlet(np.ones(n), lm_score.IDS + 1)).astype(np.float32)
+    for shift in (-200.0, 0.0, 84.0, 200.0):
+        m = lm_score.Model(n, prior=prior)
+        m.bias[:] = shift + r.normal(0, 3, n)
+        hidden = m.forward(x)[-1][:, : lm_score.WIDTH].astype(float)
+        z = hidden @ m.out + m.bias[0] + prior[x[:, -lm_score.STRIDE :].ravel()]
+        z -= z.max(axis=1, keepdims=True)
+        p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+        at = np.arange(len(z)), y.ravel()
+        assert np.allclose(m.log_probabilities(x, y).ravel(), np.log(p)[at], atol=1e-3)
+        p[at] -= 1
+        assert np.allclose(m.gradient(x, y, real)[-n:], p.mean(axis=0), atol=1e-4)
+
+
+def test_lm_workers_unpack_a_table_once():
+    table = np.random.default_rng(1).normal(size=(7, 5)).astype(np.float32)
+    sent = pickle.loads(pickle.dumps(lm_score.Packed(table)))
+    assert np.array_equal(sent.table, table) and sent.table is sent.table
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    assert lm_score.WordIds(path).encode.__self__ is lm_score.WordIds(path, 1).encode.__self__
