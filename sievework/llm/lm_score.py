@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, drop_stored, stored, table
+from .common import batches, bound_batches, drop_stored, stored, table
 from .subwords import Subwords, ranked_encoding, tokenizer_path
 
 END_ID, IDS = 50_256, 50_257
@@ -200,7 +200,8 @@ class Model:
 
     SHAPES = (("emb", None, WIDTH), ("pos", CONTEXT, WIDTH), ("wq", WIDTH, WIDTH), ("wk", WIDTH, WIDTH), ("wv", WIDTH, WIDTH), ("out", WIDTH, None), ("bias", 1, None))
 
-    def __init__(self, n: int, flat: np.ndarray | None = None, prior: np.ndarray | None = None, inputs: int = IDS + 1):
+    def __init__(self, n: int, flat: np.ndarray | None = None, prior: np.ndarray | None = None, inputs: int = IDS + 1, odds: np.ndarray | None = None):
+        """prior, a row for each input, or its exponential odds."""
         self.n, self.prior = n, prior
         shapes = [(name, inputs if name == "emb" else a or n, b or n) for name, a, b in self.SHAPES]
         size = sum(a * b for _, a, b in shapes)
@@ -215,7 +216,7 @@ class Model:
         self.head = self.flat[-n * (WIDTH + 1) :].reshape(WIDTH + 1, n)  # out and, below it, bias
         late = np.arange(CONTEXT)[None, :] > np.arange(CONTEXT - STRIDE, CONTEXT)[:, None]
         self.mask = np.where(late, np.float32(0), np.float32(1))
-        self.odds = None if prior is None else np.exp(prior)
+        self.odds = odds if prior is None else np.exp(prior)
         self.slope: Model | None = None
         self.kept = np.empty((2, 0, n), np.float32)
 
@@ -241,8 +242,8 @@ class Model:
     def logits(self, x: np.ndarray, hidden: np.ndarray) -> np.ndarray:
         """What the counts after the last input say, moved by the hidden state."""
         z = hidden @ self.head
-        if self.prior is not None:
-            z += self.prior.take(x[:, CONTEXT - STRIDE :].ravel(), axis=0)
+        if self.odds is not None:
+            z += np.log(self.odds.take(x[:, CONTEXT - STRIDE :].ravel(), axis=0))
         return z
 
     def weights(self, x: np.ndarray, y: np.ndarray, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -403,19 +404,19 @@ def fit(docs: DataFrame, path: str, classes: Classes, prior: np.ndarray, words:
             yield part, texts
 
     spark = docs.sparkSession
-    counted = spark.sparkContext.broadcast((classes, Packed(prior)))
+    counted = spark.sparkContext.broadcast((classes, Packed(np.exp(prior))))
     for r in range(ROUNDS):
         shared = spark.sparkContext.broadcast(params)
         pace = RATE * (1 - r / (2 * ROUNDS))
 
         def run(it: Iterator[pa.RecordBatch], shared=shared, pace=pace) -> Iterator[pa.RecordBatch]:
-            (kinds, prior), start = counted.value, shared.value
+            (kinds, odds), start = counted.value, shared.value
             word_ids, at = WordIds(path), None
             for part, texts in by_part(it):
                 if part != at:
                     if at is not None:
                         yield row(at, model.dense, tokens, model.emb, uses)
-                    at, model = part, Model(kinds.n, start, prior.table)
+                    at, model = part, Model(kinds.n, start, odds=odds.table)
                     m, s, m_emb, s_emb = (np.zeros_like(x) for x in (model.dense, model.dense, model.emb, model.emb))
                     step, tokens, uses = 0, 0, np.zeros(IDS + 1, np.int64)
                 x, y, real, _, _ = windows([b"".join(map(word_ids.__getitem__, _words(t))) + _END for t in texts], kinds.of)
@@ -475,6 +476,7 @@ def score(docs: DataFrame, learn: DataFrame, path: str | None = None) -> DataFra
     """Scores of all documents in docs(doc_id, text, held_out) by models of `learn`."""
     path = path or tokenizer_path("byte_bpe_50k.tiktoken")
     spark = docs.sparkSession
+    bound_batches(spark)
     words = stored(count_words(learn), "words")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, scale = total["n"], total["n"] + total["v"] + 1
@@ -485,19 +487,23 @@ def score(docs: DataFrame, learn: DataFrame, path: str | None = None) -> DataFra
         subword[r["id"]] = r["n"]
     classes = Classes(subword, Subwords(tokenizer_path()).starts_word(IDS))
     cells = count_cells(pairs, classes).toArrow()
-    shares = classes.shares_after(*(cells[c].to_numpy() for c in ("before", "id", "n")))
+    shares = Packed(classes.shares_after(*(cells[c].to_numpy() for c in ("before", "id", "n"))))
+    del cells
     followers = count_followers(pairs, classes).toArrow()
     prior = classes.prior_after(*(followers[c].to_numpy() for c in ("last", "of", "n")), subword)
+    del followers
     params = fit(learn, path, classes, prior, n)
     drop_stored(pairs)
 
     least = _least(words, "c", VOCABULARY)
-    frequent = {r["word"].encode(): float(np.log10((r["c"] + 1) / scale)) for r in words.filter(F.col("c") >= least).collect()}
-    shared = spark.sparkContext.broadcast((classes, params, Packed(prior), Packed(shares), frequent))
+    often = words.filter(F.col("c") >= least).toArrow()
+    frequent = dict(zip((w.encode() for w in often["word"].to_pylist()), np.log10((often["c"].to_numpy() + 1) / scale).tolist(), strict=True))
+    del often
+    shared = spark.sparkContext.broadcast((classes, params, Packed(np.exp(prior)), shares, frequent))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, flat, after, share, known = shared.value
-        model, word_ids = Model(kinds.n, flat, after.table), WordIds(path)
+        kinds, flat, odds, share, known = shared.value
+        model, word_ids = Model(kinds.n, flat, odds=odds.table), WordIds(path)
         share, before = share.table.ravel(), kinds.of_input.astype(np.int64) * IDS
         for b in batches(it, 1 << 20):
             ids, n_tokens, n_frequent, sums, rare = [], [], [], [], []

@@ -300,3 +300,11 @@ def test_lm_workers_unpack_a_table_once():
     assert np.array_equal(sent.table, table) and sent.table is sent.table
     path = tokenizer_path("byte_bpe_50k.tiktoken")
     assert lm_score.WordIds(path).encode.__self__ is lm_score.WordIds(path, 1).encode.__self__
+
+
+def test_lm_model_by_odds_equals_by_prior():
+    r = np.random.default_rng(2)
+    x, y = r.integers(0, 20, (3, lm_score.CONTEXT)), r.integers(0, 20, (3, lm_score.STRIDE))
+    prior = np.log(r.dirichlet(np.ones(20), lm_score.IDS + 1)).astype(np.float32)
+    one, other = lm_score.Model(20, prior=prior), lm_score.Model(20, odds=np.exp(prior))
+    assert other.prior is None and np.array_equal(one.log_probabilities(x, y), other.log_probabilities(x, y))
