@@ -26,15 +26,16 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache, cached_property
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +69,7 @@ class WordIds(dict):
 
     def __init__(self, path: str, bound: int = 400_000):
         super().__init__()
-        self.encode, self.bound = _encoding(path).encode_ordinary, bound
+        self.path, self.encode, self.bound = path, _encoding(path).encode_ordinary, bound
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.bound:
@@ -76,33 +77,124 @@ class WordIds(dict):
         ids = self[word] = array("I", self.encode(" " + word.decode())).tobytes()
         return ids
 
+    def all(self, words: list[bytes]) -> list[bytes]:
+        """Those of different words."""
+        if len(self) + len(words) > self.bound:
+            self.clear()
+        new = [w for w in words if w not in self]
+        self.update(zip(new, encode_words(self.path, new), strict=True))
+        return list(map(self.__getitem__, words))
+
+
+#: White space of the tokenizer's pattern that words may hold; next to it a word is not split as it is alone.
+_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
-def _words(text: str | None) -> list[bytes]:
-    return text.encode().lower().split() if text else []
+
+@cache
+def _begins(path: str) -> np.ndarray:
+    return np.array([_encoding(path).decode_single_token_bytes(i)[:1] == b" " for i in range(END_ID)])
+
+
+def encode_words(path: str, words: list[bytes]) -> list[bytes]:
+    """Subword ids of each lower-cased word after a space, as bytes, from one call for all: only an id that starts a word begins with a space."""
+    if not words:
+        return []
+    encode, texts = _encoding(path).encode_ordinary, [w.decode() for w in words]
+    text = " ".join(["", *texts])
+    if b"" in words or _SPACE.search(text):
+        plain = [w for w, t in zip(words, texts, strict=True) if t and not _SPACE.search(t)]
+        known = dict(zip(plain, encode_words(path, plain), strict=True))
+        return [known[w] if w in known else array("I", encode(" " + t)).tobytes() for w, t in zip(words, texts, strict=True)]
+    ids = np.array(encode(text), "<u4")
+    starts = np.append(np.flatnonzero(_begins(path)[ids]) * 4, len(ids) * 4).tolist()
+    raw = ids.tobytes()
+    return [raw[a:b] for a, b in zip(starts, starts[1:], strict=False)]
+
+
+@cache
+def _word_ids(path: str) -> WordIds:
+    """Kept by a worker for all its tasks."""
+    return WordIds(path)
+
+
+def _keys(words: pa.Array) -> list[bytes]:
+    return words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+
+class Words:
+    """The different words of several texts, and which of them stands where; what is known of a word is looked up once."""
+
+    def __init__(self, texts: pa.Array):
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+        own = split.flatten().dictionary_encode()
+        codes = own.indices.to_numpy()
+        lengths = split.value_lengths().to_numpy().astype(np.int64)
+        # White space before or after a text leaves an empty word there, the same that stands for the end of a text below.
+        empty = own.dictionary.index("").as_py()
+        if empty >= 0:
+            filled = codes != empty
+            lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[filled], minlength=len(lengths))
+            codes = codes[filled]
+        self.different, self.end = own.dictionary, empty
+        if empty < 0:
+            self.different, self.end = pa.concat_arrays([own.dictionary, pa.array([""], own.dictionary.type)]), len(own.dictionary)
+        self.lengths = lengths + 1
+        self.text = np.repeat(np.arange(len(lengths)), self.lengths)
+        self.codes = np.full(len(self.text), self.end, np.int64)
+        if len(codes):
+            self.codes[np.arange(len(codes)) + np.repeat(np.arange(len(lengths)), lengths)] = codes
+
+    @cached_property
+    def keys(self) -> list[bytes]:
+        return _keys(self.different)
+
+    def counts(self) -> pa.Table:
+        """(word, c); the empty word is the end of a text."""
+        c = np.bincount(self.codes, minlength=len(self.different))
+        return pa.table({"word": self.different.cast(pa.string()), "c": c}).filter(pa.array(c > 0))
+
+    def ids(self, known: WordIds) -> tuple[np.ndarray, np.ndarray]:
+        """Subword ids of all texts, each ended, and how many each text has."""
+        raw = known.all(self.keys[: self.end] + self.keys[self.end + 1 :])
+        raw.insert(self.end, _END)
+        many = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        table = np.frombuffer(b"".join(raw), "<u4").astype(np.int32)
+        each = many[self.codes]
+        before = np.cumsum(each) - each
+        place = np.repeat((np.cumsum(many) - many)[self.codes] - before, each)
+        place += np.arange(len(place))
+        return table[place], np.bincount(self.text, each, len(self.lengths)).astype(np.int64)
 
 
 _END = END_ID.to_bytes(4, "little")
 
 
+def _added(found: Iterator[pa.Table], most: int = 300_000) -> Iterator[pa.RecordBatch]:
+    """Tables of (key, count), with the counts of equal keys added; a task holds about `most` keys, or twice what one table has."""
+    held, rows = [], 0
+
+    def added() -> pa.Table:
+        name, n = held[0].column_names
+        return pa.concat_tables(held).group_by(name, use_threads=False).aggregate([(n, "sum")]).rename_columns([name, n])
+
+    for t in found:
+        held.append(t)
+        rows += len(t)
+        if rows > 2 * most:
+            held = [added()]
+            rows = len(held[0])
+            if rows > most:
+                yield from held[0].to_batches()
+                held, rows = [], 0
+    if held:
+        yield from added().to_batches()
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, c) over all texts; the empty word is the end of a text."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Counter()
-
-        def emit() -> pa.RecordBatch:
-            rows = pa.record_batch([pa.array([w.decode() for w in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "c"])
-            found.clear()
-            return rows
-
-        for b in batches(it):
-            for text in b.column(0).to_pylist():
-                found.update(_words(text))
-                found[b""] += 1
-            if len(found) > 300_000:
-                yield emit()
-        if found:
-            yield emit()
+        return _added(Words(b.column(0)).counts() for b in batches(it))
 
     return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -110,24 +202,20 @@ def count_words(docs: DataFrame) -> DataFrame:
 def count_pairs(words: DataFrame, path: str) -> DataFrame:
     """(pair, n): how often each subword id follows each within a word; pair is before * IDS + id, END_ID before a word's first."""
 
+    def counts(b: pa.RecordBatch) -> pa.Table:
+        own = b.filter(pc.not_equal(b.column(0), ""))
+        raw = encode_words(path, _keys(own.column(0)))
+        many = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        ids = np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
+        pairs = np.append(END_ID, ids[:-1])[: len(ids)] * IDS + ids
+        starts = np.cumsum(many) - many
+        pairs[starts] = END_ID * IDS + ids[starts]
+        ends = b.filter(pc.equal(b.column(0), "")).column(1)
+        n = np.repeat(own.column(1).to_numpy(), many)
+        return pa.table({"pair": np.append(pairs, np.full(len(ends), END_ID * IDS + END_ID)), "n": np.append(n, ends.to_numpy())})
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_ids, found = WordIds(path, 1), Counter()
-
-        def emit() -> pa.RecordBatch:
-            rows = pa.record_batch([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["pair", "n"])
-            found.clear()
-            return rows
-
-        for b in batches(it):
-            for word, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                before = END_ID
-                for i in array("I", word_ids[word.encode()]) if word else (END_ID,):
-                    found[before * IDS + i] += c
-                    before = i
-            if len(found) > 300_000:
-                yield emit()
-        if found:
-            yield emit()
+        return _added(map(counts, batches(it, 1 << 20)))
 
     return words.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
@@ -219,24 +307,25 @@ class Model:
         self.odds = odds if prior is None else np.exp(prior)
         self.slope: Model | None = None
         self.kept = np.empty((2, 0, n), np.float32)
+        self.ones = np.ones(max(n, 2 * BATCH, CONTEXT), np.float32)
 
     def forward(self, x: np.ndarray):
         """Of the last STRIDE positions of windows x of subword ids: attention before it is divided by its sums, what it reads, and the hidden state with a 1 behind it."""
         h = self.emb.take(x, axis=0)
         h += self.pos
-        hq = np.ascontiguousarray(h[:, CONTEXT - STRIDE :])
-        q = (hq.reshape(-1, WIDTH) @ (self.wq * np.float32(WIDTH**-0.5))).reshape(hq.shape)
-        k = (h.reshape(-1, WIDTH) @ self.wk).reshape(h.shape)
-        v = (h.reshape(-1, WIDTH) @ self.wv).reshape(h.shape)
+        turned = np.concatenate([self.wq * np.float32(WIDTH**-0.5), self.wk, self.wv], axis=1)
+        qkv = (h.reshape(-1, WIDTH) @ turned).reshape(len(x), CONTEXT, -1)
+        q, k, v = qkv[:, CONTEXT - STRIDE :, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH], qkv[:, :, 2 * WIDTH :]
         a = np.matmul(q, k.transpose(0, 2, 1))
         np.minimum(a, np.float32(60), out=a)
         np.exp(a, out=a)
         a *= self.mask
-        part = np.reciprocal(a.reshape(-1, CONTEXT) @ np.ones(CONTEXT, np.float32))[:, None]
+        part = np.reciprocal(a.reshape(-1, CONTEXT) @ self.ones[:CONTEXT])[:, None]
         read = np.matmul(a, v).reshape(-1, WIDTH)
         read *= part
-        hidden = np.ones((len(read), WIDTH + 1), np.float32)
-        np.add(hq.reshape(-1, WIDTH), read, out=hidden[:, :WIDTH])
+        hidden = np.empty((len(read), WIDTH + 1), np.float32)
+        hidden[:, WIDTH] = 1
+        np.add(h[:, CONTEXT - STRIDE :], read.reshape(len(x), STRIDE, WIDTH), out=hidden[:, :WIDTH].reshape(len(x), STRIDE, WIDTH))
         return h, q, k, v, a, part, read, hidden
 
     def logits(self, x: np.ndarray, hidden: np.ndarray) -> np.ndarray:
@@ -246,12 +335,12 @@ class Model:
             z += np.log(self.odds.take(x[:, CONTEXT - STRIDE :].ravel(), axis=0))
         return z
 
-    def weights(self, x: np.ndarray, y: np.ndarray, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A weight for each class, their sum, and the log of the weight of y, by target; the first is overwritten by the next call.
+    def weights(self, x: np.ndarray, y: np.ndarray, hidden: np.ndarray, each: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A weight for each class, unless each is False, their sum, and the log of the weight of y, by target; the first is overwritten by the next call.
 
         The counts come in as factors of exponentials; where these leave the range of float32, all is taken from the largest logit.
         """
-        rows, at = len(hidden), np.arange(len(hidden)) * self.n + y.ravel()
+        rows, at = len(hidden), y.ravel() + np.arange(0, len(hidden) * self.n, self.n)
         if self.kept.shape[1] < rows:
             self.kept = np.empty((2, rows, self.n), np.float32)  # new pages for each batch would cost as much as the sums
         z, odds = self.kept[:, :rows]
@@ -259,11 +348,16 @@ class Model:
         log = z.ravel().take(at)
         with np.errstate(over="ignore", invalid="ignore"):
             np.exp(z, out=z)
-            if self.odds is not None:
+            if self.odds is None:
+                total = z @ self.ones[: self.n]
+            else:
                 self.odds.take(x[:, CONTEXT - STRIDE :].ravel(), axis=0, out=odds, mode="clip")
-                z *= odds
                 log += np.log(odds.ravel().take(at))
-            total = z @ np.ones(self.n, np.float32)
+                if each:
+                    z *= odds
+                    total = z @ self.ones[: self.n]
+                else:
+                    total = np.vecdot(z, odds)
         if not (total.min(initial=1) > 1e-30 and total.max(initial=1) < 1e30):
             z[:] = self.logits(x, hidden)
             z -= z.max(axis=1, keepdims=True)
@@ -274,7 +368,7 @@ class Model:
 
     def log_probabilities(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of each target's probability, (windows, STRIDE)."""
-        _, total, log = self.weights(x, y, self.forward(x)[-1])
+        _, total, log = self.weights(x, y, self.forward(x)[-1], each=False)
         return (log - np.log(total)).reshape(y.shape)
 
     def gradient(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> np.ndarray:
@@ -290,50 +384,61 @@ class Model:
         h, q, k, v, a, part, read, hidden = self.forward(x)
         z, total, _ = self.weights(x, y, hidden)
         g = self.slope = self.slope or Model(self.n, np.zeros_like(self.dense), inputs=0)
-        z.ravel()[np.arange(len(z)) * self.n + y.ravel()] -= total
+        z.ravel()[y.ravel() + np.arange(0, z.size, self.n)] -= total
         share = (real.ravel() / (np.float32(max(1, real.sum())) * total))[:, None]  # z is scaled where it is narrow
-        np.matmul((hidden * share).T, z, out=g.head)
+        hidden *= share
+        np.matmul(hidden.T, z, out=g.head)
         d_hidden = z @ self.out.T
         d_hidden *= share
-        inner = np.einsum("ij,ij->i", d_hidden, read)[:, None]
-        shape = (len(x), STRIDE, -1)
         d_part = d_hidden * part
-        d_s = d_part.reshape(shape) @ v.transpose(0, 2, 1)
-        d_s -= (inner * part).reshape(shape)
+        inner = (d_part * read) @ self.ones[:WIDTH]
+        shape = (len(x), STRIDE, -1)
+        late, d_part = slice(CONTEXT - STRIDE, CONTEXT), d_part.reshape(shape)
+        d_s = np.matmul(d_part, v.transpose(0, 2, 1))
+        d_s -= inner.reshape(shape)
         d_s *= a
-        d_q, d_k, d_v = d_s @ k, d_s.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ d_part.reshape(shape)
-        d_q *= np.float32(WIDTH**-0.5)
-        rows = lambda m: m.reshape(-1, WIDTH)
-        g.wq[:] = rows(h[:, CONTEXT - STRIDE :]).T @ rows(d_q)
-        g.wk[:] = rows(h).T @ rows(d_k)
-        g.wv[:] = rows(h).T @ rows(d_v)
-        d_h = (rows(d_k) @ self.wk.T + rows(d_v) @ self.wv.T).reshape(h.shape)
-        d_h[:, CONTEXT - STRIDE :] += (rows(d_q) @ self.wq.T + d_hidden).reshape(shape)
-        g.pos[:] = d_h.sum(axis=0)
+        d_qkv = np.zeros((len(x), CONTEXT, 3 * WIDTH), np.float32)
+        np.matmul(d_s, k, out=d_qkv[:, late, :WIDTH])
+        np.matmul(d_s.transpose(0, 2, 1), q, out=d_qkv[:, :, WIDTH : 2 * WIDTH])
+        np.matmul(a.transpose(0, 2, 1), d_part, out=d_qkv[:, :, 2 * WIDTH :])
+        rows, scale = d_qkv.reshape(-1, 3 * WIDTH), np.float32(WIDTH**-0.5)
+        d_w = h.reshape(-1, WIDTH).T @ rows
+        g.wq[:], g.wk[:], g.wv[:] = d_w[:, :WIDTH] * scale, d_w[:, WIDTH : 2 * WIDTH], d_w[:, 2 * WIDTH :]
+        d_h = rows @ np.concatenate([self.wq.T * scale, self.wk.T, self.wv.T])
+        d_h = d_h.reshape(h.shape)
+        d_h[:, late] += d_hidden.reshape(shape)
+        g.pos[:] = (self.ones[: len(x)] @ d_h.reshape(len(x), -1)).reshape(CONTEXT, WIDTH)
         bits = x.size.bit_length()
         flat = np.sort((x.ravel().astype(np.int64) << bits) | np.arange(x.size))  # by id, then place
         order = flat & ((1 << bits) - 1)
         flat >>= bits
-        new = np.ones(len(flat), bool)
-        np.not_equal(flat[1:], flat[:-1], out=new[1:])
-        starts = np.flatnonzero(new)
-        return g.flat, flat[starts], np.add.reduceat(rows(d_h).take(order, axis=0), starts)
+        ends = np.append(np.flatnonzero(flat[1:] != flat[:-1]), len(flat) - 1)
+        return g.flat, flat[ends], sums(d_h.reshape(-1, WIDTH).take(order, axis=0), ends)
+
+
+def sums(rows: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows, each up to one of the ends."""
+    starts = np.append(0, ends[:-1] + 1)
+    return np.add.reduceat(rows.view(np.complex64), starts).view(np.float32)  # two at a time
 
 
 def windows(ids: list[bytes], of: np.ndarray):
-    """Windows of several texts: input ids, target classes, targets that are tokens, target ids, text of each window.
+    """Windows of several texts, each given by the bytes of its ids."""
+    return windows_of(np.frombuffer(b"".join(ids), "<u4").astype(np.int32), np.array([len(t) // 4 for t in ids]), of)
+
+
+def windows_of(own: np.ndarray, lengths: np.ndarray, of: np.ndarray):
+    """Windows of several texts, given by all ids and the lengths: input ids, target classes, targets that are tokens, target ids, text of each window.
 
     Before a text stand CONTEXT - STRIDE + 1 places of BEFORE; its last window is filled up.
     """
-    lengths = np.array([len(t) // 4 for t in ids])
     blocks = -(-lengths // STRIDE)
     lead = CONTEXT - STRIDE + 1
     size = lead + blocks * STRIDE
     starts = np.cumsum(size) - size
     flat = np.full(int(size.sum()), -1, np.int32)
-    own = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
     flat[np.repeat(starts + lead - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(own))] = own
-    text = np.repeat(np.arange(len(ids)), blocks)
+    text = np.repeat(np.arange(len(lengths)), blocks)
     first = np.repeat(starts - (np.cumsum(blocks) - blocks) * STRIDE, blocks) + np.arange(len(text)) * STRIDE
     classes = np.where(flat >= 0, of[flat], 0).astype(np.int16)
     inputs = np.where(flat >= 0, flat, BEFORE)
@@ -411,7 +516,7 @@ def fit(docs: DataFrame, path: str, classes: Classes, prior: np.ndarray, words:
 
         def run(it: Iterator[pa.RecordBatch], shared=shared, pace=pace) -> Iterator[pa.RecordBatch]:
             (kinds, odds), start = counted.value, shared.value
-            word_ids, at = WordIds(path), None
+            known, at = _word_ids(path), None
             for part, texts in by_part(it):
                 if part != at:
                     if at is not None:
@@ -419,13 +524,13 @@ def fit(docs: DataFrame, path: str, classes: Classes, prior: np.ndarray, words:
                     at, model = part, Model(kinds.n, start, odds=odds.table)
                     m, s, m_emb, s_emb = (np.zeros_like(x) for x in (model.dense, model.dense, model.emb, model.emb))
                     step, tokens, uses = 0, 0, np.zeros(IDS + 1, np.int64)
-                x, y, real, _, _ = windows([b"".join(map(word_ids.__getitem__, _words(t))) + _END for t in texts], kinds.of)
+                x, y, real, _, _ = windows_of(*Words(pa.array(texts, pa.string())).ids(known), kinds.of)
                 uses += np.bincount(x.ravel(), minlength=IDS + 1)
                 tokens += int(real.sum())
                 order = np.random.default_rng(step).permutation(len(x))
-                for i in range(0, len(order), BATCH):
-                    p = order[i : i + BATCH]
-                    g, ids, rows = model.gradients(x[p], y[p], real[p])
+                x, y, real = x[order], y[order], real[order]
+                for i in range(0, len(x), BATCH):
+                    g, ids, rows = model.gradients(x[i : i + BATCH], y[i : i + BATCH], real[i : i + BATCH])
                     step += 1
                     rate, fade = np.float32(pace / (1 - 0.9**step)), np.float32(1 / (1 - 0.99**step))
                     m += (g - m) * np.float32(0.1)
@@ -503,29 +608,24 @@ def score(docs: DataFrame, learn: DataFrame, path: str | None = None) -> DataFra
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, flat, odds, share, known = shared.value
-        model, word_ids = Model(kinds.n, flat, odds=odds.table), WordIds(path)
+        model, word_ids = Model(kinds.n, flat, odds=odds.table), _word_ids(path)
         share, before = share.table.ravel(), kinds.of_input.astype(np.int64) * IDS
         for b in batches(it, 1 << 20):
-            ids, n_tokens, n_frequent, sums, rare = [], [], [], [], []
-            for text in b.column(3).to_pylist():
-                ws = _words(text)
-                ids.append(b"".join(map(word_ids.__getitem__, ws)) + _END)
-                ws.append(b"")
-                logs = list(map(known.get, ws))
-                others = [w.decode() for w, log in zip(ws, logs, strict=True) if log is None] if None in logs else []
-                n_tokens.append(len(ws))
-                n_frequent.append(len(ws) - len(others))
-                sums.append(sum(log for log in logs if log is not None) if others else sum(logs))
-                rare.append(others)
-            x, y, real, target, of_text = windows(ids, kinds.of)
+            words = Words(b.column(3))
+            log = np.fromiter((known.get(w, np.nan) for w in words.keys), np.float64, len(words.keys))
+            rare = np.isnan(log)[words.codes]
+            n_tokens, n_rare = words.lengths, np.bincount(words.text[rare], minlength=b.num_rows)
+            sums = np.bincount(words.text, np.nan_to_num(log)[words.codes], b.num_rows)
+            others = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_rare)), pa.int32()), words.different.take(pa.array(words.codes[rare])).cast(pa.string()))
+            x, y, real, target, of_text = windows_of(*words.ids(word_ids), kinds.of)
             logs = np.empty(y.shape, np.float32)
             for i in range(0, len(x), 32):  # so few that a batch stays in cache
                 logs[i : i + 32] = model.log_probabilities(x[i : i + 32], y[i : i + 32])
             cell = np.where(kinds.begins[target], 0, before[x[:, CONTEXT - STRIDE :]])
             cell += target
             logs = np.where(real, logs / np.log(10) + share.take(cell, mode="clip"), 0).sum(axis=1)
-            scores = np.bincount(of_text, logs, len(ids)) if ids else np.zeros(0)
-            yield pa.record_batch([*b.columns[:3], pa.array(n_tokens, pa.int64()), pa.array(n_frequent, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), pa.array(rare, pa.list_(pa.string()))], [c.split()[0] for c in SCORED.split(", ")])
+            scores = np.bincount(of_text, logs, b.num_rows)
+            yield pa.record_batch([*b.columns[:3], pa.array(n_tokens, pa.int64()), pa.array(n_tokens - n_rare, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), others], [c.split()[0] for c in SCORED.split(", ")])
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")
     scored = stored(source.mapInArrow(run, SCORED), "scored")

@@ -6,10 +6,12 @@ import pickle
 import random
 import re
 import time
+import types
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -308,3 +310,22 @@ def test_lm_model_by_odds_equals_by_prior():
     prior = np.log(r.dirichlet(np.ones(20), lm_score.IDS + 1)).astype(np.float32)
     one, other = lm_score.Model(20, prior=prior), lm_score.Model(20, odds=np.exp(prior))
     assert other.prior is None and np.array_equal(one.log_probabilities(x, y), other.log_probabilities(x, y))
+
+
+def test_lm_words_of_a_batch_are_encoded_at_once(monkeypatch):
+    """Ids, lengths and counts equal those of one word at a time, and no word of a batch is encoded by a call of its own, but for those with white space in them."""
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    texts = ["", None, " \t", " a  B\tc\n", "x", "É\x85y z \x1c q 　", "A" * 50 + " a", "end  ", "\x00 z", "<|endoftext|> it's 'tis", "Étude 12,5 你好"]
+    split = [t.encode().lower().split() if t else [] for t in texts]
+    single, end = lm_score.WordIds(path), lm_score.END_ID.to_bytes(4, "little")
+    want = [b"".join(single[w] for w in ws) + end for ws in split]
+    calls, known, encoding = [], lm_score.WordIds(path), lm_score._encoding(path)
+    monkeypatch.setattr(lm_score, "_encoding", lambda _: types.SimpleNamespace(encode_ordinary=lambda t: (calls.append(t), encoding.encode_ordinary(t))[-1], decode_single_token_bytes=encoding.decode_single_token_bytes))
+    for part in (slice(None), slice(3, 6), slice(0, 3), slice(0, 0)):
+        found = lm_score.Words(pa.array(texts, pa.string())[part])
+        ids, lengths = found.ids(known)
+        assert ids.astype("<u4").tobytes() == b"".join(want[part]) and lengths.tolist() == [len(x) // 4 for x in want[part]]
+        counted = collections.Counter(w for ws in split[part] for w in [*ws, b""])
+        assert {r["word"].encode(): r["c"] for r in found.counts().to_pylist()} == counted
+    assert len(calls) == 1 + sum(any(c in w.decode() for c in "\x85\xa0\x1c　") for w in set(sum(split, [])))
+    assert len(known.all([b"one", b"two"])) == 2 and lm_score.encode_words(path, []) == []
