@@ -1,11 +1,13 @@
 """Pages of marked-up text: section trees, members under their anchors, and comma-separated tables.
 
-A page's lines are rows (keys, line_no, line). Everything is windows and array functions partitioned by page, so a
-page is the unit that one task holds; no page is seen by the driver.
+A page's lines are rows (keys, line_no, line) numbered without gaps, or one row (keys, lines) with all of them, as page_arrays()
+makes it; members take both and collect the rows. Everything is windows and array functions within a page,
+so a page is the unit that one task holds; no page is seen by the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,16 +32,31 @@ _RULE = r"^([\Q" + RULE_CHARACTERS + r"\E])\1\1+\s*$"
 _COMMENT = r"^\s*\.\.(?:\s|$)"
 _ANCHOR = r"^\s*\.\.\s+_([^:]+):\s*$"
 _OPTION = r"^\s*:([A-Za-z][\w-]*):\s*(.*)$"
-_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
+# One class first, so that most characters are passed by one look; a line feed behind a carriage return is part of its break.
+_BREAK = r"[\n\r\x0B\f\x1C\x1D\x1E\x85\u2028\u2029](?:(?<=\r)\n)?"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once: what a lambda inside `use` refers to would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def page_arrays(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, lines: the lines of each text with tabs as spaces, four columns a stop, and nothing after the last character."""
+
+    def spaced(x: Column) -> Column:
+        parts = F.split(x, "\t", -1)
+        return F.aggregate(F.slice(parts, 2, F.size(parts)), F.get(parts, F.lit(0)), lambda done, y: F.concat(done, F.repeat(F.lit(" "), 4 - F.length(done) % 4), y))
+
+    # Breaks are all white space but blanks and tabs, so no other ends a line.
+    ended = _let(F.split(text, _BREAK, -1), lambda xs: F.slice(xs, 1, F.size(xs) - F.when(F.get(xs, F.size(xs) - 1) == "", 1).otherwise(0)))
+    clean = F.transform(ended, lambda x: F.rtrim(F.when(F.contains(x, F.lit("\t")), spaced(x)).otherwise(x)))
+    return df.filter(F.length(text) > 0).select(*keys, clean.alias("lines"))
 
 
 def page_lines(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, line_no, line: the lines of each text with tabs as spaces, four columns a stop, and nothing after the last character."""
-    lines = F.split(F.regexp_replace(text, rf"(?:{_BREAK})\z", ""), _BREAK, -1)
-    rows = df.filter(F.length(text) > 0).select(*keys, F.posexplode(lines).alias("_at", "line"))
-    parts = F.split("line", "\t", -1)
-    spaced = F.aggregate(F.slice(parts, 2, F.size(parts)), F.get(parts, F.lit(0)), lambda done, x: F.concat(done, F.repeat(F.lit(" "), 4 - F.length(done) % 4), x))
-    return rows.select(*keys, (F.col("_at") + 1).alias("line_no"), F.regexp_replace(F.when(F.contains("line", F.lit("\t")), spaced).otherwise(F.col("line")), r"\s+$", "").alias("line"))
+    """keys, line_no, line: the lines of page_arrays()."""
+    return page_arrays(df, keys, text).select(*keys, F.posexplode("lines").alias("_at", "line")).select(*keys, (F.col("_at") + 1).alias("line_no"), "line")
 
 
 def _window(keys: list[str]):
@@ -75,6 +92,28 @@ def section_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*lines.columns, "title", "level", "role")
 
 
+def _paged(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, lines, first: a page's lines in one array, and the number of the first."""
+    if "lines" in lines.columns:
+        return lines.select(*keys, "lines", F.lit(1).alias("first"))
+    rows = lines.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_rows"))
+    return rows.select(*keys, F.transform("_rows", lambda x: x["line"]).alias("lines"), F.get("_rows", F.lit(0))["line_no"].alias("first"))
+
+
+def section_roles(lines: Column) -> Column:
+    """A character for each of a page's lines: the level of a title, o or u for the rule over or under one, t for others.
+
+    Titles are those of section_lines(). A first string has the rules' characters, c for comments, t for other text; one pass over it from
+    the left finds the titles with their rules, as each rule serves one.
+    """
+    rules = "[" + "".join("\\" + c for c in RULE_CHARACTERS) + "]"
+    kind = lambda x: F.when(F.trim(x) == "", " ").when(~x.rlike(rf"^\s*+{rules}"), "t").when(x.rlike(_RULE), F.substring(x, 1, 1)).when(x.rlike(_COMMENT), "c").otherwise("t")
+    heads = F.regexp_replace(F.array_join(F.transform(lines, kind), ""), rf"({rules})([tc])(\1)|(t)({rules})", "\n$1$2$3$4$5")
+    # The rule's character moves to the title's place; what is left of rules is text.
+    marked = F.regexp_replace(F.regexp_replace(heads, rf"\n({rules})[tc]{rules}", "o$1u"), rf"\n[tc]({rules})", "$1u")
+    return F.translate(F.regexp_replace(marked, rf"{rules}(?!u)| |c", "t"), RULE_CHARACTERS, "".join(str(LEVELS.get(c, LOWEST)) for c in RULE_CHARACTERS))
+
+
 def section_tree(lines: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each section: keys, section_no, path, title, level, first_line, last_line, own_lines.
 
@@ -117,38 +156,48 @@ def page_heads(lines: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 def dedented(lines: Column) -> Column:
     """Lines without the indent that all of them have; blank ones are empty."""
-    indent = lambda x: F.length(F.regexp_extract(x, r"^\s*", 0))
+    indent = lambda x: F.length(x) - F.length(F.ltrim(x, F.lit(" \t\n\x0b\f\r")))
     least = F.array_min(F.transform(F.filter(lines, lambda x: F.trim(x) != ""), indent))
-    return F.transform(lines, lambda x: F.when(F.trim(x) == "", "").otherwise(F.substring(x, F.coalesce(least, F.lit(0)) + 1, F.length(x))))
+    return _let(F.coalesce(least, F.lit(0)), lambda n: F.transform(lines, lambda x: F.when(F.trim(x) == "", "").otherwise(F.substring(x, n + 1, F.length(x)))))
+
+
+def _until_next(starts: str, items: str) -> Column:
+    """The entries of an array of structs with a place `at` among the items, each with the next one's place, or that behind the last item: entry, next."""
+    following = F.concat(F.transform(F.slice(starts, 2, F.size(starts)), lambda x: x["at"]), F.array(F.size(items) + 1))
+    return F.filter(F.arrays_zip(F.col(starts).alias("entry"), following.alias("next")), lambda x: x["entry"].isNotNull())
 
 
 def members(lines: DataFrame, keys: list[str]) -> DataFrame:
     """keys, line_no, anchor, qualified, name, signature, kind, body, deprecated: what the sections of descriptions list under their anchors.
 
     A member reaches from its anchor to the next anchor or title. The first line in bold is its signature; the last plain line
-    before that is its qualified name. Without a signature an anchor is no member.
+    before that is its qualified name. Without a signature an anchor is no member. A page's lines are cut into those of its
+    sections, and these into those of their members; places count from 1.
     """
-    w = _window(keys)
-    rows = section_lines(lines, keys).withColumn("_section", F.last("title", ignorenulls=True).over(w))
-    kind = F.coalesce(*[F.when(F.lower("_section") == t, F.lit(k)) for t, k in DESCRIPTIONS.items()])
-    rows = rows.withColumns({"kind": kind, "_no": F.count("title").over(w)}).filter("kind is not null and role = 'text'")
-    anchor = F.trim(F.regexp_extract("line", _ANCHOR, 1))
-    rows = rows.withColumn("anchor", anchor).withColumn("_block", F.count_if(F.col("anchor") != "").over(Window.partitionBy(*keys, "_no").orderBy("line_no"))).filter("_block > 0")
-    block = Window.partitionBy(*keys, "_no", "_block")
-    rows = rows.withColumn("_sig", F.min(F.when(F.startswith(F.trim("line"), F.lit("**")), F.col("line_no"))).over(block)).filter("_sig is not null")
-    plain = (F.col("line_no") < F.col("_sig")) & (F.trim("line") != "") & ~F.col("line").rlike(f"{_COMMENT}|{_RULE}")
-    found = rows.groupBy(*keys, "_no", "_block", "kind").agg(
-        F.min("line_no").alias("line_no"),
-        F.max("anchor").alias("anchor"),
-        F.max_by(F.trim("line"), F.when(plain, F.col("line_no"))).alias("qualified"),
-        F.max(F.when(F.col("line_no") == F.col("_sig"), F.trim("line"))).alias("_s"),
-        F.array_sort(F.collect_list(F.when(F.col("line_no") > F.col("_sig"), F.struct("line_no", "line")))).alias("_b"),
-    )
+    rows = _paged(lines, keys).withColumn("_roles", F.split(section_roles(F.col("lines")), ""))
+    # A section begins at the rule over its title or at the title; its own lines come behind the rule under that.
+    head = lambda i, title: F.struct((i + 1).alias("at"), title.alias("title"))
+    bare = lambda r, i: r.between("1", "9") & (F.coalesce(F.get("_roles", i - 1), F.lit("")) != "o")
+    heads = F.transform("_roles", lambda r, i: F.when(r == "o", head(i, i + 2)).when(bare(r, i), head(i, i + 1)))
+    rows = rows.withColumn("_heads", F.filter(heads, lambda x: x.isNotNull()))
+    kind = lambda x: _let(F.lower(F.trim(F.get("lines", x["entry"]["title"] - 1))), lambda t: F.coalesce(*[F.when(t == d, F.lit(k)) for d, k in DESCRIPTIONS.items()]))
+    own = lambda x: F.slice("lines", x["entry"]["title"] + 2, F.greatest(x["next"] - x["entry"]["title"] - 2, F.lit(0)))
+    described = F.filter(_until_next("_heads", "lines"), lambda x: kind(x).isNotNull())
+    rows = rows.select(*keys, "first", F.inline(F.transform(described, lambda x: F.struct(kind(x).alias("kind"), (x["entry"]["title"] + 2).alias("_at"), own(x).alias("_own")))))
+
+    anchors = F.transform("_own", lambda x, i: F.when(x.rlike(_ANCHOR), F.struct((i + 1).alias("at"), F.trim(F.regexp_extract(x, _ANCHOR, 1)).alias("anchor"))))
+    rows = rows.withColumn("_anchors", F.filter(anchors, lambda x: x["anchor"] != ""))
+    block = lambda x: F.struct(x["entry"]["at"].alias("_in"), x["entry"]["anchor"].alias("anchor"), F.slice("_own", x["entry"]["at"], x["next"] - x["entry"]["at"]).alias("_block"))
+    bold = lambda x: x.withField("_sig", F.array_position(F.transform(x["_block"], lambda y: F.startswith(F.ltrim(y), F.lit("**"))), True).cast("int"))
+    rows = rows.select(*keys, "kind", "first", "_at", F.inline(F.transform(F.transform(_until_next("_anchors", "_own"), block), bold))).filter("_sig > 0")
+
+    plain = F.filter(F.slice("_block", 1, F.col("_sig") - 1), lambda x: (F.trim(x) != "") & ~x.rlike(f"{_COMMENT}|{_RULE}"))
+    rows = rows.withColumns({"_s": F.trim(F.get("_block", F.col("_sig") - 1)), "_plain": plain, "_body": F.slice("_block", F.col("_sig") + 1, F.size("_block"))})
     part = lambda i: F.regexp_extract("_s", r"^\*\*(.+?)\*\*(.*)$", i)
-    body = dedented(F.transform("_b", lambda x: x["line"]))
-    found = found.filter(part(1) != "").withColumns({"name": F.trim(part(1)), "signature": F.trim(F.regexp_replace(part(2), r"^\\+", "")), "body": body})
+    rows = rows.filter(part(1) != "").withColumns({"name": F.trim(part(1)), "signature": F.trim(F.regexp_replace(part(2), r"^\\+", "")), "body": dedented(F.col("_body"))})
     told = F.array_join("body", "\n").rlike(r"(?i)\b(?:was|is|has been) deprecated")
-    return found.select(*keys, "line_no", "anchor", F.coalesce("qualified", "name").alias("qualified"), "name", "signature", "kind", "body", told.alias("deprecated"))
+    qualified = F.trim(F.get("_plain", F.size("_plain") - 1))
+    return rows.select(*keys, (F.col("first") + F.col("_at") + F.col("_in") - 2).alias("line_no"), "anchor", F.coalesce(qualified, "name").alias("qualified"), "name", "signature", "kind", "body", told.alias("deprecated"))
 
 
 def _records(data: Column) -> Column:

@@ -78,7 +78,7 @@ def page_members(spark, sf_dir):
     orders = _t(spark, sf_dir, "orders").select("o_orderkey").join(_items(spark, sf_dir, item), "o_orderkey")
     body = F.replace("items", F.lit("KEY"), _s(F.col("o_orderkey")))
     text = F.concat(F.lit("Class\n=====\nOrder\n=====\n.. _not:\n\n**Not a member**\n\nMethod descriptions\n---\n"), body, F.lit("Notes\n-----\n.. _other:\n\n**Other**\n"))
-    found = pages.members(pages.page_lines(orders.select(F.col("o_orderkey").alias("page"), text.alias("text")), ["page"], "text"), ["page"])
+    found = pages.members(pages.page_arrays(orders.select(F.col("o_orderkey").alias("page"), text.alias("text")), ["page"], "text"), ["page"])
     signature = F.regexp_replace("signature", r"^\\", "")
     return found.select("page", "anchor", "qualified", "name", signature.alias("signature"), "kind", F.md5(F.array_join("body", "\n")).alias("body_md5"), "deprecated")
 

@@ -5,6 +5,7 @@ import io
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievework.operators import locations, pages, paths
 
@@ -182,3 +183,27 @@ def test_location_keys(spark):
     df = spark.createDataFrame([("A.b.C",), ("a",), ("a.b",), (None,)], "l string")
     got = [[(k["container"], k["member"]) for k in x[0]] for x in df.select(locations.location_keys(df.l)).collect()]
     assert got == [[("a.b", "c"), ("a", "c"), ("a", "b.c")], [], [("a", "b")], []]
+
+
+def random_pages(spark, seed):
+    r = random.Random(seed)
+    lines = ["Alpha", "Method descriptions", "Constant Descriptions", "", "", ".. a comment", "..", ".. _m.x:", "**Fn** (x)", "   body\t", "\tdeeper ", "It was deprecated.", *RULES]
+    texts = ["".join(r.choice(lines) + r.choice(["\n", "\n", "\r\n", "\r", "\x0b"]) for _ in range(r.randrange(1, 40))) for _ in range(200)]
+    texts += ["Method descriptions\n---\n" + "\n".join(r.choice([*lines[3:12] * 3, *RULES]) for _ in range(r.randrange(1, 40))) for _ in range(100)]
+    texts += ["=====\nAlpha\n=====\nMethod descriptions\n---\n.. _m.x:\n**Fn** (x)\n", "Method descriptions\n---\n.. _a:\n.. _b:\n**Fn**", "Alpha\n===\nBeta\n===\n.. c\n===", "\n", "===\n===", "x\u2028===\x85y\n\n"]
+    return spark.createDataFrame(list(enumerate(texts)), "page int, text string")
+
+
+def test_members_of_pages_and_of_their_rows(spark):
+    df = random_pages(spark, 5)
+    whole = pages.page_arrays(df, ["page"], "text")
+    rows = pages.page_lines(df, ["page"], "text")
+    # The titles and rules that the pass over a page finds are those that windows over its rows find.
+    roles = whole.select("page", F.posexplode(F.split(pages.section_roles(F.col("lines")), "")).alias("at", "c"))
+    got = {(x["page"], x["at"] + 1): {"o": "rule", "u": "rule", "t": "text"}.get(x["c"], x["c"]) for x in roles.collect()}
+    assert got == {(x["page"], x["line_no"]): str(x["level"]) if x["role"] == "title" else x["role"] for x in pages.section_lines(rows, ["page"]).collect()}
+    found = pages.members(whole, ["page"])
+    assert sorted(map(str, found.collect())) == sorted(map(str, pages.members(rows, ["page"]).collect())) and found.count() > 20
+    # A page is cut in place: its lines are neither sorted nor put into windows.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and "Exchange" not in plan
