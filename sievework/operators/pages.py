@@ -1,14 +1,13 @@
 """Pages of marked-up text: section trees, members under their anchors, and comma-separated tables.
 
 A page's lines are rows (keys, line_no, line) numbered without gaps, or one row (keys, lines) with all of them, as page_arrays()
-makes it; members take both and collect the rows. Everything is windows and array functions within a page,
+makes it; section trees and members take both and collect the rows. Everything is windows and array functions within a page,
 so a page is the unit that one task holds; no page is seen by the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,29 +120,29 @@ def section_tree(lines: DataFrame, keys: list[str]) -> DataFrame:
     is its title's, last_line that before the next section that is not inside it. own_lines counts its text before the next title.
     Lines before the first title are section 0, of level 0 with an empty path.
     """
-    w = _window(keys)
-    rows = section_lines(lines, keys)
-    rows = rows.withColumns({"section_no": F.count("title").over(w), "_end": F.max("line_no").over(Window.partitionBy(*keys))})
-    text = F.count_if(F.col("role") == "text").over(Window.partitionBy(*keys, "section_no"))
-    starts = F.row_number().over(Window.partitionBy(*keys, "section_no").orderBy("line_no")) == 1
-    heads = rows.withColumns({"own_lines": text, "_starts": starts}).filter("_starts").withColumn("level", F.coalesce("level", F.lit(0)))
-
-    def latest(k: int) -> Column:
-        return F.max(F.when(F.col("level") == k, F.struct("line_no", "title"))).over(w)
-
-    def following(k: int) -> Column:
-        return F.min(F.when(F.col("level").between(1, k), F.col("line_no"))).over(w.rowsBetween(1, Window.unboundedFollowing))
-
-    levels = range(1, LOWEST + 1)
-    heads = heads.withColumns({f"_l{k}": latest(k) for k in levels} | {f"_f{k}": following(k) for k in levels})
-    # The last title of a level is around the row if no title of a smaller level came after it.
-    around = [F.when((F.col("level") > k) & reduce(lambda a, b: a & b, (F.coalesce(F.col(f"_l{k}.line_no") > F.col(f"_l{j}.line_no"), F.col(f"_l{j}").isNull()) for j in range(1, k)), F.col(f"_l{k}").isNotNull()), F.col(f"_l{k}.title")) for k in levels]
-    nxt = F.get(F.array(*[F.col(f"_f{k}") for k in levels]), F.when(F.col("level") > 0, F.col("level") - 1).otherwise(F.lit(LOWEST - 1)))
-    path = F.array_compact(F.array(*around, F.col("title")))
-    # A rule above a title is outside the section before.
-    overlined = rows.filter("role = 'rule'").select(*keys, (F.col("line_no") + 1).alias("_next"), F.lit(1).alias("_r"))
-    found = heads.select(*keys, "section_no", path.alias("path"), "title", "level", F.col("line_no").alias("first_line"), nxt.alias("_next"), F.coalesce(nxt - 1, "_end").cast("int").alias("last_line"), "own_lines")
-    return found.join(overlined, [*keys, "_next"], "left").withColumn("last_line", F.col("last_line") - F.coalesce("_r", F.lit(0))).drop("_next", "_r")
+    rows = _paged(lines, keys).withColumns({"_roles": section_roles(F.col("lines")), "_end": (F.col("first") + F.size("lines") - 1).cast("int")})
+    each = lambda c: F.split(c, "")
+    zipped = F.arrays_zip(F.col("lines").alias("line"), each("_roles").alias("role"), each(F.concat(F.lit("."), "_roles")).alias("before"))
+    rows = rows.select(*keys, "first", "_end", F.posexplode(zipped).alias("_at", "_x"))
+    level = F.coalesce(F.col("_x.role").try_cast("int"), F.lit(0))
+    heads = rows.filter("_x.role between '1' and '9' or _at = 0").select(*keys, "_end", (F.col("first") + F.col("_at")).alias("line_no"), level.alias("level"), F.when(level > 0, F.trim("_x.line")).alias("title"), F.col("_x.before").alias("_before"))
+    # A rule above a title is outside the section before, also if it is the one under that section's title.
+    heads = heads.withColumn("_start", F.col("line_no") - F.when((F.col("level") > 0) & F.col("_before").isin("o", "u"), 1).otherwise(0))
+
+    w, levels = _window(keys), range(1, LOWEST + 1)
+    back = Window.partitionBy(*keys).orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.withColumns({f"_f{k}": F.last(F.when(F.col("level").between(1, k), F.col("_start")), ignorenulls=True).over(back) for k in levels})
+    # The last title of at most a level is around the row if it has that level: no title of a smaller one came after it.
+    on = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = {f"_l{k}": F.last(F.when(F.col("level").between(1, k), F.struct("level", "title")), ignorenulls=True).over(on) for k in levels[:-1]}
+    heads = heads.withColumns(latest | {"section_no": F.count("title").over(on)})
+    around = [F.when((F.col("level") > k) & (F.col(f"_l{k}.level") == k), F.col(f"_l{k}.title")) for k in levels[:-1]]
+    nxt = F.coalesce(*[F.when(F.col("level") == k, F.col(f"_f{k}")) for k in levels], F.when(F.col("level") == 0, F.col(f"_f{LOWEST}")))
+    own = F.greatest(F.coalesce(F.col(f"_f{LOWEST}"), F.col("_end") + 1) - F.col("line_no") - F.when(F.col("level") > 0, 2).otherwise(0), F.lit(0))
+    return heads.select(
+        *keys, "section_no", F.array_compact(F.array(*around, F.col("title"))).alias("path"), "title", "level", F.col("line_no").alias("first_line"),
+        F.coalesce(nxt - 1, "_end").cast("int").alias("last_line"), own.cast("long").alias("own_lines"),
+    )
 
 
 def page_heads(lines: DataFrame, keys: list[str], name: str) -> DataFrame:

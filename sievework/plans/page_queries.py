@@ -62,7 +62,7 @@ def section_tree(spark, sf_dir):
     orders = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", own.alias("text")))), lambda x: x["text"]), "").alias("orders"))
     head = F.concat(F.lit(".. label:\nClass\n\n=====\n"), "c_name", F.lit("\n=====\n\n"), F.coalesce("orders", F.lit("")))
     text = _t(spark, sf_dir, "customer").join(orders, "c_custkey", "left").select(F.col("c_custkey").alias("page"), head.alias("text"))
-    tree = pages.section_tree(pages.page_lines(text, ["page"], "text"), ["page"])
+    tree = pages.section_tree(pages.page_arrays(text, ["page"], "text"), ["page"])
     return tree.select("page", "section_no", F.array_join("path", " > ").alias("path"), "level", "first_line", "last_line", "own_lines")
 
 

@@ -207,3 +207,20 @@ def test_members_of_pages_and_of_their_rows(spark):
     # A page is cut in place: its lines are neither sorted nor put into windows.
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Sort" not in plan and "Exchange" not in plan
+
+
+def test_section_trees_of_pages_and_of_their_rows(spark):
+    df = random_pages(spark, 6)
+    tree = pages.section_tree(pages.page_arrays(df, ["page"], "text"), ["page"])
+    # Only titles reach the windows, and none of these looks at all that follows for each of its rows.
+    plan = tree._jdf.queryExecution().executedPlan().toString().lower()
+    assert "unboundedfollowing" not in plan and "hashjoin" not in plan and "mergejoin" not in plan and plan.count("- window") == 2
+    assert sorted(map(str, tree.collect())) == sorted(map(str, pages.section_tree(pages.page_lines(df, ["page"], "text"), ["page"]).collect()))
+
+
+def test_a_page_of_many_sections(spark):
+    n = 30000
+    df = spark.createDataFrame([(1, "Top\n===\n" + "Part\n---\ntext\n" * n)], "page int, text string")
+    tree = pages.section_tree(pages.page_arrays(df, ["page"], "text"), ["page"])
+    x = tree.selectExpr("count(*) n", "max(last_line) last", "count_if(last_line = first_line + 2) flat", "count_if(own_lines = 1) own", "count_if(path = array('Top', 'Part')) inside").collect()[0]
+    assert tuple(x) == (n + 1, 3 * n + 2, n, n, n)
