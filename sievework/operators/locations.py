@@ -10,42 +10,41 @@ _NAME = r"[A-Za-z_]\w*"
 HEAD_LINES = 3
 
 
-def _tag(word: str) -> Column:
-    return F.col("line").rlike(rf"(?i)^\s*#tag\s+{word}\b")
-
-
 def _named(column: str, pattern: str) -> Column:
     """The name that the line gives by the pattern, or null."""
     return F.nullif(F.regexp_extract(column, pattern, 1), F.lit(""))
 
 
-def accessor_blocks(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """lines(keys, line_no, line) with in_block, and on the Get and Set lines of a computed property its accessor and name.
+def _states(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows of what lines say with the container _c and owner _o of each, the name _m of a method outside the blocks of computed properties, and on the Get and Set lines of these their accessor and property.
 
     The name stands behind both bodies, so each block is numbered by its opening tag, its end is the first closing tag
     behind that, and the name is the first declaration inside it and outside the bodies, filled back over the block. The first
     Get line of a getter and the first Set line of a setter count. An opening tag in an open block opens none; a block that is
     not closed reaches to the file's end.
     """
-    w = Window.partitionBy(*keys).orderBy("line_no")
-    opens, closes = _tag("ComputedProperty"), _tag("EndComputedProperty")
+    w = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Opening and closing tags alternate once those inside an open block are passed over.
-    rows = lines.withColumn("_mark", F.when(opens, 1).when(closes, 0)).withColumn("_was", F.coalesce(F.last("_mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("_opened", (F.col("_mark") == 1) & (F.col("_was") == 0)).withColumn("_block", F.count_if("_opened").over(w))
-    inside = F.coalesce(F.last("_mark", ignorenulls=True).over(w), F.lit(0)) == 1
-    rows = rows.withColumn("in_block", inside | (F.coalesce(F.col("_mark") == 0, F.lit(False)) & (F.col("_was") == 1)))
-    b = Window.partitionBy(*keys, "_block", "in_block").orderBy("line_no")
-    state = F.coalesce(F.last(F.when(_tag("Getter"), "Get").when(_tag("Setter"), "Set").when(_tag("EndGetter") | _tag("EndSetter"), ""), ignorenulls=True).over(b), F.lit(""))
-    rows = rows.withColumn("_body", F.when(F.col("in_block"), state).otherwise(""))
-    tagged = F.col("line").rlike(r"^\s*#")
-    declared = F.when(F.col("in_block") & (F.col("_body") == "") & ~tagged, _named("line", rf"(?i)^\s*({_NAME})\s+As\s"))
-    whole = Window.partitionBy(*keys, "_block", "in_block")
-    name = F.min(F.when(F.col("_declared").isNotNull(), F.struct("line_no", "_declared"))).over(whole)["_declared"]
-    starts = F.when((F.col("_body") != "") & (F.lower(F.regexp_extract("line", r"^\s*(\w+)\s*$", 1)) == F.lower("_body")), F.col("_body"))
-    rows = rows.withColumns({"_declared": declared, "_starts": starts})
-    first = F.min(F.when(F.col("_starts").isNotNull(), F.col("line_no"))).over(Window.partitionBy(*keys, "_block", "in_block", "_starts"))
-    accessor = F.when(F.col("in_block") & (F.col("line_no") == first), F.col("_starts"))
-    return rows.withColumns({"accessor": accessor, "property": name}).select(*lines.columns, "in_block", "accessor", F.when(F.col("accessor").isNotNull(), F.col("property")).alias("property"))
+    mark = F.when(F.col("_tag") == "computedproperty", 1).when(F.col("_tag") == "endcomputedproperty", 0)
+    rows = rows.withColumn("_mark", mark).withColumn("_was", F.coalesce(F.last("_mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    opened = F.coalesce((F.col("_mark") == 1) & (F.col("_was") == 0), F.lit(False))
+    inside = F.coalesce(F.col("_mark"), F.col("_was")) == 1
+    rows = rows.withColumns({"_opened": opened, "in_block": inside | (F.coalesce(F.col("_mark") == 0, F.lit(False)) & (F.col("_was") == 1))})
+    # What the last tag about bodies says holds until the next one, or until a block opens.
+    body = F.when(F.col("_opened") | F.col("_tag").isin("endgetter", "endsetter"), "").when(F.col("_tag") == "getter", "get").when(F.col("_tag") == "setter", "set")
+    # Owner and container, like names, count outside the blocks alone; here they share the windows' order.
+    free = ~F.col("in_block")
+    owner = F.last(F.when(free, F.coalesce("_events", F.when(F.col("_tag") == "endevents", ""))), ignorenulls=True).over(w)
+    container = F.coalesce(F.last(F.when(free, F.coalesce("_layout", "_class")), ignorenulls=True).over(w), F.col("_stem"))
+    rows = rows.withColumns({"_block": F.count_if("_opened").over(w), "_body": F.coalesce(F.last(body, ignorenulls=True).over(w), F.lit("")), "_o": F.nullif(owner, F.lit("")), "_c": container, "_m": F.when(free, F.col("_m"))})
+    declared = F.when(F.col("in_block") & (F.col("_body") == ""), F.col("_declares"))
+    starts = F.when(F.col("in_block") & (F.col("_body") != "") & (F.col("_word") == F.col("_body")), F.col("_body"))
+    rows = rows.withColumns({"_d": declared, "_starts": starts})
+    whole = Window.partitionBy(*keys, "_block", "in_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = lambda word: F.min(F.when(F.col("_starts") == word, F.col("line_no"))).over(whole)
+    rows = rows.withColumns({"_name": F.first("_d", ignorenulls=True).over(whole), "_get": first("get"), "_set": first("set")})
+    at = F.when(F.col("_starts") == "get", F.col("_get")).when(F.col("_starts") == "set", F.col("_set"))
+    return rows.withColumn("accessor", F.when(F.col("line_no") == at, F.col("_starts"))).withColumn("property", F.when(F.col("accessor").isNotNull(), F.col("_name")))
 
 
 def location_index(lines: DataFrame, keys: list[str], stem: str) -> DataFrame:
@@ -56,15 +55,19 @@ def location_index(lines: DataFrame, keys: list[str], stem: str) -> DataFrame:
     owns them, as a member of that and as owner.member of the container. A computed property is indexed under name.Get and
     name.Set, and under its name alone once for each of the two. Nothing else inside its block counts.
     """
-    w = Window.partitionBy(*keys).orderBy("line_no")
-    rows = accessor_blocks(lines, keys)
-    free = ~F.col("in_block")
-    owner = F.last(F.when(free, F.coalesce(_named("line", r"(?i)^\s*#tag\s+events\s+(\S+)"), F.when(_tag("EndEvents"), ""))), ignorenulls=True).over(w)
-    declared = F.when(free, _named("code", rf"(?i)^\s*(?:(?:protected|private)\s+)?(?:class|module|interface)\s+({_NAME})"))
-    layout = F.when(free & (F.col("line_no") <= HEAD_LINES), _named("line", rf"^\s*Begin\s+[A-Za-z_][\w.]*\s+({_NAME})"))
-    container = F.coalesce(F.last(F.coalesce(layout, declared), ignorenulls=True).over(w), F.col(stem))
-    member = F.when(free, _named("code", rf"(?i)^\s*(?:(?:private|protected|public|shared)\s+)*(?:sub|function)\s+({_NAME})"))
-    rows = rows.withColumns({"_o": F.nullif(owner, F.lit("")), "_c": container, "_m": member})
+    # What each line says is read once and goes on without its text.
+    tagged = lambda c: F.when(F.contains("line", F.lit("#")), c)
+    said = {
+        "_tag": tagged(F.lower(F.regexp_extract("line", r"(?i)^\s*#tag\s+(\w+)\b", 1))),
+        "_declares": _named("line", rf"(?i)^\s*({_NAME})\s+As\s"),
+        "_word": F.lower(F.regexp_extract("line", r"(?i)^\s*(get|set)\s*$", 1)),
+        "_events": tagged(_named("line", r"(?i)^\s*#tag\s+events\s+(\S+)")),
+        "_class": _named("code", rf"(?i)^\s*(?:(?:protected|private)\s+)?(?:class|module|interface)\s+({_NAME})"),
+        "_layout": F.when(F.col("line_no") <= HEAD_LINES, _named("line", rf"^\s*Begin\s+[A-Za-z_][\w.]*\s+({_NAME})")),
+        "_m": _named("code", rf"(?i)^\s*(?:(?:private|protected|public|shared)\s+)*(?:sub|function)\s+({_NAME})"),
+    }
+    rows = lines.select(*keys, "line_no", F.col(stem).alias("_stem"), *[c.alias(n) for n, c in said.items()])
+    rows = _states(rows, keys)
     entry = lambda c, m: F.struct(F.lower(c).alias("container"), F.lower(m).alias("member"))
     dot = F.lit(".")
     signature = F.when(F.col("_m").isNotNull(), F.concat(F.array(entry(F.col("_c"), F.col("_m"))), F.when(F.col("_o").isNotNull(), F.array(entry(F.col("_c"), F.concat("_o", dot, "_m")), entry(F.col("_o"), F.col("_m")))).otherwise(F.array())))
@@ -78,17 +81,22 @@ def location_keys(location: Column) -> Column:
     For every split, from the right: what stands left and right of it; the first part and what stands right; what stands
     left and the last part. A location without a dot has none.
     """
-    parts = F.filter(F.split(F.lower(location), r"\."), lambda p: p != "")
-    n = F.size(parts)
-    joined = lambda start, count: F.array_join(F.slice(parts, start, count), ".")
+    joined = lambda parts, start, count: F.array_join(F.slice(parts, start, count), ".")
     key = lambda c, m: F.struct(c.alias("container"), m.alias("member"))
 
-    def shapes(i: Column) -> Column:
-        left, right = joined(F.lit(1), i), joined(i + 1, n - i)
-        return F.array(key(left, right), key(F.get(parts, F.lit(0)), right), key(left, F.get(parts, n - 1)))
+    def keys(parts: Column) -> Column:
+        n = F.size(parts)
+
+        def shapes(i: Column) -> Column:
+            left, right = joined(parts, F.lit(1), i), joined(parts, i + 1, n - i)
+            return F.array(key(left, right), key(F.get(parts, F.lit(0)), right), key(left, F.get(parts, n - 1)))
 
-    splits = F.when(n > 1, F.sequence(n - 1, F.lit(1), F.lit(-1)))
-    return F.array_distinct(F.coalesce(F.flatten(F.transform(splits, shapes)), F.array().cast("array<struct<container:string,member:string>>")))
+        splits = F.when(n > 1, F.sequence(n - 1, F.lit(1), F.lit(-1)))
+        return F.array_distinct(F.coalesce(F.flatten(F.transform(splits, shapes)), F.array().cast("array<struct<container:string,member:string>>")))
+
+    # Over an array of one, so that the parts are found once and not for each split and shape.
+    parts = F.filter(F.split(F.lower(location), r"\."), lambda p: p != "")
+    return F.get(F.transform(F.array(parts), keys), F.lit(0))
 
 
 def located(diagnostics: DataFrame, diag_id: str, location: str, line: str, index: DataFrame, place: list[str]) -> DataFrame:

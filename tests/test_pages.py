@@ -224,3 +224,19 @@ def test_a_page_of_many_sections(spark):
     tree = pages.section_tree(pages.page_arrays(df, ["page"], "text"), ["page"])
     x = tree.selectExpr("count(*) n", "max(last_line) last", "count_if(last_line = first_line + 2) flat", "count_if(own_lines = 1) own", "count_if(path = array('Top', 'Part')) inside").collect()[0]
     assert tuple(x) == (n + 1, 3 * n + 2, n, n, n)
+
+
+def test_keys_and_entries_cost_what_they_need(spark):
+    # The parts of a location are found once, so that one of many parts does not take the square of that for each shape.
+    n = 300
+    df = spark.createDataFrame([(".".join(f"P{i}" for i in range(n)),)], "l string")
+    keys = df.select(locations.location_keys(df.l).alias("k"))
+    got = [tuple(k) for k in keys.collect()[0]["k"]]
+    parts = [f"p{i}" for i in range(n)]
+    shapes = [(".".join(a), ".".join(b)) for i in range(n - 1, 0, -1) for a, b in ((parts[:i], parts[i:]), (parts[:1], parts[i:]), (parts[:i], parts[-1:]))]
+    assert got == list(dict.fromkeys(shapes))
+    assert keys._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    # The states of a file's lines share their order: sorted by line once, and by block once.
+    lines = spark.createDataFrame([("s", 1, "Class A", "Class A")], "stem string, line_no int, line string, code string")
+    plan = locations.location_index(lines, ["stem"], "stem")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("- Sort [") == 2 and plan.count("- Window [") <= 3
